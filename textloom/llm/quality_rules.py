@@ -26,11 +26,11 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 GAMMA, LEAST = 1.02, 1e-3
 SPREAD, MIN_DOCUMENTS = 6.0, 200
 #: ratio: (slack, whether there is a lower fence)
-SLACK = {"symbols_per_word": (0.1, False), "word_length": (0.75, True), "duplicate_lines": (0.5, False)}
+SLACK = {"symbols_per_word": (0.1, False), "word_length": (0.75, True), "duplicate_lines": (0.5, False), "stuttered_words": (0.2, False)}
 #: Characters that one pass of the word arrays handles.
 CHUNK_CHARS = 1_000_000
 
-BASE = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+BASE = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_stuttered long"
 _WHITE = b" \t\n\x0b\x0c\r"
 _NOT_SYMBOL = bytes(c for c in range(256) if c not in b"#*$%&|<>")
 
@@ -39,16 +39,20 @@ def _codes(values: np.ndarray) -> np.ndarray:
     return pd.factorize(values)[0].astype(np.int64)
 
 
-def repeated_words(lengths: list[int], words: list[bytes], window: int = WINDOW) -> np.ndarray:
+def repeated_words(lengths: list[int], words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """For each text (its number of words; words of all texts one after another), the words that lie in windows which
-    occur twice or more in their text. Windows get exact codes by doubling: code pairs of 1, 2, 4 ... words."""
+    occur twice or more in their text, and the words equal to the one before them. Windows get exact codes by doubling:
+    code pairs of 1, 2, 4 ... words."""
     n = np.asarray(lengths, np.int64)
-    out = np.zeros(len(n), np.int64)
+    out, same = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
     total = int(n.sum())
-    if total < window:
-        return out
+    if not total:
+        return out, same
     text = np.repeat(np.arange(len(n)), n)
-    code = pd.factorize(np.array(words, dtype=object))[0].astype(np.int64)
+    code = _codes(np.array(words, dtype=object))
+    np.add.at(same, text[1:][(code[1:] == code[:-1]) & (text[1:] == text[:-1])], 1)
+    if total < window:
+        return out, same
     width = 1
     while width < window:
         step = min(width, window - width)  # the last step may overlap
@@ -57,7 +61,7 @@ def repeated_words(lengths: list[int], words: list[bytes], window: int = WINDOW)
     inside = text[: len(code)] == text[window - 1 :]
     at = np.nonzero(inside)[0]
     if not len(at):
-        return out
+        return out, same
     key = _codes(code[at] * len(n) + text[at])
     twice = at[np.bincount(key)[key] > 1]
     edges = np.zeros(total + 1, np.int64)
@@ -65,7 +69,7 @@ def repeated_words(lengths: list[int], words: list[bytes], window: int = WINDOW)
     np.add.at(edges, twice + window, -1)
     covered = np.cumsum(edges)[:-1] > 0
     np.add.at(out, text[covered], 1)
-    return out
+    return out, same
 
 
 def base_figures(texts: list[str | None]) -> pd.DataFrame:
@@ -76,11 +80,11 @@ def base_figures(texts: list[str | None]) -> pd.DataFrame:
         own = b.split()
         lines = [x for x in b.split(b"\n") if x.split()]
         white = len(b) - len(b.translate(None, _WHITE))
-        rows.append((len(own), len(t) - white, len(b.translate(None, _NOT_SYMBOL)), len(lines), len(lines) - len(set(lines)), 0))
+        rows.append((len(own), len(t) - white, len(b.translate(None, _NOT_SYMBOL)), len(lines), len(lines) - len(set(lines)), 0, 0))
         lengths.append(len(own))
         words += own
     out = pd.DataFrame(rows, columns=[c.split()[0] for c in BASE.split(", ")], dtype="int64")
-    out["n_repeat_words"] = repeated_words(lengths, words)
+    out["n_repeat_words"], out["n_stuttered"] = repeated_words(lengths, words)
     return out
 
 
@@ -100,7 +104,7 @@ def _base_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def _ratios(base: Column) -> dict[str, Column]:
     words = F.greatest(base["n_words"], F.lit(1)).cast("double")
     lines = F.greatest(base["n_lines"], F.lit(1)).cast("double")
-    return {"symbols_per_word": base["n_symbols"] / words, "word_length": base["word_chars"] / words, "duplicate_lines": base["n_dup_lines"] / lines}
+    return {"symbols_per_word": base["n_symbols"] / words, "word_length": base["word_chars"] / words, "duplicate_lines": base["n_dup_lines"] / lines, "stuttered_words": base["n_stuttered"] / words}
 
 
 def _base_failed(base: Column) -> Column:
