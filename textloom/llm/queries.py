@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import chat, exact_dedup, mixing, near_dedup, packing, quality_rules, url_filter
+from textloom.llm import chat, exact_dedup, license_scan, mixing, near_dedup, packing, quality_rules, url_filter
 from textloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op4(spark, read(spark, sf_dir, "conversations"))
 
@@ -41,8 +45,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_rules, op4_chat_format, op6_exact_dedup, op7_near_dedup, op8_url_filter, op9_packing, op10_mixing)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_license_scan, op4_chat_format, op6_exact_dedup, op7_near_dedup, op8_url_filter, op9_packing, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {"op3_license_scan": license_scan.oracle_sql(), "op4_chat_format": chat.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
