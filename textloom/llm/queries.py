@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import chat, exact_dedup, license_scan, mixing, near_dedup, packing, quality_rules, url_filter
+from textloom.llm import chat, exact_dedup, html_extract, license_scan, mixing, near_dedup, packing, quality_rules, url_filter
 from textloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op4(spark, read(spark, sf_dir, "conversations"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(read(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_license_scan, op4_chat_format, op6_exact_dedup, op7_near_dedup, op8_url_filter, op9_packing, op10_mixing)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_license_scan, op4_chat_format, op5_html_extract, op6_exact_dedup, op7_near_dedup, op8_url_filter, op9_packing, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
