@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import chat, exact_dedup, html_extract, license_scan, mixing, near_dedup, packing, quality_rules, url_filter
+from textloom.llm import chat, exact_dedup, html_extract, license_scan, mixing, near_dedup, packing, quality_bayes, quality_rules, url_filter
 from textloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_bayes.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_license_scan, op4_chat_format, op5_html_extract, op6_exact_dedup, op7_near_dedup, op8_url_filter, op9_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_bayes, op2_quality_rules, op3_license_scan, op4_chat_format, op5_html_extract, op6_exact_dedup, op7_near_dedup, op8_url_filter, op9_packing, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
