@@ -142,7 +142,7 @@ def stale(vectors: DataFrame, model_id: str) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, root: str, *, chunked: bool = False) -> DataFrame:
-    """(path, name, size, sha256) of the files below a folder. chunked: streams them in workers, for files beyond 2 GB; their
+    """(path, name, size, sha256) of the files below a folder; the reader passes over empty ones. chunked: streams them in workers, for files beyond 2 GB; their
     paths must then be readable there."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     name = F.element_at(F.split("path", "/"), -1)

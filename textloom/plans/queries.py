@@ -51,7 +51,7 @@ _MARKED = "CASE WHEN doc_id % 7 = 0 THEN '' ELSE concat('  ', text, ' E', chr(76
 
 
 def _marked() -> Column:
-    return F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit("  "), "text", F.lit(" É   Ẓ end")))
+    return F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit("  "), "text", F.lit(" E\u0301   Z\u0323 end")))
 
 
 @query("SELECT doc_id, lower(text) AS lowered FROM documents")
@@ -98,8 +98,8 @@ for _kind in embed.KINDS:
 
 def derived_map() -> dict[str, str]:
     """Wide ASCII forms, odd spaces, an ellipsis and composed accents, by rule."""
-    out = {chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)} | {" ": " ", "　": " ", "…": "..."}
-    return out | {c + "́": a for c, a in zip("aeiou", "áéíóú", strict=True)}
+    out = {chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)} | {"\u00a0": " ", "\u3000": " ", "…": "..."}
+    return out | {c + "\u0301": a for c, a in zip("aeiou", "áéíóú", strict=True)}
 
 
 _WIDE = "concat(text, ' Ｈｅｌｌｏ', chr(160), 'e', chr(769), '…')"
@@ -108,13 +108,13 @@ _WIDE = "concat(text, ' Ｈｅｌｌｏ', chr(160), 'e', chr(769), '…')"
 @query(f"SELECT doc_id, replace(replace(replace(translate({_WIDE}, (SELECT string_agg(chr(65248 + c::INT), '' ORDER BY c) FROM range(33, 127) r(c)), (SELECT string_agg(chr(c::INT), '' ORDER BY c) FROM range(33, 127) r(c))), chr(160), ' '), 'e' || chr(769), 'é'), '…', '...') AS normal FROM documents")
 def charsmap_normalize(spark, sf_dir):
     run = charsmap.normalizer(spark, charsmap.build(derived_map()))
-    return _documents(spark, sf_dir).select("doc_id", run(F.concat("text", F.lit(" Ｈｅｌｌｏ é…"))).alias("normal"))
+    return _documents(spark, sf_dir).select("doc_id", run(F.concat("text", F.lit(" Ｈｅｌｌｏ\u00a0e\u0301…"))).alias("normal"))
 
 
 @query(f"SELECT doc_id, '▁' || replace(regexp_replace(ltrim(replace(replace(replace(translate({_WIDE}, (SELECT string_agg(chr(65248 + c::INT), '' ORDER BY c) FROM range(33, 127) r(c)), (SELECT string_agg(chr(c::INT), '' ORDER BY c) FROM range(33, 127) r(c))), chr(160), ' '), 'e' || chr(769), 'é'), '…', '...'), ' '), ' {{2,}}', ' ', 'g'), ' ', '▁') AS normal FROM documents")
 def xlmr_normalize(spark, sf_dir):
     run = charsmap.normalizer(spark, charsmap.build(derived_map()))
-    return _documents(spark, sf_dir).select("doc_id", charsmap.tokenization_form(run, F.concat("text", F.lit(" Ｈｅｌｌｏ é…"))).alias("normal"))
+    return _documents(spark, sf_dir).select("doc_id", charsmap.tokenization_form(run, F.concat("text", F.lit(" Ｈｅｌｌｏ\u00a0e\u0301…"))).alias("normal"))
 
 
 # ---- sub-words ------------------------------------------------------------------------------------------------------
