@@ -132,7 +132,10 @@ def families(sketches: DataFrame, *, join: float = JOIN, leave: float = LEAVE, r
     for e in edges[1:]:
         every = every.unionByName(e)
     every = written(every.distinct(), "family-edges")
-    of = components(every, "key", "leader").withColumnRenamed("label", "family")
+    # a text of many leaders (as many as bands and rounds, at most) needs one edge, and its leaders one to the smallest
+    own = every.groupBy("key").agg(F.min("leader").alias("first"), F.collect_list("leader").alias("leaders"))
+    stars = own.select("key", "first").unionByName(own.select(F.explode("leaders").alias("key"), "first").where("key <> first")).distinct()
+    of = components(stars, "key", "first").withColumnRenamed("label", "family")
     leaders = every.groupBy(F.col("leader").alias("key")).agg(F.count(F.lit(1)).alias("led")).join(of, "key")
     return of, leaders
 
