@@ -42,7 +42,8 @@ def targets(sized: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share:
     capped = F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("cap")
     rest = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     by = by.withColumn("level", (F.col("budget") - capped) / rest)
-    level = F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(every)
+    # of the sources below their caps the first sets the level; those after it would give less
+    level = F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(every)
     by = by.withColumn("level", level)
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight")))
     return by.select("source", "source_size", "n", "weight", target.alias("target"), "budget")
@@ -149,7 +150,7 @@ WITH sized AS (
   SELECT *, (budget - ((sum(cap) OVER o) - cap)) / sum(weight) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM capped WINDOW o AS (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), targets AS (
-  SELECT source, source_size, budget, least(cap, coalesce((SELECT min(level) FROM leveled WHERE level <= cap / weight) * weight, cap)) AS target FROM leveled
+  SELECT source, source_size, budget, least(cap, coalesce((SELECT max(level) FROM leveled WHERE level <= cap / weight) * weight, cap)) AS target FROM leveled
 ), stream AS (
   SELECT s.doc_id, s.source, s.size, t.source_size, t.target, t.budget, e.epoch,
          md5('mix:' || e.epoch || ':' || coalesce(s.doc_id::VARCHAR, '')) AS place
