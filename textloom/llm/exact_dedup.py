@@ -35,6 +35,7 @@ class DigestIndex:
         self.root = root or scratch(spark, "digest-index")
         self.levels: list[list[str]] = [[]]
         self._made = 0
+        self._schema = None  # of an entry, known from the first flush on
 
     def _best(self, col: str) -> Column:
         return (F.max if self.keep == "max" else F.min)(col).alias("keep_id")
@@ -51,6 +52,7 @@ class DigestIndex:
         """Adds rows(digest, id): one pass that leaves fan_in sorted runs on level 0."""
         dealt = rows.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(self.fan_in)).cast("int"))
         entries = dealt.groupBy("run", "digest").agg(self._best("id"), F.count(F.lit(1)).alias("n"))
+        self._schema = entries.drop("run").schema
         self.levels[0].append(self._write(entries, 0, ["run"]))
         return self
 
@@ -63,7 +65,7 @@ class DigestIndex:
 
     def _entries(self) -> DataFrame:
         runs = [p for level in self.levels for p in level]
-        parts = [self.spark.read.parquet(p).select("digest", "keep_id", "n") for p in runs]
+        parts = [self.spark.read.schema(self._schema).parquet(p).select("digest", "keep_id", "n") for p in runs]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
