@@ -3,8 +3,10 @@
 A rule is a host and the start of a path; it fits the host, its subdomains and urls whose path starts so; the longest
 rule decides. Hosts without a fitting rule are judged by two personalised PageRanks over the host graph (edges are the
 links of pages to other hosts, added up before they are shuffled): trust starts at hosts with allowed pages and follows links;
-distrust starts at hosts with blocked pages and follows them backwards. Both give every seed a mass of 1, so the scores
-do not depend on the number of hosts. A host is blocked if its distrust reaches the threshold and exceeds its trust.
+distrust starts at hosts with blocked pages and follows them backwards. A seed's mass is the share of its pages that the
+rules allow or block, so the scores do not depend on the number of hosts. A host is judged by what it receives over links: its
+own seed speaks for the pages that a rule fits, and these have their verdict. It is blocked if the distrust that it
+receives reaches the threshold and exceeds the trust.
 
 Defined results: a null url or one without ``://`` has an empty host and path and is allowed; null html has no links;
 repeated rows are judged alike; an empty table gives an empty result; other columns never matter.
@@ -79,17 +81,18 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, i
 
 
 def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, trust and distrust of its host."""
+    """One row per page: page_id, host, path, rule, verdict, and the trust and distrust that its host receives."""
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("fits", fitting_rule(F.col("host"), F.col("path"), rules))
-    by_host = rows.where("fits is not null").groupBy("host").agg(F.max((F.col("fits.verdict") == "allow").cast("double")).alias("good"), F.max((F.col("fits.verdict") == "block").cast("double")).alias("bad"))
-    by_host = written(by_host, "seeds")
+    share = lambda v: F.avg(F.coalesce(F.col("fits.verdict") == v, F.lit(False)).cast("double"))
+    by_host = written(rows.groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad")).where("good > 0 or bad > 0"), "seeds")
     edges = written(host_edges(pages, url_col=url_col, html_col=html_col), "links")
     trust = propagate(edges, by_host.where("good > 0").select("host", F.col("good").alias("seed")), **options)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = propagate(back, by_host.where("bad > 0").select("host", F.col("bad").alias("seed")), **options)
     scores = trust.select("host", F.col("score").alias("trust")).join(distrust.select("host", F.col("score").alias("distrust")), "host", "full_outer")
-    scores = written(scores.na.fill(0.0, ["trust", "distrust"]), "verdicts")
+    scores = scores.join(by_host, "host", "left").na.fill(0.0)
+    scores = written(scores.select("host", (F.col("trust") - F.col("good")).alias("trust"), (F.col("distrust") - F.col("bad")).alias("distrust")), "verdicts")
     out = rows.join(small(scores, scores.count()), "host", "left").na.fill(0.0, ["trust", "distrust"])
     by_method = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("fits.rule").alias("rule"), F.coalesce("fits.verdict", by_method).alias("verdict"), "trust", "distrust")
