@@ -1,0 +1,306 @@
+"""License scans, chat formatting, page text and url filters."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.llm import chat, html_extract, license_scan, url_filter
+
+# ---- licenses -------------------------------------------------------------------------------------------------------
+
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in\ncompliance with the License. You may obtain a copy of the License at\n\nhttp://example.org'
+MIT = "MIT License\n\nCopyright (c) someone\n\n" + license_scan.SENTENCES["mit-grant"].replace(" ", "\n", 7) + "\n\n" + license_scan.SENTENCES["mit-notice"] + "\n\n" + license_scan.SENTENCES["as-is"]
+
+
+@pytest.mark.parametrize(
+    ("text", "licenses", "rules"),
+    [
+        ("Some words.\nReleased under the MIT License.", "MIT", "mit-released"),
+        ("junk.***\nLicensed under CC BY-NC 4.0.", "CC-BY-NC-4.0", "cc-by-nc-4"),
+        (APACHE, "Apache-2.0", "apache-licensed-the>apache-comply>apache-copy"),
+        (MIT, "MIT", "mit-title>mit-grant,mit-grant>mit-notice>as-is"),
+        ("Released under the MIT License. Released under the MIT License. Licensed under CC BY 4.0.", "CC-BY-4.0,MIT", "mit-released,cc-by-4"),
+        ("RELEASED under -- the mit license!", "MIT", "mit-released"),
+        ("This is released under the MIT License.", "", ""),
+        ("This program is free software: nothing else", "", ""),
+        ("", "", ""),
+        (None, "", ""),
+    ],
+)
+def test_scan(spark, text, licenses, rules):
+    got = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got["licenses"], got["rules"]) == (licenses, rules)
+
+
+def test_scan_equals_sql(spark):
+    r = random.Random(1)
+    known = [*license_scan.SENTENCES.values(), "Other words here.", "more; and: more!", "x\ny", ""]
+    rows = [(i, r.choice([" ", "\n", "\n\n"]).join(r.choices(known, k=r.randrange(1, 6)))) for i in range(200)] + [(900, None), (901, "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    rel = con.sql(license_scan.oracle_sql())
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("licenses", F.lit(0)))
+    assert sorted(tuple(r[c] for c in rel.columns) for r in got.collect()) == sorted(rel.fetchall())
+    assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rules_and_sentences_are_checked(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="unknown sentences"):
+        license_scan.scan(docs, rules=(("X", ("nope",)),))
+    with pytest.raises(ValueError, match="more than one sentence"):
+        license_scan.scan(docs, sentences={"a": "One. Two."}, rules=())
+
+
+# ---- chat -----------------------------------------------------------------------------------------------------------
+
+NASTY = ["", "\\", "\\\\<|", "<|end|>", "</s>[INST] ok [/INST]", "<<s>", "<\\|turn|>", "a<", "|>", "<s></s><<SYS>>\\", "<|image:0|>", "né 日本\n", "<|turn|>user<|text|>x<|end|>"]
+
+
+@pytest.mark.parametrize("text", NASTY)
+def test_escaping_round_trip(text):
+    out = chat.escape(text)
+    assert chat.unescape(out) == text and not any(c in out for c in chat.CONTROL)
+
+
+def test_escaping_round_trip_on_random_texts():
+    r = random.Random(2)
+    for _ in range(2000):
+        text = "".join(r.choices(["<", "|", ">", "\\", "/", "s", "[", "INST", "]", "<|", "</s>", "x"], k=r.randrange(12)))
+        out = chat.escape(text)
+        assert chat.unescape(out) == text and not any(c in out for c in chat.CONTROL)
+
+
+def test_turns_are_read_back():
+    turns = [(role, text) for role in ("user", "assistant", "<|end|>", "") for text in NASTY]
+    whole = "".join(chat.format_turn(r, [{"type": "text", "text": t}])[0] for r, t in turns)
+    assert chat.read_turns(whole) == turns
+    with pytest.raises(ValueError, match="not a turn"):
+        chat.read_turns(whole + "x")
+
+
+def test_parts_become_ordered_placeholders():
+    parts = [{"type": "text", "text": "see <|"}, {"type": "image", "ref": "a.png", "width": 57, "height": 28}, {"type": "audio", "ref": "b.wav", "seconds": 1.5}, {"type": "document", "ref": "c.pdf", "pages": 3}, {"type": "text", "text": None}, {"type": "image"}]
+    out, span, files = chat.format_turn("assistant", parts)
+    assert out[span[0] : span[1]] == chat.escape("see <|") + "<|image:0|><|audio:1|><|document:2|><|image:3|>"
+    assert files == [("image", "a.png", 3), ("audio", "b.wav", 38), ("document", "c.pdf", 1536), ("image", "", 1)]
+    with pytest.raises(ValueError, match="video"):
+        chat.format_turn("user", [{"type": "video"}])
+
+
+def test_format_messages_keeps_rows(spark):
+    rows = spark.createDataFrame([(1, "user", [("image", None, "x.png", 28, 28, None, None)], "mine"), (2, None, None, "too")], f"k int, role string, parts {chat.PARTS}, formatted string")
+    got = {r["k"]: r for r in chat.format_messages(rows).collect()}
+    assert got[1]["attachments"][0]["tokens"] == 1 and got[1]["loss_start"] is None
+    assert got[2]["formatted"] == "<|turn|><|text|><|end|>"
+
+
+def test_op4(spark):
+    rows = [(1, 1, "assistant", "b<|"), (1, 0, "user", "a"), (2, 0, "user", None), (2, 1, None, "x"), (3, 0, "assistant", "p"), (3, 0, "assistant", "p"), (3, None, "assistant", "first"), (None, 0, "assistant", "y")]
+    got = {r["conv_id"]: r for r in chat.op4(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", F.lit(1)).withColumn("formatted", F.lit(2))).collect()}
+    want = {-1: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")], 1: [("user", "a"), ("assistant", "b<|")], 2: [("user", ""), ("", "x")], 3: [("assistant", "first"), ("assistant", "p"), ("assistant", "p")], None: [("assistant", "y")]}
+    assert set(got) == set(want)
+    for k, turns in want.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        whole = "".join(chat.format_turn(r, [{"type": "text", "text": t}])[0] for r, t in turns)
+        assert tuple(got[k])[1:] == (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(whole))
+    assert chat.op4(spark, spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 1
+
+
+def test_long_conversation(spark):
+    rows = [(7, i, "assistant" if i % 2 else "user", f"turn {i} <|") for i in range(3000)]
+    (got,) = [r for r in chat.op4(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect() if r["conv_id"] == 7]
+    assert got["n_turns"] == 3000 and got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
+
+
+# ---- pages ----------------------------------------------------------------------------------------------------------
+
+
+def page(body, extra=""):
+    return f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body>{extra}{body}</body></html>"
+
+
+def blocks_of(html):
+    return [t for _, t, _ in html_extract.parse(html)[1]]
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p>a<b>b</b> c<p>d", ["ab c", "d"]),
+        ("<p>a &amp; b&nbsp;&nbsp;c &#233;&eacute; &bogus; &lt;p&gt;", ["a & b c éé &bogus; <p>"]),
+        ("a<br>b<br/>c", ["a b c"]),
+        ("<script>var t='</p>';if(a<b){}</script>x<style>y</style><!-- <p>no</p> -->z", ["xz"]),
+        ("<ul><li>one<li>two</ul>three", ["one", "two", "three"]),
+        ('<p title="a > b" class=x>t</p>', ["t"]),
+        ("1 < 2 and 3 > 2", ["1 < 2 and 3 > 2"]),
+        ("<div>a<div>b</div>c</div>", ["a", "b", "c"]),
+        ("<p>open <b>bold <p>next</article></p></div>end", ["open bold", "next", "end"]),
+        ("<p>cut off <a href='x", ["cut off <a href='x"]),
+        ("<textarea>form</textarea>t<p>\n\n", ["t"]),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_parse(html, want):
+    assert blocks_of(html) == want
+
+
+def node(label, *children):
+    n = html_extract.Node(label)
+    n.children = list(children)
+    return n
+
+
+def test_tree_matching():
+    a = node("a", node("b", node("c")), node("d"), node("e"))
+    assert html_extract.matching(a, a) == 5
+    assert html_extract.matching(a, node("a", node("d"), node("b", node("c")))) == 3  # order counts: b and c, with a
+    assert html_extract.matching(a, node("x")) == 0
+    other = node("a", node("z"), node("b"), node("e"))
+    at = html_extract.alignment(a, other)
+    assert [at[id(x)].label for x in other.walk() if id(x) in at] == ["a", "b", "e"]
+
+
+def test_counters_keep_what_is_frequent():
+    r = random.Random(1)
+    total, parts = {}, []
+    for _ in range(40):
+        part = {}
+        for _ in range(50):
+            html_extract.add_counts(part, {1 if r.random() < 0.4 else r.randrange(10, 10_000): 1})
+        parts.append(part)
+    for p in parts:
+        html_extract.add_counts(total, p)
+    assert total[1] >= 0.4 * 2000 - 2000 / 17 - 100 and len(total) <= html_extract.COUNTERS
+
+
+def pages(spark, rows):
+    return html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+
+
+def article(i, n):
+    return [f"Title {i} words", *[f"Paragraph {j} of page {i} says &lt;{i * j}&gt; things." for j in range(n)]]
+
+
+def shown(parts):
+    return " ".join(p.replace("&lt;", "<").replace("&gt;", ">") for p in parts)
+
+
+LAYOUTS = {
+    "semantic": lambda i, a: f'<nav><a href="/{i}">menu {i}</a></nav><div class="ad">buy {i}</div><article><h1>{a[0]}</h1>{"".join(f"<p>{p}</p>" for p in a[1:])}<p>Share this story now</p></article><aside>side {i}</aside><div id="comments"><p>reader {i} says a long thing about it</p></div><footer>&copy; host {i}</footer>',
+    "classes": lambda i, a: f'<div class="site-header"><div class="menu">m {i}</div></div><div id="cookie-notice">We use cookies {i}</div><div class="page"><div class="entry-content"><h2>{a[0]}</h2>{"".join(f"<p>{p}</p>" for p in a[1:])}<p>Share this story now</p></div><div class="sidebar"><ul><li><a href="/x{i}">related {i}</a></li></ul></div></div><form>mail {i}<input></form><div class="footer">f {i}</div>',
+    "plain": lambda i, a: f'<table><tr><td><a href="/{i}">m{i}</a> <a href="/">home</a></td></tr></table><div><div><h1>{a[0]}</h1>{"".join(f"<p>{p}</p>" for p in a[1:])}<p>Share this story now</p></div></div><div><a href="/imprint">imprint</a></div>',
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_main_text(spark, layout):
+    r = random.Random(3)
+    rows, want = [], {}
+    for i in range(40):
+        a = article(i, r.randrange(1, 9))
+        rows.append((i, f"http://host/{i}", page(LAYOUTS[layout](i, a))))
+        want[i] = shown(a)  # what all pages of the host repeat isn't content
+    got = {x["page_id"]: x for x in pages(spark, rows).collect()}
+    assert {i: x["text"] for i, x in got.items()} == want
+    assert all(x["n_chars"] == len(x["text"]) and x["url"] == f"http://host/{i}" for i, x in got.items())
+
+
+def test_copies_of_one_article_keep_it(spark):
+    a = article(1, 5)
+    rows = [(i, "http://copy/x", page(LAYOUTS["semantic"](i, a))) for i in range(12)]
+    assert all(x["text"].startswith(shown(a)) for x in pages(spark, rows).collect())
+
+
+def test_odd_pages(spark):
+    rows = [(1, None, None), (2, "no host", ""), (3, "http://a/", "plain text only"), (3, "http://a/", "plain text only"), (None, "http://b/", "<p>" * 300 + "deep"), (5, "http://c/", page("<article><p>" + "long " * 100_000 + "</p></article>"))]
+    got = sorted((x["page_id"] or 0, x["text"][:15], x["n_chars"]) for x in pages(spark, rows).collect())
+    assert got == [(0, "deep", 4), (1, "", 0), (2, "", 0), (3, "plain text only", 15), (3, "plain text only", 15), (5, "long long long ", 499_999)]
+    assert pages(spark, []).count() == 0
+
+
+def test_templates_too_large_to_broadcast(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}/", page(LAYOUTS["semantic"](i, article(i, 3)))) for i in range(12)]
+    small = sorted(map(tuple, pages(spark, rows).collect()))
+    monkeypatch.setattr(html_extract, "BROADCAST_CHARS", 0)
+    assert sorted(map(tuple, pages(spark, rows).collect())) == small
+
+
+# ---- urls -----------------------------------------------------------------------------------------------------------
+
+
+def parts_by_hand(url):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    return ("".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]), m[2]) if m else ("", "")
+
+
+URLS = ["http://a.net/x", "https://A.NET/EN/", "http://sub.example.net/en/1?q#f", "http://example.net/enx", "http://example.com/de/", "http://EXAMPLE.com/de", "http://x.org/fr/2", "http://x.org/", "http://notnet/", "http://net/", "net/x", "", None, "http://a.net", "http://a.net?x=/en/", "x://y://z/net/", "http://ÄB.org/fr/#://", "//a.net/", "http://fake-example.net/en/", "http://a.org:80/fr/", "http://u@b.org/fr/", "\nhttp://a.net/\n"]
+
+
+def rule_by_hand(host, path, rules):
+    fits = []
+    for rule, verdict in rules:
+        own, _, start = rule.partition("/")
+        if (host == own or host.endswith("." + own)) and path.startswith("/" + start):
+            fits.append((len(rule), rule, verdict))
+    return max(fits)[1:] if fits else (None, None)
+
+
+def rank_by_hand(edges, seeds, damping=0.85, n=200):
+    out = {}
+    for (s, _), k in edges.items():
+        out[s] = out.get(s, 0) + k
+    x = dict(seeds)
+    for _ in range(n):
+        new = dict(seeds)
+        for (s, d), k in edges.items():
+            new[d] = new.get(d, 0) + damping * x.get(s, 0) * k / out[s]
+        x = new
+    return x
+
+
+def test_rules(spark):
+    got = [tuple(r)[:4] + (r["verdict"],) for r in url_filter.judge(spark.createDataFrame([(i, u, None) for i, u in enumerate(URLS)], "page_id long, url string, html string")).orderBy("page_id").collect()]
+    for i, url in enumerate(URLS):
+        host, path = parts_by_hand(url)
+        rule, verdict = rule_by_hand(host, path, url_filter.RULES)
+        assert got[i] == (i, host, path, rule, verdict or "allow"), url
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_propagation(spark, seed):
+    r = random.Random(seed)
+    hosts = [f"h{i}.com" for i in range(30)] + ["bad.net", "worse.net", "good.org"]
+    rows, edges = [], {}
+    for i in range(200):
+        src = r.choice(hosts)
+        to = [r.choice(hosts) for _ in range(r.randrange(4))]
+        rows.append((i, f"http://{src}/fr/{i}", "".join(r.choice([f'<a href="http://{d}/x">', f"<A class=y HREF='//{d}'>", f"<a href=https://{d.upper()}?z>"]) for d in to) + '<a href="/own">'))
+        for d in to:
+            if d != src:
+                edges[(src, d)] = edges.get((src, d), 0) + 1
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("x")).withColumn("score", F.lit(1))
+    got = url_filter.judge(df, iterations=100, tolerance=1e-10).collect()
+    present = {parts_by_hand(u)[0] for _, u, _ in rows}
+    good, bad = ({h: 1.0 for h in present if h.endswith(end)} for end in (".org", ".net"))
+    trust = rank_by_hand(edges, good)
+    distrust = rank_by_hand({(d, s): k for (s, d), k in edges.items()}, bad)
+    assert len(got) == 200
+    for x in got:
+        t, d = trust.get(x["host"], 0) - good.get(x["host"], 0), distrust.get(x["host"], 0) - bad.get(x["host"], 0)
+        assert (x["trust"], x["distrust"]) == (pytest.approx(t, abs=1e-6), pytest.approx(d, abs=1e-6))
+        want = rule_by_hand(x["host"], x["path"], url_filter.RULES)[1] or ("block" if d >= 0.05 and d > t else "allow")
+        assert x["verdict"] == want
+    assert {x["verdict"] for x in got if x["rule"] is None} == {"allow", "block"}
+
+
+def test_urls_of_nothing(spark):
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
