@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from textloom.functions import sq8, tokens, vector
 from textloom.functions import text as T
 from textloom.operators import catalog as C
-from textloom.operators import charsmap, corpus, embed, ranking, unigram, wordpiece
+from textloom.operators import charsmap, corpus, embed, ranking, unigram
+from textloom.operators import wordpiece as sub_words
 from textloom.operators.embed import HashBackend
 from textloom.sources.tables import table
 
@@ -166,14 +167,14 @@ toks AS (
 
 
 @query(_WP + "SELECT word, array_to_string(ids, ' ') AS ids FROM wp")
-def wordpiece_ids(spark, sf_dir):
+def wordpiece(spark, sf_dir):
     words = _word_counts(_documents(spark, sf_dir))
-    tokenizer = wordpiece.BertTokenizer(spark, _vocabulary(spark, sf_dir))
+    tokenizer = sub_words.BertTokenizer(spark, _vocabulary(spark, sf_dir))
     return words.select("word", F.array_join(tokenizer.word_ids(F.array("word")), " ").alias("ids"))
 
 
 def _encoded(spark: SparkSession, sf_dir: str, max_length: int = MAX_LENGTH) -> DataFrame:
-    tokenizer = wordpiece.BertTokenizer(spark, _vocabulary(spark, sf_dir), max_length=max_length)
+    tokenizer = sub_words.BertTokenizer(spark, _vocabulary(spark, sf_dir), max_length=max_length)
     return _documents(spark, sf_dir).select("doc_id", tokenizer.encode(F.col("text")).alias("t"))
 
 
@@ -202,7 +203,7 @@ def token_counts(spark, sf_dir):
 
 @query(_WP + f"SELECT (len(ids) > {MAX_LENGTH - 2}) AS truncated, count(*) AS n_texts, sum(len(ids))::BIGINT AS n_ids, max(len(ids))::BIGINT AS longest FROM content GROUP BY 1")
 def truncation_report(spark, sf_dir):
-    tokenizer = wordpiece.BertTokenizer(spark, _vocabulary(spark, sf_dir), max_length=MAX_LENGTH)
+    tokenizer = sub_words.BertTokenizer(spark, _vocabulary(spark, sf_dir), max_length=MAX_LENGTH)
     rows = _documents(spark, sf_dir).select(tokenizer.content_ids(F.col("text")).alias("ids"))
     return rows.groupBy(tokens.truncated(F.col("ids"), MAX_LENGTH).alias("truncated")).agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.size("ids")).alias("n_ids"), F.max(F.size("ids")).cast("long").alias("longest"))
 
@@ -210,7 +211,7 @@ def truncation_report(spark, sf_dir):
 @query(_WP + f"SELECT doc_id, string_agg(coalesce(tok, '[UNK]'), ' ' ORDER BY pos) AS tokens FROM (SELECT doc_id, unnest({_FRAME}) AS id, generate_subscripts({_FRAME}, 1) AS pos FROM content) LEFT JOIN v USING (id) GROUP BY doc_id")
 def bert_decode(spark, sf_dir):
     vocabulary = derived_vocabulary(_word_counts(_documents(spark, sf_dir)))
-    tokenizer = wordpiece.BertTokenizer(spark, {r[0]: r[1] for r in vocabulary.collect()}, max_length=MAX_LENGTH)
+    tokenizer = sub_words.BertTokenizer(spark, {r[0]: r[1] for r in vocabulary.collect()}, max_length=MAX_LENGTH)
     ids = tokens.framed(tokenizer.content_ids(F.col("text")), tokens.BERT, MAX_LENGTH)
     return _documents(spark, sf_dir).select("doc_id", ids.alias("ids")).select("doc_id", F.array_join(tokenizer.decode(F.col("ids")), " ").alias("tokens"))
 
@@ -253,7 +254,7 @@ pooled AS (
 
 @query(_EMBED + "SELECT doc_id, pos - 1 AS pos, (CASE WHEN n = 0 THEN x ELSE (x::DOUBLE / n)::FLOAT END) AS value FROM (SELECT doc_id, n, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM normed)")
 def embed_documents(spark, sf_dir):
-    tokenizer = wordpiece.BertTokenizer(spark, _vocabulary(spark, sf_dir), max_length=EMBED_LENGTH)
+    tokenizer = sub_words.BertTokenizer(spark, _vocabulary(spark, sf_dir), max_length=EMBED_LENGTH)
     made = embed.Embedder(tokenizer, HashBackend(EMBED_DIMENSIONS), model_id="hash").embed(_documents(spark, sf_dir))
     return made.select("doc_id", F.posexplode("embedding").alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
 
