@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.common import small_batches
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings that may not stand in a text as they are (fixed values: the starts of control strings of common templates).
 CONTROL = ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>")
@@ -115,6 +117,7 @@ FORMATTED = "formatted string, loss_start long, loss_end long, attachments array
 
 def format_messages(messages: DataFrame, *, role_col: str = "role", parts_col: str = "parts") -> DataFrame:
     """Turn rows with FORMATTED added (``parts_col`` of the type PARTS); no rows move. Existing columns of those names give way."""
+    small_batches(messages.sparkSession)
     keep = [c for c in messages.columns if c not in {x.split()[0] for x in FORMATTED.split(", ")}]
     source = messages.select(F.col(role_col).alias("role"), F.col(parts_col).cast(PARTS).alias("parts"), F.struct(*keep).alias("row"))
     row = source.schema["row"].dataType.simpleString()

@@ -15,6 +15,9 @@ BROADCAST_ROWS = 200_000
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: a batch of whole texts should take some MB.
+ARROW_ROWS, _ARROW_KEY = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -22,6 +25,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches, unless they were set: texts vary from bytes to megabytes, and a batch of them is
+    held by both the JVM and the worker."""
+    if spark.conf.get(_ARROW_KEY) == "10000":
+        spark.conf.set(_ARROW_KEY, str(ARROW_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or on a local master, if unset, one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import dart_minhash, exact_dedup
-from textloom.llm.common import small, written
+from textloom.llm.common import small, small_batches, written
 
 THRESHOLD, K, BAND_ROWS = 0.8, 128, 4
 JOIN, LEAVE, ROUNDS = 0.4, 0.75, 2
@@ -241,6 +241,7 @@ def _second_pass(of: DataFrame, labels: DataFrame, sets: DataFrame, threshold: f
 
 def classes(texts: DataFrame, *, threshold: float = THRESHOLD, width: int = dart_minhash.SHINGLE_WORDS, block: int = BLOCK, hubs: int = HUBS, log: Callable[[str], None] | None = None) -> DataFrame:
     """(key, label) of texts(key binary, text) that have a near-duplicate: label is the smallest key of the class."""
+    small_batches(texts.sparkSession)
     sketches = written(signed(texts, width=width), "sketches")
     of, leaders = families(sketches)
     n = of.count()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import text_or_empty, written
+from textloom.llm.common import small_batches, text_or_empty, written
 
 SEQUENCE, END = 2048, 0
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -40,9 +40,13 @@ def encoder(tokenizer: str = TOKENIZER, ranks: str | None = RANKS):
     import public_tokenizers as files
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(files.path(tokenizer))
-    slow.encode_special_tokens = True
-    one = lambda text: slow.encode(text, add_special_tokens=False).ids
+    @cache
+    def slow() -> Tokenizer:
+        made = Tokenizer.from_file(files.path(tokenizer))
+        made.encode_special_tokens = True
+        return made
+
+    one = lambda text: slow().encode(text, add_special_tokens=False).ids
     if not ranks:
         return one
     import tiktoken
@@ -61,6 +65,7 @@ def cut(n: int, capacity: int = SEQUENCE) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = SEQUENCE, end: int = END, tokenizer: str = TOKENIZER, ranks: str | None = RANKS) -> DataFrame:
     """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every document, its end token included."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 

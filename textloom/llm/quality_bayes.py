@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import small, text_or_empty, written
+from textloom.llm.common import small, small_batches, text_or_empty, written
 from textloom.llm.quality_rules import CHUNK_CHARS, base_figures
 
 FIT_ROWS = 20_000
@@ -136,6 +136,7 @@ def _odds(p: Column) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, label_id: str = "doc_id", label_col: str = "quality", fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, host, path, evidence (the classifier's probability), host_quality, path_quality (posterior
     means), quality (the combined posterior) and kept. host and path default to the columns source and lang."""
+    small_batches(docs.sparkSession)
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     rows = written(docs.select(F.col(id_col).alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.pandas_udf(_batches, ", ".join(f"{f} double" for f in FEATURES))(text_or_empty(text_col)).alias("x")), "features")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import small, text_or_empty, written
+from textloom.llm.common import small, small_batches, text_or_empty, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 GAMMA, LEAST = 1.02, 1e-3
@@ -112,6 +112,7 @@ def _base_failed(base: Column) -> Column:
 
 
 def measured(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[Column]) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(*carry, F.col(lang_col).cast("string").alias("__lang"), F.col(source_col).cast("string").alias("__source"), F.pandas_udf(_base_batches, BASE)(text_or_empty(text_col)).alias("__base"))
 
 
