@@ -113,7 +113,9 @@ def _base_failed(base: Column) -> Column:
 
 def measured(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[Column]) -> DataFrame:
     small_batches(docs.sparkSession)
-    return docs.select(*carry, F.col(lang_col).cast("string").alias("__lang"), F.col(source_col).cast("string").alias("__source"), F.pandas_udf(_base_batches, BASE)(text_or_empty(text_col)).alias("__base"))
+    # a function that must not be evaluated twice, for a filter and again for its figures, passes as not deterministic
+    base = F.pandas_udf(_base_batches, BASE).asNondeterministic()
+    return docs.select(*carry, F.col(lang_col).cast("string").alias("__lang"), F.col(source_col).cast("string").alias("__source"), base(text_or_empty(text_col)).alias("__base"))
 
 
 def sketches(rows: DataFrame) -> DataFrame:
