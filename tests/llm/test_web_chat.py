@@ -197,6 +197,7 @@ def shown(parts):
 LAYOUTS = {
     "semantic": lambda i, a: f'<nav><a href="/{i}">menu {i}</a></nav><div class="ad">buy {i}</div><article><h1>{a[0]}</h1>{"".join(f"<p>{p}</p>" for p in a[1:])}<p>Share this story now</p></article><aside>side {i}</aside><div id="comments"><p>reader {i} says a long thing about it</p></div><footer>&copy; host {i}</footer>',
     "classes": lambda i, a: f'<div class="site-header"><div class="menu">m {i}</div></div><div id="cookie-notice">We use cookies {i}</div><div class="page"><div class="entry-content"><h2>{a[0]}</h2>{"".join(f"<p>{p}</p>" for p in a[1:])}<p>Share this story now</p></div><div class="sidebar"><ul><li><a href="/x{i}">related {i}</a></li></ul></div></div><form>mail {i}<input></form><div class="footer">f {i}</div>',
+    "themed": lambda i, a: f'<div id="top-menu">m {i}</div><main class="with-sidebar"><article class="post has-sidebar"><header><h1>{a[0]}</h1></header>{"".join(f"<p>{p}</p>" for p in a[1:])}<div class="share">Share</div><p>Share this story now</p></article><section class="replies"><article class="comment"><p>{"reader says a very long thing " * 40}{i}</p></article><article class="comment"><p>{"and another one " * 60}{i}</p></article></section></main>',
     "plain": lambda i, a: f'<table><tr><td><a href="/{i}">m{i}</a> <a href="/">home</a></td></tr></table><div><div><h1>{a[0]}</h1>{"".join(f"<p>{p}</p>" for p in a[1:])}<p>Share this story now</p></div></div><div><a href="/imprint">imprint</a></div>',
 }
 
