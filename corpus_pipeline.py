@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
-from textloom.llm.common import read, written
+from textloom.llm.common import drop_table, read, scratch, temporary_tables
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -49,7 +49,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = scratch(spark, name)
+        with temporary_tables(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if last:
+            drop_table(spark, last)
+        last = path
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -11,6 +12,7 @@ from tests.llm.test_quality import clean, figures_by_hand
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from textloom.llm import common
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -75,7 +77,10 @@ def test_stages(spark):
 
 def test_run_is_its_stages(spark, tmp_path):
     spark.createDataFrame(documents(2, 40), COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    at = f"{common.shared_dir(spark)}/textloom".removeprefix("file://")
+    before = set(os.listdir(at)) if os.path.exists(at) else set()
     whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert {x.split("-")[0] for x in set(os.listdir(at)) - before} == {"packing"}  # only the last stage's table stays
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))

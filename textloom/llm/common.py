@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +49,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dirs[app]}"
 
 
+#: Paths that `scratch` gave out and that may still be deleted.
+_given: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    _given.append(f"{shared_dir(spark).rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the tables that were written within: for results that have been stored by then."""
+    before = len(_given)
+    try:
+        yield
+    finally:
+        while len(_given) > before:
+            drop_table(spark, _given.pop())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
