@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log
+from math import ceil, log
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,8 @@ from textloom.llm.quality_rules import CHUNK_CHARS, base_figures
 FIT_ROWS = 20_000
 RIDGE, STEPS = 1.0, 25
 THRESHOLD = 0.5
+#: Hash places by which the rows to fit on are chosen.
+PLACES = 1 << 20
 FEATURES = ("log_words", "word_length", "symbols", "duplicate_lines", "repeated", "stuttered", "upper", "exclaiming", "digits", "variety")
 #: Log odds that one document's evidence may have at most, either way.
 LIMIT = 12.0
@@ -142,7 +144,11 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     rows = written(docs.select(F.col(id_col).alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.pandas_udf(_batches, ", ".join(f"{f} double" for f in FEATURES))(text_or_empty(text_col)).alias("x")), "features")
 
     known = labels.where(F.col(label_col).isNotNull() & F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("doc_id")).agg(F.max(label_col).alias("y"))
-    sample = rows.join(known, "doc_id").select("x.*", "y", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(fit_rows).drop("doc_id").collect()  # fit_rows at most
+    labelled = written(rows.join(known, "doc_id").select("x.*", "y", "doc_id"), "labelled")
+    # ordering all labelled rows would send fit_rows of each task to the driver: first only those below a hash bound stay
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))
+    bound = ceil(PLACES * min(1.0, 1.2 * fit_rows / max(1, labelled.count())))
+    sample = labelled.where(place < bound).orderBy(place, "doc_id", *FEATURES).limit(fit_rows).drop("doc_id").collect()
     data = np.array([tuple(r) for r in sample], np.float64).reshape(-1, len(FEATURES) + 1)
     model = fit(data[:, :-1], (data[:, -1] > 0).astype(np.float64))
 
