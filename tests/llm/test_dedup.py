@@ -188,6 +188,13 @@ def test_near_hot_family_of_many_blocks(spark):
     check_near(spark, rows, block=16, hubs=2)
 
 
+def test_near_hot_buckets_meet_their_leaders_in_place(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT_BUCKET", 3)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    check_near(spark, [(i, " ".join(edited(base, r, r.choice([0.0, 0.01, 0.05])))) for i in range(40)] + [(1000 + i, t) for i, t in corpus(5, 30)])
+
+
 def test_near_empty_and_unlike(spark):
     assert near_dedup.near_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     check_near(spark, [(1, "a b c d e f"), (2, "g h i j k l")])

@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import dart_minhash, exact_dedup
-from textloom.llm.common import small, small_batches, written
+from textloom.llm.common import BROADCAST_ROWS, small, small_batches, written
 
 THRESHOLD, K, BAND_ROWS = 0.8, 128, 4
 JOIN, LEAVE, ROUNDS = 0.4, 0.75, 2
 #: Texts of a block, and leaders that each block of a family gets besides.
 BLOCK, HUBS = 256, 8
+#: Members from which a bucket is looked at by itself.
+HOT_BUCKET = 1000
 #: What one pass of the signature arrays handles.
 CHUNK_CHARS, CHUNK_TEXTS = 1_000_000, 400
 _COLUMNS = 4096
@@ -114,20 +116,33 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return labels
 
 
+def _led(pool: DataFrame, lead: DataFrame) -> DataFrame:
+    """pool(key, bucket) with the leaders lead(bucket, leader, n). The buckets of most members, as many as may be broadcast,
+    meet their members where these lie; only the rest is shuffled by bucket."""
+    sizes = [HOT_BUCKET * 10**i for i in range(10)]
+    counts = lead.agg(*[F.count(F.when(F.col("n") > s, 1)) for s in sizes]).first()
+    size, n = next((s, n) for s, n in zip(sizes, counts, strict=True) if n <= BROADCAST_ROWS)
+    if not n:
+        return pool.join(lead.drop("n"), "bucket")
+    large = F.broadcast(lead.where(F.col("n") > size).drop("n"))
+    rest = pool.join(large, "bucket", "left_anti").join(lead.where(F.col("n") <= size).drop("n"), "bucket")
+    return pool.join(large, "bucket").unionByName(rest)
+
+
 def families(sketches: DataFrame, *, join: float = JOIN, leave: float = LEAVE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(key, family) of every text that may have a partner, and (family, key) of its leaders by use."""
     pool = sketches.select("key", F.explode("bands").alias("bucket"))
     edges = []
     for i in range(rounds + 1):
-        lead = pool.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        led = written(pool.join(lead, "bucket").where("key <> leader"), "led")
+        lead = written(pool.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "lead")
+        led = written(_led(pool, lead).where("key <> leader"), "led")
         pairs = led.groupBy("key", "leader").agg(F.count(F.lit(1)).alias("buckets"))
         if i == rounds:
             edges.append(pairs.select("key", "leader"))
             break
         seen = written(_estimated(pairs.select("key", "leader"), sketches), "seen")
         edges.append(seen.where(F.col("similarity") >= join).select("key", "leader"))
-        pool = led.join(seen.where(F.col("similarity") < leave), ["key", "leader"], "left_semi").select("key", "bucket")
+        pool = written(led.join(seen.where(F.col("similarity") < leave), ["key", "leader"], "left_semi").select("key", "bucket"), "pool")
     every = edges[0]
     for e in edges[1:]:
         every = every.unionByName(e)
