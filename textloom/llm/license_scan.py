@@ -99,7 +99,13 @@ def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
     text = F.coalesce(text.cast("string"), F.lit(""))
     joined = F.regexp_replace(text, _WRAP, "$1 $2")
     by_line, by_paragraph = _ids(text, known, longest), _ids(joined, known, longest)
-    return F.when(F.size(by_paragraph) > F.size(by_line), by_paragraph).otherwise(by_line)
+    found = F.when(F.size(by_paragraph) > F.size(by_line), by_paragraph).otherwise(by_line)
+    # a known sentence needs its longest word: most texts have none of these and aren't cut at all
+    lowered = F.lower(text)
+    may = F.lit(False)
+    for word in sorted({max(s.split(), key=len) for s in known_sentences(sentences)}):
+        may = may | lowered.contains(word)
+    return F.when(may, found).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> DataFrame:
