@@ -35,12 +35,12 @@ def test_blocks(one, text, expected):
     ],
 )
 def test_block_after_longest(one, text, expected):
-    assert one(corpus.block_after_longest(F.col("t")), "t string", (text,)) == expected
+    assert one(corpus.block_after_longest(corpus.blocks(F.col("t"))), "t string", (text,)) == expected
 
 
 @pytest.mark.parametrize(("text", "expected"), [(f"Preamble\n{LONG}\nBend 1\nthe passage\nBend 2", "the passage"), (f"One\n{LONG}", None), (f"One\n{LONG}\nTwo", None), ("", None), (None, None)])
 def test_line_after_second_heading(one, text, expected):
-    assert one(corpus.line_after_second_heading(F.col("t")), "t string", (text,)) == expected
+    assert one(corpus.line_after_second_heading(corpus.lines(F.col("t"))), "t string", (text,)) == expected
 
 
 @pytest.mark.parametrize(("n", "flagged"), [(19, True), (20, False), (900, False), (901, True)])
@@ -49,9 +49,9 @@ def test_implausible(one, n, flagged):
 
 
 def test_accumulated(one):
-    got = one(corpus.accumulated(F.col("t"), 4), "t string", ("a b\n\nc d\n\ne f",))
+    got = one(corpus.accumulated(corpus.blocks(F.col("t")), 4), "t string", ("a b\n\nc d\n\ne f",))
     assert (got["text"], got["n"]) == ("a b c d", 4)
-    assert one(corpus.accumulated(F.col("t"), 4), "t string", ("",))["n"] == 0
+    assert one(corpus.accumulated(corpus.blocks(F.col("t")), 4), "t string", ("",))["n"] == 0
 
 
 def test_skipped(spark):

@@ -74,12 +74,24 @@ MAP = charsmap.build({"ệ": "!", "e" + DOT: "ẹ", "e" + DOT + HAT: "ệ", "Ｈ
         ("e" + DOT, "ẹ"),
         ("a\0b", "a\0b"),
         ("①" + ACUTE, "1"),
+        ("a " + ACUTE + "b …", "a " + ACUTE + "b ..."),
+        ("\u0600 Ｈ Ｈ", "\u0600 H H"),  # a character that joins the space behind it
+        ("  Ｈ  ", "  H  "),
     ],
 )
 def test_charsmap(given, expected):
     assert Charsmap(MAP).normalize(given) == expected
 
 
+def test_pieces_and_whole_clusters_agree():
+    import random
+
+    r, charsmap_ = random.Random(1), Charsmap(MAP)
+    for _ in range(500):
+        text = "".join(r.choices(["a", "e", ACUTE, DOT, HAT, " ", "  ", "\r", "\n", "Ｈ", "…", "\u0600", "①", "\u200d", "x"], k=r.randrange(14)))
+        assert charsmap_.normalize(text) == charsmap_._clusters(text), repr(text)
+
+
 def test_long_clusters_go_by_code_point():
     tall = "a" + ACUTE + HAT + HAT  # 7 bytes
     assert Charsmap(MAP).normalize(tall) == tall

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from textloom.functions import text as T
 
 #: Grapheme clusters of so many bytes or more are looked up by code point only.
 CLUSTER_BYTES = 6
+_PIECE = re.compile(r"\A[^ ]+| [^ ]*")
 
 
 class CharsmapError(ValueError):
@@ -38,6 +40,7 @@ class Charsmap:
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist()
         self.table = blob[4 + size :]
         self._memo: dict[str, str | None] = {}
+        self._pieces: dict[str, str] = {}
 
     def leaves(self, key: bytes) -> list[int]:
         """Values of all entries that are prefixes of key, shortest first; a NUL ends the key."""
@@ -67,11 +70,11 @@ class Charsmap:
             self._memo[chunk] = self.table[values[-1] :].split(b"\0", 1)[0].decode("utf-8") if values else None
         return self._memo[chunk]
 
-    def normalize(self, text: str) -> str:
+    def _clusters(self, text: str) -> str:
         import regex
 
         out = []
-        for cluster in regex.findall(r"\X", text):
+        for cluster in text if text.isascii() and "\r" not in text else regex.findall(r"\X", text):
             whole = self.replacement(cluster) if len(cluster.encode("utf-8", "surrogatepass")) < CLUSTER_BYTES else None
             if whole is not None:
                 out.append(whole)
@@ -79,6 +82,23 @@ class Charsmap:
                 out += [c if (r := self.replacement(c)) is None else r for c in cluster]
         return "".join(out)
 
+    def normalize(self, text: str) -> str:
+        """By pieces that start at a space, since clusters do, unless a character that joins what follows stands before it;
+        pieces recur, so each is looked up once."""
+        import regex
+
+        out = []
+        for piece in _PIECE.findall(text):
+            done = self._pieces.get(piece)
+            if done is None:
+                if not piece.isascii() and regex.search(r"\p{GCB=Prepend}$", piece):
+                    return self._clusters(text)
+                if len(self._pieces) > 200_000:
+                    self._pieces.clear()
+                done = self._pieces[piece] = self._clusters(piece)
+            out.append(done)
+        return "".join(out)
+
 
 def from_tokenizer_json(text: str) -> bytes:
     """The blob of a tokenizer file: normalizer.normalizers[type = Precompiled].precompiled_charsmap."""

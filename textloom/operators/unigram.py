@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,8 @@ from textloom.operators import charsmap
 
 #: An unknown character scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
+#: Pieces don't cross the start of a word, so words are solved one by one, and each once.
+_WORD = re.compile(f"[^{T.METASPACE}]+|{T.METASPACE}[^{T.METASPACE}]*")
 
 
 class Unigram:
@@ -22,14 +25,20 @@ class Unigram:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], unknown: int = XLMR.unknown):
         self.pieces, self.unknown = pieces, unknown
-        self.longest = max((len(p) for p in pieces), default=0)
+        by_last: dict[str, set[int]] = {}
+        for p in pieces:
+            by_last.setdefault(p[-1:], set()).add(len(p))
+        self._lengths = {c: sorted(n, reverse=True) for c, n in by_last.items()}  # of pieces that end in a character
         self.unknown_score = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
 
     def ids(self, text: str) -> list[int]:
         best = [0.0] + [float("-inf")] * len(text)
         back: list[tuple[int, int]] = [(0, 0)] * (len(text) + 1)
         for end in range(1, len(text) + 1):
-            for start in range(max(0, end - self.longest), end):
+            for n in self._lengths.get(text[end - 1], ()):
+                start = end - n
+                if start < 0:
+                    continue
                 piece = self.pieces.get(text[start:end])
                 if piece is not None and best[start] + piece[1] > best[end]:
                     best[end], back[end] = best[start] + piece[1], (start, piece[0])
@@ -59,20 +68,21 @@ class XlmrTokenizer:
         shared = spark.sparkContext.broadcast(pieces)
 
         def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = Unigram(shared.value)
-            for texts in batches:
-                # pieces don't cross words here, so words are solved once; texts without the mark are words of their own
-                memo: dict[str, list[int]] = {}
-
-                def ids(text: str, memo: dict = memo) -> list[int]:
-                    out: list[int] = []
-                    for word in _words(text):
-                        if word not in memo:
-                            memo[word] = model.ids(word)
-                        more = memo[word]
-                        out += more[1:] if out and more and out[-1] == more[0] == model.unknown else more
-                    return out
+            model, memo = Unigram(shared.value), {}
+
+            def ids(text: str) -> list[int]:
+                out: list[int] = []
+                for word in _WORD.findall(text):
+                    more = memo.get(word)
+                    if more is None:
+                        if len(memo) > 200_000:
+                            memo.clear()
+                        more = memo[word] = model.ids(word)
+                    # unknown ids that touch over a word's start are one
+                    out += more[1:] if out and more and out[-1] == more[0] == model.unknown else more
+                return out
 
+            for texts in batches:
                 yield texts.map(lambda t: None if t is None else ids(t))
 
         self._split = split
@@ -86,7 +96,3 @@ class XlmrTokenizer:
     def encode(self, text: Column) -> Column:
         return assembled(self.content_ids(text), XLMR, self.max_length)
 
-
-def _words(text: str) -> list[str]:
-    """Cuts before every metaspace that starts a word."""
-    return [w for w in text.replace(T.METASPACE, "\0" + T.METASPACE).split("\0") if w]

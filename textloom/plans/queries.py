@@ -7,6 +7,7 @@ rules that both engines follow. The hash backend stands in for a model.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,20 +126,24 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(T.segment(T.bert_normalize(F.col("text")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def derived_vocabulary(words: DataFrame) -> DataFrame:
-    """(token, id) of words(word, n): the most frequent words, first letters and inner pieces, each up to a fixed number, so
-    that the vocabulary has a bound."""
-    whole = words.orderBy(F.desc("n"), "word").limit(WHOLE_WORDS).select(F.col("word").alias("token"))
-    first = words.where(F.length("word") < 8).groupBy(F.substring("word", 1, 1).alias("token")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(FIRST_CHARS).select("token")
-    spans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k")) for i in range(2, 8) for k in (1, 2, 3)])
-    inner = words.where("n >= 3").withColumn("s", F.explode(spans)).where("s.i + s.k - 1 <= length(word)").select(F.concat(F.lit("##"), F.expr("substring(word, s.i, s.k)")).alias("token"))
-    inner = inner.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(PIECES).select("token")
-    every = whole.union(first).union(inner).distinct().orderBy("token").collect()  # WHOLE_WORDS + FIRST_CHARS + PIECES at most
-    return words.sparkSession.createDataFrame([(r[0], 103 + i) for i, r in enumerate(every)], "token string, id long")
+def derived_vocabulary(docs: DataFrame) -> dict[str, int]:
+    """Token to id: the most frequent words, first letters and inner pieces of docs(text), each up to a fixed number, so that
+    the vocabulary has a bound. Words are counted once; their counts are kept while the three lists are drawn from them."""
+    words = _word_counts(docs).persist()
+    try:
+        whole = words.orderBy(F.desc("n"), "word").limit(WHOLE_WORDS).select(F.col("word").alias("token"))
+        first = words.where(F.length("word") < 8).groupBy(F.substring("word", 1, 1).alias("token")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(FIRST_CHARS).select("token")
+        spans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k")) for i in range(2, 8) for k in (1, 2, 3)])
+        inner = words.where("n >= 3").withColumn("s", F.explode(spans)).where("s.i + s.k - 1 <= length(word)").select(F.concat(F.lit("##"), F.expr("substring(word, s.i, s.k)")).alias("token"))
+        inner = inner.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(PIECES).select("token")
+        every = whole.union(first).union(inner).distinct().orderBy("token").collect()  # WHOLE_WORDS + FIRST_CHARS + PIECES at most
+    finally:
+        words.unpersist()
+    return {r[0]: 103 + i for i, r in enumerate(every)}
 
 
 def _vocabulary(spark: SparkSession, sf_dir: str) -> dict[str, int]:
-    return {r[0]: r[1] for r in derived_vocabulary(_word_counts(_documents(spark, sf_dir))).collect()}
+    return derived_vocabulary(_documents(spark, sf_dir))
 
 
 #: Words w(word, n), vocabulary v(tok, id, cont, body, len), and ids of every word: wp(word, ids).
@@ -210,20 +215,20 @@ def truncation_report(spark, sf_dir):
 
 @query(_WP + f"SELECT doc_id, string_agg(coalesce(tok, '[UNK]'), ' ' ORDER BY pos) AS tokens FROM (SELECT doc_id, unnest({_FRAME}) AS id, generate_subscripts({_FRAME}, 1) AS pos FROM content) LEFT JOIN v USING (id) GROUP BY doc_id")
 def bert_decode(spark, sf_dir):
-    vocabulary = derived_vocabulary(_word_counts(_documents(spark, sf_dir)))
-    tokenizer = sub_words.BertTokenizer(spark, {r[0]: r[1] for r in vocabulary.collect()}, max_length=MAX_LENGTH)
+    tokenizer = sub_words.BertTokenizer(spark, _vocabulary(spark, sf_dir), max_length=MAX_LENGTH)
     ids = tokens.framed(tokenizer.content_ids(F.col("text")), tokens.BERT, MAX_LENGTH)
     return _documents(spark, sf_dir).select("doc_id", ids.alias("ids")).select("doc_id", F.array_join(tokenizer.decode(F.col("ids")), " ").alias("tokens"))
 
 
 def derived_pieces(docs: DataFrame) -> dict[str, tuple[int, float]]:
     """Metaspace words and single characters, the most frequent of each, scored by the logarithm of their share."""
-    words = docs.select(F.explode(F.regexp_extract_all(T.metaspace(T.collapse_spaces(F.col("text"))), F.lit("▁[^▁]*"), 0)).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    chars = words.select(F.explode(F.split("piece", "")).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n")).where("piece <> ''")
-    top = words.where("length(piece) > 1").orderBy(F.desc("n"), "piece").limit(WHOLE_WORDS).collect() + chars.orderBy(F.desc("n"), "piece").limit(FIRST_CHARS).collect()
+    words = docs.select(F.explode(F.regexp_extract_all(T.metaspace(T.collapse_spaces(F.col("text"))), F.lit("▁[^▁]*"), 0)).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        chars = words.select(F.explode(F.split("piece", "")).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n")).where("piece <> ''")
+        top = words.where("length(piece) > 1").orderBy(F.desc("n"), "piece").limit(WHOLE_WORDS).collect() + chars.orderBy(F.desc("n"), "piece").limit(FIRST_CHARS).collect()
+    finally:
+        words.unpersist()
     total = sum(r["n"] for r in top)
-    from math import log
-
     return {r["piece"]: (4 + i, log(r["n"] / total)) for i, r in enumerate(sorted(top, key=lambda r: r["piece"]))}
 
 
@@ -471,12 +476,14 @@ def block_split(spark, sf_dir):
 
 @query(_BLOCKS + ", anchor AS (SELECT doc_id, arg_max(block, length(body) * 10 - block) AS at FROM block WHERE block <= 4 GROUP BY doc_id) SELECT d.doc_id, coalesce(b.rest, b.body) AS passage FROM documents d LEFT JOIN anchor a ON a.doc_id = d.doc_id LEFT JOIN block b ON b.doc_id = d.doc_id AND b.block = a.at + 1")
 def block_after_longest(spark, sf_dir):
-    return _blocky(spark, sf_dir).select("doc_id", corpus.block_after_longest(F.col("text")).alias("passage"))
+    rows = _blocky(spark, sf_dir).select("doc_id", corpus.blocks(F.col("text")).alias("blocks"))
+    return rows.select("doc_id", corpus.block_after_longest(F.col("blocks")).alias("passage"))
 
 
 @query(_BLOCKS + ", full_lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM marked WHERE line <> ''), heads AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM full_lines WHERE length(line) <= 20) SELECT d.doc_id, f.line FROM documents d LEFT JOIN heads h ON h.doc_id = d.doc_id AND h.k = 2 LEFT JOIN full_lines f ON f.doc_id = d.doc_id AND f.i = h.i + 1")
 def line_after_second_heading(spark, sf_dir):
-    return _blocky(spark, sf_dir).select("doc_id", corpus.line_after_second_heading(F.col("text")).alias("line"))
+    rows = _blocky(spark, sf_dir).select("doc_id", corpus.lines(F.col("text")).alias("lines"))
+    return rows.select("doc_id", corpus.line_after_second_heading(F.col("lines")).alias("line"))
 
 
 @query("SELECT doc_id, NOT length(text) BETWEEN 20 AND 900 AS flagged FROM documents")
@@ -486,8 +493,8 @@ def length_plausibility(spark, sf_dir):
 
 @query(_BLOCKS + r", counted AS (SELECT doc_id, block, body, len(regexp_split_to_array(body, '\s+')) AS n FROM block), run AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY block) - n AS before FROM counted) SELECT d.doc_id, coalesce(string_agg(body, ' ' ORDER BY block), '') AS passage, coalesce(sum(n), 0)::INT AS n_words FROM documents d LEFT JOIN run r ON r.doc_id = d.doc_id AND before < 380 GROUP BY d.doc_id")
 def accumulate_until_words(spark, sf_dir):
-    made = corpus.accumulated(F.col("text"))
-    return _blocky(spark, sf_dir).select("doc_id", made.alias("m")).select("doc_id", F.col("m.text").alias("passage"), F.col("m.n").alias("n_words"))
+    made = corpus.accumulated(F.col("blocks"))
+    return _blocky(spark, sf_dir).select("doc_id", corpus.blocks(F.col("text")).alias("blocks")).select("doc_id", made.alias("m")).select("doc_id", F.col("m.text").alias("passage"), F.col("m.n").alias("n_words"))
 
 
 def queries() -> dict[str, Query]:
