@@ -44,6 +44,22 @@ def test_exact(spark):
     check_exact(spark, ROWS)
 
 
+@pytest.mark.parametrize("bounds", [{"broadcast_rows": 0}, {"broadcast_rows": 0, "filter_bytes": 0}])
+def test_exact_with_more_hits_than_may_be_broadcast(spark, bounds):
+    r = random.Random(2)
+    rows = [(i, f"text {r.randrange(700)}") for i in range(1000)] + [(5000 + i, f"own {i}") for i in range(200)]
+    got = sorted(map(tuple, exact_dedup.exact_dedup(spark.createDataFrame(rows, SCHEMA), **bounds).collect()))
+    assert got == sorted(map(tuple, exact_dedup.exact_dedup(spark.createDataFrame(rows, SCHEMA)).collect()))
+    check_exact(spark, rows)
+
+
+def test_filter_has_no_false_negatives_and_few_positives(spark):
+    keyed = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("__digest"), "id")
+    seen = exact_dedup._filtered(keyed, keyed.where("id < 5000"), 5000).collect()
+    assert len(seen) == 20_000 and all(r["__may"] for r in seen if r["id"] < 5000)
+    assert sum(r["__may"] for r in seen if r["id"] >= 5000) < 0.1 * 15_000
+
+
 def test_exact_hot_group(spark):
     check_exact(spark, [(i, "copy") for i in range(1500)] + [(2000 + i, f"own {i}") for i in range(20)])
 

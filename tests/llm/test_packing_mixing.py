@@ -188,3 +188,9 @@ def test_mixed_documents_repeat_as_taken(spark):
     assert {r["doc_id"]: r["count"] for r in made.groupBy("doc_id").count().collect()} == want
     stream = [r["finish"] for r in mixing.mixed_stream(df).collect()]
     assert stream == sorted(stream) and len(stream) == sum(want.values())
+
+
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a b", "s", 9, 9, 9)], SCHEMA + ", piece int, length int, target int")
+    assert [(r["doc_id"], r["piece"]) for r in packing.packed(rows).collect()] == [(1, 0)]
+    assert [(r["id"], r["size"]) for r in mixing.mix(rows).collect()] == [(1, 2)]

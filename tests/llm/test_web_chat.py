@@ -305,3 +305,15 @@ def test_propagation(spark, seed):
 
 def test_urls_of_nothing(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_scan_of_long_and_repeated_texts(spark):
+    long = "words go on. " * 100_000 + "\nReleased under the MIT License."
+    rows = spark.createDataFrame([(1, long), (2, "x"), (2, "x"), (None, "MIT License")], "doc_id long, text string").withColumn("sentence_ids", F.lit(1)).withColumn("rules", F.lit("r"))
+    got = sorted((r["doc_id"] or 0, r["licenses"]) for r in license_scan.scan(rows).collect())
+    assert got == [(0, ""), (1, "MIT"), (2, ""), (2, "")]
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "http://a/", "<p>one</p>", "h", "l", "r", "t")], "page_id long, url string, html string, host string, layout string, row string, text string")
+    assert [tuple(r) for r in html_extract.main_text(rows).collect()] == [(1, "http://a/", "one", 3)]

@@ -17,12 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import scratch, small, text_or_empty, written
+from textloom.llm.common import BROADCAST_ROWS, scratch, text_or_empty, written
 
 #: Runs that a bulk load flushes, and that one compaction merges.
 FAN_IN = 4
 #: Entries that a file's Bloom filter is sized for.
 FILTER_ENTRIES = 50_000
+#: Bits that the filter over all hits has for each, and bytes up to which it is broadcast.
+HIT_BITS, HIT_FILTER_BYTES = 16, 64_000_000
+_BITMAP = 32_768  # bits of one bitmap of Spark's bitmap functions
 
 
 class DigestIndex:
@@ -82,6 +85,31 @@ class DigestIndex:
         return self._entries().where(F.col("digest").isin(digests))
 
 
+def _filtered(keyed: DataFrame, hits: DataFrame, n: int) -> DataFrame:
+    """keyed with __may: false for rows that are surely no hits, by a bitmap of the hits' hashes. Bitmaps are broadcast."""
+    bits = max(1, -(-HIT_BITS * n // _BITMAP)) * _BITMAP
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    maps = hits.select(place("__digest").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__map"))
+    rows = keyed.withColumn("__place", place("__digest")).withColumn("__bucket", F.bitmap_bucket_number("__place"))
+    at = F.bitmap_bit_position("__place").cast("int")
+    byte = F.conv(F.hex(F.expr("substring(__map, cast(bitmap_bit_position(__place) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    may = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))
+    return rows.join(F.broadcast(maps), "__bucket", "left").withColumn("__may", may).drop("__bucket", "__place", "__map")
+
+
+def _marked(keyed: DataFrame, hits: DataFrame, n: int, broadcast_rows: int, filter_bytes: int) -> DataFrame:
+    """keyed with the hits' __keep_id and __n, null for single rows. Few hits are broadcast; of many, a filter is, so that the texts
+    that move are those of hits and a few more; beyond the filter's bound all rows meet the hits by digest."""
+    if n <= broadcast_rows:
+        return keyed.join(F.broadcast(hits), "__digest", "left")
+    if HIT_BITS * n > 8 * filter_bytes:
+        return keyed.join(hits, "__digest", "left")
+    rows = _filtered(keyed, hits, n)
+    kinds = {f.name: f.dataType for f in hits.schema}
+    sure = rows.where(~F.col("__may")).select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("__keep_id", "__n")])
+    return rows.where("__may").join(hits, "__digest", "left").unionByName(sure).drop("__may")
+
+
 def _regrouped(copies: DataFrame, bad: DataFrame, keep: str) -> DataFrame:
     """Groups of the digests where bytes differ, by the text itself."""
     rows = copies.drop("__keep_id", "__n").join(bad, "__digest", "left_semi")
@@ -90,7 +118,7 @@ def _regrouped(copies: DataFrame, bad: DataFrame, keep: str) -> DataFrame:
     return rows.join(groups, ["__digest", "__text"])
 
 
-def annotate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = FAN_IN, digest=None) -> DataFrame:
+def annotate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = FAN_IN, digest=None, broadcast_rows: int = BROADCAST_ROWS, filter_bytes: int = HIT_FILTER_BYTES) -> DataFrame:
     """The rows of docs as a struct ``__doc`` with __id, __digest, __keep_id, __n (rows of the group) and __kept.
 
     digest: Column -> Column, SHA-256 by default; a parameter so that tests can force collisions.
@@ -101,7 +129,7 @@ def annotate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     keyed = keyed.withColumn("__digest", digest(F.col("__text")))
     index = DigestIndex(spark, keep=keep, fan_in=fan_in).flush(keyed.select(F.col("__digest").alias("digest"), F.col("__id").alias("id"))).compact()
     hits = index.table().where("n > 1").select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep_id"), F.col("n").alias("__n"))
-    marked = keyed.join(small(hits, hits.count()), "__digest", "left")
+    marked = _marked(keyed, hits, hits.count(), broadcast_rows, filter_bytes)
     singles = marked.where("__n is null").withColumn("__keep_id", F.col("__id")).withColumn("__n", F.lit(1).cast("long")).withColumn("__kept", F.lit(True))
 
     copies = marked.where("__n is not null")
