@@ -196,6 +196,23 @@ def test_near(spark, seed):
     check_near(spark, [*corpus(seed), (9001, None), (9002, ""), (9003, " \n"), (9004, "one two"), (9005, "one  two"), (9006, "one three")])
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_near_texts_that_repeat_a_passage(spark, seed):
+    """How often a shingle occurs doesn't count: 1, 3 and 20 times the same passage are one class, as are texts in which one
+    line recurs more or less often."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(40):
+        words = [f"w{r.randrange(100_000)}" for _ in range(r.choice([40, 80, 200]))]
+        if i % 2:
+            rows += [(10 * i + j, " ".join(words * n)) for j, n in enumerate([1, 3, 20])]
+        else:
+            line = words[: len(words) * 3 // 4]
+            rows += [(10 * i + j, " ".join(words + line * n)) for j, n in enumerate([1, 3, 20])]
+        rows.append((10 * i + 3, " ".join(edited(words, r, 0.01) * 5)))
+    check_near(spark, rows)
+
+
 def test_near_hot_family_of_many_blocks(spark):
     """Copies of one text, edited more and less, in blocks far smaller than the family."""
     r = random.Random(3)

@@ -1,8 +1,9 @@
 """Near-duplicate classes by DartMinHash signatures, banding and an exact check.
 
 1. Exact copies are folded by the digest index; what follows sees every text once.
-2. A text is the set of its five-word shingles, weighted 1 + ln(times). Its DartMinHash signature of 128 coordinates is
-   cut into 32 bands of 4: texts of similarity 0.8 miss each other in all bands with probability 5e-8.
+2. A text is the set of its five-word shingles, each of weight 1 however often it occurs, as in the exact check. Its
+   DartMinHash signature of 128 coordinates is cut into 32 bands of 4: texts of similarity 0.8 miss each other in all
+   bands with probability 5e-8.
 3. Families: in every bucket (texts that agree in a band) all members are compared, by signature, with one leader. An
    estimate of ``JOIN`` or more puts both in a family; one of ``LEAVE`` or more takes the member out of the bucket, else it
    stays for the next leader. By the triangle inequality of Jaccard distance a partner (0.8 or more) of a member that left
@@ -62,8 +63,8 @@ def signed(texts: DataFrame, *, width: int = dart_minhash.SHINGLE_WORDS, k: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, chunk in _chunks(batches):
-            sets, element, times = dart_minhash.shingles(chunk, width)
-            signature = dart_minhash.signatures(sets, element, 1 + np.log(times), len(chunk), k)
+            sets, element, _ = dart_minhash.shingles(chunk, width)
+            signature = dart_minhash.signatures(sets, element, np.ones(len(sets)), len(chunk), k)
             bands = dart_minhash.bands(signature, rows)
             has = np.nonzero(np.bincount(sets, minlength=len(chunk)))[0]
             sketch = (signature >> np.uint64(17)).astype(np.uint8)
