@@ -303,6 +303,25 @@ def test_propagation(spark, seed):
     assert {x["verdict"] for x in got if x["rule"] is None} == {"allow", "block"}
 
 
+def verdicts(spark, links):
+    rows = [(i, f"http://{src}/{i}", "".join(f'<a href="http://{d}/">' for d in to)) for i, (src, to) in enumerate(links)]
+    return {x["host"]: x["verdict"] for x in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+@pytest.mark.parametrize("others", [0, 5000])
+def test_unrelated_hosts_do_not_stop_propagation(spark, others):
+    chain = [("bad.net", []), ("one.com", ["bad.net"]), ("two.com", ["one.com"]), ("three.com", ["two.com"])]
+    got = verdicts(spark, chain + [(f"x{i}.net", []) for i in range(others)])
+    assert [got[h] for h, _ in chain] == ["block"] * 4
+
+
+@pytest.mark.parametrize("n", [16, 60])
+def test_linkers_of_a_blocked_host_are_blocked_however_many(spark, n):
+    linkers = [(f"h{i}.com", ["bad.net"]) for i in range(n)]
+    got = verdicts(spark, [("bad.net", []), *linkers, ("directory.com", ["bad.net", *[f"c{i}.com" for i in range(99)]])])
+    assert {got[h] for h, _ in linkers} == {"block"} and got["directory.com"] == "allow"
+
+
 def test_urls_of_nothing(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 

@@ -5,8 +5,10 @@ rule decides. Hosts without a fitting rule are judged by two personalised PageRa
 links of pages to other hosts, added up before they are shuffled): trust starts at hosts with allowed pages and follows links;
 distrust starts at hosts with blocked pages and follows them backwards. A seed's mass is the share of its pages that the
 rules allow or block, so the scores do not depend on the number of hosts. A host is judged by what it receives over links: its
-own seed speaks for the pages that a rule fits, and these have their verdict. It is blocked if the distrust that it
-receives reaches the threshold and exceeds the trust.
+own seed speaks for the pages that a rule fits, and these have their verdict. Distrust is divided among all who link to a host,
+so whether there is enough of it is asked of another score, exposure: the damped share of the host's own links that
+lead to blocked pages, at once or over other hosts. A host is blocked if its exposure reaches the threshold and the distrust that
+it receives exceeds the trust.
 
 Defined results: a null url or one without ``://`` has an empty host and path and is allowed; null html has no links;
 repeated rows are judged alike; an empty table gives an empty result; other columns never matter.
@@ -23,7 +25,7 @@ from textloom.llm.common import small, written
 
 #: (rule, verdict); production rules of op8
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-DAMPING, ITERATIONS, TOLERANCE, THRESHOLD = 0.85, 30, 1e-3, 0.05
+DAMPING, ITERATIONS, TOLERANCE, THRESHOLD = 0.85, 60, 1e-3, 0.05
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: href and src of links; one group for each way of quoting
 _HREF = r"""(?i)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
@@ -58,24 +60,27 @@ def host_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
     return rows.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, score) with score = seed + damping * sum over links of the linking host's score in proportion to its links.
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, per: str = "src") -> DataFrame:
+    """(host, score) with score = seed + damping * sum over links of the linking host's score, in proportion to its links
+    (``per`` src: a host divides what it has) or to those of the host that they lead to (dst: a host takes the mean).
 
     edges(src, dst, n) and seeds(host, seed). Each round joins scores with edges and adds up per host; its table is
-    written to the shared folder. Ends when the scores change by less than ``tolerance`` of the seeds' mass in all."""
-    out_n = edges.groupBy("src").agg(F.sum("n").alias("all"))
-    share = written(edges.join(out_n, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "edges")
-    scores, mass = seeds.select("host", F.col("seed").alias("score")), seeds.agg(F.sum("seed")).first()[0] or 0.0
-    if not mass or share.isEmpty():
+    written to the shared folder. Ends when what changes is less than ``tolerance``: in all hosts together if they divide,
+    in any of them if they take means. Either shrinks by ``damping`` a round at least, so no host is further than
+    tolerance * damping / (1 - damping) from its score, whatever else the tables hold."""
+    all_n = edges.groupBy(per).agg(F.sum("n").alias("all"))
+    share = written(edges.join(all_n, per).select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "edges")
+    scores, most = seeds.select("host", F.col("seed").alias("score")), F.sum if per == "src" else F.max
+    if seeds.isEmpty() or share.isEmpty():
         return scores
     for _ in range(iterations):
         sent = scores.join(share, scores["host"] == share["src"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share") * damping).alias("got"))
         new = seeds.join(sent, seeds["host"] == sent["dst"], "full_outer").select(F.coalesce("host", "dst").alias("host"), (F.coalesce("seed", F.lit(0.0)) + F.coalesce("got", F.lit(0.0))).alias("score"))
         new = written(new, "scores")
         old = scores.select("host", F.col("score").alias("old"))
-        change = new.join(old, "host", "full_outer").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
+        change = new.join(old, "host", "full_outer").agg(most(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
         scores = new
-        if change < tolerance * mass:
+        if change < tolerance:
             break
     return scores
 
@@ -89,10 +94,12 @@ def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, id_col:
     edges = written(host_edges(pages, url_col=url_col, html_col=html_col), "links")
     trust = propagate(edges, by_host.where("good > 0").select("host", F.col("good").alias("seed")), **options)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagate(back, by_host.where("bad > 0").select("host", F.col("bad").alias("seed")), **options)
+    blocked = by_host.where("bad > 0").select("host", F.col("bad").alias("seed"))
+    distrust, exposure = propagate(back, blocked, **options), propagate(back, blocked, per="dst", **options)
     scores = trust.select("host", F.col("score").alias("trust")).join(distrust.select("host", F.col("score").alias("distrust")), "host", "full_outer")
-    scores = scores.join(by_host, "host", "left").na.fill(0.0)
-    scores = written(scores.select("host", (F.col("trust") - F.col("good")).alias("trust"), (F.col("distrust") - F.col("bad")).alias("distrust")), "verdicts")
-    out = rows.join(small(scores, scores.count()), "host", "left").na.fill(0.0, ["trust", "distrust"])
-    by_method = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
+    scores = scores.join(exposure.select("host", F.col("score").alias("exposure")), "host", "full_outer").join(by_host, "host", "left").na.fill(0.0)
+    received = [(F.col(score) - F.col(seed)).alias(score) for score, seed in (("trust", "good"), ("distrust", "bad"), ("exposure", "bad"))]
+    scores = written(scores.select("host", *received), "verdicts")
+    out = rows.join(small(scores, scores.count()), "host", "left").na.fill(0.0, ["trust", "distrust", "exposure"])
+    by_method = F.when((F.col("exposure") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("fits.rule").alias("rule"), F.coalesce("fits.verdict", by_method).alias("verdict"), "trust", "distrust")
