@@ -215,6 +215,31 @@ def test_main_text(spark, layout):
     assert all(x["n_chars"] == len(x["text"]) and x["url"] == f"http://host/{i}" for i, x in got.items())
 
 
+LAYOUT_PAIRS = [("semantic", "classes"), ("themed", "classes"), ("semantic", "themed")]
+
+
+@pytest.mark.parametrize("layouts", LAYOUT_PAIRS)
+def test_host_of_two_layouts(spark, layouts):
+    r = random.Random(4)
+    rows, want = [], {}
+    for i in range(60):
+        a = article(i, r.randrange(2, 9))
+        rows.append((i, f"http://host/{i}", page(LAYOUTS[layouts[i % 3 == 0]](i, a))))
+        want[i] = shown(a)
+    assert {x["page_id"]: x["text"] for x in pages(spark, rows).collect()} == want
+
+
+def test_mixed_pages_without_url(spark):
+    r = random.Random(5)
+    rows, want = [], {}
+    for i in range(80):
+        a = article(i, r.randrange(3, 9))
+        rows.append((i, [None, "no host"][i % 2], page(LAYOUTS[list(LAYOUTS)[i // 2 % 4]](i, a))))
+        want[i] = shown(a)
+    got = {x["page_id"]: x["text"] for x in pages(spark, rows).collect()}
+    assert [i for i in want if want[i] not in got[i]] == []
+
+
 def test_copies_of_one_article_keep_it(spark):
     a = article(1, 5)
     rows = [(i, "http://copy/x", page(LAYOUTS["semantic"](i, a))) for i in range(12)]

@@ -4,9 +4,10 @@ Pages become trees of block elements; runs of like siblings (paragraphs, list it
 node, so that the tree shows the page's layout and not the length of its article. The trees of a host are aligned by
 simple tree matching into one template, whose nodes gather how much text and link text they hold and, in mergeable
 frequent-item counters, which texts recur. Texts that half of the pages or more have at one node are the template's own;
-the other nodes are slots. The slots that lie in the template's content region, and not in one of its menus, footers,
-adverts, forms, comments and so on, are content. Pages are then aligned with their host's template and give the
-texts of its content slots in page order.
+the other nodes are slots. The slots that lie in one of the template's content regions, and not in one of its menus, footers,
+adverts, forms, comments and so on, are content; a host of several layouts has a region for each. Pages are then aligned with
+their host's template and give the texts of its content slots in page order. A page that has none of the
+regions, as may be where hosts are unknown, is decided by its own tree.
 
 Layouts are counted for each task before anything is shuffled, so a host with a third of all pages costs a few rows a
 task; the pages themselves never move while the templates are small enough to broadcast (checked), else they meet
@@ -70,11 +71,12 @@ def label_of(tag: str, attributes: str) -> str:
 class Node:
     """A node of a folded tree or template."""
 
-    __slots__ = ("label", "children", "pages", "chars", "link_chars", "common", "content", "constants")
+    __slots__ = ("label", "children", "pages", "chars", "link_chars", "whole", "common", "content", "constants")
 
     def __init__(self, label: str):
         self.label, self.children = label, []
-        self.pages = self.chars = self.link_chars = 0
+        #: whole: characters that may be content, of all pages that have the node
+        self.pages = self.chars = self.link_chars = self.whole = 0
         self.common: dict[int, int] = {}
         self.content, self.constants = False, frozenset()
 
@@ -225,6 +227,7 @@ def absorb(template: Node, tree: Node) -> None:
         to.pages += node.pages
         to.chars += node.chars
         to.link_chars += node.link_chars
+        to.whole += node.whole
         add_counts(to.common, node.common)
         place = 0
         for c in node.children:
@@ -255,7 +258,9 @@ def measure(tree: Node, blocks: list[tuple[int, str, int]]) -> None:
         x.chars += len(text)
         x.link_chars += links
         x.common[_hash(text)] = 1
+    whole = masses(tree)[id(tree)]
     for x in nodes:
+        x.whole = whole
         if len(x.common) > COUNTERS:
             mine, x.common = x.common, {}
             add_counts(x.common, mine)
@@ -264,7 +269,7 @@ def measure(tree: Node, blocks: list[tuple[int, str, int]]) -> None:
 def to_json(node: Node, decided: bool = False) -> list:
     if decided:
         return [node.label, int(node.content), sorted(node.constants), [to_json(c, True) for c in node.children]]
-    return [node.label, node.pages, node.chars, node.link_chars, [[k, v] for k, v in node.common.items()], [to_json(c) for c in node.children]]
+    return [node.label, node.pages, node.chars, node.link_chars, node.whole, [[k, v] for k, v in node.common.items()], [to_json(c) for c in node.children]]
 
 
 def from_json(data: list, decided: bool = False) -> Node:
@@ -272,8 +277,8 @@ def from_json(data: list, decided: bool = False) -> Node:
     if decided:
         node.content, node.constants = bool(data[1]), frozenset(data[2])
     else:
-        node.pages, node.chars, node.link_chars = data[1:4]
-        node.common = dict(map(tuple, data[4]))
+        node.pages, node.chars, node.link_chars, node.whole = data[1:5]
+        node.common = dict(map(tuple, data[5]))
     node.children = [from_json(c, decided) for c in data[-1]]
     return node
 
@@ -287,8 +292,8 @@ def _bad(label: str, inside: bool) -> bool:
     return tag in BAD_TAGS or not inside and (tag == "header" or "header" in words)
 
 
-def decide(template: Node) -> None:
-    """Marks the content slots of a template and the texts that recur in them."""
+def masses(tree: Node) -> dict[int, int]:
+    """id(node) to the characters below it that may be content: not in menus and the like, and not mostly links."""
     mass: dict[int, int] = {}
 
     def weigh(node: Node) -> int:
@@ -296,38 +301,58 @@ def decide(template: Node) -> None:
         mass[id(node)] = 0 if _bad(node.label, True) else own + sum(map(weigh, node.children))
         return mass[id(node)]
 
-    weigh(template)
-    total = mass[id(template)]
-    good, region = [], template
+    weigh(tree)
+    return mass
+
 
-    def look(node: Node, depth: int) -> None:
+def regions(template: Node) -> tuple[list[Node], bool]:
+    """The content regions, and whether their labels say so. Of nodes that say so and hold a quarter of the text of the pages
+    that have them, the best one, and others beside it that hold half of it, which are other layouts' regions."""
+    mass = masses(template)
+    good: list[tuple] = []
+
+    def look(node: Node, depth: int, above: tuple[int, ...]) -> None:
         tag, *words = node.label.split(".")
         if _bad(node.label, True):
             return
-        if (tag in ("article", "main") or not GOOD_WORDS.isdisjoint(words)) and mass[id(node)] * 4 >= total:
-            good.append((tag == "article" or "articlebody" in words, mass[id(node)], depth, len(good), node))
+        here = (*above, id(node))
+        if (tag in ("article", "main") or not GOOD_WORDS.isdisjoint(words)) and mass[id(node)] and mass[id(node)] * 4 >= node.whole:
+            good.append((tag == "article" or "articlebody" in words, mass[id(node)], depth, len(good), node, here))
         for c in node.children:
-            look(c, depth + 1)
+            look(c, depth + 1, here)
+
+    look(template, 0, ())
+    taken: list[tuple] = []
+    for g in sorted(good, key=lambda g: g[:4], reverse=True):
+        apart = all(id(g[4]) not in t[5] and id(t[4]) not in g[5] for t in taken)
+        if not taken or apart and mass[id(g[4])] * 2 >= g[4].whole:
+            taken.append(g)
+    if taken:
+        return [g[4] for g in taken], True
+    # down to where the text spreads over several children
+    region = template
+    while region.children and (best := max(region.children, key=lambda c: mass[id(c)])) and mass[id(best)] * 10 >= 8 * mass[id(region)] and best.children:
+        region = best
+    return [region], False
 
-    look(template, 0)
-    if good:
-        region = max(good)[-1]
-    else:
-        # down to where the text spreads over several children
-        while region.children and (best := max(region.children, key=lambda c: mass[id(c)])) and mass[id(best)] * 10 >= 8 * mass[id(region)] and best.children:
-            region = best
+
+def decide(template: Node) -> None:
+    """Marks the content slots of a template and the texts that recur in it."""
+    found, good = regions(template)
 
     def mark(node: Node, inside: bool) -> None:
         if _bad(node.label, inside):
             return
         tag = node.label.split(".")[0]
         node.content = not (tag in ("li", "ul", "ol", "td", "div") and node.link_chars * 10 > node.chars * 7)
-        if node.pages >= MIN_PAGES:
-            node.constants = frozenset(k for k, v in node.common.items() if v >= SHARE * node.pages)
         for c in node.children:
             mark(c, inside)
 
-    mark(region, bool(good))
+    for region in found:
+        mark(region, good)
+    for node in template.walk():
+        if node.pages >= MIN_PAGES and not _bad(node.label, True):
+            node.constants = frozenset(k for k, v in node.common.items() if v >= SHARE * node.pages)
 
 
 def extract(template: Node, html: str | None, cache: dict[str, list] | None = None) -> list[str]:
@@ -340,6 +365,10 @@ def extract(template: Node, html: str | None, cache: dict[str, list] | None = No
         found = [(at[id(x)].content, at[id(x)].constants) if id(x) in at else (False, frozenset()) for x in tree.walk()]
         if cache is not None:
             cache[shape] = found
+    if not any(content for content, _ in found):  # a layout without any of the regions
+        measure(tree, blocks)
+        decide(tree)
+        found = [(x.content, c) for x, (_, c) in zip(tree.walk(), found, strict=True)]
     texts = [(text, _hash(text) in found[i][1] if found[i][1] else False) for i, text, _ in blocks if found[i][0]]
     kept = [t for t, recurs in texts if not recurs]
     if sum(map(len, kept)) * 2 < sum(len(t) for t, _ in texts):  # copies of one article, not a template
