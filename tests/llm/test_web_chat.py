@@ -240,6 +240,18 @@ def test_mixed_pages_without_url(spark):
     assert [i for i in want if want[i] not in got[i]] == []
 
 
+@pytest.mark.parametrize("n", [4, 16, 30])
+def test_texts_that_recur_among_many(spark, n):
+    """An unlabelled notice on 60 % of the pages, among n other paragraphs of each, isn't content; one on 40 % is."""
+    rows, want = [], {}
+    for i in range(50):
+        parts = [f"Paragraph {j} of page {i}." for j in range(n)]
+        often, seldom = ["A notice in the article."] * (i % 5 < 3), ["A line of some pages."] * (i % 5 >= 3)
+        rows.append((i, "http://host/", page(f"<article>{''.join(f'<p>{p}</p>' for p in parts + often + seldom)}</article>")))
+        want[i] = " ".join(parts + seldom)
+    assert {x["page_id"]: x["text"] for x in pages(spark, rows).collect()} == want
+
+
 def test_copies_of_one_article_keep_it(spark):
     a = article(1, 5)
     rows = [(i, "http://copy/x", page(LAYOUTS["semantic"](i, a))) for i in range(12)]

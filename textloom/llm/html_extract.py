@@ -2,8 +2,8 @@
 
 Pages become trees of block elements; runs of like siblings (paragraphs, list items, elements of one class) fold into one
 node, so that the tree shows the page's layout and not the length of its article. The trees of a host are aligned by
-simple tree matching into one template, whose nodes gather how much text and link text they hold and, in mergeable
-frequent-item counters, which texts recur. Texts that half of the pages or more have at one node are the template's own;
+simple tree matching into one template, whose nodes gather how much text and link text they hold. Which texts recur at a
+node is then counted exactly. Texts that half of the pages or more have at one node are the template's own;
 the other nodes are slots. The slots that lie in one of the template's content regions, and not in one of its menus, footers,
 adverts, forms, comments and so on, are content; a host of several layouts has a region for each. Pages are then aligned with
 their host's template and give the texts of its content slots in page order. A page that has none of the
@@ -46,8 +46,10 @@ COMMENT_WORDS = frozenset("comment comments reply replies respond hidden".split(
 GOOD_WORDS = frozenset("article articlebody post entry content story main text".split())
 #: A text recurs from this share of a host's pages on, which must be so many.
 SHARE, MIN_PAGES = 0.5, 5
-#: Counters of recurring texts a node: a text of more than 1/17 of the pages can't be lost.
+#: Counters that `add_counts` keeps.
 COUNTERS = 16
+#: Counts of texts that a task holds before it gives them out.
+HELD_COUNTS = 500_000
 #: Characters of templates that may be broadcast.
 BROADCAST_CHARS = 32_000_000
 
@@ -71,14 +73,13 @@ def label_of(tag: str, attributes: str) -> str:
 class Node:
     """A node of a folded tree or template."""
 
-    __slots__ = ("label", "children", "pages", "chars", "link_chars", "whole", "common", "content", "constants")
+    __slots__ = ("label", "children", "pages", "chars", "link_chars", "whole", "content", "counted", "constants")
 
     def __init__(self, label: str):
         self.label, self.children = label, []
         #: whole: characters that may be content, of all pages that have the node
         self.pages = self.chars = self.link_chars = self.whole = 0
-        self.common: dict[int, int] = {}
-        self.content, self.constants = False, frozenset()
+        self.content, self.counted, self.constants = False, False, frozenset()
 
     def shape(self) -> str:
         return f"{self.label}({','.join(c.shape() for c in self.children)})"
@@ -228,7 +229,6 @@ def absorb(template: Node, tree: Node) -> None:
         to.chars += node.chars
         to.link_chars += node.link_chars
         to.whole += node.whole
-        add_counts(to.common, node.common)
         place = 0
         for c in node.children:
             mate = at.get(id(c))
@@ -257,28 +257,23 @@ def measure(tree: Node, blocks: list[tuple[int, str, int]]) -> None:
         x = nodes[i]
         x.chars += len(text)
         x.link_chars += links
-        x.common[_hash(text)] = 1
     whole = masses(tree)[id(tree)]
     for x in nodes:
         x.whole = whole
-        if len(x.common) > COUNTERS:
-            mine, x.common = x.common, {}
-            add_counts(x.common, mine)
 
 
 def to_json(node: Node, decided: bool = False) -> list:
     if decided:
-        return [node.label, int(node.content), sorted(node.constants), [to_json(c, True) for c in node.children]]
-    return [node.label, node.pages, node.chars, node.link_chars, node.whole, [[k, v] for k, v in node.common.items()], [to_json(c) for c in node.children]]
+        return [node.label, int(node.content), int(node.counted), [to_json(c, True) for c in node.children]]
+    return [node.label, node.pages, node.chars, node.link_chars, node.whole, [to_json(c) for c in node.children]]
 
 
 def from_json(data: list, decided: bool = False) -> Node:
     node = Node(data[0])
     if decided:
-        node.content, node.constants = bool(data[1]), frozenset(data[2])
+        node.content, node.counted = bool(data[1]), bool(data[2])
     else:
         node.pages, node.chars, node.link_chars, node.whole = data[1:5]
-        node.common = dict(map(tuple, data[5]))
     node.children = [from_json(c, decided) for c in data[-1]]
     return node
 
@@ -337,7 +332,7 @@ def regions(template: Node) -> tuple[list[Node], bool]:
 
 
 def decide(template: Node) -> None:
-    """Marks the content slots of a template and the texts that recur in it."""
+    """Marks the content slots of a template and the nodes whose texts are counted."""
     found, good = regions(template)
 
     def mark(node: Node, inside: bool) -> None:
@@ -351,8 +346,7 @@ def decide(template: Node) -> None:
     for region in found:
         mark(region, good)
     for node in template.walk():
-        if node.pages >= MIN_PAGES and not _bad(node.label, True):
-            node.constants = frozenset(k for k, v in node.common.items() if v >= SHARE * node.pages)
+        node.counted = node.pages >= MIN_PAGES and not _bad(node.label, True)
 
 
 def extract(template: Node, html: str | None, cache: dict[str, list] | None = None) -> list[str]:
@@ -435,31 +429,81 @@ def induce(pages: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_templates, _LAYOUT)
 
 
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple[Node, dict]] = {}
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of the task's pages have a text at a node of their template; text -1 stands for pages that have the node."""
+    known: dict[str, tuple[Node, dict[str, list[int]]]] = {}
+    held: dict[tuple[str, int, int], int] = {}
+
+    def given() -> pa.RecordBatch:
+        cols = [pa.array([k[i] for k in held], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(held.values(), pa.int64())], names=["host", "node", "text", "n"])
+
     for batch in batches:
-        texts = []
-        for layout, html in zip(batch["layout"], batch["html"], strict=True):
-            layout = layout.as_py()
+        for host, layout, html in zip(batch["host"].to_pylist(), batch["layout"].to_pylist(), batch["html"], strict=True):
             if layout not in known:
                 if len(known) >= 2000:
                     known.clear()
                 known[layout] = (from_json(json.loads(layout), True), {})
-            texts.append(" ".join(extract(known[layout][0], html.as_py(), known[layout][1])))
+            template, cache = known[layout]
+            tree, blocks = parse(html.as_py())
+            shape = tree.shape()
+            if shape not in cache:
+                at, place = alignment(template, tree), {id(x): i for i, x in enumerate(template.walk()) if x.counted}
+                cache[shape] = [place.get(id(at.get(id(x))), -1) for x in tree.walk()]
+            nodes = cache[shape]
+            seen = {(host, i, -1) for i in nodes if i >= 0} | {(host, nodes[i], _hash(text)) for i, text, _ in blocks if nodes[i] >= 0}
+            for key in seen:
+                held[key] = held.get(key, 0) + 1
+            if len(held) > HELD_COUNTS:
+                yield given()
+                held.clear()
+    yield given()
+
+
+def recurring(met: DataFrame) -> DataFrame:
+    """(host, constants): JSON of [node, text hash] of what recurs, of pages met(host, layout, html)."""
+    n = met.select("host", "layout", "html").mapInArrow(_counts, "host string, node int, text long, n long").groupBy("host", "node", "text").agg(F.sum("n").alias("n"))
+    n = written(n.where(f"text = -1 or n >= {SHARE * MIN_PAGES}"), "counts")
+    of = n.where((F.col("text") == -1) & (F.col("n") >= MIN_PAGES)).select("host", "node", F.col("n").alias("pages"))
+    own = n.where("text <> -1").join(of, ["host", "node"]).where(F.col("n") >= F.col("pages") * SHARE)
+    return own.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array(F.col("node").cast("long"), "text")))).alias("constants"))
+
+
+def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[tuple[str, str | None], tuple[Node, dict]] = {}
+    for batch in batches:
+        texts = []
+        for layout, constants, html in zip(batch["layout"], batch["constants"], batch["html"], strict=True):
+            key = layout.as_py(), constants.as_py()
+            if key not in known:
+                if len(known) >= 2000:
+                    known.clear()
+                template = from_json(json.loads(key[0]), True)
+                nodes = list(template.walk())
+                for i, text in json.loads(key[1] or "[]"):
+                    nodes[i].constants |= {text}
+                known[key] = (template, {})
+            texts.append(" ".join(extract(known[key][0], html.as_py(), known[key][1])))
         yield pa.RecordBatch.from_arrays([batch["row"], pa.array(texts, pa.string())], names=["row", "text"])
 
 
+def _met(rows: DataFrame, templates: DataFrame, chars: int, salts: int) -> DataFrame:
+    """Pages with their host's template, which is broadcast unless the templates are large."""
+    if chars <= BROADCAST_CHARS:
+        return rows.join(F.broadcast(templates), "host")
+    dealt = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(salts)).cast("int")).join(dealt, ["host", "salt"])
+
+
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", salts: int = 16) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     small_batches(pages.sparkSession)
     rows = pages.select(F.struct(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).alias("row"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     templates = written(induce(rows), "templates")
-    n, chars = templates.agg(F.count(F.lit(1)), F.sum(F.length("layout"))).first()
-    if (chars or 0) <= BROADCAST_CHARS:
-        met = rows.join(F.broadcast(templates), "host")
-    else:
-        dealt = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(salts)).cast("int")).join(dealt, ["host", "salt"])
+    size = lambda t, *cols: t.agg(F.sum(sum((F.length(c) for c in cols), F.lit(0)))).first()[0] or 0
+    counted = recurring(_met(rows, templates, size(templates, "layout"), salts))
+    templates = written(templates.join(counted, "host", "left").withColumn("constants", F.coalesce("constants", F.lit("[]"))), "templates")
+    met = _met(rows, templates, size(templates, "layout", "constants"), salts)
     row = rows.schema["row"].dataType.simpleString()
-    out = met.select("row", "layout", "html").mapInArrow(_extracted, f"row {row}, text string")
+    out = met.select("row", "layout", "constants", "html").mapInArrow(_extracted, f"row {row}, text string")
     return out.select("row.*", "text", F.length("text").cast("long").alias("n_chars"))
