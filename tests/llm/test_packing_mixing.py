@@ -12,13 +12,12 @@ from textloom.llm import mixing, packing
 SCHEMA = "doc_id long, text string, source string"
 
 
-@pytest.mark.parametrize("text", ["", " ", "Hello world", "don't  stop\n\n\tnow ", "x" * 3000, "a" * 1200 + " b", "größer — «né» été", "日本語のテキスト", "<|endoftext|> stays text", "\x1c\x85 ​﻿", "".join(map(chr, range(1, 0x250))), "1234567890123 ²³ ½ ª º µ"])
+@pytest.mark.parametrize("text", ["", " ", "Hello world", "don't  stop\n\n\tnow ", "x" * 3000, "a" * 1200 + " b", "größer — «né» été", "日本語のテキスト", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|", "<|fim_prefix|> x", "\x1c\x85 ​﻿", "".join(map(chr, range(1, 0x250))), "1234567890123 ²³ ½ ª º µ"])
 def test_fast_and_slow_ids_agree(text):
     import public_tokenizers as files
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(files.path(packing.TOKENIZER))
-    slow.encode_special_tokens = True
     want = slow.encode(text, add_special_tokens=False).ids
     assert packing.encoder()(text) == want and packing.encoder(ranks=None)(text) == want
 
@@ -84,9 +83,12 @@ def test_plan_is_as_small_as_can_be_on_many_small_pieces():
 def test_packed(spark):
     r = random.Random(4)
     rows = [(i, " ".join(f"word{r.randrange(50)}" for _ in range(r.choice([0, 3, 40, 400]))), "s") for i in range(60)]
-    rows += [(100, None, "s"), (101, "", None), (102, "z " * 9000, "s"), (3, "again", "s"), (3, "again", "s"), (None, "no id", "s")]
+    rows += [(99, "a <|endoftext|> b", "s"), (100, None, "s"), (101, "", None), (102, "z " * 9000, "s"), (3, "again", "s"), (3, "again", "s"), (None, "no id", "s")]
     got = packing.packed(spark.createDataFrame(rows, SCHEMA)).collect()
-    encode = packing.encoder()
+    import public_tokenizers as files
+    from tokenizers import Tokenizer
+
+    encode = lambda t, whole=Tokenizer.from_file(files.path(packing.TOKENIZER)): whole.encode(t, add_special_tokens=False).ids
     want = []
     for i, t, _ in rows:
         ids = np.array([*encode(t or ""), 0], "<u4")
@@ -105,6 +107,45 @@ def test_packed(spark):
     assert packing.packed(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_packed_within_documents_and_attention(spark, monkeypatch, score):
+    """The registered operator with all three capacities binding, and lengths ranked in several parts."""
+    monkeypatch.setattr(packing, "PART_ROWS", 7)
+    r = random.Random(6)
+    rows = [(i, " ".join(f"word{r.randrange(50)}" for _ in range(r.choice([0, 0, 3, 40, 150]))), "s") for i in range(120)]
+    got = packing.packed(spark.createDataFrame(rows, SCHEMA), documents=5, attention=1_000_000, score=score, capacity=1000).collect()
+    by: dict = {}
+    for x in got:
+        by.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for content in by.values():
+        at = 0
+        for offset, length in sorted(content):
+            assert offset == at
+            at += length
+        assert at <= 1000 and len(content) <= 5 and sum(n * n for _, n in content) <= 1_000_000
+    assert max(map(len, by.values())) == 5 and len(got) >= 120
+
+
+def best_fit_by_hand(lengths, capacity):
+    """Sequential best fit, longest first: the most that is left decides nothing, the least does."""
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, left in enumerate(bins) if left >= n]
+        if fits:
+            bins[min(fits, key=lambda i: bins[i])] -= n
+        else:
+            bins.append(capacity - n)
+    return len(bins)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_plan_is_no_worse_than_sequential_best_fit(seed):
+    r = random.Random(seed)
+    sizes = [r.choice([r.randrange(1, 400), r.randrange(300, 1200), 2048]) for _ in range(3000)]
+    _, n = packing.plan({s: sizes.count(s) for s in set(sizes)})
+    assert n <= best_fit_by_hand(sizes, 2048) * 1.005 + 1
+
+
 def test_pieces_give_back_the_text(spark):
     text = "Round trip, né? " * 900
     got = packing.pieces(spark.createDataFrame([(1, text, "s")], SCHEMA).withColumn("ids", F.lit(1))).orderBy("start").collect()

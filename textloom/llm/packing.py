@@ -5,7 +5,11 @@ three follow from the length, so the plan needs only the histogram of lengths (a
 corpus): lengths in decreasing order go to the open sequence that the score picks among those with room in every
 dimension, groups of sequences with the same content being handled at once. The plan says for each length which ranks
 go where, and pieces find their place by their rank among the pieces of the same length, which is counted within
-salted parts of a length and added up; no task sees all pieces of a length.
+salted parts of a length and added up; a length has a part for every ``PART_ROWS`` of its pieces, so no task sees all pieces of
+a common length.
+
+With ``documents`` and ``attention`` unset these capacities are as wide as the tokens allow and only break ties between sequences; set,
+every sequence keeps within all three.
 
 Defined results: a null text is empty and packs its end token alone; repeated ids are packed as pieces of their own;
 an empty table gives an empty result; other columns never matter.
@@ -14,6 +18,7 @@ an empty table gives an empty result; other columns never matter.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -26,25 +31,28 @@ from pyspark.sql import functions as F
 from textloom.llm.common import small_batches, text_or_empty, written
 
 SEQUENCE, END = 2048, 0
+#: What tokens, documents and attention weigh in the score.
+WEIGHTS = (1.0, 0.01, 0.01)
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Words of more characters go to the first library, whose time does not grow with their square.
 LONG_WORD = 1000
+#: Pieces of a length that one task ranks.
+PART_ROWS = 20_000
 #: Ids that one output batch holds at most (but for the last text's).
 BATCH_IDS = 1_000_000
 
 
 @cache
 def encoder(tokenizer: str = TOKENIZER, ranks: str | None = RANKS):
-    """text -> ids of the tokenizer file without special tokens. ``ranks`` is the same vocabulary for a faster library,
-    used for texts below U+0250 without very long words, where both are known (and tested) to agree."""
+    """text -> ids as the tokenizer file gives them (add_special_tokens=False; a text that spells one of the file's added tokens
+    holds that token). ``ranks`` is the same vocabulary for a faster library, used for texts below U+0250 without very long words
+    and added tokens, where both are known (and tested) to agree."""
     import public_tokenizers as files
     from tokenizers import Tokenizer
 
     @cache
     def slow() -> Tokenizer:
-        made = Tokenizer.from_file(files.path(tokenizer))
-        made.encode_special_tokens = True
-        return made
+        return Tokenizer.from_file(files.path(tokenizer))
 
     one = lambda text: slow().encode(text, add_special_tokens=False).ids
     if not ranks:
@@ -53,8 +61,14 @@ def encoder(tokenizer: str = TOKENIZER, ranks: str | None = RANKS):
 
     with open(files.path(ranks), "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    with open(files.path(tokenizer), encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f)["added_tokens"]]
     fast = tiktoken.Encoding("own", pat_str=files.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
-    return lambda text: fast(text) if not text or max(text) < "ɐ" and max(map(len, text.split(" "))) <= LONG_WORD else one(text)
+
+    def agrees(text: str) -> bool:
+        return not text or max(text) < "ɐ" and max(map(len, text.split(" "))) <= LONG_WORD and not any(t in text for t in added)
+
+    return lambda text: fast(text) if agrees(text) else one(text)
 
 
 def cut(n: int, capacity: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -105,7 +119,7 @@ class Slot:
     offset: int
 
 
-def plan(histogram: dict[int, int], *, tokens: int = SEQUENCE, documents: int | None = None, attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), score: str = "norm") -> tuple[list[Slot], int]:
+def plan(histogram: dict[int, int], *, tokens: int = SEQUENCE, documents: int | None = None, attention: int | None = None, weights: tuple[float, float, float] = WEIGHTS, score: str = "norm") -> tuple[list[Slot], int]:
     """Slots for every length, and the number of sequences.
 
     score: "norm" picks the sequence with the smallest weighted norm of the residual after placing, "dot" the one with
@@ -162,9 +176,9 @@ def plan(histogram: dict[int, int], *, tokens: int = SEQUENCE, documents: int |
     return slots, sequences
 
 
-def ranked(rows: DataFrame, by: str, order: list[str], salt: Column, salts: int) -> DataFrame:
+def ranked(rows: DataFrame, by: str, order: list[str], salt: Column, salts: Column) -> DataFrame:
     """rows with ``__rank`` (from 0) within each value of ``by``, counted in salted parts and added up."""
-    parts = rows.withColumn("__part", F.pmod(salt, F.lit(salts)).cast("int"))
+    parts = rows.withColumn("__part", F.pmod(salt, salts))
     counts = parts.groupBy(by, "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(by).orderBy("__part")) - F.col("__n")
     counts = counts.select(by, "__part", before.alias("__before"))
@@ -178,15 +192,16 @@ def pack(rows: DataFrame, *, id_col: str = "doc_id", piece_col: str = "piece", l
     histogram = {r[0]: r[1] for r in rows.groupBy(length_col).count().collect()}  # a row a length
     slots, _ = plan(histogram, **capacities)
     table = spark.createDataFrame([(s.length, s.first_rank, s.first_rank + s.n, s.first_sequence, s.each, s.offset) for s in slots], "__length long, __from long, __to long, __sequence long, __each long, __offset long")
-    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    at = ranked(rows, length_col, [id_col, piece_col], F.xxhash64(id_col, piece_col), salts)
+    parts = spark.createDataFrame([(k, -(-n // PART_ROWS)) for k, n in histogram.items()], "__of long, __parts long")
+    dealt = rows.join(F.broadcast(parts), F.col(length_col) == F.col("__of"))
+    at = ranked(dealt, length_col, [id_col, piece_col], F.xxhash64(id_col, piece_col), F.col("__parts"))
     # the plan is bounded by the number of lengths, not by the corpus
     placed = at.join(F.broadcast(table), (F.col(length_col) == F.col("__length")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
     nth = F.col("__rank") - F.col("__from")
     return placed.withColumn("sequence_id", F.col("__sequence") + F.floor(nth / F.col("__each"))).withColumn("offset", F.col("__offset") + nth % F.col("__each") * F.col("__length")).select(*rows.columns, "sequence_id", "offset")
 
 
-def packed(docs: DataFrame, **options) -> DataFrame:
+def packed(docs: DataFrame, *, capacity: int = SEQUENCE, documents: int | None = None, attention: int | None = None, weights: tuple[float, float, float] = WEIGHTS, score: str = "norm", **options) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    rows = pieces(docs, **options).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(written(rows, "pieces"))
+    rows = pieces(docs, capacity=capacity, **options).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack(written(rows, "pieces"), tokens=capacity, documents=documents, attention=attention, weights=weights, score=score)
