@@ -91,8 +91,30 @@ def test_parts_become_ordered_placeholders():
     out, span, files = chat.format_turn("assistant", parts)
     assert out[span[0] : span[1]] == chat.escape("see <|") + "<|image:0|><|audio:1|><|document:2|><|image:3|>"
     assert files == [("image", "a.png", 3), ("audio", "b.wav", 38), ("document", "c.pdf", 1536), ("image", "", 1)]
-    with pytest.raises(ValueError, match="video"):
-        chat.format_turn("user", [{"type": "video"}])
+    assert chat.read_parts(out) == [("assistant", [("text", "see <|"), ("image", 0), ("audio", 1), ("document", 2), ("image", 3)])]
+    odd = [{"type": "video", "ref": "v"}, {"type": None}, None, {"type": "visit"}, {"type": "image", "width": -5, "height": 0}, {"type": "audio", "seconds": float("nan")}, {"type": "text", "text": "<|other:0|>"}]
+    out, _, files = chat.format_turn("user", odd)
+    assert files == [("other", "v", 1), ("other", "", 1), ("other", "", 1), ("image", "", 1), ("audio", "", 1)]
+    assert chat.read_parts(out)[0][1] == [("other", 0), ("other", 1), ("other", 2), ("image", 3), ("audio", 4), ("text", "<|other:0|>")]
+
+
+def test_control_strings_spread_over_parts_forge_nothing():
+    r = random.Random(4)
+    strings = [*chat.CONTROL, "<|turn|>", "<|text|>", "<|end|>", "<|image:0|>", "\\", "x", "<", "|"]
+    for _ in range(3000):
+        text = "".join(r.choices(strings, k=r.randrange(1, 6)))
+        cuts = sorted(r.randrange(len(text) + 1) for _ in range(r.randrange(5)))
+        pieces = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        parts = [{"type": "text", "text": t} for t in pieces]
+        at = r.randrange(len(parts) + 1)
+        for with_file in (False, True):
+            now = [*parts[:at], {"type": "image", "ref": "i"}, *parts[at:]] if with_file else parts
+            out, _, _ = chat.format_turn("user", now)
+            ((role, got),) = chat.read_parts(out)
+            want = [("text", t) for t in ["".join(pieces[:at])] if t] + [("image", 0)] + [("text", t) for t in ["".join(pieces[at:])] if t] if with_file else [("text", text)]
+            assert role == "user" and got == want
+            content = out[len("<|turn|>user<|text|>") : -len("<|end|>")]
+            assert not any(c in content.replace("<|image:0|>", "\0", 1) for c in chat.CONTROL)
 
 
 def test_format_messages_keeps_rows(spark):
@@ -110,10 +132,31 @@ def test_op4(spark):
     for k, turns in want.items():
         loss = "".join(t for r, t in turns if r == "assistant")
         whole = "".join(chat.format_turn(r, [{"type": "text", "text": t}])[0] for r, t in turns)
-        assert tuple(got[k])[1:] == (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(whole))
+        assert tuple(got[k])[1:6] == (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(whole))
     assert chat.op4(spark, spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 1
 
 
+def test_read_back_counts_attachments(spark):
+    parts = [("text", "a<", None, None, None, None, None), ("image", None, "x.png", 57, 28, None, None), ("text", "b", None, None, None, None, None), ("document", None, "d", None, None, None, 2)]
+    rows = spark.createDataFrame([(1, 0, "user", "", parts), (1, 1, "assistant", "", parts[:1]), (2, 0, "user", "", None)], f"conv_id long, turn long, role string, text string, parts {chat.PARTS}")
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"], r["n_attachments"], r["attachment_tokens"]) for r in chat.read_back(chat.format_messages(rows)).collect()}
+    assert got == {1: (2, 2, 2, 3 + 1024), 2: (1, 0, 0, 0)}
+
+
+def test_a_conversation_with_the_planted_id_stays_apart(spark):
+    rows = spark.createDataFrame([(-1, 0, "user", "mine"), (-1, 5, "assistant", "too")], "conv_id long, turn long, role string, text string")
+    got = chat.op4(spark, rows).collect()
+    assert sorted((r["conv_id"], r["n_turns"], r["loss_chars"]) for r in got) == [(-1, 2, 3), (-1, 2, 21)]
+
+
+def test_op4_equals_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
+    rel = con.sql(chat.ORACLE_SQL)
+    got = chat.op4(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    assert sorted(tuple(r[c] for c in rel.columns) for r in got.collect()) == sorted(rel.fetchall())
+
+
 def test_long_conversation(spark):
     rows = [(7, i, "assistant" if i % 2 else "user", f"turn {i} <|") for i in range(3000)]
     (got,) = [r for r in chat.op4(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect() if r["conv_id"] == 7]
