@@ -18,15 +18,23 @@ APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you ma
 MIT = "MIT License\n\nCopyright (c) someone\n\n" + license_scan.SENTENCES["mit-grant"].replace(" ", "\n", 7) + "\n\n" + license_scan.SENTENCES["mit-notice"] + "\n\n" + license_scan.SENTENCES["as-is"]
 
 
+BSD = "Copyright (c) someone\nAll rights reserved.\n\n" + "\n".join(license_scan.SENTENCES[k] for k in ("bsd-redistribute", "bsd-source", "bsd-binary"))
+
+
 @pytest.mark.parametrize(
     ("text", "licenses", "rules"),
     [
-        ("Some words.\nReleased under the MIT License.", "MIT", "mit-released"),
-        ("junk.***\nLicensed under CC BY-NC 4.0.", "CC-BY-NC-4.0", "cc-by-nc-4"),
+        ("Some words.\nReleased under the MIT License.", "MIT", "mit:0:0"),
+        ("junk.***\nLicensed under CC BY-NC 4.0.", "CC-BY-NC-4.0", "cc-by-nc-4.0:0:1"),
         (APACHE, "Apache-2.0", "apache-licensed-the>apache-comply>apache-copy"),
         (MIT, "MIT", "mit-title>mit-grant,mit-grant>mit-notice>as-is"),
-        ("Released under the MIT License. Released under the MIT License. Licensed under CC BY 4.0.", "CC-BY-4.0,MIT", "mit-released,cc-by-4"),
-        ("RELEASED under -- the mit license!", "MIT", "mit-released"),
+        ("Released under the MIT License. Released under the MIT License. Licensed under CC BY 4.0.", "CC-BY-4.0,MIT", "mit:0:0,cc-by-4.0:0:1"),
+        ("RELEASED under -- the mit license!", "MIT", "mit:0:0"),
+        ("Intro line\nReleased under the MIT License.\n\n" + APACHE, "Apache-2.0,MIT", "mit:0:0,apache-licensed-the>apache-comply>apache-copy"),
+        ("Intro.\nAll rights reserved" + "." * 1500 + "\nbye", "Proprietary", "reserved"),
+        (BSD + "\n" + license_scan.SENTENCES["bsd-endorse"], "BSD-3-Clause", "bsd-redistribute>bsd-source>bsd-binary>bsd-endorse"),
+        (BSD, "BSD-2-Clause", "bsd-redistribute>bsd-source>bsd-binary"),
+        ("This program is free software;\n" + "other words " * 40 + "\n" + license_scan.SENTENCES["gpl2-only-terms"], "", ""),
         ("This is released under the MIT License.", "", ""),
         ("This program is free software: nothing else", "", ""),
         ("", "", ""),
@@ -40,8 +48,13 @@ def test_scan(spark, text, licenses, rules):
 
 def test_scan_equals_sql(spark):
     r = random.Random(1)
-    known = [*license_scan.SENTENCES.values(), "Other words here.", "more; and: more!", "x\ny", ""]
+    known = [*license_scan.SENTENCES.values(), *list(license_scan.WORDINGS.values()) * 3, "Other words here.", "more; and: more!", "x\ny", "", "a", "\u212a \u0130\u00c9 MIT License"]
     rows = [(i, r.choice([" ", "\n", "\n\n"]).join(r.choices(known, k=r.randrange(1, 6)))) for i in range(200)] + [(900, None), (901, "")]
+    rows += [(1000 + i, "".join(r.choices(["a", "\n", "MIT License", "\n", " ", "All rights\nreserved.", ". ", "." * r.choice([3, 1500, 100_000])], k=12))) for i in range(60)]
+    for _, ids in license_scan.WORDING_RULES:  # each rule, wrapped and with words between
+        whole = r.choice([" ", "\n", "\nCopyright (c) someone\n"]).join(license_scan.SENTENCES[x] for x in ids)
+        rows.append((len(rows) + 5000, whole))
+        rows.append((len(rows) + 5000, re.sub(" ", lambda m: r.choice([" ", " ", "\n"]), whole)))
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
@@ -51,6 +64,15 @@ def test_scan_equals_sql(spark):
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_tables_cover_the_common_licenses():
+    assert len(license_scan.SENTENCES) >= 200
+    assert {"GPL-2.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-or-later", "ISC", "Unlicense", "EPL-2.0", "BSD-2-Clause", "BSD-3-Clause"} <= {n for n, _ in license_scan.RULES}
+    scanner = license_scan.Scanner(license_scan.SENTENCES, license_scan.RULES)
+    for name, ids in license_scan.RULES:
+        got = scanner.row("\n".join(license_scan.SENTENCES[x] for x in ids))
+        assert name in got[1].split(","), (name, ids, got)
+
+
 def test_rules_and_sentences_are_checked(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     with pytest.raises(ValueError, match="unknown sentences"):
