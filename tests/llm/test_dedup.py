@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import dart_minhash as D
-from textloom.llm import exact_dedup, near_dedup
+from textloom.llm import common, exact_dedup, near_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -85,15 +85,65 @@ def test_exact_keeps_columns_and_survives_their_names(spark):
 
 
 def test_index_merges_runs(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "digest string, id long")
+    entries = lambda df: {r["digest"]: (r["keep_id"], r["n"]) for r in df.collect()}
     index = exact_dedup.DigestIndex(spark, keep="min", fan_in=2)
-    index.flush(spark.createDataFrame([("d1", 5), ("d2", 6), ("d1", 4)], "digest string, id long"))
-    index.flush(spark.createDataFrame([("d1", 9), ("d3", 1)], "digest string, id long"))
-    assert sorted((r["keep_id"], r["n"]) for r in index.probe(["d3"]).collect()) == [(1, 1)]
-    assert {r["digest"]: (r["keep_id"], r["n"]) for r in index.table().collect()} == {"d1": (4, 3), "d2": (6, 1), "d3": (1, 1)}
-    index.flush(spark.createDataFrame([("d2", 2)], "digest string, id long")).compact()
-    assert {r["digest"]: (r["keep_id"], r["n"]) for r in index.table().collect()}["d2"] == (2, 2)
+    index.flush(rows(("d1", 5), ("d2", 6), ("d1", 4)))
+    assert list(map(len, index.levels)) == [1] and entries(index.probe(["d1", "d9"])) == {"d1": (4, 2)}
+    index.flush(rows(("d1", 9), ("d3", 1)))  # fills level 0
+    assert list(map(len, index.levels)) == [0, 1]
+    index.flush(rows(("d2", 2)))
+    assert list(map(len, index.levels)) == [1, 1] and entries(index.probe(["d2", "d3"])) == {"d2": (2, 2), "d3": (1, 1)}
+    index.flush(rows(("d2", 3)))  # fills level 0 and then level 1
+    assert list(map(len, index.levels)) == [0, 0, 1]
+    assert entries(index.table()) == {"d1": (4, 3), "d2": (2, 3), "d3": (1, 1)}
+    index.flush(rows(("d4", None), ("d1", 3))).compact()
+    assert sum(map(len, index.levels)) == 1 and entries(index.table()) == {"d1": (3, 4), "d2": (2, 3), "d3": (1, 1), "d4": (None, 1)}
+    bulk = exact_dedup.DigestIndex(spark, keep="max", fan_in=4).flush(rows(*[(f"d{i % 7}", i) for i in range(100)]), runs=4)
+    assert list(map(len, bulk.levels)) == [0, 1] and entries(bulk.table())["d0"] == (98, 15)
     with pytest.raises(ValueError, match="keep"):
         exact_dedup.DigestIndex(spark, keep="first")
+    with pytest.raises(ValueError, match="fan_in"):
+        exact_dedup.DigestIndex(spark, fan_in=1)
+
+
+@pytest.mark.parametrize("filter_bytes", [0, 64_000_000])
+def test_a_digest_of_a_third_of_all_rows_is_dealt_over_tasks(spark, monkeypatch, filter_bytes):
+    """Hits that may not be broadcast: the texts of the hot digest don't meet in one task."""
+    monkeypatch.setattr(common, "HOT_ROWS", 100)
+    keyed = spark.range(3000).select(F.col("id").alias("__id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.floor(F.col("id") / 6))).alias("__text"))
+    keyed = keyed.withColumn("__digest", F.sha2("__text", 256))
+    hits = keyed.groupBy("__digest").agg(F.max("__id").alias("__keep_id"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        marked = exact_dedup._marked(keyed, hits, hits.count(), 0, filter_bytes)
+        per_task = [r["count"] for r in marked.where("__text = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(per_task) == 1000 and max(per_task) <= 300
+        assert marked.where("__n is not null").count() == marked.count() == 3000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("limit", [0, 2, 1000])
+def test_hot_join(spark, how, limit):
+    r = random.Random(5)
+    many = [(r.choice([1, 1, 1, 2, 2, 3, 4, 5, None]), i) for i in range(500)]
+    counts = {k: sum(x == k for x, _ in many) for k in (1, 2, 3, 4)}
+    got = common.hot_join(spark.createDataFrame(many, "k int, i int"), spark.createDataFrame([(k, n, f"v{k}") for k, n in counts.items()], "k int, n long, v string"), "k", "n", F.xxhash64("i"), how=how, each=40, limit=limit)
+    want = [(k, i, f"v{k}" if k in counts else None) for k, i in many if how == "left" or k in counts]
+    assert sorted((x["i"], x["k"], x["v"]) for x in got.collect()) == sorted((i, k, v) for k, i, v in want)
+
+
+def test_exact_chooses_the_same_row_of_equal_ids(spark):
+    rows = [(1, "a", f"c{i}") for i in range(40)] + [(2, "b", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more string")
+    first = sorted(map(tuple, exact_dedup.kept_documents(df.repartition(3)).collect()))
+    assert len(first) == 2 and all(sorted(map(tuple, exact_dedup.kept_documents(df.repartition(n)).collect())) == first for n in (1, 7))
 
 
 def test_exact_plan_has_no_python(spark):

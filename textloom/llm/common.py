@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a small table (two or three scalars a row) may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000
+#: Rows of a key beyond which `hot_join` deals them over several tasks.
+HOT_ROWS = 2_000
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -102,3 +104,21 @@ def salted_join(many: DataFrame, one: DataFrame, keys: list[str], rows: Column,
     left = many.withColumn("__salt", F.pmod(F.col("__spread"), n.cast("long")).cast("int")).drop("__spread")
     right = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), n - 1)))
     return left.join(right, [*keys, "__salt"]).drop("__salt")
+
+
+def hot_join(many: DataFrame, one: DataFrame, keys: str | list[str], rows: str, spread: Column, *, how: str = "inner", each: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join of many rows a key with one row a key, whose column ``rows`` says how many rows the key has in ``many``; ``spread``
+    (of ``many``) deals the rows of a key of more than ``each`` over salts. Which keys these are is broadcast; if they are more
+    than ``limit``, only the largest are dealt (ten times as many rows, and so on): the others' rows fit a task all the same.
+    ``one`` is read three times. Keys that are null match nothing."""
+    keys, each = [keys] if isinstance(keys, str) else keys, each or HOT_ROWS
+    sizes = [each * 10**i for i in range(10)]
+    counts = one.agg(*[F.count(F.when(F.col(rows) > s, 1)) for s in sizes]).first()
+    size, hot = next(((s, c) for s, c in zip(sizes, counts, strict=True) if c <= limit), (sizes[-1], 0))
+    if not hot:
+        return many.join(one, keys, how)
+    salts = F.when(F.col(rows) > size, F.ceil(F.col(rows) / F.lit(float(each)))).otherwise(F.lit(1)).cast("int")
+    large = F.broadcast(one.where(F.col(rows) > size).select(*keys, salts.alias("__salts")))
+    left = many.withColumn("__spread", spread).join(large, keys, "left")
+    left = left.withColumn("__salt", F.coalesce(F.pmod(F.col("__spread"), F.col("__salts").cast("long")).cast("int"), F.lit(0))).drop("__salts", "__spread")
+    return left.join(one.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))), [*keys, "__salt"], how).drop("__salt")

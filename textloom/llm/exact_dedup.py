@@ -2,14 +2,19 @@
 
 Rows reach the index as (digest, id). A *memtable* is the hash map of Spark's partial aggregation: each task folds its
 rows to one entry a digest before anything is shuffled, so that a digest that a third of all rows share costs one entry
-a task. A flush writes the entries as *runs*: Parquet files sorted by digest, each with min/max statistics and a
-Bloom filter on the digest, which `probe` uses to skip them. Compaction merges the runs of one level into a run of the
-next and keeps the chosen (smallest or largest) identifier and the count. Hits (digests of several rows) are then
-verified byte by byte against the text of the row that stays; rows whose bytes differ though the digest agrees are
-grouped anew by the text itself.
-
-Defined results: a null text counts as empty; a null id orders below all others; of rows with the same id and
-text exactly one is kept; an empty table gives an empty result; other columns never matter.
+a task. A flush writes the entries as *runs* of level 0: Parquet files sorted by digest, with min/max statistics and Bloom
+filters on the digest that are sized to the run, by which `probe` skips files. A level of ``fan_in`` runs is compacted: they are
+merged into one run of the next level, which keeps the chosen (smallest or largest) identifier and the count; that may fill the
+next level in turn. A bulk load flushes ``fan_in`` runs at once, so the query finds one run on level 1.
+
+Entries of several rows are hits. Their filter, a bitmap of the digests' hashes, tells every row that is surely none, so its text
+stays where it is; the others meet the hits by digest, the rows of large groups dealt over salts. Hits are verified byte by
+byte against the text of the row that stays; rows whose bytes differ though the digest agrees are grouped anew by the
+text itself.
+
+Defined results: a null text counts as empty; a null id stays only if its group has no other; of several rows with the id that
+stays exactly one is kept, that of the smallest hash of all columns but maps, so the choice is the same on every run; an empty
+table gives an empty result; other columns never matter otherwise.
 """
 
 from __future__ import annotations
@@ -17,23 +22,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import BROADCAST_ROWS, scratch, text_or_empty, written
+from textloom.llm.common import BROADCAST_ROWS, hot_join, scratch, text_or_empty, written
 
-#: Runs that a bulk load flushes, and that one compaction merges.
+#: Runs that a bulk load flushes, and that fill a level.
 FAN_IN = 4
-#: Entries that a file's Bloom filter is sized for.
-FILTER_ENTRIES = 50_000
 #: Bits that the filter over all hits has for each, and bytes up to which it is broadcast.
 HIT_BITS, HIT_FILTER_BYTES = 16, 64_000_000
 _BITMAP = 32_768  # bits of one bitmap of Spark's bitmap functions
 
 
 class DigestIndex:
-    """Runs of (digest, keep_id, n) in levels. keep: which identifier of equal digests stays, "min" or "max"."""
+    """Runs of (digest, keep_id, n) in levels. keep: which identifier of equal digests stays, "min" or "max". Runs that were merged
+    stay on disk, since tables read before may still be in use; they go with the index's folder."""
 
     def __init__(self, spark: SparkSession, *, keep: str = "min", fan_in: int = FAN_IN, root: str | None = None):
         if keep not in ("min", "max"):
             raise ValueError(f"keep must be 'min' or 'max', not {keep!r}")
+        if fan_in < 2:
+            raise ValueError(f"fan_in must be 2 or more, not {fan_in}")
         self.spark, self.keep, self.fan_in = spark, keep, fan_in
         self.root = root or scratch(spark, "digest-index")
         self.levels: list[list[str]] = [[]]
@@ -44,45 +50,58 @@ class DigestIndex:
         return (F.max if self.keep == "max" else F.min)(col).alias("keep_id")
 
     def _write(self, entries: DataFrame, level: int, by: list[str]) -> str:
-        path = f"{self.root}/level-{level}/flush-{self._made}"
+        path = f"{self.root}/level-{level}/{self._made}"
         self._made += 1
-        writer = entries.sortWithinPartitions(*by, "digest").write.option("parquet.bloom.filter.enabled#digest", "true")
-        writer = writer.option("parquet.bloom.filter.expected.ndv#digest", str(FILTER_ENTRIES))
+        # of filters for several numbers of entries, the smallest that serves the file is written
+        writer = entries.sortWithinPartitions(*by, "digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
         (writer.partitionBy(*by) if by else writer).parquet(path)
         return path
 
-    def flush(self, rows: DataFrame) -> DigestIndex:
-        """Adds rows(digest, id): one pass that leaves fan_in sorted runs on level 0."""
-        dealt = rows.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(self.fan_in)).cast("int"))
+    def flush(self, rows: DataFrame, runs: int = 1) -> DigestIndex:
+        """Adds rows(digest, id) in one pass, as sorted runs of level 0."""
+        dealt = rows.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(runs)).cast("int"))
         entries = dealt.groupBy("run", "digest").agg(self._best("id"), F.count(F.lit(1)).alias("n"))
         self._schema = entries.drop("run").schema
-        self.levels[0].append(self._write(entries, 0, ["run"]))
+        path = self._write(entries, 0, ["run"])
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        self._add(0, [p for p in (f"{path}/run={i}" for i in range(runs)) if files.exists(jvm.org.apache.hadoop.fs.Path(p))])
         return self
 
+    def _add(self, level: int, runs: list[str]) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level] += runs
+        if len(self.levels[level]) >= self.fan_in:
+            full, self.levels[level] = self.levels[level], []
+            self._add(level + 1, [self._write(self._merged(full), level + 1, [])])
+
     def compact(self) -> DigestIndex:
-        """Merges every level into one run above them."""
-        merged = self._entries().groupBy("digest").agg(self._best("keep_id"), F.sum("n").alias("n"))
-        path = self._write(merged, len(self.levels), [])
-        self.levels = [[], *[[] for _ in self.levels[1:]], [path]]
+        """Merges all runs into one, on the highest level."""
+        runs = [p for level in self.levels for p in level]
+        if len(runs) > 1:
+            top = max(1, len(self.levels) - 1)
+            self.levels = [[] for _ in range(top)] + [[self._write(self._merged(runs), top, [])]]
         return self
 
-    def _entries(self) -> DataFrame:
-        runs = [p for level in self.levels for p in level]
-        parts = [self.spark.read.schema(self._schema).parquet(p).select("digest", "keep_id", "n") for p in runs]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+    def _read(self, runs: list[str]) -> DataFrame:
+        if not runs:
+            return self.spark.createDataFrame([], self._schema)
+        return self.spark.read.schema(self._schema).parquet(*runs).select("digest", "keep_id", "n")
+
+    def _merged(self, runs: list[str]) -> DataFrame:
+        return self._read(runs).groupBy("digest").agg(self._best("keep_id"), F.sum("n").alias("n"))
 
     def table(self) -> DataFrame:
         """Every digest with the identifier that stays and its count."""
-        if sum(map(len, self.levels)) != 1 or self.levels[0]:
-            self.compact()
-        return self._entries()
+        runs = [p for level in self.levels for p in level]
+        return self._merged(runs) if len(runs) > 1 else self._read(runs)
 
     def probe(self, digests: list[str]) -> DataFrame:
         """The entries of a few digests; statistics and Bloom filters skip the files that cannot hold them."""
-        return self._entries().where(F.col("digest").isin(digests))
+        found = self._read([p for level in self.levels for p in level]).where(F.col("digest").isin(digests))
+        return found.groupBy("digest").agg(self._best("keep_id"), F.sum("n").alias("n"))
 
 
 def _filtered(keyed: DataFrame, hits: DataFrame, n: int) -> DataFrame:
@@ -102,12 +121,13 @@ def _marked(keyed: DataFrame, hits: DataFrame, n: int, broadcast_rows: int, filt
     that move are those of hits and a few more; beyond the filter's bound all rows meet the hits by digest."""
     if n <= broadcast_rows:
         return keyed.join(F.broadcast(hits), "__digest", "left")
+    met = lambda rows: hot_join(rows, hits, "__digest", "__n", F.xxhash64("__id"), how="left")
     if HIT_BITS * n > 8 * filter_bytes:
-        return keyed.join(hits, "__digest", "left")
+        return met(keyed)
     rows = _filtered(keyed, hits, n)
     kinds = {f.name: f.dataType for f in hits.schema}
     sure = rows.where(~F.col("__may")).select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("__keep_id", "__n")])
-    return rows.where("__may").join(hits, "__digest", "left").unionByName(sure).drop("__may")
+    return met(rows.where("__may")).unionByName(sure).drop("__may")
 
 
 def _regrouped(copies: DataFrame, bad: DataFrame, keep: str) -> DataFrame:
@@ -127,7 +147,7 @@ def annotate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     digest = digest or (lambda c: F.sha2(c, 256))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
     keyed = keyed.withColumn("__digest", digest(F.col("__text")))
-    index = DigestIndex(spark, keep=keep, fan_in=fan_in).flush(keyed.select(F.col("__digest").alias("digest"), F.col("__id").alias("id"))).compact()
+    index = DigestIndex(spark, keep=keep, fan_in=fan_in).flush(keyed.select(F.col("__digest").alias("digest"), F.col("__id").alias("id")), runs=fan_in)
     hits = index.table().where("n > 1").select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep_id"), F.col("n").alias("__n"))
     marked = _marked(keyed, hits, hits.count(), broadcast_rows, filter_bytes)
     singles = marked.where("__n is null").withColumn("__keep_id", F.col("__id")).withColumn("__n", F.lit(1).cast("long")).withColumn("__kept", F.lit(True))
@@ -146,7 +166,8 @@ def annotate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     if not differs.isEmpty():
         again = _regrouped(copies, differs, keep).drop("__text")
         grouped = grouped.join(differs, "__digest", "left_anti").select(*grouped.columns).unionByName(again.select(*grouped.columns))
-    first = Window.partitionBy("__digest", "__keep_id", "__n").orderBy(F.lit(1))
+    plain = [F.col("__doc")[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    first = Window.partitionBy("__digest", "__keep_id", "__n").orderBy(F.xxhash64(*plain))
     chosen = F.col("__id").eqNullSafe(F.col("__keep_id"))
     stay = grouped.where(chosen).withColumn("__kept", F.row_number().over(first) == 1)
     go = grouped.where(~chosen).withColumn("__kept", F.lit(False))

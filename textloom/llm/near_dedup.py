@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import dart_minhash, exact_dedup
-from textloom.llm.common import BROADCAST_ROWS, small, small_batches, written
+from textloom.llm.common import BROADCAST_ROWS, hot_join, small, small_batches, written
 
 THRESHOLD, K, BAND_ROWS = 0.8, 128, 4
 JOIN, LEAVE, ROUNDS = 0.4, 0.75, 2
@@ -87,8 +87,8 @@ def shingled(texts: DataFrame, *, width: int = dart_minhash.SHINGLE_WORDS) -> Da
     return texts.select("key", "text").mapInArrow(run, "key binary, hashes binary")
 
 
-def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """pairs(key, leader) with the similarity that their sketches say."""
+def _estimated(pairs: DataFrame, sketches: DataFrame, lead: DataFrame) -> DataFrame:
+    """pairs(key, leader) with the similarity that their sketches say; lead(bucket, leader, n) tells how often a leader comes at most."""
     a = sketches.select("key", F.col("sketch").alias("sketch_a"))
     b = sketches.select(F.col("key").alias("leader"), F.col("sketch").alias("sketch_b"))
 
@@ -98,23 +98,28 @@ def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             agree = (x == y).mean(axis=1) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch["key"], batch["leader"], pa.array((agree - 1 / 256) * (256 / 255))], names=["key", "leader", "similarity"])
 
-    return pairs.join(a, "key").join(b, "leader").select("key", "leader", "sketch_a", "sketch_b").mapInArrow(run, "key binary, leader binary, similarity double")
+    # a leader may have a third of all texts
+    b = written(lead.groupBy("leader").agg(F.sum("n").alias("led")).join(b, "leader"), "leader-sketches")
+    met = hot_join(pairs.join(a, "key"), b, "leader", "led", F.xxhash64("key"))
+    return met.select("key", "leader", "sketch_a", "sketch_b").mapInArrow(run, "key binary, leader binary, similarity double")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(key, label): of every node of the edges, the smallest key of its connected component. Smallest labels spread to
-    neighbours, then each node takes the label of its label; the rounds are about the logarithm of the largest distance."""
+    """(key, label): of every node of the edges, the smallest key of its connected component. In a round a node takes the smallest of
+    its neighbours' labels and of its label's label; the rounds are about the logarithm of the largest distance. Nodes of many
+    neighbours and labels of many nodes are dealt over tasks."""
     two = edges.select(F.col(a).alias("key"), F.col(b).alias("other"))
     both = written(two.unionByName(two.select(F.col("other").alias("key"), F.col("key").alias("other"))).distinct(), "edges")
-    labels = written(both.groupBy("key").agg(F.min("other").alias("label")).select("key", F.least("key", "label").alias("label")), "labels")
+    labels = written(both.groupBy("key").agg(F.least(F.min("other"), F.first("key")).alias("label"), F.count(F.lit(1)).alias("degree")), "labels")
     while True:
-        near = both.join(labels.select(F.col("key").alias("other"), "label"), "other").groupBy("key").agg(F.min("label").alias("near"))
-        spread = labels.join(near, "key").select("key", F.least("label", "near").alias("new"), F.col("label").alias("old"))
-        jump = labels.select(F.col("key").alias("new"), F.col("label").alias("next"))
-        new = written(spread.join(jump, "new").select("key", F.least("new", "next").alias("label"), "old"), "labels")
-        labels = new.select("key", "label")
+        near = hot_join(both, labels.select(F.col("key").alias("other"), "label", "degree"), "other", "degree", F.xxhash64("key")).groupBy("key").agg(F.min("label").alias("near"))
+        own = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+        next_ = written(own.join(labels.select(F.col("key").alias("label"), F.col("label").alias("next")), "label"), "next")
+        jumped = hot_join(labels, next_, "label", "members", F.xxhash64("key"))
+        new = written(jumped.join(near, "key").select("key", F.least("label", "near", "next").alias("label"), "degree", F.col("label").alias("old")), "labels")
+        labels = new.select("key", "label", "degree")
         if new.where("label <> old").isEmpty():
-            return labels
+            return labels.select("key", "label")
 
 
 def _led(pool: DataFrame, lead: DataFrame) -> DataFrame:
@@ -141,7 +146,7 @@ def families(sketches: DataFrame, *, join: float = JOIN, leave: float = LEAVE, r
         if i == rounds:
             edges.append(pairs.select("key", "leader"))
             break
-        seen = written(_estimated(pairs.select("key", "leader"), sketches), "seen")
+        seen = written(_estimated(pairs.select("key", "leader"), sketches, lead), "seen")
         edges.append(seen.where(F.col("similarity") >= join).select("key", "leader"))
         pool = written(led.join(seen.where(F.col("similarity") < leave), ["key", "leader"], "left_semi").select("key", "bucket"), "pool")
     every = edges[0]
@@ -223,10 +228,11 @@ def _links(blocks: DataFrame, threshold: float) -> DataFrame:
 
 def _first_pass(of: DataFrame, leaders: DataFrame, sets: DataFrame, threshold: float, block: int, hubs: int) -> DataFrame:
     """Links within blocks of each family, of which all have the family's most used leaders."""
-    sizes = of.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).alias("blocks"))
-    dealt = of.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    sizes = of.groupBy("family").agg(F.count(F.lit(1)).alias("in_family"))
+    sizes = written(sizes.withColumn("blocks", F.ceil(F.col("in_family") / F.lit(float(block)))), "families")
+    dealt = hot_join(of, sizes, "family", "in_family", F.xxhash64("key")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("blocks")))
     by_use = Window.partitionBy("family").orderBy(F.desc("led"), "key")
-    top = leaders.join(sizes.where("blocks > 1"), "family").withColumn("place", F.row_number().over(by_use)).where(F.col("place") <= hubs)
+    top = hot_join(leaders, sizes.where("blocks > 1"), "family", "in_family", F.xxhash64("key")).withColumn("place", F.row_number().over(by_use)).where(F.col("place") <= hubs)
     top = top.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = dealt.select("family", "key", "part").unionByName(top.select("family", "key", "part")).distinct()
     rows = rows.select(F.concat(F.hex("family"), F.lit(":"), "part").alias("block"), "key", F.col("key").alias("label"))
@@ -244,7 +250,7 @@ def _second_pass(of: DataFrame, labels: DataFrame, sets: DataFrame, threshold: f
         return None
     own = F.col("in_class") >= block // 2
     parts = F.ceil(F.when(own, F.col("in_class")).otherwise(F.col("in_small")) / F.lit(float(block)))
-    rows = rows.join(open_, ["family", "label"]).withColumn("part", F.pmod(F.xxhash64("key"), parts))
+    rows = hot_join(rows, open_, ["family", "label"], "in_class", F.xxhash64("key")).withColumn("part", F.pmod(F.xxhash64("key"), parts))
     rows = rows.withColumn("side", F.concat(F.when(own, F.hex("label")).otherwise(F.lit("mixed")), F.lit(":"), "part")).withColumn("of_class", F.when(own, F.col("label")))
     rows = written(rows.select("family", "label", "key", "side", "of_class"), "sides")
     sides = rows.groupBy("family", "side").agg(F.first("of_class").alias("of_class"))
@@ -278,21 +284,35 @@ def _folded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return exact_dedup.annotate(docs, id_col=id_col, text_col=text_col, keep="min").withColumn("__key", F.unhex(F.substring("__digest", 1, 32)))
 
 
-def _decided(folded: DataFrame, labels: DataFrame) -> DataFrame:
-    """(__key, class_id, class_size, stays) of every text with a near-duplicate."""
-    groups = folded.where("__kept").select("__key", "__keep_id", "__n")
-    of = groups.join(labels.select(F.col("key").alias("__key"), "label"), "__key")
-    by = of.groupBy("label").agg(F.min(F.struct(F.col("__keep_id").isNull().alias("none"), F.col("__keep_id").alias("id"), "__key")).alias("first"), F.sum("__n").alias("class_size"))
-    out = of.join(by, "label")
+def _texts(folded: DataFrame, text_col: str) -> DataFrame:
+    """(key, text) of every different text of folded rows, which are those kept."""
+    return folded.select(F.col("__key").alias("key"), F.coalesce(F.col("__doc")[text_col].cast("string"), F.lit("")).alias("text"))
+
+
+def _decided(kept: DataFrame, labels: DataFrame) -> DataFrame:
+    """(__key, class_id, class_size, stays) of every text with a near-duplicate, of the kept rows of the folded table."""
+    of = written(kept.select("__key", "__keep_id", "__n").join(labels.select(F.col("key").alias("__key"), "label"), "__key"), "classes")
+    first = F.min(F.struct(F.col("__keep_id").isNull().alias("none"), F.col("__keep_id").alias("id"), "__key")).alias("first")
+    by = written(of.groupBy("label").agg(first, F.sum("__n").alias("class_size"), F.count(F.lit(1)).alias("members")), "firsts")
+    out = hot_join(of, by, "label", "members", F.xxhash64("__key"))
     return out.select("__key", F.col("first.id").alias("class_id"), "class_size", (F.col("__key") == F.col("first.__key")).alias("stays"))
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: doc_id, class_id, class_size and kept."""
-    folded = written(_folded(docs.select(id_col, text_col), id_col, text_col).select("__id", "__key", "__keep_id", "__n", "__kept"), "folded")
-    labels = classes(_texts(docs, id_col, text_col), **options)
-    decided = written(_decided(folded, labels), "decided")
-    out = folded.join(small(decided, decided.count()), "__key", "left")
+    every = _folded(docs.select(id_col, text_col), id_col, text_col)
+    # one write serves what follows: texts go with the rows that are kept only
+    doc = F.when(F.col("__kept"), F.col("__doc")).alias("__doc")
+    folded = written(every.select("__id", "__key", "__keep_id", "__n", "__kept", doc), "folded")
+    kept = folded.where("__kept")
+    labels = classes(_texts(kept, text_col), **options)
+    decided = written(_decided(kept, labels), "decided")
+    rows = folded.drop("__doc")
+    if decided.count() <= BROADCAST_ROWS:
+        out = rows.join(F.broadcast(decided), "__key", "left")
+    else:
+        sized = written(decided.join(kept.select("__key", F.col("__n").alias("copies")), "__key"), "decided")
+        out = hot_join(rows, sized, "__key", "copies", F.xxhash64("__id"), how="left")
     near = F.col("class_size").isNotNull()
     return out.select(
         F.col("__id").alias("doc_id"),
@@ -302,15 +322,9 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, text) of every different text."""
-    one = _folded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text").where("__kept")
-    return one.select(F.col("__key").alias("key"), F.coalesce(F.col("__doc.text").cast("string"), F.lit("")).alias("text"))
-
-
 def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each class, with its own columns."""
-    folded = _folded(docs, id_col, text_col)
-    labels = classes(_texts(docs, id_col, text_col), **options)
-    go = written(_decided(folded, labels).where("not stays").select("__key"), "go")
-    return folded.where("__kept").join(small(go, go.count()), "__key", "left_anti").select("__doc.*")
+    kept = written(_folded(docs, id_col, text_col).where("__kept").select("__key", "__keep_id", "__n", "__doc"), "folded")
+    labels = classes(_texts(kept, text_col), **options)
+    go = written(_decided(kept, labels).where("not stays").select("__key"), "go")
+    return kept.join(small(go, go.count()), "__key", "left_anti").select("__doc.*")
