@@ -210,6 +210,20 @@ def blocks_of(html):
         ("<p>open <b>bold <p>next</article></p></div>end", ["open bold", "next", "end"]),
         ("<p>cut off <a href='x", ["cut off <a href='x"]),
         ("<textarea>form</textarea>t<p>\n\n", ["t"]),
+        ("<p>a<button>Share now</button>b<label>Name <b>x</b></label>c <select><option>1<option>2</select>d</p>", ["abc d"]),
+        ('<p>x <span class="ad">buy <span>this</span></span>y <i hidden>no</i><b style="display: none">no</b><em data-class="ad" title="class=ad">yes</em></p>', ["x y yes"]),
+        ('<div><p>x <span class="ad">never closed</p><p>y</p></div>z', ["x", "y", "z"]),
+        ('<p>x <span hidden>never closed<p>y', ["x", "y"]),
+        ("<p>a <math><mi>x</mi></math> <object>o</object> b</p>", ["a x o b"]),
+        ("<script src=/x/>var a = 1</script>t<svg/>u<svg><text>no</text></svg>v", ["tuv"]),
+        ("a<svg>b<math>c<object>d<noscript>e<iframe>f<title>g", ["abcdefg"]),
+        ("a<script>never closed <p>b", ["a"]),
+        ("<head><title>t</title><meta x><p>body", ["body"]),
+        ("<head><title>t</title>text", ["text"]),
+        ("<p>it <a title=it's>is</a> <a b'c>d</a>", ["it is d"]),
+        ("<p a=\"" + "x" * 50_000 + ">y\">z", ["z"]),
+        ("<p a=\"never closed>b</p>c", ["b", "c"]),
+        ("x <!-- never closed <p>b", ["x"]),
         ("", []),
         (None, []),
     ],
@@ -234,17 +248,132 @@ def test_tree_matching():
     assert [at[id(x)].label for x in other.walk() if id(x) in at] == ["a", "b", "e"]
 
 
-def test_counters_keep_what_is_frequent():
-    r = random.Random(1)
-    total, parts = {}, []
-    for _ in range(40):
-        part = {}
-        for _ in range(50):
-            html_extract.add_counts(part, {1 if r.random() < 0.4 else r.randrange(10, 10_000): 1})
-        parts.append(part)
-    for p in parts:
-        html_extract.add_counts(total, p)
-    assert total[1] >= 0.4 * 2000 - 2000 / 17 - 100 and len(total) <= html_extract.COUNTERS
+def by_hand(a, b):
+    """Simple tree matching as it is defined, by recursion."""
+    if a.label != b.label:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        return max(best(x[:-1], y), best(x, y[:-1]), best(x[:-1], y[:-1]) + by_hand(x[-1], y[-1]))
+
+    return 1 + best(a.children, b.children)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_tree_matching_by_hand(seed):
+    r = random.Random(seed)
+
+    def tree(depth):
+        return node(r.choice("ab"), *[tree(depth - 1) for _ in range(r.randrange(4) if depth else 0)])
+
+    for _ in range(30):
+        a, b = tree(3), tree(3)
+        assert html_extract.matching(a, b) == by_hand(a, b)
+        at = html_extract.alignment(a, b)
+        assert len(at) == by_hand(a, b) and all(x.label == at[id(x)].label for x in b.walk() if id(x) in at)
+
+
+def test_alignment_of_all_pages_by_hand(sf_dir, spark):
+    """Of all layouts of the test pages, each pair: the operator's matching equals the recursive definition's."""
+    layouts = {}
+    for row in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        tree, _ = html_extract.parse(row["html"])
+        layouts.setdefault(tree.shape(), tree)
+    trees = list(layouts.values())
+    assert trees
+    for a in trees[:25]:
+        for b in trees[:25]:
+            assert html_extract.matching(a, b) == by_hand_memo(a, b)
+
+
+def by_hand_memo(a, b):
+    memo = {}
+
+    def trees(x, y):
+        if x.label != y.label:
+            return 0
+        if (id(x), id(y)) not in memo:
+            rows = {}
+            for i in range(len(x.children) + 1):
+                for j in range(len(y.children) + 1):
+                    rows[i, j] = max(rows[i - 1, j], rows[i, j - 1], rows[i - 1, j - 1] + trees(x.children[i - 1], y.children[j - 1])) if i and j else 0
+            memo[id(x), id(y)] = rows[len(x.children), len(y.children)] + 1
+        return memo[id(x), id(y)]
+
+    return trees(a, b)
+
+
+def test_templates_survive_json():
+    tree, blocks = html_extract.parse("<div class=a><p>x<p>y</div><div><ul><li>z<li><div>q</div></ul></div>w")
+    html_extract.measure(tree, blocks)
+    back = html_extract.from_json(html_extract.to_json(tree))
+    assert back.shape() == tree.shape() and html_extract.to_json(back) == html_extract.to_json(tree)
+
+
+def test_rare_nodes_leave_a_template():
+    t = node("#", node("div"), node("p"))
+    t.pages, t.children[0].pages, t.children[1].pages = 1000, 1, 900
+    html_extract.prune(t, 500)
+    assert [c.label for c in t.children] == ["p"]
+
+
+HOSTILE = {
+    "deep": "<div>" * 50_000 + "deep",
+    "deep and labelled": "".join(f"<div class=entry{'ab'[i % 2]}>" for i in range(50_000)) + "deep",
+    "closers": "<div>" * 20_000 + "</span></p></ul>" * 20_000 + "deep",
+    "quotes": "<a b='\"" * 30_000 + ">deep",
+    "crossed quotes": "<a b=\"'>" * 30_000 + "<p>deep",
+    "hidden": "<p><i hidden>" + "<b>" * 50_000 + "</i>deep",
+    "wide": "".join(f"<section id={'abcdefgh'[i % 8]}>deep</section>" for i in range(400)),
+    "comments": "<!--" * 50_000,
+    "noscript": "<noscript>" * 50_000 + "deep",
+}
+
+
+def test_hostile_pages(spark):
+    rows = [(i, f"http://h{i % 2}/", h) for i, h in enumerate([*HOSTILE.values()] * 2)] + [(100, "http://h0/", page("<article><p>one</p></article>"))]
+    got = {x["page_id"]: x["text"] for x in pages(spark, rows).collect()}
+    assert len(got) == len(rows) and got[100] == "one"
+    for i, (name, _) in enumerate(HOSTILE.items()):
+        assert name in ("comments", "quotes", "crossed quotes") or "deep" in got[i], name
+
+
+NEUTRAL = {
+    "box before": lambda i, a: f'<div class="x1">{"We have made fine things here since long ago. " * 8}</div><div class="x2"><h2>{a[0]}</h2>{"".join(f"<p>{p}</p>" for p in a[1:])}</div><div class="x3">{"Call us any day of the week. " * 5}</div>',
+    "box after, nested": lambda i, a: f'<div class="q"><div class="r"><p>{a[0]}</p>{"".join(f"<p>{p}</p>" for p in a[1:])}</div><div class="s"><div>{"Terms that nobody reads apply to this page. " * 20}</div></div></div>',
+    "content label on the box": lambda i, a: f'<div class="content">{"We have made fine things here since long ago. " * 20}</div><div class="x2"><h2>{a[0]}</h2>{"".join(f"<p>{p}</p>" for p in a[1:])}</div>',
+}
+
+
+@pytest.mark.parametrize("layout", NEUTRAL)
+def test_the_template_decides_where_labels_dont(spark, layout):
+    """Each page alone takes the constant boxes for its text; the host's template tells them from the article."""
+    r = random.Random(8)
+    rows, want = [], {}
+    for i in range(30):
+        a = article(i, r.randrange(2, 6))
+        rows.append((i, "http://host/", page(NEUTRAL[layout](i, a))))
+        want[i] = shown(a)
+    assert {x["page_id"]: x["text"] for x in pages(spark, rows).collect()} == want
+    alone = {x["page_id"]: x["text"] for x in pages(spark, [(i, f"http://host{i}/", h) for i, _, h in rows]).collect()}
+    assert all(alone[i] != want[i] for i in want)
+
+
+@pytest.mark.parametrize("merge", [1, 2, 7])
+def test_layouts_of_a_host_are_merged_in_rounds(spark, merge):
+    r = random.Random(9)
+    rows = []
+    for i in range(60):
+        extra = "".join(f'<div class="{r.choice("abcdefgh")}w"><p>box {i} {j}</p></div>' for j in range(r.randrange(4)))
+        rows.append(("h", page(extra + LAYOUTS["semantic"](i, article(i, 3)))))
+    df = spark.createDataFrame(rows, "host string, html string").repartition(5)
+    (got,) = html_extract.induce(df, merge=max(2, merge)).collect()
+    template = html_extract.from_json(got["layout"])
+    assert got["pages"] == template.pages == 60
+    (article_node,) = [x for x in template.walk() if x.label == "article"]
+    assert article_node.pages == 60
 
 
 def pages(spark, rows):
@@ -330,10 +459,11 @@ def test_odd_pages(spark):
     assert pages(spark, []).count() == 0
 
 
-def test_templates_too_large_to_broadcast(spark, monkeypatch):
-    rows = [(i, f"http://h{i % 3}/", page(LAYOUTS["semantic"](i, article(i, 3)))) for i in range(12)]
+@pytest.mark.parametrize("chars", [0, 3000])
+def test_templates_too_large_to_broadcast(spark, monkeypatch, chars):
+    rows = [(i, f"http://h{max(0, i % 6 - 3)}/", page(LAYOUTS["semantic"](i, article(i, 3)))) for i in range(240)]
     small = sorted(map(tuple, pages(spark, rows).collect()))
-    monkeypatch.setattr(html_extract, "BROADCAST_CHARS", 0)
+    monkeypatch.setattr(html_extract, "BROADCAST_CHARS", chars)
     assert sorted(map(tuple, pages(spark, rows).collect())) == small
 
 

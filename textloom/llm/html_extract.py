@@ -4,18 +4,24 @@ Pages become trees of block elements; runs of like siblings (paragraphs, list it
 node, so that the tree shows the page's layout and not the length of its article. The trees of a host are aligned by
 simple tree matching into one template, whose nodes gather how much text and link text they hold. Which texts recur at a
 node is then counted exactly. Texts that half of the pages or more have at one node are the template's own;
-the other nodes are slots. The slots that lie in one of the template's content regions, and not in one of its menus, footers,
-adverts, forms, comments and so on, are content; a host of several layouts has a region for each. Pages are then aligned with
-their host's template and give the texts of its content slots in page order. A page that has none of the
-regions, as may be where hosts are unknown, is decided by its own tree.
-
-Layouts are counted for each task before anything is shuffled, so a host with a third of all pages costs a few rows a
-task; the pages themselves never move while the templates are small enough to broadcast (checked), else they meet
-their templates in a join by host and salt.
-
-Defined results: null and empty html give an empty text; null urls share a host, as do urls without one; hosts of few pages
-have no recurring texts; a text recurs only if the page keeps at least half of its content without such texts; repeated rows
-count as pages of their own; an empty table gives an empty result; other columns never matter.
+the other nodes are slots. The content regions of a template are the nodes whose labels say so and that hold varying text; if no label
+does, the node where the varying text lies, however much constant text others hold. The slots in one of them, and not in
+one of its menus, footers, adverts, forms, comments and so on, are content; a host of several layouts has a region for each.
+Pages are then aligned with their host's template and give the texts of its content slots in page order; a node that the
+template lacks is what its parent is. A page that has none of the regions, as may be where hosts are unknown, is decided
+by its own tree.
+
+Layouts are counted for each task before anything is shuffled, so a host with a third of all pages costs a row a layout and
+task. Layouts of a host are merged in rounds of at most ``MERGE`` a task, and nodes that less than one in ``RARE`` pages has leave
+the template, so that neither time nor size grows with the number of layouts. Pages don't move while the templates are small
+enough to broadcast (checked); else the hosts of most pages are broadcast and only the others' pages are shuffled.
+
+Everything is linear in the depth of a page and done without recursion. Defined results: null and empty html give an empty
+text; null urls share a host, as do urls without one; hosts of few pages have no recurring texts, nor have hosts that would keep
+less than ``LEFT_HOST`` of their content without them, being copies of one article, nor has a page that would keep less than
+``LEFT`` of its own and of what is usual on its host; a script or style that isn't closed hides the rest, any other
+element that isn't closed hides nothing beyond its parent; repeated rows count as pages of their own; an empty table gives an
+empty result; other columns never matter.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,165 +40,277 @@ from textloom.llm.common import small_batches, written
 from textloom.llm.url_filter import host_of
 
 #: Elements (fixed values of the HTML standard) that start and end a block of text.
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is not text of the page.
-RAW = frozenset("script style noscript template iframe textarea svg math object title head".split())
-FOLD = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 blockquote pre tr td th option article".split())
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements whose content is not text of the page: of the first kind to the end of the page, if they aren't closed.
+CODE = frozenset("script style".split())
+RAW = CODE | frozenset("noscript template iframe textarea title svg".split())
+#: Elements within a block whose text isn't its own.
+INLINE_BAD = frozenset("button label select datalist".split())
+FOLD = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 blockquote pre tr td th article".split())
+_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Elements and words of class or id that mark what isn't the article.
-BAD_TAGS = frozenset("nav footer aside form menu button select dialog option".split())
+BAD_TAGS = frozenset("head nav footer aside form menu dialog fieldset".split())
 BAD_WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reply replies respond disqus share sharing social related recommended widget login signup search pagination pager skip hidden toolbar masthead copyright".split())
 COMMENT_WORDS = frozenset("comment comments reply replies respond hidden".split())
+#: The words that count for elements within a block as well.
+INLINE_WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo cookie consent newsletter hidden".split())
 GOOD_WORDS = frozenset("article articlebody post entry content story main text".split())
 #: A text recurs from this share of a host's pages on, which must be so many.
 SHARE, MIN_PAGES = 0.5, 5
-#: Counters that `add_counts` keeps.
-COUNTERS = 16
-#: Counts of texts that a task holds before it gives them out.
-HELD_COUNTS = 500_000
+#: What a page must keep of its content without recurring texts, or of what its host's pages keep on average; and what a host must.
+LEFT, LEFT_HOST = 0.5, 0.1
+#: Layouts that one task merges in a round; pages of a host of which one must have a node.
+MERGE, RARE = 512, 500
+#: Counts of texts, and nodes of layouts, that a task holds before it gives them out.
+HELD_COUNTS, HELD_NODES = 500_000, 200_000
 #: Characters of templates that may be broadcast.
 BROADCAST_CHARS = 32_000_000
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'){0,20000}+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_PLAIN = re.compile(r"[^>\"']*")
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_MARKED = re.compile("hidden|display|" + "|".join(sorted(INLINE_WORDS)), re.I)
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
-def label_of(tag: str, attributes: str) -> str:
-    """The element's name and the words of its class, id and role, of which digits don't count."""
+def words_of(attributes: str) -> set[str]:
+    """The words of class, id and role, of which digits don't count, and "hidden" for what isn't shown."""
     words = set()
-    for m in _ATTR.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+    for name, value in _ATTR.findall(attributes):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _NONE.search(value):
             words.add("hidden")
         elif name in ("class", "id", "role", "itemprop"):
             words.update(_WORDS.findall(value))
-    return tag + "".join(f".{w}" for w in sorted(words))
+    return words
+
+
+def label_of(tag: str, attributes: str) -> str:
+    return tag + "".join(f".{w}" for w in sorted(words_of(attributes))) if attributes else tag
 
 
 class Node:
     """A node of a folded tree or template."""
 
-    __slots__ = ("label", "children", "pages", "chars", "link_chars", "whole", "content", "counted", "constants")
+    __slots__ = ("label", "children", "pages", "chars", "link_chars", "whole", "constant", "content", "constants", "typical")
 
     def __init__(self, label: str):
         self.label, self.children = label, []
-        #: whole: characters that may be content, of all pages that have the node
-        self.pages = self.chars = self.link_chars = self.whole = 0
-        self.content, self.counted, self.constants = False, False, frozenset()
-
-    def shape(self) -> str:
-        return f"{self.label}({','.join(c.shape() for c in self.children)})"
+        #: whole: characters that may be content, of all pages that have the node; constant: characters of recurring texts
+        self.pages = self.chars = self.link_chars = self.whole = self.constant = 0
+        #: typical (of a template): characters of varying text that a page has
+        self.content, self.constants, self.typical = False, frozenset(), 0.0
 
     def walk(self) -> Iterator[Node]:
-        yield self
-        for c in self.children:
-            yield from c.walk()
+        """The nodes, parents before children."""
+        todo = [self]
+        while todo:
+            x = todo.pop()
+            yield x
+            todo.extend(reversed(x.children))
+
+    def depths(self) -> Iterator[tuple[int, Node]]:
+        todo = [(0, self)]
+        while todo:
+            d, x = todo.pop()
+            yield d, x
+            todo.extend((d + 1, c) for c in reversed(x.children))
+
+    def shape(self) -> str:
+        out, before = [], -1
+        for d, x in self.depths():
+            out.append(("(" if d > before else ")" * (before - d) + ",") + x.label)
+            before = d
+        return "".join(out)
+
+
+def _tag_end(html: str, at: int, dead: set[int]) -> int:
+    """Where the > of a tag is that isn't within a quoted value, or -1. dead: places from which there is none, so that a page
+    of many broken tags is looked through once."""
+    seen = []
+    while at not in dead:
+        seen.append(at)
+        q = _PLAIN.match(html, at).end()
+        if q == len(html):
+            break
+        if html[q] == ">":
+            return q
+        i = q - 1
+        while html[i].isspace():
+            i -= 1
+        if html[i] == "=":  # a quote opens a value only there
+            at = html.find(html[q], q + 1) + 1
+            if not at:
+                break
+        else:
+            at = q + 1
+    dead.update(seen)
+    return -1
 
 
 def parse(html: str | None) -> tuple[Node, list[tuple[int, str, int]]]:
     """The folded tree, and the blocks of text in page order: index of the node (in order of `Node.walk`), text, characters in links."""
     root = Node("#")
     stack: list[tuple[str, Node]] = [("#", root)]
+    opened: Counter[str] = Counter()  # block elements on the stack
+    skip: list[str] = []  # elements open from one on whose text isn't its block's
+    skipped: Counter[str] = Counter()
     out: list[tuple[Node, str, int]] = []
     parts: list[str] = []
     links, in_link, at, html = 0, False, 0, html or ""
+    last, dead, unclosed = html.rfind(">"), set(), set()
+
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
 
     def flush() -> None:
         nonlocal links
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
+                if stack[-1][0] == "head":  # text ends the head
+                    pop()
                 out.append((stack[-1][1], text, min(links, len(text))))
             parts.clear()
         links = 0
 
     def take(text: str) -> None:
         nonlocal links
-        if text:
+        if text and not skip:
             parts.append(text)
             if in_link:
                 links += len(text)
 
+    def end_skip() -> None:
+        skip.clear()
+        skipped.clear()
+
     n = len(html)
     while at < n:
+        if at > last:  # no more tags
+            end = html.find("<!--", at)
+            take(html[at:] if end < 0 else html[at:end])
+            break
         m = _TAG.search(html, at)
         if m is None:
             take(html[at:])
             break
         take(html[at : m.start()])
-        at = m.end()
-        closing, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
+        if not m[2]:
+            at = m.end()
+            continue
+        closing, tag, begin = bool(m[1]), m[2].lower(), m.end()
+        end = _tag_end(html, begin, dead)
+        if end < 0:
+            end = html.find(">", begin)
+        if end < 0:
+            take(html[m.start() :])
+            break
+        attributes, at = html[begin:end].strip(), end + 1
+        if tag in RAW:
+            if not closing and not (tag == "svg" and attributes.endswith("/")) and tag not in unclosed:
+                close = _ENDS[tag].search(html, at)
+                if close:
+                    at = close.end()
+                elif tag in CODE:
+                    break
+                else:
+                    unclosed.add(tag)
             continue
-        tag = name.lower()
-        if tag in RAW and not closing and not (attributes or "").endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            if tag == "head" and end is None:  # a body may follow a head that isn't closed
-                end = re.compile(r"(?=<body\b)", re.I).search(html, at)
-            at = n if end is None else end.end()
+        if skip:
+            block = tag in BLOCK
+            if closing and skipped[tag]:
+                while True:
+                    gone = skip.pop()
+                    skipped[gone] -= 1
+                    if gone == tag:
+                        break
+                continue
+            if block and (closing and opened[tag] or not closing and stack[-1][0] == "p" and skip[0] != "button"):
+                end_skip()  # its block ends
+            else:
+                if not closing and tag not in VOID:
+                    skip.append(tag)
+                    skipped[tag] += 1
+                continue
+        if tag not in BLOCK and not closing and tag not in VOID and (tag in INLINE_BAD or _MARKED.search(attributes) and not INLINE_WORDS.isdisjoint(words_of(attributes))):
+            skip.append(tag)
+            skipped[tag] += 1
         elif tag == "a":
             in_link = not closing
         elif tag == "br":
-            parts.append(" ")
+            take(" ")
         elif tag in BLOCK:
             flush()
             in_link = False
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
+                while opened[tag]:
+                    gone = stack[-1][0]
+                    pop()
+                    if gone == tag:
                         break
             elif tag not in VOID:
-                if stack[-1][0] == "p":
-                    stack.pop()
+                if stack[-1][0] == "p" or stack[-1][0] == "head":
+                    pop()
                 while stack[-1][0] in _CLOSES.get(tag, ()):
-                    stack.pop()
-                up, label = stack[-1][1], label_of(tag, attributes or "")
-                last = up.children[-1] if up.children else None
-                if last is None or last.label != label or not (tag in FOLD or "." in label):
-                    last = Node(label)
-                    up.children.append(last)
-                stack.append((tag, last))
+                    pop()
+                up, label = stack[-1][1], label_of(tag, attributes)
+                node = up.children[-1] if up.children else None
+                if node is None or node.label != label or not (tag in FOLD or "." in label):
+                    node = Node(label)
+                    up.children.append(node)
+                stack.append((tag, node))
+                opened[tag] += 1
     flush()
     index = {id(x): i for i, x in enumerate(root.walk())}
     return root, [(index[id(node)], text, link) for node, text, link in out]
 
 
-def matching(a: Node, b: Node) -> int:
-    """Simple tree matching: the most pairs of like-labelled nodes that keep parents and order."""
-    return _match(a, b, {})
-
-
-def _match(a: Node, b: Node, memo: dict) -> int:
-    if a.label != b.label:
-        return 0
-    key = (id(a), id(b))
-    if key not in memo:
-        row = [0] * (len(b.children) + 1)
-        for x in a.children:
+def _scores(a: Node, b: Node) -> dict[tuple[int, int], int]:
+    """Simple tree matching: for pairs of like-labelled nodes the most pairs below them that keep parents and order."""
+    memo: dict[tuple[int, int], int] = {}
+    todo = [(a, b, False)] if a.label == b.label else []
+    while todo:
+        x, y, below = todo.pop()
+        key = (id(x), id(y))
+        if key in memo:
+            continue
+        if not below:
+            todo.append((x, y, True))
+            todo.extend((c, d, False) for c in x.children for d in y.children if c.label == d.label)
+            continue
+        row = [0] * (len(y.children) + 1)
+        for c in x.children:
             new = [0]
-            for j, y in enumerate(b.children):
-                new.append(max(row[j + 1], new[j], row[j] + _match(x, y, memo)))
+            for j, d in enumerate(y.children):
+                new.append(max(row[j + 1], new[j], row[j] + memo.get((id(c), id(d)), 0)))
             row = new
         memo[key] = row[-1] + 1
-    return memo[key]
+    return memo
+
+
+def matching(a: Node, b: Node) -> int:
+    return _scores(a, b).get((id(a), id(b)), 0)
 
 
 def alignment(a: Node, b: Node) -> dict[int, Node]:
     """id(node of b) to the node of a that it is aligned with."""
-    memo: dict = {}
-    out: dict[int, Node] = {}
-
-    def trace(x: Node, y: Node) -> None:
+    if a.shape() == b.shape():
+        return {id(y): x for x, y in zip(a.walk(), b.walk(), strict=True)}
+    memo, out = _scores(a, b), {}
+    todo = [(a, b)] if a.label == b.label else []
+    while todo:
+        x, y = todo.pop()
         out[id(y)] = x
         n, m = len(x.children), len(y.children)
         table = [[0] * (m + 1) for _ in range(n + 1)]
         for i in range(1, n + 1):
             for j in range(1, m + 1):
-                table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + _match(x.children[i - 1], y.children[j - 1], memo))
-        i, j, pairs = n, m, []
+                table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + memo.get((id(x.children[i - 1]), id(y.children[j - 1])), 0))
+        i, j = n, m
         while i and j:
             if table[i][j] == table[i - 1][j]:
                 i -= 1
@@ -199,32 +318,16 @@ def alignment(a: Node, b: Node) -> dict[int, Node]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                pairs.append((x.children[i], y.children[j]))
-        for p, q in pairs:
-            trace(p, q)
-
-    if a.label == b.label:
-        trace(a, b)
+                todo.append((x.children[i], y.children[j]))
     return out
 
 
-def add_counts(to: dict[int, int], more: dict[int, int], counters: int = COUNTERS) -> None:
-    """Merges frequent-item counters (Misra and Gries): what exceeds the number of counters is subtracted from all."""
-    for k, v in more.items():
-        to[k] = to.get(k, 0) + v
-    if len(to) > counters:
-        less = sorted(to.values(), reverse=True)[counters]
-        for k in [k for k, v in to.items() if v <= less]:
-            del to[k]
-        for k in to:
-            to[k] -= less
-
-
 def absorb(template: Node, tree: Node) -> None:
     """Adds a tree's figures to the nodes it is aligned with; others join the template next to their aligned siblings."""
     at = alignment(template, tree)
-
-    def add(to: Node, node: Node) -> None:
+    todo = [(template, tree)]
+    while todo:
+        to, node = todo.pop()
         to.pages += node.pages
         to.chars += node.chars
         to.link_chars += node.link_chars
@@ -236,10 +339,15 @@ def absorb(template: Node, tree: Node) -> None:
                 to.children.insert(place, c)
                 place += 1
             else:
-                add(mate, c)
-                place = next(i for i, x in enumerate(to.children) if x is mate) + 1
+                todo.append((mate, c))
+                place = next(i for i in range(place, len(to.children)) if to.children[i] is mate) + 1
 
-    add(template, tree)
+
+def prune(template: Node, rare: int = RARE) -> None:
+    """Drops the nodes that less than one in ``rare`` of the template's pages have."""
+    for x in template.walk():
+        if any(c.pages * rare < template.pages for c in x.children):
+            x.children = [c for c in x.children if c.pages * rare >= template.pages]
 
 
 def _hash(text: str) -> int:
@@ -251,31 +359,28 @@ def _hash(text: str) -> int:
 def measure(tree: Node, blocks: list[tuple[int, str, int]]) -> None:
     """Puts one page's figures into its tree."""
     nodes = list(tree.walk())
-    for x in nodes:
-        x.pages = 1
     for i, text, links in blocks:
-        x = nodes[i]
-        x.chars += len(text)
-        x.link_chars += links
+        nodes[i].chars += len(text)
+        nodes[i].link_chars += links
     whole = masses(tree)[id(tree)]
     for x in nodes:
-        x.whole = whole
+        x.pages, x.whole = 1, whole
 
 
-def to_json(node: Node, decided: bool = False) -> list:
-    if decided:
-        return [node.label, int(node.content), int(node.counted), [to_json(c, True) for c in node.children]]
-    return [node.label, node.pages, node.chars, node.link_chars, node.whole, [to_json(c) for c in node.children]]
+def to_json(node: Node) -> str:
+    return json.dumps([[d, x.label, x.pages, x.chars, x.link_chars, x.whole] for d, x in node.depths()])
 
 
-def from_json(data: list, decided: bool = False) -> Node:
-    node = Node(data[0])
-    if decided:
-        node.content, node.counted = bool(data[1]), bool(data[2])
-    else:
-        node.pages, node.chars, node.link_chars, node.whole = data[1:5]
-    node.children = [from_json(c, decided) for c in data[-1]]
-    return node
+def from_json(data: str) -> Node:
+    path: list[Node] = []
+    for d, label, *figures in json.loads(data):
+        x = Node(label)
+        x.pages, x.chars, x.link_chars, x.whole = figures
+        if d:
+            path[d - 1].children.append(x)
+        del path[d:]
+        path.append(x)
+    return path[0]
 
 
 def _bad(label: str, inside: bool) -> bool:
@@ -287,66 +392,92 @@ def _bad(label: str, inside: bool) -> bool:
     return tag in BAD_TAGS or not inside and (tag == "header" or "header" in words)
 
 
-def masses(tree: Node) -> dict[int, int]:
-    """id(node) to the characters below it that may be content: not in menus and the like, and not mostly links."""
+def masses(tree: Node, constant: bool = True) -> dict[int, int]:
+    """id(node) to the characters below it that may be content: not in menus and the like, and not mostly links; without those of
+    recurring texts, if constant is False."""
     mass: dict[int, int] = {}
-
-    def weigh(node: Node) -> int:
-        own = 0 if node.link_chars * 2 > node.chars else node.chars
-        mass[id(node)] = 0 if _bad(node.label, True) else own + sum(map(weigh, node.children))
-        return mass[id(node)]
-
-    weigh(tree)
+    for x in reversed(list(tree.walk())):
+        own = 0 if x.link_chars * 2 > x.chars else x.chars - (0 if constant else x.constant)
+        mass[id(x)] = 0 if _bad(x.label, True) else max(own, 0) + sum(mass[id(c)] for c in x.children)
     return mass
 
 
 def regions(template: Node) -> tuple[list[Node], bool]:
-    """The content regions, and whether their labels say so. Of nodes that say so and hold a quarter of the text of the pages
-    that have them, the best one, and others beside it that hold half of it, which are other layouts' regions."""
-    mass = masses(template)
+    """The content regions, and whether their labels say so. Of nodes that say so and hold varying text and a quarter of the text of
+    the pages that have them, the best one, and others beside it that hold half of it, which are other layouts' regions."""
+    mass, varying = masses(template), masses(template, False)
+    if not varying[id(template)]:  # all pages are copies of one
+        varying = mass
+    order = list(template.depths())
+    ends: list[int] = [len(order)] * len(order)  # of each node, the place behind its last descendant
+    path: list[int] = []
+    for i, (d, _) in enumerate(order):
+        for j in path[d:]:
+            ends[j] = i
+        del path[d:]
+        path.append(i)
     good: list[tuple] = []
-
-    def look(node: Node, depth: int, above: tuple[int, ...]) -> None:
-        tag, *words = node.label.split(".")
+    i = 0
+    while i < len(order):
+        depth, node = order[i]
         if _bad(node.label, True):
-            return
-        here = (*above, id(node))
-        if (tag in ("article", "main") or not GOOD_WORDS.isdisjoint(words)) and mass[id(node)] and mass[id(node)] * 4 >= node.whole:
-            good.append((tag == "article" or "articlebody" in words, mass[id(node)], depth, len(good), node, here))
-        for c in node.children:
-            look(c, depth + 1, here)
-
-    look(template, 0, ())
+            i = ends[i]
+            continue
+        tag, *words = node.label.split(".")
+        if (tag in ("article", "main") or not GOOD_WORDS.isdisjoint(words)) and varying[id(node)] and mass[id(node)] * 4 >= node.whole:
+            good.append((tag == "article" or "articlebody" in words, mass[id(node)], depth, len(good), node, i))
+        i += 1
     taken: list[tuple] = []
     for g in sorted(good, key=lambda g: g[:4], reverse=True):
-        apart = all(id(g[4]) not in t[5] and id(t[4]) not in g[5] for t in taken)
+        apart = all(not (t[5] <= g[5] < ends[t[5]] or g[5] <= t[5] < ends[g[5]]) for t in taken)
         if not taken or apart and mass[id(g[4])] * 2 >= g[4].whole:
             taken.append(g)
     if taken:
         return [g[4] for g in taken], True
-    # down to where the text spreads over several children
+    # down to where the varying text spreads over several children
     region = template
-    while region.children and (best := max(region.children, key=lambda c: mass[id(c)])) and mass[id(best)] * 10 >= 8 * mass[id(region)] and best.children:
+    while region.children and (best := max(region.children, key=lambda c: varying[id(c)])) and varying[id(best)] * 10 >= 8 * varying[id(region)] and best.children:
         region = best
     return [region], False
 
 
 def decide(template: Node) -> None:
-    """Marks the content slots of a template and the nodes whose texts are counted."""
-    found, good = regions(template)
-
-    def mark(node: Node, inside: bool) -> None:
-        if _bad(node.label, inside):
-            return
-        tag = node.label.split(".")[0]
-        node.content = not (tag in ("li", "ul", "ol", "td", "div") and node.link_chars * 10 > node.chars * 7)
-        for c in node.children:
-            mark(c, inside)
-
-    for region in found:
-        mark(region, good)
-    for node in template.walk():
-        node.counted = node.pages >= MIN_PAGES and not _bad(node.label, True)
+    """Marks the content slots of a template whose recurring texts are known."""
+    found, labelled = regions(template)
+    mass, varying = masses(template), masses(template, False)
+    of = [template] if not labelled else found
+    total, own = (sum(m[id(x)] for x in of) for m in (mass, varying))
+    if own < LEFT_HOST * total:  # copies of one article
+        for x in template.walk():
+            x.constants, x.constant = frozenset(), 0
+        (found, labelled), own = regions(template), total
+    template.typical = own / max(1, template.pages)
+    todo = list(found)
+    while todo:
+        node = todo.pop()
+        if not _bad(node.label, labelled):
+            tag = node.label.split(".")[0]
+            node.content = not (tag in ("li", "ul", "ol", "td", "div") and node.link_chars * 10 > node.chars * 7)
+            todo.extend(node.children)
+
+
+def slots(template: Node, tree: Node) -> list[tuple[bool, frozenset]]:
+    """Of every node of a page's tree, whether it is content and what recurs there; a node that the template lacks is what its parent is."""
+    at = alignment(template, tree)
+    out: dict[int, tuple[bool, frozenset]] = {}
+    order = []
+    above: dict[int, Node] = {}
+    for x in tree.walk():
+        mate = at.get(id(x))
+        if mate is not None:
+            out[id(x)] = mate.content, mate.constants
+        else:
+            up = above.get(id(x))
+            out[id(x)] = up is not None and out[id(up)][0] and not _bad(x.label, True), frozenset()
+        for c in x.children:
+            above[id(c)] = x
+        order.append(out[id(x)])
+    return order
 
 
 def extract(template: Node, html: str | None, cache: dict[str, list] | None = None) -> list[str]:
@@ -355,9 +486,10 @@ def extract(template: Node, html: str | None, cache: dict[str, list] | None = No
     shape = tree.shape()
     found = cache.get(shape) if cache is not None else None
     if found is None:
-        at = alignment(template, tree)
-        found = [(at[id(x)].content, at[id(x)].constants) if id(x) in at else (False, frozenset()) for x in tree.walk()]
+        found = slots(template, tree)
         if cache is not None:
+            if len(cache) >= 5000:
+                cache.clear()
             cache[shape] = found
     if not any(content for content, _ in found):  # a layout without any of the regions
         measure(tree, blocks)
@@ -365,17 +497,23 @@ def extract(template: Node, html: str | None, cache: dict[str, list] | None = No
         found = [(x.content, c) for x, (_, c) in zip(tree.walk(), found, strict=True)]
     texts = [(text, _hash(text) in found[i][1] if found[i][1] else False) for i, text, _ in blocks if found[i][0]]
     kept = [t for t, recurs in texts if not recurs]
-    if sum(map(len, kept)) * 2 < sum(len(t) for t, _ in texts):  # copies of one article, not a template
+    if sum(map(len, kept)) < LEFT * min(sum(len(t) for t, _ in texts), template.typical):  # a copy of an article, not a template's text
         kept = [t for t, _ in texts]
     return kept
 
 
-_LAYOUT = "host string, layout string"
+_LAYOUT, _TEMPLATE = "host string, shape string, layout string", "host string, shape string, layout string, pages long"
 
 
 def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each host and layout of the task's pages."""
     seen: dict[tuple[str, str], Node] = {}
+    nodes = 0
+
+    def given() -> pa.RecordBatch:
+        cols = [[k[0] for k in seen], [k[1] for k in seen], [to_json(v) for v in seen.values()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["host", "shape", "layout"])
+
     for batch in batches:
         for host, html in zip(batch["host"], batch["html"], strict=True):
             tree, blocks = parse(html.as_py())
@@ -385,75 +523,83 @@ def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 absorb(seen[key], tree)
             else:
                 seen[key] = tree
-        if len(seen) > 20_000:
-            yield _layout_batch(seen)
-            seen = {}
-    yield _layout_batch(seen)
-
-
-def _layout_batch(seen: dict[tuple[str, str], Node]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([json.dumps(to_json(v)) for v in seen.values()], pa.string())], names=["host", "layout"])
+                nodes += sum(1 for _ in tree.walk())
+            if nodes > HELD_NODES:
+                yield given()
+                seen, nodes = {}, 0
+    yield given()
 
 
 def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a host, one after another, become its template."""
+    """Rows of a host and part, one after another, become one."""
 
-    def batch_of(hosts: list[str], nodes: list[Node]) -> pa.RecordBatch:
-        for x in nodes:
-            decide(x)
-        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([json.dumps(to_json(x, True)) for x in nodes], pa.string())], names=["host", "layout"])
+    def given(rows: list[tuple[str, Node]]) -> pa.RecordBatch:
+        for _, x in rows:
+            prune(x)
+        cols = [pa.array([h for h, _ in rows], pa.string()), pa.array([x.shape() for _, x in rows], pa.string()), pa.array([to_json(x) for _, x in rows], pa.string()), pa.array([x.pages for _, x in rows], pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=["host", "shape", "layout", "pages"])
 
     now, template = None, None
     for batch in batches:
-        hosts, nodes = [], []
-        for host, layout in zip(batch["host"].to_pylist(), batch["layout"].to_pylist(), strict=True):
-            tree = from_json(json.loads(layout))
-            if host == now and template is not None:
+        done = []
+        for host, part, layout in zip(*(batch[c].to_pylist() for c in ("host", "part", "layout")), strict=True):
+            tree = from_json(layout)
+            if (host, part) == now:
                 absorb(template, tree)
                 continue
             if template is not None:
-                hosts.append(now)
-                nodes.append(template)
-            now, template = host, tree
-        if hosts:
-            yield batch_of(hosts, nodes)
+                done.append((now[0], template))
+            now, template = (host, part), tree
+        if done:
+            yield given(done)
     if template is not None:
-        yield batch_of([now], [template])
+        yield given([(now[0], template)])
 
 
-def induce(pages: DataFrame) -> DataFrame:
-    """(host, layout): the decided template of every host of pages(host, html)."""
-    layouts = pages.select("host", "html").mapInArrow(_layouts, _LAYOUT)
-    # larger layouts first: later ones then find their mates
-    ordered = layouts.repartition("host").sortWithinPartitions("host", F.length("layout").desc(), "layout")
-    return ordered.mapInArrow(_templates, _LAYOUT)
+def induce(pages: DataFrame, *, merge: int | None = None) -> DataFrame:
+    """(host, layout, pages): the template of every host of pages(host, html). Equal layouts are merged in one task, and no task
+    merges many more than ``merge`` of a host in a round."""
+    layouts = written(pages.select("host", "html").mapInArrow(_layouts, _LAYOUT), "layouts")
+    while True:
+        most = layouts.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        parts = max(1, -(-most // (merge or MERGE)))
+        dealt = layouts.withColumn("part", F.pmod(F.xxhash64("shape"), F.lit(parts))).repartition("host", "part")
+        # larger layouts first: later ones then find their mates
+        ordered = dealt.sortWithinPartitions("host", "part", F.length("shape").desc(), "shape").select("host", "part", "layout")
+        layouts = written(ordered.mapInArrow(_templates, _TEMPLATE), "templates")
+        if parts == 1:
+            return layouts.select("host", "layout", "pages")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many of the task's pages have a text at a node of their template; text -1 stands for pages that have the node."""
     known: dict[str, tuple[Node, dict[str, list[int]]]] = {}
-    held: dict[tuple[str, int, int], int] = {}
+    held: dict[tuple[str, int, int], list[int]] = {}
 
     def given() -> pa.RecordBatch:
         cols = [pa.array([k[i] for k in held], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(held.values(), pa.int64())], names=["host", "node", "text", "n"])
+        figures = [pa.array([v[i] for v in held.values()], pa.int64()) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([*cols, *figures], names=["host", "node", "text", "n", "chars"])
 
     for batch in batches:
         for host, layout, html in zip(batch["host"].to_pylist(), batch["layout"].to_pylist(), batch["html"], strict=True):
             if layout not in known:
                 if len(known) >= 2000:
                     known.clear()
-                known[layout] = (from_json(json.loads(layout), True), {})
+                known[layout] = (from_json(layout), {})
             template, cache = known[layout]
             tree, blocks = parse(html.as_py())
             shape = tree.shape()
             if shape not in cache:
-                at, place = alignment(template, tree), {id(x): i for i, x in enumerate(template.walk()) if x.counted}
+                if len(cache) >= 5000:
+                    cache.clear()
+                at = alignment(template, tree)
+                place = {id(x): i for i, x in enumerate(template.walk()) if x.pages >= MIN_PAGES and not _bad(x.label, True)}
                 cache[shape] = [place.get(id(at.get(id(x))), -1) for x in tree.walk()]
             nodes = cache[shape]
-            seen = {(host, i, -1) for i in nodes if i >= 0} | {(host, nodes[i], _hash(text)) for i, text, _ in blocks if nodes[i] >= 0}
-            for key in seen:
-                held[key] = held.get(key, 0) + 1
+            seen = {(host, i, -1): 0 for i in nodes if i >= 0} | {(host, nodes[i], _hash(text)): len(text) for i, text, _ in blocks if nodes[i] >= 0}
+            for key, chars in seen.items():
+                held.setdefault(key, [0, chars])[0] += 1
             if len(held) > HELD_COUNTS:
                 yield given()
                 held.clear()
@@ -461,12 +607,23 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def recurring(met: DataFrame) -> DataFrame:
-    """(host, constants): JSON of [node, text hash] of what recurs, of pages met(host, layout, html)."""
-    n = met.select("host", "layout", "html").mapInArrow(_counts, "host string, node int, text long, n long").groupBy("host", "node", "text").agg(F.sum("n").alias("n"))
+    """(host, constants): JSON of [node, text hash, characters on all pages] of what recurs, of pages met(host, layout, html)."""
+    n = met.select("host", "layout", "html").mapInArrow(_counts, "host string, node int, text long, n long, chars long").groupBy("host", "node", "text").agg(F.sum("n").alias("n"), F.max("chars").alias("chars"))
     n = written(n.where(f"text = -1 or n >= {SHARE * MIN_PAGES}"), "counts")
     of = n.where((F.col("text") == -1) & (F.col("n") >= MIN_PAGES)).select("host", "node", F.col("n").alias("pages"))
     own = n.where("text <> -1").join(of, ["host", "node"]).where(F.col("n") >= F.col("pages") * SHARE)
-    return own.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array(F.col("node").cast("long"), "text")))).alias("constants"))
+    return own.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array(F.col("node").cast("long"), "text", F.col("n") * F.col("chars"))))).alias("constants"))
+
+
+def decided(layout: str, constants: str | None) -> Node:
+    """A host's template with its recurring texts and content slots."""
+    template = from_json(layout)
+    nodes = list(template.walk())
+    for i, text, chars in json.loads(constants or "[]"):
+        nodes[i].constants |= {text}
+        nodes[i].constant += chars
+    decide(template)
+    return template
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,32 +635,32 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if key not in known:
                 if len(known) >= 2000:
                     known.clear()
-                template = from_json(json.loads(key[0]), True)
-                nodes = list(template.walk())
-                for i, text in json.loads(key[1] or "[]"):
-                    nodes[i].constants |= {text}
-                known[key] = (template, {})
+                known[key] = (decided(*key), {})
             texts.append(" ".join(extract(known[key][0], html.as_py(), known[key][1])))
         yield pa.RecordBatch.from_arrays([batch["row"], pa.array(texts, pa.string())], names=["row", "text"])
 
 
-def _met(rows: DataFrame, templates: DataFrame, chars: int, salts: int) -> DataFrame:
-    """Pages with their host's template, which is broadcast unless the templates are large."""
-    if chars <= BROADCAST_CHARS:
-        return rows.join(F.broadcast(templates), "host")
-    dealt = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(salts)).cast("int")).join(dealt, ["host", "salt"])
+def _met(rows: DataFrame, templates: DataFrame, *cols: str) -> DataFrame:
+    """Pages with their host's template. Of the templates those of most pages, as many as may be broadcast, meet their pages where these
+    lie; only the pages of the other hosts, of which each has few, are shuffled."""
+    sizes = [0, *(100 * 10**i for i in range(10))]
+    length = sum((F.length(c) for c in cols), F.lit(0))
+    chars = templates.agg(*[F.sum(F.when(F.col("pages") > s, length)) for s in sizes]).first()
+    size = next((s for s, c in zip(sizes, chars, strict=True) if (c or 0) <= BROADCAST_CHARS), sizes[-1])
+    large = F.broadcast(templates.where(F.col("pages") > size).drop("pages"))
+    if not size:
+        return rows.join(large, "host")
+    rest = rows.join(large.select("host"), "host", "left_anti").join(templates.where(F.col("pages") <= size).drop("pages"), "host")
+    return rows.join(large, "host").unionByName(rest)
 
 
-def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", salts: int = 16) -> DataFrame:
+def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     small_batches(pages.sparkSession)
     rows = pages.select(F.struct(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).alias("row"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    templates = written(induce(rows), "templates")
-    size = lambda t, *cols: t.agg(F.sum(sum((F.length(c) for c in cols), F.lit(0)))).first()[0] or 0
-    counted = recurring(_met(rows, templates, size(templates, "layout"), salts))
+    templates = induce(rows)
+    counted = recurring(_met(rows, templates, "layout"))
     templates = written(templates.join(counted, "host", "left").withColumn("constants", F.coalesce("constants", F.lit("[]"))), "templates")
-    met = _met(rows, templates, size(templates, "layout", "constants"), salts)
     row = rows.schema["row"].dataType.simpleString()
-    out = met.select("row", "layout", "constants", "html").mapInArrow(_extracted, f"row {row}, text string")
+    out = _met(rows, templates, "layout", "constants").select("row", "layout", "constants", "html").mapInArrow(_extracted, f"row {row}, text string")
     return out.select("row.*", "text", F.length("text").cast("long").alias("n_chars"))
