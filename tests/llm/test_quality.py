@@ -108,6 +108,20 @@ def test_thresholds_adapt(spark):
             assert f["high"] == pytest.approx(high, rel=0.25, abs=0.02) and f["low"] == pytest.approx(low, rel=0.3, abs=0.3)
 
 
+@pytest.mark.parametrize("min_documents", [1, 60, 10_000])
+def test_rules_equal_sql(spark, monkeypatch, min_documents):
+    import duckdb
+
+    monkeypatch.setattr(quality_rules.thresholds, "__kwdefaults__", {"min_documents": min_documents})
+    rows = [r[:4] for r in docs(3)] + [(1000 + i, t, r, s) for i, (t, r, s) in enumerate(zip(texts(5), ["en", None, "xx"] * 30, ["s1", "s2", None, "s3"] * 30))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
+    rel = con.sql(quality_rules.oracle_sql(min_documents))
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(repr, (tuple(x[c] for c in rel.columns) for x in got.collect()))) == sorted(map(repr, rel.fetchall()))
+
+
 def test_rules_keep_good_and_drop_junk(spark):
     rows = docs(2)
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame([r[:4] for r in rows], SCHEMA)).collect()}

@@ -18,10 +18,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD, small, text_or_empty, written
+from textloom.llm.common import WORD, hot_join, small, text_or_empty, written
 
 #: Rows that one task adds up in order.
 BUCKET_ROWS = 20_000
+#: Sources whose last documents may be broadcast.
+SOURCES = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -78,9 +80,8 @@ def _key(e: int) -> Column:
     return F.struct(F.col(f"finish_{e}").alias("finish"), F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("~")).alias("source"), F.lit(e).alias("epoch"), F.col(f"place_{e}").alias("place"), F.col("id").alias("id"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
-    """One row per document: id, source, size, source_size, target, taken, epochs (times it is in the mix) and the
-    finish time of its first epoch."""
+def _mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "mix") -> tuple[DataFrame, int, list[Column]]:
+    """The timed documents, the number of sources, and of each epoch whether a document's place is in the mix."""
     size = word_count(text_or_empty(text_col)) if size is None else size
     sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "sized")
     by = written(targets(sized, weights=weights, share=share, most=most).coalesce(1), "targets")
@@ -109,10 +110,16 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
             kinds = timed.select(_key(0).alias("key")).schema["key"].dataType
             key = F.struct(*[F.lit(last[f.name]).cast(f.dataType).alias(f.name) for f in kinds.fields])
             within = lambda e: _key(e) <= key
-    epochs = sum((within(e).cast("int") for e in range(1, most)), within(0).cast("int"))
+    return timed, n_sources, [within(e) for e in range(most)]
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: id, source, size, source_size, target, taken, epochs (times it is in the mix) and the
+    finish time of its first epoch."""
+    timed, _, within = _mixed(docs, **options)
+    epochs = sum((w.cast("int") for w in within[1:]), within[0].cast("int"))
     out = timed.withColumn("epochs", epochs).withColumn("taken", F.col("size") * F.col("epochs")).withColumnRenamed("finish_0", "finish")
-    out = out.select("id", "source", "size", "source_size", "target", "taken", "epochs", "finish")
-    return out
+    return out.select("id", "source", "size", "source_size", "target", "taken", "epochs", "finish")
 
 
 def mixed_stream(docs: DataFrame, **options) -> DataFrame:
@@ -127,14 +134,19 @@ def op10(docs: DataFrame) -> DataFrame:
     return mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents of the mix with their own columns, each as often as it is taken. Rows of the same id, source and
-    size are taken equally often: as often as the one of them that comes first."""
-    made = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    made = made.where("epochs > 0").groupBy(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("epochs").alias("__epochs"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(id_col).alias("__a"), F.col(source_col).cast("string").alias("__b"), word_count(text_or_empty(text_col)).alias("__c"))
-    same = F.col("__a").eqNullSafe(F.col("__id")) & F.col("__b").eqNullSafe(F.col("__source")) & (F.col("__c") == F.col("__size"))
-    return rows.join(made, same).withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select("__doc.*")
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", seed: str = "mix", **options) -> DataFrame:
+    """The documents of the mix with their own columns, each as often as it is taken. What an epoch takes of a source is the start of
+    its order, so its last document tells the others: a row a source, and no text is shuffled while sources are few. Rows of the
+    same id and source are taken equally often: as often as the one of them that comes first."""
+    timed, n_sources, within = _mixed(docs, id_col=id_col, source_col=source_col, seed=seed, **options)
+    at = lambda e, id_: F.struct(_place(id_, e, seed).alias("place"), F.col(id_).alias("id"))
+    own = lambda c: F.coalesce(F.concat(F.lit("+"), c.cast("string")), F.lit("-")).alias("__key")
+    last = written(timed.groupBy(own(F.col("source"))).agg(F.count(F.lit(1)).alias("__n"), *[F.max(F.when(w, at(e, "id"))).alias(f"__last_{e}") for e, w in enumerate(within)]), "last")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(id_col).alias("__id"), own(F.col(source_col)))
+    met = rows.join(F.broadcast(last), "__key") if n_sources <= SOURCES else hot_join(rows, last, "__key", "__n", F.xxhash64("__id"))
+    epochs = sum((F.coalesce(at(e, "__id") <= F.col(f"__last_{e}"), F.lit(False)).cast("int") for e in range(len(within))), F.lit(0))
+    taken = met.withColumn("__epochs", epochs).where("__epochs > 0")
+    return taken.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select("__doc.*")
 
 
 ORACLE_SQL = """

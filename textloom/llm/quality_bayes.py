@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import small, small_batches, text_or_empty, written
+from textloom.llm.common import BROADCAST_ROWS, hot_join, small_batches, text_or_empty, written
 from textloom.llm.quality_rules import CHUNK_CHARS, base_figures
 
 FIT_ROWS = 20_000
@@ -156,16 +156,22 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     scored = rows.select("doc_id", "host", "path", odds.alias("odds"), (1 / (1 + F.exp(-odds))).alias("p"))
     sums = [F.count(F.lit(1)).alias("n"), F.sum("p").alias("total"), F.sum(F.col("p") * F.col("p")).alias("squares")]
     paths = written(scored.groupBy("host", "path").agg(*sums), "paths")
-    hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares")])
+    hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares")], F.count(F.lit(1)).alias("paths"))
     n, total = paths.agg(F.sum("n"), F.sum("total")).first()
     every = total / n if n else 0.5
     k_host = _strength(hosts.withColumn("every", F.lit(every)), "every")
-    hosts = hosts.select(F.col("host").alias("h"), ((k_host * every + F.col("total")) / (k_host + F.col("n"))).alias("host_quality"), (F.col("total") / F.col("n")).alias("host_mean"))
-    paths = written(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h"), "paths")
+    own = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c)), F.lit("-"))  # noqa: E731  # of a group, never null
+    hosts = hosts.select(own("host").alias("hk"), F.col("paths"), ((k_host * every + F.col("total")) / (k_host + F.col("n"))).alias("host_quality"), (F.col("total") / F.col("n")).alias("host_mean"))
+    hosts = written(hosts, "hosts")
+    paths = written(hot_join(paths.withColumn("hk", own("host")), hosts, "hk", "paths", F.xxhash64("path")).drop("paths"), "paths")
     k_path = _strength(paths, "host_mean")
-    paths = paths.select(F.col("host").alias("h"), F.col("path").alias("q"), "n", "total", "host_quality")
+    paths = paths.select("hk", own("path").alias("pk"), "n", "total", "host_quality")
 
-    out = scored.join(small(paths, paths.count()), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q"))).drop("h", "q")
+    keyed = scored.select("*", own("host").alias("hk"), own("path").alias("pk"))
+    if paths.count() <= BROADCAST_ROWS:
+        out = keyed.join(F.broadcast(paths), ["hk", "pk"])
+    else:
+        out = hot_join(keyed, paths, ["hk", "pk"], "n", F.xxhash64("doc_id"))
     posterior = lambda total, n: (k_path * F.col("host_quality") + total) / (k_path + n)
     others = posterior(F.col("total") - F.col("p"), F.col("n") - 1)
     combined = F.col("odds") + _odds(others) - _odds(F.lit(every))

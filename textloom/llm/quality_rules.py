@@ -20,11 +20,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import small, small_batches, text_or_empty, written
+from textloom.llm.common import hot_join, small_batches, text_or_empty, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 GAMMA, LEAST = 1.02, 1e-3
 SPREAD, MIN_DOCUMENTS = 6.0, 200
+#: Cells (with their fences) that may be broadcast.
+CELLS = 20_000
 #: ratio: (slack, whether there is a lower fence)
 SLACK = {"symbols_per_word": (0.1, False), "word_length": (0.75, True), "duplicate_lines": (0.5, False), "stuttered_words": (0.2, False)}
 #: Characters that one pass of the word arrays handles.
@@ -158,15 +160,24 @@ def thresholds(rows: DataFrame, *, min_documents: int = MIN_DOCUMENTS) -> DataFr
     out = own.join(langs, F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("k", F.lit(1)).join(F.broadcast(every), "k", "left")
     level = F.when(F.col("n") >= min_documents, 0).when(F.col("n_lang") >= min_documents, 1).otherwise(2)
     fences = F.when(level == 0, F.col("fences")).when(level == 1, F.col("of_lang")).otherwise(F.col("of_all"))
-    return out.select("lang", "source", fences.alias("fences"), level.alias("level"))
+    return out.select("lang", "source", fences.alias("fences"), level.alias("level"), "n")
 
 
-def judged(rows: DataFrame, by_cell: DataFrame) -> DataFrame:
+def _keys(lang: str, source: str) -> list[Column]:
+    """Of a cell, two strings that are never null."""
+    return [F.coalesce(F.concat(F.lit("+"), F.col(c)), F.lit("-")).alias(k) for c, k in ((lang, "__lk"), (source, "__sk"))]
+
+
+def judged(rows: DataFrame, by_cell: DataFrame, spread: Column) -> DataFrame:
     """rows of `measured` with __base_failed, __kept and the failed ratios. Cells without a document that passes the base
-    rules have no fences; none of their rows is kept anyway."""
-    cells = by_cell.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), F.col("fences").alias("__fences"), F.col("level").alias("__level"))
-    same = F.col("__lang").eqNullSafe(F.col("__l")) & F.col("__source").eqNullSafe(F.col("__s"))
-    out = rows.join(small(cells, cells.count(), 20_000), same, "left").drop("__l", "__s")
+    rules have no fences; none of their rows is kept anyway. Beyond ``CELLS`` cells the rows of large ones are dealt over tasks by
+    ``spread``."""
+    cells = by_cell.select(*_keys("lang", "source"), F.col("fences").alias("__fences"), F.col("level").alias("__level"), F.col("n").alias("__cell_n"))
+    keyed = rows.select("*", *_keys("__lang", "__source"))
+    if by_cell.count() <= CELLS:
+        out = keyed.join(F.broadcast(cells), ["__lk", "__sk"], "left")
+    else:
+        out = hot_join(keyed, cells, ["__lk", "__sk"], "__cell_n", spread, how="left")
     out = out.withColumn("__base_failed", _base_failed(F.col("__base")))
     failed = F.array(*[F.when((v < F.col("__fences")[k]["low"]) | (v > F.col("__fences")[k]["high"]), F.lit(k)) for k, v in _ratios(F.col("__base")).items()])
     out = out.withColumn("__failed", F.array_compact(failed))
@@ -177,12 +188,67 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", **columns: str) ->
     """One row per document: doc_id, base figures, base_failed, kept, the ratios that failed and the sketch's level."""
     rows = written(measured(docs, carry=[F.col(id_col).alias("doc_id")], **columns), "measured")
     by_cell = written(thresholds(rows), "fences")
-    out = judged(rows, by_cell)
-    return out.select("doc_id", "__base.*", F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__failed").alias("failed"), F.col("__level").alias("level"))
+    out = judged(rows, by_cell, F.xxhash64("doc_id"))
+    return out.select("doc_id", "__base.*", F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.array_join("__failed", ",").alias("failed"), F.col("__level").alias("level"))
 
 
 def kept_documents(docs: DataFrame, **columns: str) -> DataFrame:
-    """The documents that pass, with their own columns. The figures are computed twice rather than joined: no text is shuffled."""
-    by_cell = written(thresholds(measured(docs, carry=[], **columns)), "fences")
-    rows = measured(docs, carry=[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")], **columns)
-    return judged(rows, by_cell).where("__kept").select("__doc.*")
+    """The documents that pass, with their own columns. Documents are written once with their figures, which the thresholds and the
+    verdicts read; no text is shuffled while the cells are few."""
+    rows = written(measured(docs, carry=[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")], **columns), "measured")
+    by_cell = written(thresholds(rows), "fences")
+    return judged(rows, by_cell, F.xxhash64("__base.word_chars", "__base.n_words")).where("__kept").select("__doc.*")
+
+
+def oracle_sql(min_documents: int = MIN_DOCUMENTS) -> str:
+    """The same in DuckDB's SQL, over documents of different ids."""
+    forms = {"symbols_per_word": "n_symbols / w", "word_length": "word_chars / w", "duplicate_lines": "n_dup_lines / l", "stuttered_words": "n_stuttered / w"}
+    rules = ", ".join(f"({i}, '{k}', {slack}::DOUBLE, {str(low).lower()})" for i, (k, (slack, low)) in enumerate(SLACK.items()))
+    values = " UNION ALL ".join(f"SELECT doc_id, lk, sk, base_failed, '{k}' AS ratio, {form} AS value FROM counted" for k, form in forms.items())
+    word = "[^\\x20\\x09-\\x0D]"
+    return f"""
+WITH docs AS (
+  SELECT doc_id, coalesce('+' || lang, '-') AS lk, coalesce('+' || source, '-') AS sk, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT *, regexp_extract_all(text, '{word}+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS ls FROM docs
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM words)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM windows) WHERE c > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range({WINDOW}) t(j) GROUP BY doc_id
+), base AS (
+  SELECT doc_id, lk, sk, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+         len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+         len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1]))::BIGINT AS n_stuttered
+  FROM words LEFT JOIN covered c USING (doc_id)
+), counted AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, greatest(n_words, 1)::DOUBLE AS w, greatest(n_lines, 1)::DOUBLE AS l FROM base
+), ratios AS ({values}),
+rules(place, ratio, slack, lower) AS (VALUES {rules}),
+cells AS (
+  SELECT lk, sk, ratio, CASE WHEN value < {LEAST}::DOUBLE THEN 0 ELSE ceil(ln(value / {LEAST}::DOUBLE) / {float(np.log(GAMMA))!r}::DOUBLE) + 1 END::INT AS bucket, count(*) AS n
+  FROM ratios WHERE NOT base_failed GROUP BY ALL
+), merged AS (
+  SELECT 0 AS level, lk, sk, ratio, bucket, n FROM cells
+  UNION ALL SELECT 1, lk, '', ratio, bucket, sum(n) FROM cells GROUP BY lk, ratio, bucket
+  UNION ALL SELECT 2, '', '', ratio, bucket, sum(n) FROM cells GROUP BY ratio, bucket
+), seen AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lk, sk, ratio ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY level, lk, sk, ratio) AS every,
+         CASE WHEN bucket = 0 THEN 0.0::DOUBLE ELSE {LEAST}::DOUBLE * pow({GAMMA}::DOUBLE, bucket - 1) END AS value FROM merged
+), quantiles AS (
+  SELECT level, lk, sk, ratio, min(value) FILTER (seen >= 0.1::DOUBLE * every) AS q10, min(value) FILTER (seen >= 0.5::DOUBLE * every) AS q50, max(every) AS n FROM seen GROUP BY level, lk, sk, ratio
+), fences AS (
+  SELECT level, lk, sk, ratio, place, n, CASE WHEN lower THEN q50 - ({SPREAD}::DOUBLE * (q50 - q10) + slack) ELSE '-infinity'::DOUBLE END AS low, q50 + ({SPREAD}::DOUBLE * (q50 - q10) + slack) AS high
+  FROM quantiles JOIN rules USING (ratio)
+), chosen AS (
+  SELECT a.lk, a.sk, CASE WHEN max(a.n) >= {min_documents} THEN 0 WHEN max(b.n) >= {min_documents} THEN 1 ELSE 2 END AS level
+  FROM fences a JOIN fences b ON b.level = 1 AND b.lk = a.lk WHERE a.level = 0 GROUP BY a.lk, a.sk
+), broken AS (
+  SELECT r.doc_id, string_agg(r.ratio, ',' ORDER BY f.place) AS failed
+  FROM ratios r JOIN chosen c USING (lk, sk) JOIN fences f ON f.level = c.level AND f.ratio = r.ratio AND f.lk = CASE WHEN c.level < 2 THEN r.lk ELSE '' END AND f.sk = CASE WHEN c.level < 1 THEN r.sk ELSE '' END
+  WHERE r.value < f.low OR r.value > f.high GROUP BY r.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stuttered, base_failed, NOT base_failed AND b.failed IS NULL AS kept, coalesce(b.failed, '') AS failed, c.level::INT AS level
+FROM counted LEFT JOIN broken b USING (doc_id) LEFT JOIN chosen c USING (lk, sk)
+"""

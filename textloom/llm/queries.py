@@ -41,7 +41,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(read(spark, sf_dir, "pages"))
+    return url_filter.judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,4 +57,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_scan.oracle_sql(), "op4_chat_format": chat.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {"op2_quality_rules": quality_rules.oracle_sql(), "op8_url_filter": url_filter.oracle_sql(), "op3_license_scan": license_scan.oracle_sql(), "op4_chat_format": chat.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}

@@ -21,14 +21,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import small, written
+from textloom.llm.common import BROADCAST_ROWS, HOT_ROWS, hot_join, small, written
 
 #: (rule, verdict); production rules of op8
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DAMPING, ITERATIONS, TOLERANCE, THRESHOLD = 0.85, 60, 1e-3, 0.05
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: href and src of links; one group for each way of quoting
-_HREF = r"""(?i)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+#: What holds no links: comments, scripts and styles, to the end of the page if they aren't closed.
+_UNREAD = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+#: A link's address, with its quotes.
+_HREF = r"""(?is)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -53,7 +55,8 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
 
 def host_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst, n): links from pages of one host to another."""
-    links = F.flatten(F.array(*[F.regexp_extract_all(F.col(html_col), F.lit(_HREF), g) for g in (1, 2, 3)]))
+    read = F.regexp_replace(F.col(html_col), _UNREAD, " ")
+    links = F.transform(F.regexp_extract_all(read, F.lit(_HREF), 1), lambda x: F.btrim(x, F.lit("\"' \t\r\n")))
     full = F.transform(links, lambda x: F.when(x.startswith("//"), F.concat(F.lit("http:"), x)).otherwise(x))
     full = F.filter(full, lambda x: x.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"))
     rows = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(full).alias("link")).withColumn("dst", host_of(F.col("link")))
@@ -68,13 +71,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, i
     written to the shared folder. Ends when what changes is less than ``tolerance``: in all hosts together if they divide,
     in any of them if they take means. Either shrinks by ``damping`` a round at least, so no host is further than
     tolerance * damping / (1 - damping) from its score, whatever else the tables hold."""
-    all_n = edges.groupBy(per).agg(F.sum("n").alias("all"))
-    share = written(edges.join(all_n, per).select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "edges")
+    sums = [F.sum("n").alias("all"), F.count(F.lit(1)).alias("links")]
+    with_all = hot_join(edges, written(edges.groupBy(per).agg(*sums), "sums"), per, "links", F.xxhash64("src", "dst"))
+    # the links of a hub lie in several tasks, to each of which its score is copied
+    degree = written(edges.groupBy("src").agg(F.count(F.lit(1)).alias("links")).where(F.col("links") > HOT_ROWS).select("src", F.ceil(F.col("links") / F.lit(float(HOT_ROWS))).cast("int").alias("salts")), "hubs")
+    hubs = small(degree, degree.count())
+    salt = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("salts").cast("long")).cast("int"), F.lit(0)).alias("salt")
+    share = written(with_all.join(hubs, "src", "left").select("src", salt, "dst", (F.col("n") / F.col("all")).alias("share")), "edges")
     scores, most = seeds.select("host", F.col("seed").alias("score")), F.sum if per == "src" else F.max
     if seeds.isEmpty() or share.isEmpty():
         return scores
     for _ in range(iterations):
-        sent = scores.join(share, scores["host"] == share["src"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share") * damping).alias("got"))
+        dealt = scores.withColumnRenamed("host", "src").join(hubs, "src", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+        sent = dealt.join(share, ["src", "salt"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share") * damping).alias("got"))
         new = seeds.join(sent, seeds["host"] == sent["dst"], "full_outer").select(F.coalesce("host", "dst").alias("host"), (F.coalesce("seed", F.lit(0.0)) + F.coalesce("got", F.lit(0.0))).alias("score"))
         new = written(new, "scores")
         old = scores.select("host", F.col("score").alias("old"))
@@ -100,6 +109,49 @@ def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, id_col:
     scores = scores.join(exposure.select("host", F.col("score").alias("exposure")), "host", "full_outer").join(by_host, "host", "left").na.fill(0.0)
     received = [(F.col(score) - F.col(seed)).alias(score) for score, seed in (("trust", "good"), ("distrust", "bad"), ("exposure", "bad"))]
     scores = written(scores.select("host", *received), "verdicts")
-    out = rows.join(small(scores, scores.count()), "host", "left").na.fill(0.0, ["trust", "distrust", "exposure"])
+    n = scores.count()
+    if n <= BROADCAST_ROWS:
+        out = rows.join(F.broadcast(scores), "host", "left")
+    else:
+        sized = written(scores.join(rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "host"), "verdicts")
+        out = hot_join(rows, sized, "host", "pages", F.xxhash64("page_id", "path"), how="left")
+    out = out.na.fill(0.0, ["trust", "distrust", "exposure"])
     by_method = F.when((F.col("exposure") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("fits.rule").alias("rule"), F.coalesce("fits.verdict", by_method).alias("verdict"), "trust", "distrust")
+
+
+def oracle_sql(rules: Sequence[tuple[str, str]] = RULES, damping: float = DAMPING, threshold: float = THRESHOLD, rounds: int = ITERATIONS) -> str:
+    """The verdicts in DuckDB's SQL: what a host receives is the sum, over paths of 1 to ``rounds`` links, of damped shares."""
+    host = "translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    table = ", ".join(f"({quoted(r)}, {quoted(r[: r.index('/')] if '/' in r else r)}, {quoted(r[r.index('/') :] if '/' in r else '')}, {quoted(v)})" for r, v in rules)
+    found = f"list_transform(regexp_extract_all(regexp_replace(html, {quoted(_UNREAD)}, ' ', 'g'), {quoted(_HREF)}, 1), lambda x: trim(x, '\"'' ' || chr(9) || chr(13) || chr(10)))"
+    walks = ", ".join(
+        f"""{name}_walk(k, host, x) AS (
+  SELECT 0, host, {seed}::DOUBLE FROM seeds WHERE {seed} > 0
+  UNION ALL SELECT k + 1, e.dst, sum(x * e.share * {damping}::DOUBLE) FROM {name}_walk w JOIN {edges} e ON e.src = w.host WHERE k < {rounds} GROUP BY k, e.dst
+), {name} AS (SELECT host, sum(x) AS {name} FROM {name}_walk WHERE k > 0 GROUP BY host)"""
+        for name, seed, edges in (("trust", "good", "onward"), ("distrust", "bad", "backward"), ("exposure", "bad", "means"))
+    )
+    return f"""
+WITH RECURSIVE rule(rule, own, start, verdict) AS (VALUES {table}),
+parts AS (
+  SELECT page_id, html, coalesce({host.format("url")}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), numbered AS (SELECT *, row_number() OVER () AS row FROM parts
+), fits AS (
+  SELECT row, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM numbered JOIN rule ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, start) GROUP BY row
+), judged AS (SELECT n.*, f.rule, f.verdict FROM numbered n LEFT JOIN fits f USING (row)
+), seeds AS (
+  SELECT host, avg(coalesce(verdict = 'allow', false)::INT) AS good, avg(coalesce(verdict = 'block', false)::INT) AS bad FROM judged GROUP BY host
+), links AS (
+  SELECT host AS src, unnest({found}) AS link FROM parts
+), edges AS (
+  SELECT src, dst, count(*) AS n FROM (SELECT src, {host.format("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst FROM links WHERE regexp_matches(CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END, '^[A-Za-z][A-Za-z0-9+.-]*://'))
+  WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst
+), onward AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM edges
+), backward AS (SELECT dst AS src, src AS dst, n / sum(n) OVER (PARTITION BY dst) AS share FROM edges
+), means AS (SELECT dst AS src, src AS dst, n / sum(n) OVER (PARTITION BY src) AS share FROM edges
+), {walks}
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(exposure, 0) >= {threshold}::DOUBLE AND coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged LEFT JOIN trust USING (host) LEFT JOIN distrust USING (host) LEFT JOIN exposure USING (host)
+"""
