@@ -217,6 +217,8 @@ class Scanner:
             at.setdefault(None, []).append(i)
         #: words that one of the known sentences begins with: most sentences are ruled out by their first
         self.first = frozenset(s.split(" ", 1)[0] for s in self.known)
+        #: the longest word of each: a text without any of them holds no known sentence and isn't cut
+        self.needed = frozenset(max(s.split(), key=len) for s in self.known)
 
     def _read(self, text: str) -> Iterator[tuple[int, str, int]]:
         """(words before, identifier, words) of the known sentences."""
@@ -228,6 +230,8 @@ class Scanner:
             before += len(words)
 
     def sentences(self, text: str) -> list[tuple[int, str, int]]:
+        if self.needed.isdisjoint(words_of(text)):
+            return []
         found = set(self._read(text))
         if "\n" in text:
             found.update(self._read(_WRAP.sub(" ", text)))
