@@ -65,6 +65,100 @@ def test_files_are_verified(spark, tmp_path):
     assert status == {"onnx.bin": "ok", "vocab.bin": "mismatch", "gone.bin": "missing", "extra.bin": "extra"}
 
 
+def test_models_are_fetched_once_and_verified(tmp_path):
+    files = {"onnx": b"model" * 500_000, "vocab": b"words"}
+    source = tmp_path / "from"
+    source.mkdir()
+    for k, b in files.items():
+        (source / f"{k}.bin").write_bytes(b)
+    made = {k: C.ModelFile((source / f"{k}.bin").as_uri(), hashlib.sha256(b).hexdigest()) for k, b in files.items()}
+    s = C.ModelSpec(id="placeholder-model", files=made)  # registered, though not validated
+    seen, root = [], tmp_path / "cache"
+    got = C.ensure(s, str(root), progress=lambda *a: seen.append(a))
+    assert {k: open(p, "rb").read() for k, p in got.items()} == files and sorted(p.name for p in (root / s.id).iterdir()) == ["onnx.bin", "vocab.bin"]
+    assert [x for x in seen if x[0] == "onnx"][-1] == ("onnx", 2_500_000, 2_500_000) and len(seen) >= 4
+
+    (source / "onnx.bin").unlink()  # what is there needn't be fetched; what is damaged is
+    (root / s.id / "vocab.bin").write_bytes(b"damaged")
+    seen.clear()
+    assert C.ensure(s, str(root), progress=lambda *a: seen.append(a)) == got and [x[0] for x in seen] == ["vocab"]
+    assert (root / s.id / "vocab.bin").read_bytes() == b"words"
+
+    (source / "vocab.bin").write_bytes(b"other")
+    (root / s.id / "vocab.bin").unlink()
+    with pytest.raises(ValueError, match="checksum mismatch.*vocab.bin has SHA-256.*" + made["vocab"].sha256):
+        C.ensure(s, str(root))
+    (root / s.id / "onnx.bin").unlink()
+    with pytest.raises(C.FetchError, match="onnx.bin"):
+        C.ensure(s, str(root))
+    assert list((root / s.id).iterdir()) == []  # no part stays
+    with pytest.raises(ValueError, match="not registered"):
+        C.ensure(spec(files), str(root))
+
+
+def test_models_over_http(tmp_path):
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200 if self.path == "/vocab.txt" else 503)
+            self.send_header("Content-Length", "5")
+            self.end_headers()
+            self.wfile.write(b"words")
+
+        def log_message(self, *a): ...
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{server.server_port}"
+        got = C.fetch(C.ModelFile(f"{at}/vocab.txt", hashlib.sha256(b"words").hexdigest()), str(tmp_path / "x" / "vocab.txt"))
+        assert open(got, "rb").read() == b"words"
+        with pytest.raises(C.FetchError, match=f"{at}/other.*503"):
+            C.fetch(C.ModelFile(f"{at}/other", "00"), str(tmp_path / "x" / "other"))
+    finally:
+        server.shutdown()
+
+
+def _field(number: int, value: bytes | int) -> bytes:
+    """A field of a protocol buffer: numbers as they are, all else with its length."""
+
+    def varint(n: int) -> bytes:
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def tiny_onnx(table: np.ndarray) -> bytes:
+    """A model whose hidden state is a row of the table for each token id. Numbers of fields and types are fixed by the format."""
+
+    def tensor(name: str, kind: int, dims: list[bytes]) -> bytes:
+        shape = b"".join(_field(1, d) for d in dims)
+        return _field(1, name.encode()) + _field(2, _field(1, _field(1, kind) + _field(2, shape)))
+
+    open_ = [_field(2, b"n"), _field(2, b"t")]
+    node = _field(1, b"table") + _field(1, b"input_ids") + _field(2, b"last_hidden_state") + _field(4, b"Gather")
+    weights = b"".join(_field(1, n) for n in table.shape) + _field(2, 1) + _field(8, b"table") + _field(9, table.astype("<f4").tobytes())
+    inputs = b"".join(_field(11, tensor(n, 7, open_)) for n in ("input_ids", "attention_mask", "token_type_ids"))
+    graph = _field(1, node) + _field(2, b"g") + _field(5, weights) + inputs + _field(12, tensor("last_hidden_state", 1, [*open_, _field(1, table.shape[1])]))
+    return _field(1, 8) + _field(7, graph) + _field(8, _field(1, b"") + _field(2, 13))
+
+
+def test_onnx_model(spark, tmp_path):
+    table = np.random.default_rng(2).normal(size=(110, 6)).astype(np.float32)
+    (tmp_path / "model.onnx").write_bytes(tiny_onnx(table))
+    model = embed.Embedder(BertTokenizer(spark, {"hello": 103, "world": 104}, max_length=16), embed.OnnxBackend(str(tmp_path / "model.onnx"), 6), model_id="tiny")
+    got = {r["id"]: r["embedding"] for r in model.embed(spark.createDataFrame([(1, "hello world"), (2, ""), (3, None)], "id int, text string")).collect()}
+    for i, ids in ((1, [101, 103, 104, 102]), (2, [101, 102])):
+        mean = table[ids].mean(axis=0)
+        assert got[i] == pytest.approx((mean / np.linalg.norm(mean)).tolist(), abs=1e-6)
+    assert got[3] is None
+
+
 def test_load_checks_before_any_plan(spark, tmp_path):
     with pytest.raises(ValueError, match="model_path or cache_dir"):
         embed.Embedder.load(spark)

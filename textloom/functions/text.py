@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -49,6 +50,12 @@ def metaspace(text: Column) -> Column:
     return F.when(text == "", text).otherwise(F.replace(led, F.lit(" "), F.lit(METASPACE)))
 
 
+def escaped(text: str) -> str:
+    """`metaspace` of `collapse_spaces` for one text, for functions that have it in Python anyway."""
+    text = re.sub(" {2,}", " ", text)
+    return (text if text.startswith(" ") else " " + text).replace(" ", METASPACE) if text else text
+
+
 def with_prefix(text: Column, prefix: str | None) -> Column:
     """Puts the model's prefix before a text, an empty one too; without a prefix the text stays."""
     return F.concat(F.lit(prefix), text) if isinstance(prefix, str) else text

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import os
+import urllib.error
+import urllib.request
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -153,11 +156,7 @@ def file_digests(spark: SparkSession, root: str, *, chunked: bool = False) -> Da
         for batch in batches:
             digests = []
             for path in batch["path"].to_pylist():
-                h = hashlib.sha256()
-                with open(path.removeprefix("file:"), "rb") as f:
-                    while part := f.read(1 << 20):
-                        h.update(part)
-                digests.append(h.hexdigest())
+                digests.append(_file_digest(path.removeprefix("file:")))
             yield pa.RecordBatch.from_arrays([batch["path"], batch["size"], pa.array(digests)], names=["path", "size", "sha256"])
 
     out = files.select("path", F.col("length").alias("size")).mapInArrow(run, "path string, size long, sha256 string")
@@ -172,6 +171,64 @@ def verified(manifest: DataFrame, found: DataFrame, key: str = "name") -> DataFr
     return a.join(b, key, "full_outer").withColumn("status", status)
 
 
+#: Bytes that are read and hashed at a time.
+CHUNK_BYTES = 1 << 20
+
+
+def _file_digest(path: str) -> str:
+    h = hashlib.sha256()
+    with open(path, "rb") as f:
+        while part := f.read(CHUNK_BYTES):
+            h.update(part)
+    return h.hexdigest()
+
+
+class FetchError(OSError):
+    """A file's address gives no content."""
+
+
+def fetch(file: ModelFile, path: str, progress: Callable[[int, int | None], None] | None = None) -> str:
+    """Streams a file to ``path`` and hashes it on the way: into path.part first, which gets its name only if the digest is right and
+    is deleted otherwise. progress is told the bytes received and, if known, their total. Addresses: http, https and file."""
+    part, h, received = f"{path}.part", hashlib.sha256(), 0
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    try:
+        try:
+            with urllib.request.urlopen(file.url) as source, open(part, "wb") as out:
+                total = source.headers.get("Content-Length")
+                while chunk := source.read(CHUNK_BYTES):
+                    out.write(chunk)
+                    h.update(chunk)
+                    received += len(chunk)
+                    if progress:
+                        progress(received, None if total is None else int(total))
+        except urllib.error.HTTPError as e:
+            raise FetchError(f"{file.url}: HTTP status {e.code}") from e
+        except urllib.error.URLError as e:
+            raise FetchError(f"{file.url}: {e.reason}") from e
+        if h.hexdigest() != file.sha256.lower():
+            raise ValueError(f"checksum mismatch: {path} has SHA-256 {h.hexdigest()}, expected {file.sha256}")
+        os.replace(part, path)
+    finally:
+        if os.path.exists(part):
+            os.remove(part)
+    return path
+
+
+def ensure(spec: ModelSpec, root: str, *, catalog: Catalog | None = None, progress: Callable[[str, int, int | None], None] | None = None) -> dict[str, str]:
+    """Paths of a registered model's files below root/id, on the driver. Files that are there with the right digest are used; those that
+    are missing or damaged are fetched."""
+    if not (catalog or Catalog()).is_allowed(spec):
+        raise ValueError(f"model {spec.id!r} is not registered")
+    out = {}
+    for key, f in spec.files.items():
+        path = os.path.join(root, spec.id, f.name)
+        if not os.path.exists(path) or _file_digest(path) != f.sha256.lower():
+            fetch(f, path, progress and (lambda n, total, key=key: progress(key, n, total)))
+        out[key] = path
+    return out
+
+
 def resolve(spark: SparkSession, spec: ModelSpec, root: str) -> dict[str, str]:
     """Paths of a model's files below root/id. Raises if one is missing or has another digest."""
     state = {r["name"]: r for r in file_digests(spark, f"{root.rstrip('/')}/{spec.id}").collect()}  # a model's few files

@@ -6,7 +6,8 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,19 +61,20 @@ def load_pieces(path: str) -> tuple[dict[str, tuple[int, float]], bytes]:
 
 
 class XlmrTokenizer:
-    """Columns of token ids and model input. A text too long keeps its head and loses the end sentinel."""
+    """Columns of token ids and model input. A text too long keeps its head and loses the end sentinel. A text goes to Python once:
+    map, spaces, metaspace and pieces are one function there, whose words are solved once a task."""
 
     def __init__(self, spark: SparkSession, pieces: dict[str, tuple[int, float]], blob: bytes, *, max_length: int = 512):
         self.max_length = check_length(max_length)
         self._normalize = charsmap.normalizer(spark, blob)
-        shared = spark.sparkContext.broadcast(pieces)
+        shared = spark.sparkContext.broadcast((pieces, blob))
 
-        def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model, memo = Unigram(shared.value), {}
+        def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            model, normal, memo = Unigram(shared.value[0]), charsmap.Charsmap(shared.value[1]), {}
 
             def ids(text: str) -> list[int]:
                 out: list[int] = []
-                for word in _WORD.findall(text):
+                for word in _WORD.findall(T.escaped(normal.normalize(text))):
                     more = memo.get(word)
                     if more is None:
                         if len(memo) > 200_000:
@@ -83,7 +85,11 @@ class XlmrTokenizer:
                 return out
 
             for texts in batches:
-                yield texts.map(lambda t: None if t is None else ids(t))
+                found = [None if t is None else ids(t) for t in texts.to_pylist()]
+                size = np.array([len(x or ()) for x in found], np.int64)
+                values = np.fromiter((i for x in found if x for i in x), np.int64, int(size.sum()))
+                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([x is None for x in found], pa.bool_()))
 
         self._split = split
 
@@ -91,8 +97,12 @@ class XlmrTokenizer:
         return charsmap.tokenization_form(self._normalize, text)
 
     def content_ids(self, text: Column) -> Column:
-        return F.pandas_udf(self._split, "array<long>")(self.normalize(text))
+        return F.arrow_udf(self._split, "array<long>")(text)
+
+    def whole_ids(self, text: Column) -> Column:
+        """Ids with both sentinels, neither cut nor padded: what a parity corpus expects."""
+        start, end = (F.array(F.lit(x).cast("long")) for x in (XLMR.start, XLMR.end))
+        return F.concat(start, self.content_ids(text), end)
 
     def encode(self, text: Column) -> Column:
         return assembled(self.content_ids(text), XLMR, self.max_length)
-

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +50,32 @@ class WordPiece:
         return out or [self.unknown]
 
 
+def solved(words: pa.Array, ids_of: Callable[[str], list[int]]) -> pa.Array:
+    """Ids of the words of each list, one after another; a null list stays null. Every distinct word of the batch is solved once."""
+    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    coded = words.flatten().dictionary_encode()
+    at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    each = [ids_of(w) for w in coded.dictionary.to_pylist()]
+    size = np.array([len(x) for x in each], np.int64)
+    pool = np.array([i for x in each for i in x], np.int64)
+    first, n = np.cumsum(size) - size, size[at]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    values = pool[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])]
+    lengths = np.nan_to_num(words.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    offsets = ends[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=words.is_null())
+
+
 def vocabulary_of_lines(lines: Iterable[str]) -> dict[str, int]:
     """Token to line number; of equal tokens the last counts."""
     return {line.strip(): i for i, line in enumerate(lines)}
 
 
+def vocabulary_table(lines: DataFrame, position: str, line: str) -> DataFrame:
+    """(token, id) of lines that are rows with a position: the same rule for vocabularies that are tables."""
+    return lines.groupBy(F.regexp_replace(line, r"(?U)^\s+|\s+$", "").alias("token")).agg(F.max(F.col(position).cast("long")).alias("id"))
+
+
 def load_vocabulary(path: str) -> dict[str, int]:
     """A vocabulary file: one token a line, its number the id. Read on the driver, where the order of lines is known."""
     with open(path, encoding="utf-8") as f:
@@ -67,10 +89,10 @@ class BertTokenizer:
         self.max_length, self.segment, self.vocabulary = check_length(max_length), segment, vocabulary
         shared = spark.sparkContext.broadcast(vocabulary)
 
-        def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             model = WordPiece(shared.value)
             for words in batches:
-                yield words.map(lambda ws: None if ws is None else [i for w in ws for i in model.ids(w)])
+                yield solved(words, model.ids)
 
         self._split = split
 
@@ -79,7 +101,7 @@ class BertTokenizer:
 
     def word_ids(self, words: Column) -> Column:
         """Ids of the words of an array, one after another."""
-        return F.pandas_udf(self._split, "array<long>")(words)
+        return F.arrow_udf(self._split, "array<long>")(words)
 
     def content_ids(self, text: Column) -> Column:
         return self.word_ids(self.words(text))
@@ -88,10 +110,14 @@ class BertTokenizer:
         return assembled(self.content_ids(text), BERT, self.max_length)
 
     def decode(self, ids: Column) -> Column:
-        """Tokens of ids; an unknown id is ``[UNK]``. The vocabulary is a literal map of the plan."""
+        """Tokens of ids; an unknown id is ``[UNK]``. The vocabulary is a literal array of the plan, by id from the smallest on; a
+        vocabulary whose ids leave wide gaps is better joined (`decode_joined`)."""
         names = {i: t for t, i in self.vocabulary.items()}
-        table = F.map_from_arrays(F.lit(list(names)).cast("array<long>"), F.lit(list(names.values())))
-        return F.transform(ids, lambda i: F.coalesce(F.try_element_at(table, i), F.lit(UNKNOWN)))
+        least = min(names, default=0)
+        table = F.lit([names.get(i) or UNKNOWN for i in range(least, max(names, default=-1) + 1)] or [UNKNOWN])
+        # beyond the int range there are no ids
+        place = lambda i: F.when(i.between(least, least + len(names) + (1 << 24)), (i - least).cast("int"))
+        return F.transform(ids, lambda i: F.coalesce(F.get(table, place(i)), F.lit(UNKNOWN)))
 
 
 def decode_joined(rows: DataFrame, vocabulary: DataFrame, key: str, ids: str) -> DataFrame:

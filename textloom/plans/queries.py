@@ -24,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MAX_LENGTH, EMBED_LENGTH, EMBED_DIMENSIONS, TOP_K = 128, 32, 8, 10
+MAX_LENGTH, EMBED_DIMENSIONS, TOP_K = 512, 8, 10
 WHOLE_WORDS, FIRST_CHARS, PIECES = 2000, 500, 4000
 
 
@@ -48,12 +48,14 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- text -----------------------------------------------------------------------------------------------------------
 
-#: Documents with what they don't hold by themselves: marks, runs of spaces, and empty texts where the id divides by 7.
-_MARKED = "CASE WHEN doc_id % 7 = 0 THEN '' ELSE concat('  ', text, ' E', chr(769), '   Z', chr(803), ' end') END"
+#: Documents with what they don't hold by themselves, marks and runs of spaces, and rows of odd texts besides.
+_ODD = ((-1, ""), (-2, "a   b"), (-3, " Hello"), (-4, "\u0301"), (-5, "   "))
+_MARKED = "(SELECT doc_id, concat('  ', text, ' E', chr(769), '   Z', chr(803), ' end') AS text FROM documents UNION ALL VALUES " + ", ".join(f"({i}, '{t}')" for i, t in _ODD) + ")"
 
 
-def _marked() -> Column:
-    return F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit("  "), "text", F.lit(" E\u0301   Z\u0323 end")))
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).select("doc_id", F.concat(F.lit("  "), "text", F.lit(" E\u0301   Z\u0323 end")).alias("text"))
+    return rows.unionByName(spark.createDataFrame(list(_ODD), "doc_id long, text string"))
 
 
 @query("SELECT doc_id, lower(text) AS lowered FROM documents")
@@ -64,9 +66,9 @@ def bert_lower(spark, sf_dir):
 _NORMAL = r"regexp_replace(lower({}), '[\x{{0300}}-\x{{036F}}]', '', 'g')"
 
 
-@query(f"SELECT doc_id, {_NORMAL.format(_MARKED)} AS normal FROM documents")
+@query(f"SELECT doc_id, {_NORMAL.format('text')} AS normal FROM {_MARKED}")
 def bert_normalize(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", T.bert_normalize(_marked()).alias("normal"))
+    return _marked(spark, sf_dir).select("doc_id", T.bert_normalize(F.col("text")).alias("normal"))
 
 
 @query(rf"SELECT doc_id, len(regexp_extract_all({_NORMAL.format('text')}, '[\p{{L}}\p{{N}}]+'))::INT AS n_words, array_to_string(regexp_extract_all({_NORMAL.format('text')}, '[\p{{L}}\p{{N}}]+'), ' ') AS words FROM documents")
@@ -75,14 +77,17 @@ def word_segment(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.size(words).alias("n_words"), F.array_join(words, " ").alias("words"))
 
 
-@query(f"SELECT doc_id, regexp_replace({_MARKED}, ' {{2,}}', ' ', 'g') AS collapsed FROM documents")
+@query(f"SELECT doc_id, regexp_replace(text, ' {{2,}}', ' ', 'g') AS collapsed FROM {_MARKED}")
 def collapse_spaces(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", T.collapse_spaces(_marked()).alias("collapsed"))
+    return _marked(spark, sf_dir).select("doc_id", T.collapse_spaces(F.col("text")).alias("collapsed"))
 
 
-@query(f"SELECT doc_id, CASE WHEN t = '' THEN '' ELSE replace(CASE WHEN starts_with(t, ' ') THEN t ELSE ' ' || t END, ' ', '▁') END AS escaped FROM (SELECT doc_id, {_MARKED} AS t FROM documents)")
+_META = "CASE WHEN {0} = '' THEN '' ELSE replace(CASE WHEN starts_with({0}, ' ') THEN {0} ELSE ' ' || {0} END, ' ', '▁') END"
+
+
+@query(f"SELECT doc_id, {_META.format('text')} AS escaped FROM {_MARKED}")
 def metaspace(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", T.metaspace(_marked()).alias("escaped"))
+    return _marked(spark, sf_dir).select("doc_id", T.metaspace(F.col("text")).alias("escaped"))
 
 
 def _prefixed(kind: str) -> tuple[str, Query]:
@@ -142,8 +147,19 @@ def derived_vocabulary(docs: DataFrame) -> dict[str, int]:
     return {r[0]: 103 + i for i, r in enumerate(every)}
 
 
+_made: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, derive: Callable[[DataFrame], object]):
+    """What is derived from the documents, which stands for a model's file: made once an application, as a file is loaded once."""
+    key = spark.sparkContext.applicationId, sf_dir, derive.__name__
+    if key not in _made:
+        _made[key] = derive(_documents(spark, sf_dir))
+    return _made[key]
+
+
 def _vocabulary(spark: SparkSession, sf_dir: str) -> dict[str, int]:
-    return derived_vocabulary(_documents(spark, sf_dir))
+    return _once(spark, sf_dir, derived_vocabulary)
 
 
 #: Words w(word, n), vocabulary v(tok, id, cont, body, len), and ids of every word: wp(word, ids).
@@ -221,7 +237,7 @@ def bert_decode(spark, sf_dir):
 
 
 def derived_pieces(docs: DataFrame) -> dict[str, tuple[int, float]]:
-    """Metaspace words and single characters, the most frequent of each, scored by the logarithm of their share."""
+    """Metaspace words and single characters, the most frequent of each, scored by the logarithm of their share, to six places."""
     words = docs.select(F.explode(F.regexp_extract_all(T.metaspace(T.collapse_spaces(F.col("text"))), F.lit("▁[^▁]*"), 0)).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n")).persist()
     try:
         chars = words.select(F.explode(F.split("piece", "")).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n")).where("piece <> ''")
@@ -229,28 +245,79 @@ def derived_pieces(docs: DataFrame) -> dict[str, tuple[int, float]]:
     finally:
         words.unpersist()
     total = sum(r["n"] for r in top)
-    return {r["piece"]: (4 + i, log(r["n"] / total)) for i, r in enumerate(sorted(top, key=lambda r: r["piece"]))}
+    return {r["piece"]: (4 + i, round(log(r["n"] / total), 6)) for i, r in enumerate(sorted(top, key=lambda r: r["piece"]))}
 
 
 def _xlmr(spark: SparkSession, sf_dir: str) -> unigram.XlmrTokenizer:
-    return unigram.XlmrTokenizer(spark, derived_pieces(_documents(spark, sf_dir)), charsmap.build(derived_map()), max_length=MAX_LENGTH)
+    return unigram.XlmrTokenizer(spark, _once(spark, sf_dir, derived_pieces), charsmap.build(derived_map()), max_length=MAX_LENGTH)
+
+
+_MAPPED = "replace(replace(replace(translate(text, (SELECT string_agg(chr(65248 + c::INT), '' ORDER BY c) FROM range(33, 127) r(c)), (SELECT string_agg(chr(c::INT), '' ORDER BY c) FROM range(33, 127) r(c))), chr(160), ' '), chr(12288), ' '), '…', '...')"
+for _plain, _accented in zip("aeiou", "áéíóú", strict=True):
+    _MAPPED = f"replace({_MAPPED}, '{_plain}' || chr(769), '{_accented}')"
+#: Pieces v(tok, id, len, score), and the best segmentation of every word, position by position: of equal sums the one whose last
+#: piece is longest, an unknown character last. content(doc_id, ids).
+_UNIGRAM = rf"""
+WITH RECURSIVE raw AS (
+  SELECT {_META.format("regexp_replace(text, ' {2,}', ' ', 'g')")} AS t FROM documents
+), whole AS (SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(t, '▁[^▁]*')) AS piece FROM raw) GROUP BY piece
+), chars AS (SELECT piece, sum(n)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(piece, '(?s).')) AS piece, n FROM whole) GROUP BY piece
+), tops AS (
+  (SELECT * FROM whole WHERE length(piece) > 1 ORDER BY n DESC, piece LIMIT {WHOLE_WORDS}) UNION ALL (SELECT * FROM chars ORDER BY n DESC, piece LIMIT {FIRST_CHARS})
+), v AS (
+  SELECT piece AS tok, length(piece) AS len, 3 + row_number() OVER (ORDER BY piece) AS id, round(ln(n::DOUBLE / (SELECT sum(n) FROM tops)::DOUBLE), 6) AS score FROM tops
+), unknown AS (SELECT min(score) - {unigram.UNKNOWN_PENALTY}::DOUBLE AS score, max(len) AS longest FROM v
+), dw AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos
+  FROM (SELECT doc_id, regexp_extract_all({_META.format('c')}, '[^▁]+|▁[^▁]*') AS ws FROM (SELECT doc_id, regexp_replace({_MAPPED}, ' {{2,}}', ' ', 'g') AS c FROM documents))
+), w AS (SELECT DISTINCT word FROM dw
+), best(word, n, score, paths) AS (
+  SELECT word, 0::BIGINT, [0.0::DOUBLE], [[]::BIGINT[]] FROM w
+  UNION ALL
+  SELECT word, n + 1, list_append(any_value(score), max(total)), list_append(any_value(paths), arg_max(path, [total, len::DOUBLE]))
+  FROM (
+    SELECT b.word, b.n, b.score, b.paths, b.score[b.n + 2 - v.len] + v.score AS total, list_append(b.paths[b.n + 2 - v.len], v.id) AS path, v.len
+    FROM (SELECT b.*, unnest(range(1, least(b.n + 1, u.longest) + 1)) AS k FROM best b, unknown u WHERE b.n < length(b.word)) b JOIN v ON v.len = b.k AND v.tok = substr(b.word, b.n + 2 - b.k, b.k)
+    UNION ALL
+    SELECT b.word, b.n, b.score, b.paths, b.score[b.n + 1] + u.score, list_append(b.paths[b.n + 1], 3), 0 FROM best b, unknown u WHERE b.n < length(b.word)
+  ) GROUP BY word, n
+), solved AS (SELECT word, paths[n + 1] AS ids FROM best WHERE n = length(word)
+), joined AS (SELECT doc_id, flatten(list(ids ORDER BY pos)) AS ids FROM dw JOIN solved USING (word) GROUP BY doc_id
+), content AS (
+  SELECT d.doc_id, coalesce(list_filter(j.ids, lambda x, i: NOT (x = 3 AND i > 1 AND j.ids[i - 1] = 3)), []::BIGINT[]) AS ids FROM documents d LEFT JOIN joined j USING (doc_id)
+)"""
 
 
-@query()
+@query(_UNIGRAM + "SELECT doc_id, array_to_string(ids, ' ') AS ids FROM content")
 def unigram_tokenize(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.array_join(_xlmr(spark, sf_dir).content_ids(F.col("text")), " ").alias("ids"))
 
 
-@query()
+_XLMR_FRAME = f"list_concat([0], ids, [2])[1:{MAX_LENGTH}]"
+
+
+@query(_UNIGRAM + f"SELECT doc_id, array_to_string(list_resize({_XLMR_FRAME}, {MAX_LENGTH}, 1), ' ') AS input_ids, array_to_string(list_resize([1 FOR x IN {_XLMR_FRAME}], {MAX_LENGTH}, 0), '') AS mask, len(ids) > {MAX_LENGTH - 2} AS truncated FROM content")
 def xlmr_encode(spark, sf_dir):
     rows = _documents(spark, sf_dir).select("doc_id", _xlmr(spark, sf_dir).encode(F.col("text")).alias("t"))
     return rows.select("doc_id", F.array_join("t.input_ids", " ").alias("input_ids"), F.array_join("t.attention_mask", "").alias("mask"), "t.truncated")
 
 
+@query(_UNIGRAM + "SELECT doc_id, array_to_string(list_concat([0], ids, [2]), ' ') AS ids FROM content")
+def xlmr_expected_ids(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.array_join(_xlmr(spark, sf_dir).whole_ids(F.col("text")), " ").alias("ids"))
+
+
+@query("SELECT regexp_replace(split_part(text, chr(10), 1), '^\\s+|\\s+$', '', 'g') AS token, max(doc_id)::BIGINT AS id FROM documents GROUP BY 1")
+def vocabulary_lines(spark, sf_dir):
+    """The first line of every document as a line of a vocabulary."""
+    lines = _documents(spark, sf_dir).select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("line"))
+    return sub_words.vocabulary_table(lines, "doc_id", "line")
+
+
 # ---- embedding and vectors ------------------------------------------------------------------------------------------
 
 _EMBED = _WP + f"""
-, framed AS (SELECT doc_id, list_concat([101], ids[1:{EMBED_LENGTH - 2}], [102]) AS ids FROM content),
+, framed AS (SELECT doc_id, list_concat([101], ids[1:{MAX_LENGTH - 2}], [102]) AS ids FROM content),
 pooled AS (
   SELECT doc_id, list_transform(range(0, {EMBED_DIMENSIONS}), lambda d: (list_reduce(list_prepend(0.0::FLOAT, list_transform(ids, lambda i: ((((i * 31 + d * 17) % 2003) / 1001.0::DOUBLE) - 1.0::DOUBLE)::FLOAT)), lambda x, y: (x + y)::FLOAT) / len(ids)::FLOAT)::FLOAT) AS v FROM framed
 ), normed AS (SELECT doc_id, v, sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(v, lambda x: x::DOUBLE * x::DOUBLE)), lambda x, y: x + y)) AS n FROM pooled)
@@ -259,7 +326,7 @@ pooled AS (
 
 @query(_EMBED + "SELECT doc_id, pos - 1 AS pos, (CASE WHEN n = 0 THEN x ELSE (x::DOUBLE / n)::FLOAT END) AS value FROM (SELECT doc_id, n, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM normed)")
 def embed_documents(spark, sf_dir):
-    tokenizer = sub_words.BertTokenizer(spark, _vocabulary(spark, sf_dir), max_length=EMBED_LENGTH)
+    tokenizer = sub_words.BertTokenizer(spark, _vocabulary(spark, sf_dir), max_length=MAX_LENGTH)
     made = embed.Embedder(tokenizer, HashBackend(EMBED_DIMENSIONS), model_id="hash").embed(_documents(spark, sf_dir))
     return made.select("doc_id", F.posexplode("embedding").alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
 
@@ -430,16 +497,16 @@ def allowlist_anti(spark, sf_dir):
     return C.Catalog().refused(_wanted(spark, sf_dir)).select("doc_id", "model_id")
 
 
-_FOUND = "(SELECT doc_id::VARCHAR AS name, sha256(CASE WHEN doc_id % 5 = 1 THEN text || '!' ELSE text END) AS actual FROM documents WHERE doc_id % 5 <> 2)"
+#: Documents as files, and besides them a damaged, a missing and an extra one.
+_EXPECTED = "(SELECT doc_id::VARCHAR AS name, sha256(text) AS expected FROM documents UNION ALL VALUES ('damaged', sha256('whole')), ('missing', sha256('m')))"
+_FOUND = "(SELECT doc_id::VARCHAR AS name, sha256(text) AS actual FROM documents UNION ALL VALUES ('damaged', sha256('part')), ('extra', sha256('e')))"
 
 
-@query(f"SELECT coalesce(e.name, a.name) AS name, expected, actual, CASE WHEN actual IS NULL THEN 'missing' WHEN expected IS NULL THEN 'extra' WHEN expected = actual THEN 'ok' ELSE 'mismatch' END AS status FROM (SELECT doc_id::VARCHAR AS name, sha256(text) AS expected FROM documents WHERE doc_id % 5 <> 3) e FULL JOIN {_FOUND} a ON e.name = a.name")
+@query(f"SELECT coalesce(e.name, a.name) AS name, expected, actual, CASE WHEN actual IS NULL THEN 'missing' WHEN expected IS NULL THEN 'extra' WHEN expected = actual THEN 'ok' ELSE 'mismatch' END AS status FROM {_EXPECTED} e FULL JOIN {_FOUND} a ON e.name = a.name")
 def manifest_verify(spark, sf_dir):
-    """Each document as a file: some are damaged, some missing and some not in the manifest."""
-    d = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), "doc_id", "text")
-    expected = d.where("doc_id % 5 <> 3").select("name", F.sha2("text", 256).alias("sha256"))
-    damaged = F.when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    return C.verified(expected, d.where("doc_id % 5 <> 2").select("name", F.sha2(damaged, 256).alias("sha256")))
+    files = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), "text")
+    digests = lambda *more: files.unionByName(spark.createDataFrame(list(more), "name string, text string")).select("name", F.sha2("text", 256).alias("sha256"))
+    return C.verified(digests(("damaged", "whole"), ("missing", "m")), digests(("damaged", "part"), ("extra", "e")))
 
 
 @query("SELECT vec_id, CASE WHEN label % 3 = 0 THEN NULL WHEN label % 3 = 1 THEN 'bge-small-en-v1.5' ELSE 'old-model' END AS model_id FROM embeddings WHERE label % 3 <> 1")
@@ -448,6 +515,23 @@ def stale_vectors(spark, sf_dir):
     return C.stale(_vectors(spark, sf_dir).select("vec_id", made_by.alias("model_id")), C.DEFAULT_MODEL)
 
 
+@query(f"SELECT w.model_id, CASE WHEN m.id IS NULL THEN 'unknown' WHEN m.validated THEN 'ok' ELSE 'not validated' END AS status, count(*) AS n FROM {_WANTED} w LEFT JOIN {_MODELS} ON m.id = w.model_id GROUP BY 1, 2")
+def catalog_lookup(spark, sf_dir):
+    """What the gated lookup says to each of the models that documents want; it is asked once a model, on the driver."""
+
+    def said(model_id: str) -> str:
+        try:
+            C.Catalog().lookup(model_id)
+        except C.UnvalidatedModelError:
+            return "not validated"
+        except ValueError:
+            return "unknown"
+        return "ok"
+
+    status = spark.createDataFrame([(m, said(m)) for m in (*(x.id for x in C.MODELS), "no-such-model")], "model_id string, status string")
+    return _wanted(spark, sf_dir).groupBy("model_id").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(status), "model_id").select("model_id", "status", "n")
+
+
 # ---- corpus tools ---------------------------------------------------------------------------------------------------
 
 #: The corpus has no blank lines: line ends become blank lines, and sentences lines.
@@ -497,6 +581,14 @@ def accumulate_until_words(spark, sf_dir):
     return _blocky(spark, sf_dir).select("doc_id", corpus.blocks(F.col("text")).alias("blocks")).select("doc_id", made.alias("m")).select("doc_id", F.col("m.text").alias("passage"), F.col("m.n").alias("n_words"))
 
 
+@query(_BLOCKS + " SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM block WHERE block = 2)")
+def skip_list(spark, sf_dir):
+    """Documents without a second block, which no passage can be taken from."""
+    rows = _blocky(spark, sf_dir)
+    made = rows.where(F.size(corpus.blocks(F.col("text"))) >= 2)
+    return corpus.skipped(rows.select("doc_id"), made.select("doc_id"), "doc_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
