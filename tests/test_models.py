@@ -233,6 +233,16 @@ def test_knn_equals_full_ranking(spark, block):
     assert sorted(map(key, full)) == sorted(map(key, fast))
 
 
+def test_half_up():
+    from decimal import ROUND_HALF_UP, Decimal
+
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.uniform(-2, 2, 3000), r.integers(-2_000_000, 2_000_000, 500) / 1e6 + 5e-7, [0.0, -0.0, 1e-9, 0.0000005, -0.0000015, 1.0, 123456789.1234565]])
+    want = [float(Decimal(repr(float(v))).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for v in x]
+    assert ranking.half_up(x).tolist() == want
+    assert np.isnan(ranking.half_up(np.array([np.nan]))[0]) and ranking.half_up(np.array([np.inf]))[0] == np.inf
+
+
 def test_vector_store(spark, tmp_path):
     rows = spark.createDataFrame([(1, "m", [0.5, -1.0, 0.0])], "id int, model_id string, embedding array<float>")
     tables.write_vectors(rows, str(tmp_path / "v"))

@@ -83,6 +83,43 @@ def test_charsmap(given, expected):
     assert Charsmap(MAP).normalize(given) == expected
 
 
+@pytest.fixture(scope="module")
+def large_map():
+    """Compatibility forms of every character of the basic plane, and every composed letter by its parts: as many units as a real map."""
+    import unicodedata
+
+    entries = {}
+    for c in map(chr, range(0x80, 0x10000)):
+        if "\ud800" <= c <= "\udfff":
+            continue
+        plain = unicodedata.normalize("NFKC", c)
+        if plain != c and "\0" not in plain:
+            entries[c] = plain
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and unicodedata.normalize("NFC", parts) == c:
+            entries[parts] = c
+    blob = charsmap.build(entries | {"\r": " ", "\n": " ", "\t": " "})
+    return entries, Charsmap(blob)
+
+
+def test_map_of_real_size(large_map):
+    import random
+    import unicodedata
+
+    entries, made = large_map
+    assert len(entries) > 14_000 and len(made.units) > 30_000
+    assert {k: made.replacement(k) for k in entries} == entries
+    assert made.normalize("Ｈｅｌｌｏ　ﬁne ①②③ … ™ ½") == "Hello fine 123 ... TM 1⁄2"
+    assert made.normalize(unicodedata.normalize("NFD", "Tiếng Việt, où é ñ Ångström")) == "Tiếng Việt, où é ñ Ångström"
+    assert made.normalize("a\r\nb") == "a b"  # one cluster, whose rest is lost
+    assert made.normalize("①\u0301x") == "1x"  # likewise
+    assert made.normalize("日本語 العربية हिन्दी ไทย 한국어") == unicodedata.normalize("NFKC", "日本語 العربية हिन्दी ไทย 한국어")
+    r, chars = random.Random(2), [*entries, "a", "b", " ", "é", "語"]
+    for _ in range(300):
+        text = "".join(r.choices(chars, k=8))
+        assert made.normalize(text) == made._clusters(text)
+
+
 def test_pieces_and_whole_clusters_agree():
     import random
 

@@ -113,7 +113,8 @@ def from_tokenizer_json(text: str) -> bytes:
 
 
 def build(entries: dict[str, str]) -> bytes:
-    """A blob of the given entries, placed node by node where all of a node's children find free units."""
+    """A blob of the given entries, placed node by node where all of a node's children find free units: the first free unit that
+    serves the first child decides. Units below ``low`` are all taken, so that maps of many thousand entries are built quickly."""
     table, where = bytearray(), {}
     for value in dict.fromkeys(entries.values()):
         where[value] = len(table)
@@ -124,24 +125,27 @@ def build(entries: dict[str, str]) -> bytes:
         for byte in key.encode():
             node = node.setdefault(byte, {})
         node[None] = where[value]
-    units, used = {0: 0}, {0}
+    units, used, low = {0: 0}, {0}, 1
 
     def place(at: int, node: dict) -> None:
+        nonlocal low
         labels = [0 if b is None else b for b in node]
-        base = 1
-        # an offset of 21 bits as it is, so the children lie at (at ^ base) ^ label
-        while any(((at ^ base) ^ b) in used for b in labels) or base >= 1 << 21:
-            base += 1
+        while low in used:
+            low += 1
+        spot = low
+        # the children lie at (at ^ base) ^ label; an offset of 21 bits is stored as it is
+        while spot in used or not 0 < (base := at ^ spot ^ labels[0]) < 1 << 21 or any(((at ^ base) ^ b) in used for b in labels):
+            spot += 1
         units[at] |= base << 10
         if None in node:
             units[at] |= 0x100
         spots = {b: (at ^ base) ^ (0 if b is None else b) for b in node}
         used.update(spots.values())
-        for b, spot in spots.items():
-            units[spot] = (node[None] | 1 << 31) if b is None else b
-        for b, spot in spots.items():
+        for b, child in spots.items():
+            units[child] = (node[None] | 1 << 31) if b is None else b
+        for b, child in spots.items():
             if b is not None:
-                place(spot, node[b])
+                place(child, node[b])
 
     place(0, tree)
     dense = np.zeros(max(units) + 257, "<u4")
