@@ -102,12 +102,12 @@ def test_every_operator_is_registered():
         assert any(x.startswith(f"op{n}_") for x in names)
 
 
-@pytest.mark.parametrize("name", ["op3_license_scan", "op4_chat_format", "op6_exact_dedup", "op10_mixing"])
+@pytest.mark.parametrize("name", ["op2_quality_rules", "op3_license_scan", "op4_chat_format", "op6_exact_dedup", "op8_url_filter", "op10_mixing"])
 def test_operators_equal_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     rel = con.sql(entry.oracle_sql()[name])
     got = entry.queries()[name](spark, sf_dir)
@@ -115,6 +115,37 @@ def test_operators_equal_sql(spark, sf_dir, name):
     assert sorted(repr(tuple(r[c] for c in rel.columns)) for r in got.collect()) == sorted(map(repr, rel.fetchall()))
 
 
-@pytest.mark.parametrize(("name", "table"), [("op1_quality_bayes", "documents"), ("op2_quality_rules", "documents"), ("op5_html_extract", "pages"), ("op7_near_dedup", "documents"), ("op8_url_filter", "pages")])
+def test_registered_near_dedup_by_hand(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = entry.queries()["op7_near_dedup"](spark, sf_dir).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == near_by_hand(rows)
+
+
+def test_registered_packing_by_hand(spark, sf_dir):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers as files
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(files.path("byte_bpe_50k.json"))
+    want = []
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        ids = np.array([*whole.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
+        first = len(ids) % 2048 or 2048
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        want += [(r["doc_id"], p, a, b - a, zlib.crc32(ids[a:b].tobytes())) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    got = entry.queries()["op9_packing"](spark, sf_dir).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
+    places: dict = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in places.values():
+        held.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip([(0, 0), *held], held, strict=False)) and sum(n for _, n in held) <= 2048
+    assert len(places) <= -(-sum(n for *_, n, _ in want) // 2048) + 1
+
+
+@pytest.mark.parametrize(("name", "table"), [("op1_quality_bayes", "documents"), ("op5_html_extract", "pages")])
 def test_operators_return_every_row(spark, sf_dir, name, table):
     assert entry.queries()[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()

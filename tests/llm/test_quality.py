@@ -170,6 +170,40 @@ def test_held_out_accuracy(spark):
     assert sum(got[i] == bool(truth[i]) for i in held) / len(held) > 0.97
 
 
+def features_by_hand(text):
+    n, chars, symbols, lines, dup, repeated, stuttered = figures_by_hand(text)
+    text, w = text or "", max(n, 1)
+    own = text.split()
+    return [np.log(1 + n), chars / w, symbols / w, dup / max(lines, 1), repeated / w, stuttered / w, len([x for x in own if x.isupper()]) / w, len([c for c in text if c == "!"]) / w, len([c for c in text if c in "0123456789"]) / w, len(set(own)) / w**0.7 if own else 0.0]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_features_by_hand(seed):
+    given = [*texts(seed), "ALL CAPS! Here 2 of 10", "a b a b!!"]
+    got = quality_bayes.features(given)
+    assert got == pytest.approx(np.array([features_by_hand(t) for t in given]))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fit_is_the_optimum(seed):
+    """At the fitted weights the gradient of the penalised likelihood is zero, by differences of the likelihood itself."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(300, len(quality_bayes.FEATURES))) * 3 + 1
+    y = (x @ r.normal(size=x.shape[1]) + r.normal(size=300) * 4 > 0).astype(float)
+    model = quality_bayes.fit(x, y)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+
+    def loss(w, b):
+        odds = z @ w + b
+        return np.sum(np.logaddexp(0, odds) - y * odds) + 0.5 * quality_bayes.RIDGE * (w @ w)
+
+    for i in range(len(model.weights)):
+        step = np.zeros(len(model.weights))
+        step[i] = 1e-4
+        assert abs(loss(model.weights + step, model.bias) - loss(model.weights - step, model.bias)) / 2e-4 < 1e-3
+    assert abs(loss(model.weights, model.bias + 1e-4) - loss(model.weights, model.bias - 1e-4)) / 2e-4 < 1e-3
+
+
 def test_posteriors_by_hand(spark):
     df, truth = labelled(spark, 300)
     labels = spark.createDataFrame(list(truth.items()), "doc_id long, quality int")

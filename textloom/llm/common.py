@@ -86,6 +86,13 @@ def drop_table(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes all tables that operators of this application wrote for themselves. For when the results that read them have been stored;
+    `temporary_tables` does so for one stretch of a program."""
+    while _given:
+        drop_table(spark, _given.pop())
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a table for broadcast if its counted rows are within the limit; else Spark shuffles it."""
     return F.broadcast(df) if rows <= limit else df
