@@ -271,6 +271,41 @@ def test_near_hot_family_of_many_blocks(spark):
     check_near(spark, rows, block=16, hubs=2)
 
 
+def test_prefixes_of_similar_sets_meet():
+    r = np.random.default_rng(4)
+    frequent = np.sort(r.choice(300, 40, replace=False)).astype(np.uint64)
+    times = r.integers(33, 500, 40)
+    met = 0
+    for _ in range(2000):
+        a = np.unique(r.integers(0, 300, r.integers(1, 60)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[r.random(len(a)) < 0.92], r.integers(0, 300, r.integers(0, 4)).astype(np.uint64)]))
+        shared = len(np.intersect1d(a, b))
+        if len(b) and shared >= 0.8 * (len(a) + len(b) - shared):
+            met += 1
+            assert len(np.intersect1d(near_dedup.prefix(a, frequent, times), near_dedup.prefix(b, frequent, times)))
+    assert met > 200
+
+
+@pytest.mark.parametrize("refine", [1, 3])
+def test_near_family_of_one_template(spark, monkeypatch, refine):
+    """Texts that share most of their words, of which few are near duplicates, in a family of many blocks: cut by their rare shingles."""
+    monkeypatch.setattr(near_dedup, "FREQUENT", 8)
+    refined, calls = near_dedup._refined, []
+    monkeypatch.setattr(near_dedup, "_refined", lambda *a: calls.append(1) or refined(*a))
+    r = random.Random(11)
+    template = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(180):
+        own = [f"o{r.randrange(10**6)}" for _ in range(r.choice([15, 25, 40]))]
+        rows.append((10 * i, " ".join(template + own)))
+        if i % 4 == 0:
+            rows.append((10 * i + 1, " ".join(template + edited(own, r, 0.1))))
+        if i % 9 == 0:
+            rows.append((10 * i + 2, " ".join(edited(template + own, r, 0.03))))
+    check_near(spark, rows, block=16, hubs=2, refine=refine)
+    assert calls
+
+
 def test_near_hot_buckets_meet_their_leaders_in_place(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "HOT_BUCKET", 3)
     r = random.Random(8)
@@ -304,8 +339,11 @@ def test_spanning_links_join_only_what_is_apart():
     assert near_dedup.spanning_links(h, [0, 0, 0, 0]) == []
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize(("seed", "rows"), [(0, 10**6), (1, 0), (2, 0)])
+def test_components(spark, monkeypatch, seed, rows):
+    monkeypatch.setattr(common, "TASK_ROWS", rows)
+    monkeypatch.setattr(near_dedup, "TASK_ROWS", rows)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
     r = random.Random(seed)
     edges = [(bytes([r.randrange(60)]), bytes([r.randrange(60)])) for _ in range(45)] + [(bytes([100 + i]), bytes([101 + i])) for i in range(40)]
     edges = [e for e in edges if e[0] != e[1]]

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Rows of a key beyond which `hot_join` deals them over several tasks.
 HOT_ROWS = 2_000
+#: Rows of a few scalars that one task may read, so that a table of so many needs no dealing.
+TASK_ROWS = 1_000_000
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -113,12 +115,15 @@ def salted_join(many: DataFrame, one: DataFrame, keys: list[str], rows: Column,
     return left.join(right, [*keys, "__salt"]).drop("__salt")
 
 
-def hot_join(many: DataFrame, one: DataFrame, keys: str | list[str], rows: str, spread: Column, *, how: str = "inner", each: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+def hot_join(many: DataFrame, one: DataFrame, keys: str | list[str], rows: str, spread: Column, *, how: str = "inner", each: int | None = None, limit: int = BROADCAST_ROWS, total: int | None = None) -> DataFrame:
     """Join of many rows a key with one row a key, whose column ``rows`` says how many rows the key has in ``many``; ``spread``
     (of ``many``) deals the rows of a key of more than ``each`` over salts. Which keys these are is broadcast; if they are more
     than ``limit``, only the largest are dealt (ten times as many rows, and so on): the others' rows fit a task all the same.
-    ``one`` is read three times. Keys that are null match nothing."""
+    ``one`` is read three times. ``total``, if known, is the number of rows of ``many``: up to ``TASK_ROWS`` nothing is dealt. Keys that
+    are null match nothing."""
     keys, each = [keys] if isinstance(keys, str) else keys, each or HOT_ROWS
+    if total is not None and total <= TASK_ROWS:
+        return many.join(one, keys, how)
     sizes = [each * 10**i for i in range(10)]
     counts = one.agg(*[F.count(F.when(F.col(rows) > s, 1)) for s in sizes]).first()
     size, hot = next(((s, c) for s, c in zip(sizes, counts, strict=True) if c <= limit), (sizes[-1], 0))

@@ -12,8 +12,11 @@
 4. Links: families are cut into blocks of some hundred texts, each with some of the family's leaders, and the exact
    Jaccard similarity of shingle sets is counted for all pairs of a block by matrix products; a block returns the spanning
    links only. A family of several blocks that is not yet one class goes through a second pass of block pairs, without
-   those whose texts are all of one class. So all pairs of a family are compared that could still join two classes, and
-   no pairs are ever shuffled.
+   those whose texts are all of one class. A family of more than ``REFINE`` blocks, as pages of one template make, is first cut
+   by prefixes: with shingles ordered from rare to frequent, two sets of similarity 0.8 or more share one among the first fifth of
+   each, so only texts that do stay together, and each text still lies in one family. So all pairs are compared that could still
+   join two classes, no pairs are ever shuffled, and a text is sent to at most ``REFINE`` blocks unless more than that many texts
+   hang together by their rarest shingles.
 5. Classes are the connected components of the links.
 
 Defined results: null texts count as empty; texts without words are similar to their exact copies only; a text of fewer
@@ -23,7 +26,7 @@ row of each class is kept, one of class_id; an empty table gives an empty result
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +34,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import dart_minhash, exact_dedup
-from textloom.llm.common import BROADCAST_ROWS, hot_join, small, small_batches, written
+from textloom.llm.common import BROADCAST_ROWS, TASK_ROWS, hot_join, small, small_batches, written
 
 THRESHOLD, K, BAND_ROWS = 0.8, 128, 4
 JOIN, LEAVE, ROUNDS = 0.4, 0.75, 2
 #: Texts of a block, and leaders that each block of a family gets besides.
 BLOCK, HUBS = 256, 8
+#: Blocks of a family beyond which it is cut by prefixes before all its blocks meet.
+REFINE = 8
+#: Texts from which a shingle may count as frequent, and frequent shingles that the workers get.
+FREQUENT, FREQUENT_ROWS = 32, 50_000
 #: Members from which a bucket is looked at by itself.
 HOT_BUCKET = 1000
 #: What one pass of the signature arrays handles.
@@ -110,12 +117,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     neighbours and labels of many nodes are dealt over tasks."""
     two = edges.select(F.col(a).alias("key"), F.col(b).alias("other"))
     both = written(two.unionByName(two.select(F.col("other").alias("key"), F.col("key").alias("other"))).distinct(), "edges")
+    total = both.count()
     labels = written(both.groupBy("key").agg(F.least(F.min("other"), F.first("key")).alias("label"), F.count(F.lit(1)).alias("degree")), "labels")
     while True:
-        near = hot_join(both, labels.select(F.col("key").alias("other"), "label", "degree"), "other", "degree", F.xxhash64("key")).groupBy("key").agg(F.min("label").alias("near"))
+        near = hot_join(both, labels.select(F.col("key").alias("other"), "label", "degree"), "other", "degree", F.xxhash64("key"), total=total).groupBy("key").agg(F.min("label").alias("near"))
         own = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-        next_ = written(own.join(labels.select(F.col("key").alias("label"), F.col("label").alias("next")), "label"), "next")
-        jumped = hot_join(labels, next_, "label", "members", F.xxhash64("key"))
+        next_ = own.join(labels.select(F.col("key").alias("label"), F.col("label").alias("next")), "label")
+        next_ = next_ if total <= TASK_ROWS else written(next_, "next")
+        jumped = hot_join(labels, next_, "label", "members", F.xxhash64("key"), total=total)
         new = written(jumped.join(near, "key").select("key", F.least("label", "near", "next").alias("label"), "degree", F.col("label").alias("old")), "labels")
         labels = new.select("key", "label", "degree")
         if new.where("label <> old").isEmpty():
@@ -239,16 +248,73 @@ def _first_pass(of: DataFrame, leaders: DataFrame, sets: DataFrame, threshold: f
     return _links(rows.join(sets, "key"), threshold)
 
 
-def _second_pass(of: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame | None:
+def prefix(hashes: np.ndarray, frequent: np.ndarray, times: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Of a set's shingles those of which a set as similar as the threshold must share one, which has them among its own: the
+    first ones in the order of times (of frequent shingles, ascending; else 0) and hash."""
+    n = len(hashes)
+    rank = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        rank = np.where(frequent[at] == hashes, times[at], 0)
+    return hashes[np.lexsort((hashes, rank))][: n - int(np.ceil(threshold * n - 1e-9)) + 1]
+
+
+def _refined(inside: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, sub) of the texts inside(family, key) that share a prefix shingle with another one of their family."""
+    texts = written(inside.select("family", "key").join(sets, "key").select("family", "key", "hashes"), "large-families")
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch["hashes"].to_pylist()), np.int64))], names=["shingle"])
+
+    counts = written(texts.select("hashes").mapInArrow(every, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FREQUENT), "frequent")
+    sizes = [FREQUENT * 4**i for i in range(16)]
+    rows = counts.agg(*[F.count(F.when(F.col("n") > s, 1)) for s in sizes]).first()
+    size = next(s for s, n in zip(sizes, rows, strict=True) if n <= FREQUENT_ROWS)
+    found = np.array([(r["shingle"], r["n"]) for r in counts.where(F.col("n") > size).collect()], np.int64).reshape(-1, 2)  # FREQUENT_ROWS at most
+    frequent = found[:, 0].copy().view(np.uint64)
+    order = np.argsort(frequent)
+    shared = texts.sparkSession.sparkContext.broadcast((frequent[order], found[order, 1]))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = [prefix(np.frombuffer(h, np.uint64), *shared.value, threshold) for h in batch["hashes"].to_pylist()]
+            own = pa.array(np.repeat(np.arange(len(chosen)), [len(c) for c in chosen]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["family"].take(own), batch["key"].take(own), pa.array(np.concatenate([*chosen, np.zeros(0, np.uint64)]).view(np.int64))], names=["family", "key", "shingle"])
+
+    held = written(texts.mapInArrow(first, "family binary, key binary, shingle long"), "prefixes")
+    met = written(held.groupBy("family", "shingle").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "met")
+    edges = hot_join(held, met, ["family", "shingle"], "n", F.xxhash64("key")).where("key <> first").select("key", "first").distinct()
+    return components(edges, "key", "first").withColumnRenamed("label", "sub")
+
+
+def _classes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How many texts each class of a family has, and each family, of rows(family, key, label)."""
+    n = rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("in_class"))
+    return n, n.groupBy("family").agg(F.sum("in_class").alias("in_family"), F.count(F.lit(1)).alias("classes"))
+
+
+def _second_pass(of: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float, block: int, refine: int) -> DataFrame | None:
     """Links between classes of families of more than one block, or None if there is no such family of several classes.
     A class that fills half a block or more has blocks of its own; pairs of these of one class are left out."""
-    rows = of.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    n = rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("in_class"))
-    every = n.groupBy("family").agg(F.sum("in_class").alias("in_family"), F.count(F.lit(1)).alias("classes"), F.sum(F.when(F.col("in_class") < block // 2, F.col("in_class")).otherwise(0)).alias("in_small"))
+    rows = of.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")).select("family", "key", "label")
+    n, every = _classes_of(rows)
     open_ = written(n.join(every.where((F.col("in_family") > block) & (F.col("classes") > 1)), "family"), "open")
+    large = open_.where(F.col("in_family") > refine * block).groupBy("family").agg(F.max("in_family").alias("in_family"))
+    if not large.isEmpty():
+        large = written(large, "large")
+        # one row a key, so that the cut families and the others have nothing in common
+        inside = written(hot_join(rows, large, "family", "in_family", F.xxhash64("key")).select("family", "key", "label"), "inside")
+        again = written(inside.drop("family").join(_refined(inside, sets, threshold).withColumnRenamed("sub", "family"), "key").select("family", "key", "label"), "again")
+        m, each = _classes_of(again)
+        rest = hot_join(rows, open_.where(F.col("in_family") <= refine * block).groupBy("family").agg(F.max("in_family").alias("in_family")), "family", "in_family", F.xxhash64("key"))
+        rows = rest.select("family", "key", "label").unionByName(again)
+        open_ = written(open_.where(F.col("in_family") <= refine * block).unionByName(m.join(each.where("classes > 1"), "family")), "open")
     if open_.isEmpty():
         return None
     own = F.col("in_class") >= block // 2
+    small_ = open_.groupBy("family").agg(F.sum(F.when(~own, F.col("in_class")).otherwise(0)).alias("in_small"))
+    open_ = written(open_.join(small_, "family"), "open")
     parts = F.ceil(F.when(own, F.col("in_class")).otherwise(F.col("in_small")) / F.lit(float(block)))
     rows = hot_join(rows, open_, ["family", "label"], "in_class", F.xxhash64("key")).withColumn("part", F.pmod(F.xxhash64("key"), parts))
     rows = rows.withColumn("side", F.concat(F.when(own, F.hex("label")).otherwise(F.lit("mixed")), F.lit(":"), "part")).withColumn("of_class", F.when(own, F.col("label")))
@@ -261,7 +327,7 @@ def _second_pass(of: DataFrame, labels: DataFrame, sets: DataFrame, threshold: f
     return _links(rows.join(sets, "key").join(ends, ["family", "side"]).select("block", "key", "label", "hashes"), threshold)
 
 
-def classes(texts: DataFrame, *, threshold: float = THRESHOLD, width: int = dart_minhash.SHINGLE_WORDS, block: int = BLOCK, hubs: int = HUBS, log: Callable[[str], None] | None = None) -> DataFrame:
+def classes(texts: DataFrame, *, threshold: float = THRESHOLD, width: int = dart_minhash.SHINGLE_WORDS, block: int = BLOCK, hubs: int = HUBS, refine: int = REFINE) -> DataFrame:
     """(key, label) of texts(key binary, text) that have a near-duplicate: label is the smallest key of the class."""
     small_batches(texts.sparkSession)
     sketches = written(signed(texts, width=width), "sketches")
@@ -271,7 +337,7 @@ def classes(texts: DataFrame, *, threshold: float = THRESHOLD, width: int = dart
     sets = written(shingled(wanted, width=width), "sets")
     links = written(_first_pass(of, leaders, sets, threshold, block, hubs), "links")
     labels = components(links, "a", "b")
-    more = _second_pass(of, labels, sets, threshold, block)
+    more = _second_pass(of, labels, sets, threshold, block, refine)
     if more is not None:
         more = written(more, "links")
         if not more.isEmpty():
