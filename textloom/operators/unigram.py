@@ -53,11 +53,14 @@ class Unigram:
         return out[::-1]
 
 
+def pieces_of_json(text: str) -> tuple[dict[str, tuple[int, float]], bytes]:
+    """Pieces and character map of a tokenizer file's text: an id is a piece's place."""
+    return {p: (i, float(s)) for i, (p, s) in enumerate(json.loads(text)["model"]["vocab"])}, charsmap.from_tokenizer_json(text)
+
+
 def load_pieces(path: str) -> tuple[dict[str, tuple[int, float]], bytes]:
-    """Pieces and character map of a tokenizer file."""
     with open(path, encoding="utf-8") as f:
-        text = f.read()
-    return {p: (i, float(s)) for i, (p, s) in enumerate(json.loads(text)["model"]["vocab"])}, charsmap.from_tokenizer_json(text)
+        return pieces_of_json(f.read())
 
 
 class XlmrTokenizer:

@@ -6,6 +6,8 @@ rules that both engines follow. The hash backend stands in for a model.
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Callable
 from math import log
 
@@ -304,7 +306,13 @@ def xlmr_encode(spark, sf_dir):
 
 @query(_UNIGRAM + "SELECT doc_id, array_to_string(list_concat([0], ids, [2]), ' ') AS ids FROM content")
 def xlmr_expected_ids(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", F.array_join(_xlmr(spark, sf_dir).whole_ids(F.col("text")), " ").alias("ids"))
+    """By a tokenizer file's text that holds the pieces, behind four sentinels, and the character map."""
+    pieces = sorted(_once(spark, sf_dir, derived_pieces).items(), key=lambda x: x[1][0])
+    vocab = [[t, 0.0] for t in ("<s>", "<pad>", "</s>", "<unk>")] + [[p, score] for p, (_, score) in pieces]
+    blob = base64.b64encode(charsmap.build(derived_map())).decode()
+    file = json.dumps({"normalizer": {"normalizers": [{"type": "Precompiled", "precompiled_charsmap": blob}]}, "model": {"vocab": vocab}})
+    tokenizer = unigram.XlmrTokenizer(spark, *unigram.pieces_of_json(file), max_length=MAX_LENGTH)
+    return _documents(spark, sf_dir).select("doc_id", F.array_join(tokenizer.whole_ids(F.col("text")), " ").alias("ids"))
 
 
 @query("SELECT regexp_replace(split_part(text, chr(10), 1), '^\\s+|\\s+$', '', 'g') AS token, max(doc_id)::BIGINT AS id FROM documents GROUP BY 1")
