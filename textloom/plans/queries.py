@@ -20,7 +20,7 @@ from textloom.operators import catalog as C
 from textloom.operators import charsmap, corpus, embed, ranking, unigram
 from textloom.operators import wordpiece as sub_words
 from textloom.operators.embed import HashBackend
-from textloom.sources.tables import table
+from textloom.sources.tables import dealt, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +44,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for work that takes longer than moving them."""
+    return dealt(_documents(spark, sf_dir))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
 
@@ -76,7 +81,7 @@ def bert_normalize(spark, sf_dir):
 @query(rf"SELECT doc_id, len(regexp_extract_all({_NORMAL.format('text')}, '[\p{{L}}\p{{N}}]+'))::INT AS n_words, array_to_string(regexp_extract_all({_NORMAL.format('text')}, '[\p{{L}}\p{{N}}]+'), ' ') AS words FROM documents")
 def word_segment(spark, sf_dir):
     words = T.segment(T.bert_normalize(F.col("text")))
-    return _documents(spark, sf_dir).select("doc_id", F.size(words).alias("n_words"), F.array_join(words, " ").alias("words"))
+    return _dealt(spark, sf_dir).select("doc_id", F.size(words).alias("n_words"), F.array_join(words, " ").alias("words"))
 
 
 @query(f"SELECT doc_id, regexp_replace(text, ' {{2,}}', ' ', 'g') AS collapsed FROM {_MARKED}")
@@ -117,13 +122,13 @@ _WIDE = "concat(text, ' Ｈｅｌｌｏ', chr(160), 'e', chr(769), '…')"
 @query(f"SELECT doc_id, replace(replace(replace(translate({_WIDE}, (SELECT string_agg(chr(65248 + c::INT), '' ORDER BY c) FROM range(33, 127) r(c)), (SELECT string_agg(chr(c::INT), '' ORDER BY c) FROM range(33, 127) r(c))), chr(160), ' '), 'e' || chr(769), 'é'), '…', '...') AS normal FROM documents")
 def charsmap_normalize(spark, sf_dir):
     run = charsmap.normalizer(spark, charsmap.build(derived_map()))
-    return _documents(spark, sf_dir).select("doc_id", run(F.concat("text", F.lit(" Ｈｅｌｌｏ\u00a0e\u0301…"))).alias("normal"))
+    return _dealt(spark, sf_dir).select("doc_id", run(F.concat("text", F.lit(" Ｈｅｌｌｏ\u00a0e\u0301…"))).alias("normal"))
 
 
 @query(f"SELECT doc_id, '▁' || replace(regexp_replace(ltrim(replace(replace(replace(translate({_WIDE}, (SELECT string_agg(chr(65248 + c::INT), '' ORDER BY c) FROM range(33, 127) r(c)), (SELECT string_agg(chr(c::INT), '' ORDER BY c) FROM range(33, 127) r(c))), chr(160), ' '), 'e' || chr(769), 'é'), '…', '...'), ' '), ' {{2,}}', ' ', 'g'), ' ', '▁') AS normal FROM documents")
 def xlmr_normalize(spark, sf_dir):
     run = charsmap.normalizer(spark, charsmap.build(derived_map()))
-    return _documents(spark, sf_dir).select("doc_id", charsmap.tokenization_form(run, F.concat("text", F.lit(" Ｈｅｌｌｏ\u00a0e\u0301…"))).alias("normal"))
+    return _dealt(spark, sf_dir).select("doc_id", charsmap.tokenization_form(run, F.concat("text", F.lit(" Ｈｅｌｌｏ\u00a0e\u0301…"))).alias("normal"))
 
 
 # ---- sub-words ------------------------------------------------------------------------------------------------------
@@ -156,7 +161,7 @@ def _once(spark: SparkSession, sf_dir: str, derive: Callable[[DataFrame], object
     """What is derived from the documents, which stands for a model's file: made once an application, as a file is loaded once."""
     key = spark.sparkContext.applicationId, sf_dir, derive.__name__
     if key not in _made:
-        _made[key] = derive(_documents(spark, sf_dir))
+        _made[key] = derive(_dealt(spark, sf_dir))
     return _made[key]
 
 
@@ -191,14 +196,14 @@ toks AS (
 
 @query(_WP + "SELECT word, array_to_string(ids, ' ') AS ids FROM wp")
 def wordpiece(spark, sf_dir):
-    words = _word_counts(_documents(spark, sf_dir))
+    words = _word_counts(_dealt(spark, sf_dir))
     tokenizer = sub_words.BertTokenizer(spark, _vocabulary(spark, sf_dir))
     return words.select("word", F.array_join(tokenizer.word_ids(F.array("word")), " ").alias("ids"))
 
 
 def _encoded(spark: SparkSession, sf_dir: str, max_length: int = MAX_LENGTH) -> DataFrame:
     tokenizer = sub_words.BertTokenizer(spark, _vocabulary(spark, sf_dir), max_length=max_length)
-    return _documents(spark, sf_dir).select("doc_id", tokenizer.encode(F.col("text")).alias("t"))
+    return _dealt(spark, sf_dir).select("doc_id", tokenizer.encode(F.col("text")).alias("t"))
 
 
 _FRAME = f"list_concat([101], ids[1:{MAX_LENGTH - 2}], [102])"
@@ -227,7 +232,7 @@ def token_counts(spark, sf_dir):
 @query(_WP + f"SELECT (len(ids) > {MAX_LENGTH - 2}) AS truncated, count(*) AS n_texts, sum(len(ids))::BIGINT AS n_ids, max(len(ids))::BIGINT AS longest FROM content GROUP BY 1")
 def truncation_report(spark, sf_dir):
     tokenizer = sub_words.BertTokenizer(spark, _vocabulary(spark, sf_dir), max_length=MAX_LENGTH)
-    rows = _documents(spark, sf_dir).select(tokenizer.content_ids(F.col("text")).alias("ids"))
+    rows = _dealt(spark, sf_dir).select(tokenizer.content_ids(F.col("text")).alias("ids"))
     return rows.groupBy(tokens.truncated(F.col("ids"), MAX_LENGTH).alias("truncated")).agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.size("ids")).alias("n_ids"), F.max(F.size("ids")).cast("long").alias("longest"))
 
 
@@ -235,7 +240,7 @@ def truncation_report(spark, sf_dir):
 def bert_decode(spark, sf_dir):
     tokenizer = sub_words.BertTokenizer(spark, _vocabulary(spark, sf_dir), max_length=MAX_LENGTH)
     ids = tokens.framed(tokenizer.content_ids(F.col("text")), tokens.BERT, MAX_LENGTH)
-    return _documents(spark, sf_dir).select("doc_id", ids.alias("ids")).select("doc_id", F.array_join(tokenizer.decode(F.col("ids")), " ").alias("tokens"))
+    return _dealt(spark, sf_dir).select("doc_id", ids.alias("ids")).select("doc_id", F.array_join(tokenizer.decode(F.col("ids")), " ").alias("tokens"))
 
 
 def derived_pieces(docs: DataFrame) -> dict[str, tuple[int, float]]:
@@ -292,7 +297,7 @@ WITH RECURSIVE raw AS (
 
 @query(_UNIGRAM + "SELECT doc_id, array_to_string(ids, ' ') AS ids FROM content")
 def unigram_tokenize(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", F.array_join(_xlmr(spark, sf_dir).content_ids(F.col("text")), " ").alias("ids"))
+    return _dealt(spark, sf_dir).select("doc_id", F.array_join(_xlmr(spark, sf_dir).content_ids(F.col("text")), " ").alias("ids"))
 
 
 _XLMR_FRAME = f"list_concat([0], ids, [2])[1:{MAX_LENGTH}]"
@@ -300,7 +305,7 @@ _XLMR_FRAME = f"list_concat([0], ids, [2])[1:{MAX_LENGTH}]"
 
 @query(_UNIGRAM + f"SELECT doc_id, array_to_string(list_resize({_XLMR_FRAME}, {MAX_LENGTH}, 1), ' ') AS input_ids, array_to_string(list_resize([1 FOR x IN {_XLMR_FRAME}], {MAX_LENGTH}, 0), '') AS mask, len(ids) > {MAX_LENGTH - 2} AS truncated FROM content")
 def xlmr_encode(spark, sf_dir):
-    rows = _documents(spark, sf_dir).select("doc_id", _xlmr(spark, sf_dir).encode(F.col("text")).alias("t"))
+    rows = _dealt(spark, sf_dir).select("doc_id", _xlmr(spark, sf_dir).encode(F.col("text")).alias("t"))
     return rows.select("doc_id", F.array_join("t.input_ids", " ").alias("input_ids"), F.array_join("t.attention_mask", "").alias("mask"), "t.truncated")
 
 
@@ -312,7 +317,7 @@ def xlmr_expected_ids(spark, sf_dir):
     blob = base64.b64encode(charsmap.build(derived_map())).decode()
     file = json.dumps({"normalizer": {"normalizers": [{"type": "Precompiled", "precompiled_charsmap": blob}]}, "model": {"vocab": vocab}})
     tokenizer = unigram.XlmrTokenizer(spark, *unigram.pieces_of_json(file), max_length=MAX_LENGTH)
-    return _documents(spark, sf_dir).select("doc_id", F.array_join(tokenizer.whole_ids(F.col("text")), " ").alias("ids"))
+    return _dealt(spark, sf_dir).select("doc_id", F.array_join(tokenizer.whole_ids(F.col("text")), " ").alias("ids"))
 
 
 @query("SELECT regexp_replace(split_part(text, chr(10), 1), '^\\s+|\\s+$', '', 'g') AS token, max(doc_id)::BIGINT AS id FROM documents GROUP BY 1")
@@ -335,7 +340,7 @@ pooled AS (
 @query(_EMBED + "SELECT doc_id, pos - 1 AS pos, (CASE WHEN n = 0 THEN x ELSE (x::DOUBLE / n)::FLOAT END) AS value FROM (SELECT doc_id, n, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM normed)")
 def embed_documents(spark, sf_dir):
     tokenizer = sub_words.BertTokenizer(spark, _vocabulary(spark, sf_dir), max_length=MAX_LENGTH)
-    made = embed.Embedder(tokenizer, HashBackend(EMBED_DIMENSIONS), model_id="hash").embed(_documents(spark, sf_dir))
+    made = embed.Embedder(tokenizer, HashBackend(EMBED_DIMENSIONS), model_id="hash").embed(_dealt(spark, sf_dir))
     return made.select("doc_id", F.posexplode("embedding").alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -557,7 +562,7 @@ WITH lines AS (
 
 def _blocky(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace(F.replace("text", F.lit(".\n"), F.lit(".\n  \n")), F.lit(". "), F.lit(".\n"))
-    return _documents(spark, sf_dir).select("doc_id", text.alias("text"))
+    return _dealt(spark, sf_dir).select("doc_id", text.alias("text"))
 
 
 @query(_BLOCKS + "SELECT doc_id, block, n_lines, body FROM block")

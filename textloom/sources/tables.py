@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, if their source has splits for less than half of them, as small files do: for work that costs more than
+    moving the rows. Large sources have more splits; their rows stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    splits = rows._jdf.queryExecution().toRdd().getNumPartitions()
+    return rows if 2 * splits > cores else rows.repartition(cores)
+
+
 def text_corpus(spark: SparkSession, path: str, key: str = "key") -> DataFrame:
     """(key, text) of a JSON file that maps keys to texts. The file is configuration: it is read as a whole."""
     whole = spark.read.text(path, wholetext=True)
