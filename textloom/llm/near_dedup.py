@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import dart_minhash, exact_dedup
 from textloom.llm.common import BROADCAST_ROWS, TASK_ROWS, hot_join, small, small_batches, written
+from textloom.sources.tables import dealt
 
 THRESHOLD, K, BAND_ROWS = 0.8, 128, 4
 JOIN, LEAVE, ROUNDS = 0.4, 0.75, 2
@@ -328,9 +329,9 @@ def _second_pass(of: DataFrame, labels: DataFrame, sets: DataFrame, threshold: f
 
 
 def classes(texts: DataFrame, *, threshold: float = THRESHOLD, width: int = dart_minhash.SHINGLE_WORDS, block: int = BLOCK, hubs: int = HUBS, refine: int = REFINE) -> DataFrame:
-    """(key, label) of texts(key binary, text) that have a near-duplicate: label is the smallest key of the class."""
+    """(key, label) of texts(key binary, text), a written table's, that have a near-duplicate: label is the smallest key of the class."""
     small_batches(texts.sparkSession)
-    sketches = written(signed(texts, width=width), "sketches")
+    sketches = written(signed(dealt(texts), width=width), "sketches")
     of, leaders = families(sketches)
     n = of.count()
     wanted = texts.join(small(of.select("key"), n), "key", "left_semi")

@@ -8,20 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import chat, exact_dedup, html_extract, license_scan, mixing, near_dedup, packing, quality_bayes, quality_rules, url_filter
 from textloom.llm.common import read
+from textloom.sources.tables import dealt
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_bayes.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality_bayes.classify(dealt(read(spark, sf_dir, "documents")), read(spark, sf_dir, "labels"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(dealt(read(spark, sf_dir, "documents")))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(read(spark, sf_dir, "documents"))
+    return license_scan.scan(dealt(read(spark, sf_dir, "documents")))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.main_text(read(spark, sf_dir, "pages"))
+    return html_extract.main_text(dealt(read(spark, sf_dir, "pages")))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(read(spark, sf_dir, "documents"))
+    return packing.packed(dealt(read(spark, sf_dir, "documents")))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
