@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
 from textloom.llm.common import drop_table, read, scratch, temporary_tables
+from textloom.sources.tables import dealt
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -49,14 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, last = read(spark, sf_dir, "documents"), None
+    docs, last = dealt(read(spark, sf_dir, "documents")), None
     for name, stage in STAGES:
         path = scratch(spark, name)
         with temporary_tables(spark):
             made = stage(spark, docs, sf_dir)
             made.write.parquet(path)
-        docs = spark.read.schema(made.schema).parquet(path)
+        docs = dealt(spark.read.schema(made.schema).parquet(path))
         if last:
             drop_table(spark, last)
         last = path
-    return docs
+    return spark.read.schema(made.schema).parquet(path)
