@@ -220,6 +220,15 @@ def test_mix_of_little(spark):
     check_mix(spark, [(1, "a b c", "x"), (1, "a b c", "x"), (None, "a b", None), (2, "d", "x")])
 
 
+def test_rows_of_one_id_are_mixed_alike_on_every_run(spark):
+    r = random.Random(12)
+    rows = [(i % 15, "w " * r.randrange(30), r.choice(["a", "b"])) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    first = sorted(map(repr, mixing.mix(df.repartition(1)).collect()))
+    for n in (3, 5):
+        assert sorted(map(repr, mixing.mix(df.repartition(n, F.rand(n))).collect())) == first
+
+
 def test_mixed_documents_repeat_as_taken(spark):
     rows = rows_of(200, 3)
     df = spark.createDataFrame(rows, SCHEMA).withColumn("size", F.lit("mine")).withColumn("epochs", F.lit(0))

@@ -8,7 +8,8 @@ order of about ``BUCKET_ROWS`` rows, the buckets' sums are added up, and rows ar
 global cut is found likewise by bins of finish time, of which only the one with the cut is looked at row by row.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; sources of size 0 have
-target 0; rows that repeat an id are mixed as rows of their own; an empty table gives an empty result.
+target 0; rows that repeat an id are mixed as rows of their own, the smaller first (`mixed_documents` takes them all as often as
+the first); an empty table gives an empty result; other columns never matter.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def _timed(sized: DataFrame, by: DataFrame, epochs: int, seed: str) -> DataFrame
         sums = out.groupBy(key, F.col(f"bucket_{e}").alias("bucket")).agg(F.sum("size").alias("in_bucket"))
         before = F.sum("in_bucket").over(Window.partitionBy("key").orderBy("bucket")) - F.col("in_bucket")
         sums = sums.select("key", "bucket", before.alias("before"))
-        run = F.sum("size").over(Window.partitionBy("key", "bucket").orderBy(f"place_{e}", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        run = F.sum("size").over(Window.partitionBy("key", "bucket").orderBy(f"place_{e}", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         out = out.withColumn("key", key).withColumn("bucket", F.col(f"bucket_{e}")).withColumn("run", run).join(sums, ["key", "bucket"])
         passed = F.col("before") + F.col("run") + F.lit(e) * F.col("source_size")
         out = out.withColumn(f"finish_{e}", F.when(F.col("target") > 0, passed / F.col("target")).otherwise(F.lit(0.0)))
@@ -168,7 +169,7 @@ WITH sized AS (
          md5('mix:' || e.epoch || ':' || coalesce(s.doc_id::VARCHAR, '')) AS place
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source, (SELECT unnest([0, 1]) AS epoch) e
 ), timed AS (
-  SELECT *, CASE WHEN target > 0 THEN (sum(size) OVER (PARTITION BY source, epoch ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) + epoch * source_size)::DOUBLE / target ELSE 0.0 END AS finish
+  SELECT *, CASE WHEN target > 0 THEN (sum(size) OVER (PARTITION BY source, epoch ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) + epoch * source_size)::DOUBLE / target ELSE 0.0 END AS finish
   FROM stream
 ), cut AS (
   SELECT *, sum(size) OVER (ORDER BY finish, coalesce('+' || source, '~'), epoch, place, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) <= budget AS taken_now FROM timed
