@@ -12,11 +12,11 @@
 4. Links: families are cut into blocks of some hundred texts, each with some of the family's leaders, and the exact
    Jaccard similarity of shingle sets is counted for all pairs of a block by matrix products; a block returns the spanning
    links only. A family of several blocks that is not yet one class goes through a second pass of block pairs, without
-   those whose texts are all of one class. A family of more than ``REFINE`` blocks, as pages of one template make, is first cut
-   by prefixes: with shingles ordered from rare to frequent, two sets of similarity 0.8 or more share one among the first fifth of
+   those whose texts are all of one class. Where a block would meet more than ``REFINE`` others on average, as pages of one
+   template make it, the family is first cut by prefixes: with shingles ordered from rare to frequent, two sets of similarity 0.8 or more share one among the first fifth of
    each, so only texts that do stay together, and each text still lies in one family. So all pairs are compared that could still
-   join two classes, no pairs are ever shuffled, and a text is sent to at most ``REFINE`` blocks unless more than that many texts
-   hang together by their rarest shingles.
+   join two classes, no pairs are ever shuffled, and a text is sent to few blocks unless many texts hang together by their
+   rarest shingles.
 5. Classes are the connected components of the links.
 
 Defined results: null texts count as empty; texts without words are similar to their exact copies only; a text of fewer
@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import dart_minhash, exact_dedup
-from textloom.llm.common import BROADCAST_ROWS, hot_join, small, small_batches, written
+from textloom.llm.common import BROADCAST_ROWS, TASK_ROWS, hot_join, small, small_batches, written
 from textloom.sources.tables import dealt
 
 THRESHOLD, K, BAND_ROWS = 0.8, 128, 4
 JOIN, LEAVE, ROUNDS = 0.4, 0.75, 2
 #: Texts of a block, and leaders that each block of a family gets besides.
 BLOCK, HUBS = 256, 8
-#: Blocks of a family beyond which it is cut by prefixes before all its blocks meet.
+#: Pairs of blocks, for each block of a family, beyond which the family is cut by prefixes first.
 REFINE = 8
 #: Texts from which a shingle may count as frequent, and frequent shingles that the workers get.
 FREQUENT, FREQUENT_ROWS = 32, 50_000
@@ -122,15 +122,24 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     labels = written(both.groupBy("key").agg(F.least(F.min("other"), F.first("key")).alias("label"), F.count(F.lit(1)).alias("degree")), "labels")
     while True:
         near = hot_join(both, labels.select(F.col("key").alias("other"), "label", "degree"), "other", "degree", F.xxhash64("key"), total=total).groupBy("key").agg(F.min("label").alias("near"))
-        own = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-        next_ = written(own.join(labels.select(F.col("key").alias("label"), F.col("label").alias("next")), "label"), "next")
-        jumped = hot_join(labels, next_, "label", "members", F.xxhash64("key"), total=total)
+        next_ = labels.select(F.col("key").alias("label"), F.col("label").alias("next"))
+        if total > TASK_ROWS:
+            own = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+            jumped = hot_join(labels, written(own.join(next_, "label"), "next"), "label", "members", F.xxhash64("key"))
+        else:
+            jumped = labels.join(next_, "label")
         new = written(jumped.join(near, "key").select("key", F.least("label", "near", "next").alias("label"), "degree", F.col("label").alias("old")), "labels")
         labels = new.select("key", "label", "degree")
         if new.where("label <> old").isEmpty():
             return labels.select("key", "label")
 
 
+def _stars(edges: DataFrame, key: str, other: str) -> DataFrame:
+    """(key, first): what edges(key, other) join, by fewer: of each key the edge to its smallest other, and those of its others to that one."""
+    own = edges.groupBy(F.col(key).alias("key")).agg(F.min(other).alias("first"), F.collect_list(other).alias("others"))
+    return own.select("key", "first").unionByName(own.select(F.explode("others").alias("key"), "first").where("key <> first")).distinct()
+
+
 def _led(pool: DataFrame, lead: DataFrame) -> DataFrame:
     """pool(key, bucket) with the leaders lead(bucket, leader, n). The buckets of most members, as many as may be broadcast,
     meet their members where these lie; only the rest is shuffled by bucket."""
@@ -162,10 +171,8 @@ def families(sketches: DataFrame, *, join: float = JOIN, leave: float = LEAVE, r
     for e in edges[1:]:
         every = every.unionByName(e)
     every = written(every.distinct(), "family-edges")
-    # a text of many leaders (as many as bands and rounds, at most) needs one edge, and its leaders one to the smallest
-    own = every.groupBy("key").agg(F.min("leader").alias("first"), F.collect_list("leader").alias("leaders"))
-    stars = own.select("key", "first").unionByName(own.select(F.explode("leaders").alias("key"), "first").where("key <> first")).distinct()
-    of = components(stars, "key", "first").withColumnRenamed("label", "family")
+    # a text has as many leaders as bands and rounds, at most
+    of = components(_stars(every, "key", "leader"), "key", "first").withColumnRenamed("label", "family")
     leaders = every.groupBy(F.col("leader").alias("key")).agg(F.count(F.lit(1)).alias("led")).join(of, "key")
     return of, leaders
 
@@ -285,7 +292,7 @@ def _refined(inside: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     held = written(texts.mapInArrow(first, "family binary, key binary, shingle long"), "prefixes")
     met = written(held.groupBy("family", "shingle").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "met")
     edges = hot_join(held, met, ["family", "shingle"], "n", F.xxhash64("key")).where("key <> first").select("key", "first").distinct()
-    return components(edges, "key", "first").withColumnRenamed("label", "sub")
+    return components(_stars(edges, "key", "first"), "key", "first").withColumnRenamed("label", "sub")
 
 
 def _classes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -294,27 +301,38 @@ def _classes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return n, n.groupBy("family").agg(F.sum("in_class").alias("in_family"), F.count(F.lit(1)).alias("classes"))
 
 
+def _sided(classes: DataFrame, block: int) -> DataFrame:
+    """classes(family, label, in_class, ...) with what their family's second pass takes: texts in small classes, sides (blocks of one large
+    class or of small ones) and pairs of sides that meet."""
+    classes = written(classes, "open")
+    own = F.col("in_class") >= block // 2
+    parts = F.when(own, F.ceil(F.col("in_class") / F.lit(float(block)))).otherwise(0)
+    by = classes.groupBy("family").agg(F.sum(F.when(~own, F.col("in_class")).otherwise(0)).alias("in_small"), F.sum(parts).alias("own"), F.sum(parts * (parts + 1) / 2).alias("same"))
+    sides = F.col("own") + F.ceil(F.col("in_small") / F.lit(float(block)))
+    by = by.select("family", "in_small", sides.alias("sides"), (sides * (sides + 1) / 2 - F.col("same")).alias("met"))
+    return written(classes.join(by, "family"), "open")
+
+
 def _second_pass(of: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float, block: int, refine: int) -> DataFrame | None:
     """Links between classes of families of more than one block, or None if there is no such family of several classes.
     A class that fills half a block or more has blocks of its own; pairs of these of one class are left out."""
     rows = of.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")).select("family", "key", "label")
     n, every = _classes_of(rows)
-    open_ = written(n.join(every.where((F.col("in_family") > block) & (F.col("classes") > 1)), "family"), "open")
-    large = open_.where(F.col("in_family") > refine * block).groupBy("family").agg(F.max("in_family").alias("in_family"))
+    open_ = _sided(n.join(every.where((F.col("in_family") > block) & (F.col("classes") > 1)), "family"), block)
+    large = open_.where(F.col("met") > refine * F.col("sides")).groupBy("family").agg(F.max("in_family").alias("in_family"))
     if not large.isEmpty():
         large = written(large, "large")
         # one row a key, so that the cut families and the others have nothing in common
         inside = written(hot_join(rows, large, "family", "in_family", F.xxhash64("key")).select("family", "key", "label"), "inside")
         again = written(inside.drop("family").join(_refined(inside, sets, threshold).withColumnRenamed("sub", "family"), "key").select("family", "key", "label"), "again")
         m, each = _classes_of(again)
-        rest = hot_join(rows, open_.where(F.col("in_family") <= refine * block).groupBy("family").agg(F.max("in_family").alias("in_family")), "family", "in_family", F.xxhash64("key"))
+        others = written(open_.where(F.col("met") <= refine * F.col("sides")), "others")
+        rest = hot_join(rows, others.groupBy("family").agg(F.max("in_family").alias("in_family")), "family", "in_family", F.xxhash64("key"))
         rows = rest.select("family", "key", "label").unionByName(again)
-        open_ = written(open_.where(F.col("in_family") <= refine * block).unionByName(m.join(each.where("classes > 1"), "family")), "open")
+        open_ = written(others.unionByName(_sided(m.join(each.where("classes > 1"), "family"), block)), "open")
     if open_.isEmpty():
         return None
     own = F.col("in_class") >= block // 2
-    small_ = open_.groupBy("family").agg(F.sum(F.when(~own, F.col("in_class")).otherwise(0)).alias("in_small"))
-    open_ = written(open_.join(small_, "family"), "open")
     parts = F.ceil(F.when(own, F.col("in_class")).otherwise(F.col("in_small")) / F.lit(float(block)))
     rows = hot_join(rows, open_, ["family", "label"], "in_class", F.xxhash64("key")).withColumn("part", F.pmod(F.xxhash64("key"), parts))
     rows = rows.withColumn("side", F.concat(F.when(own, F.hex("label")).otherwise(F.lit("mixed")), F.lit(":"), "part")).withColumn("of_class", F.when(own, F.col("label")))
