@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import chat, exact_dedup, html_extract, license_scan, mixing, near_dedup, packing, quality_bayes, quality_rules, url_filter
+from textloom.llm import chat, conversation_repair, embedding_dedup, exact_dedup, html_extract, license_scan, mixing, near_dedup, packing, periodic_runs, quality_bayes, quality_rules, url_filter
 from textloom.llm.common import read
 from textloom.sources.tables import dealt
 
@@ -53,9 +53,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op10(read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(read(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(dealt(read(spark, sf_dir, "documents")), prepare=periodic_runs.made_periodic)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.op13(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_bayes, op2_quality_rules, op3_license_scan, op4_chat_format, op5_html_extract, op6_exact_dedup, op7_near_dedup, op8_url_filter, op9_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_bayes, op2_quality_rules, op3_license_scan, op4_chat_format, op5_html_extract, op6_exact_dedup, op7_near_dedup, op8_url_filter, op9_packing, op10_mixing, op11_embedding_dedup, op12_periodic_runs, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.oracle_sql(), "op8_url_filter": url_filter.oracle_sql(), "op3_license_scan": license_scan.oracle_sql(), "op4_chat_format": chat.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {"op2_quality_rules": quality_rules.oracle_sql(), "op8_url_filter": url_filter.oracle_sql(), "op3_license_scan": license_scan.oracle_sql(), "op4_chat_format": chat.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL, "op11_embedding_dedup": embedding_dedup.ORACLE_SQL}
