@@ -20,6 +20,8 @@ from textloom.operators import catalog as C
 from textloom.operators import charsmap, corpus, embed, ranking, unigram
 from textloom.operators import wordpiece as sub_words
 from textloom.operators.embed import HashBackend
+from textloom.sources import tables
+from textloom.sources.shared import scratch
 from textloom.sources.tables import dealt, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -394,7 +396,8 @@ _RANK_SQL = _RANKED.format(_DOT.format("a.embedding", "b.embedding"), "embedding
 
 @query(_RANK_SQL)
 def rank_by_similarity(spark, sf_dir):
-    return ranking.rank(ranking.scored(*_sides(_vectors(spark, sf_dir))))
+    ranks = ranking.ranked(ranking.scored(*_sides(_vectors(spark, sf_dir))))
+    return ranks.withColumn("rank", F.col("rank").cast("int"))
 
 
 @query(f"SELECT * FROM ({_RANK_SQL}) WHERE rank <= {TOP_K}")
@@ -402,6 +405,13 @@ def knn_topk(spark, sf_dir):
     return ranking.knn(*_sides(_vectors(spark, sf_dir)), TOP_K)
 
 
+@query(f"SELECT * FROM ({_RANK_SQL.replace('WHERE a.vec_id % 100 = 0', '')}) WHERE rank <= {TOP_K}")
+def knn_every_vector(spark, sf_dir):
+    """Every vector as a query: where the queries are too large for a broadcast, over a grid of tiles."""
+    v = _vectors(spark, sf_dir)
+    return ranking.knn(v.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), v.select(F.col("vec_id").alias("did"), F.col("embedding").alias("d")), TOP_K)
+
+
 @query(f"SELECT vec_id, round({_DOT.format('embedding', 'embedding')}, 6) AS score FROM embeddings")
 def self_similarity(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", ranking.score(F.col("embedding"), F.col("embedding")).alias("score"))
@@ -460,6 +470,15 @@ def sq8_knn_topk(spark, sf_dir):
     return ranking.knn(*_sides(_coded(spark, sf_dir).select("vec_id", "back"), "back"), TOP_K)
 
 
+@query(f"SELECT * FROM ({_SQ8_RANK}) WHERE rank <= {TOP_K}")
+def sq8_knn_stored(spark, sf_dir):
+    """The same from the vector store, by its bytes."""
+    store = scratch(spark, "vectors")
+    tables.write_vectors(_vectors(spark, sf_dir).select("vec_id", F.lit(C.DEFAULT_MODEL).alias("model_id"), "embedding"), store, key="vec_id")
+    stored = spark.read.parquet(store)
+    return ranking.knn_stored(stored.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "sq8"), stored.select(F.col("vec_id").alias("did"), "sq8"), TOP_K)
+
+
 @query(f"SELECT a.qid, count(b.did) AS overlap FROM (SELECT * FROM ({_RANK_SQL}) WHERE rank <= {TOP_K}) a LEFT JOIN (SELECT * FROM ({_SQ8_RANK}) WHERE rank <= {TOP_K}) b ON a.qid = b.qid AND a.did = b.did GROUP BY a.qid")
 def sq8_rank_overlap(spark, sf_dir):
     """How many of the nearest by exact scores are so by quantised ones: the order is nearly, not quite, kept."""
