@@ -20,6 +20,7 @@ from textloom.operators import catalog as C
 from textloom.operators import charsmap, corpus, embed, ranking, unigram
 from textloom.operators import wordpiece as sub_words
 from textloom.operators.embed import HashBackend
+from textloom.operators.vector_store import VectorStore
 from textloom.sources import tables
 from textloom.sources.shared import scratch
 from textloom.sources.tables import dealt, table
@@ -547,6 +548,19 @@ def stale_vectors(spark, sf_dir):
     return C.stale(_vectors(spark, sf_dir).select("vec_id", made_by.alias("model_id")), C.DEFAULT_MODEL)
 
 
+@query(f"SELECT doc_id, sha256(CASE WHEN lang = 'de' THEN text || ' (2)' ELSE text END) AS sha256, CASE WHEN lang = 'de' THEN 2 ELSE 1 END::BIGINT AS embedded_in, {EMBED_DIMENSIONS} AS dimensions FROM documents")
+def vector_store_state(spark, sf_dir):
+    """All documents; then those of one language go and those of another change; then the first ones come back, whose vectors are there."""
+    docs = dealt(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang")
+    tokenizer = sub_words.BertTokenizer(spark, _vocabulary(spark, sf_dir), max_length=MAX_LENGTH)
+    made = embed.Embedder(tokenizer, HashBackend(EMBED_DIMENSIONS), model_id="hash")
+    store = VectorStore(spark, scratch(spark, "store"), "doc_id long")
+    gone, changed = F.col("lang") == "fr", F.col("lang") == "de"
+    for batch in (docs, docs.where(gone | changed).withColumns({"deleted": gone, "text": F.concat("text", F.lit(" (2)"))}), docs.where(gone)):
+        store.apply(batch, made.embed, "hash")
+    return store.state("hash").select("doc_id", F.col("digest").alias("sha256"), "embedded_in", F.size("embedding").alias("dimensions"))
+
+
 @query(f"SELECT w.model_id, CASE WHEN m.id IS NULL THEN 'unknown' WHEN m.validated THEN 'ok' ELSE 'not validated' END AS status, count(*) AS n FROM {_WANTED} w LEFT JOIN {_MODELS} ON m.id = w.model_id GROUP BY 1, 2")
 def catalog_lookup(spark, sf_dir):
     """What the gated lookup says to each of the models that documents want; it is asked once a model, on the driver."""
