@@ -275,3 +275,30 @@ def test_streams(spark, tmp_path):
     queries = live.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     queries.writeStream.foreachBatch(lambda b, i: seen.extend(find(b, i).collect())).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()
     assert len(seen) == 90
+
+
+def test_texts_of_a_length_are_run_together(spark):
+    """The same vectors in the same order, with a fraction of the padding."""
+    r = np.random.default_rng(6)
+    lengths = r.integers(1, 60, size=300)
+    rows = spark.createDataFrame([(i, " ".join("ab"[(i + k) % 2] for k in range(n))) for i, n in enumerate(lengths.tolist())] + [(-1, None), (-2, "")], "id int, text string").coalesce(1)
+
+    class Counted(embed.HashBackend):
+        def run(self, ids, mask, types):
+            assert len(ids) <= 32 and ids.shape == mask.shape == types.shape and mask.sum(axis=1).max() == ids.shape[1]
+            return super().run(ids, mask, types)
+
+    made = embed.Embedder(BertTokenizer(spark, {"a": 103, "b": 104}, max_length=64), Counted(4)).embed(rows).collect()
+    assert [x["id"] for x in made] == [*range(300), -1, -2]
+    one = embed.HashBackend(4)
+    for x in made:
+        if x["text"] is None:
+            assert x["embedding"] is None
+            continue
+        ids = np.array([[101, *[103 + "ab".index(w) for w in x["text"].split()], 102]])
+        mask = np.ones_like(ids)
+        assert x["embedding"] == embed.unit(embed.pool(one.run(ids, mask, mask)[0], mask[0])).tolist()
+    came = [np.arange(len(lengths))[i : i + 32] for i in range(0, len(lengths), 32)]
+    before, after = embed.padding(lengths, came), embed.padding(lengths, embed.batches_by_length(lengths, 32))
+    print("padded tokens", before, "as they came,", after, "by length")
+    assert after < before / 5

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
 from textloom.operators import charsmap, unigram, wordpiece
 from textloom.operators.charsmap import Charsmap, CharsmapError
 
@@ -194,3 +195,122 @@ def test_xlmr_encode(spark, tmp_path):
     assert got[1]["input_ids"] == [0, 2, 1, 1, 1, 1] and not got[1]["truncated"]
     assert got[2]["input_ids"] == [0, he, llo, w, orld, he] and got[2]["truncated"]
     assert got[3] is None
+
+
+def _plain_lattice(pieces, text, unknown=3):
+    """The best path over the whole text, by dictionary and every length."""
+    longest = max(map(len, pieces), default=1)
+    low = min((s for _, s in pieces.values()), default=0.0) - unigram.UNKNOWN_PENALTY
+    best = [(0.0, [])]
+    for end in range(1, len(text) + 1):
+        ways = []
+        for n in range(min(longest, end), 0, -1):
+            if text[end - n : end] in pieces:
+                i, s = pieces[text[end - n : end]]
+                ways.append((best[end - n][0] + s, n, best[end - n][1] + [i]))
+        ways.append((best[end - 1][0] + low, 0, best[end - 1][1] + [unknown]))
+        score, _, path = max(ways, key=lambda w: w[:2])
+        best.append((score, path))
+    path = best[-1][1]
+    return [p for i, p in enumerate(path) if not (p == unknown and i and path[i - 1] == unknown)]
+
+
+def test_pieces_may_span_words():
+    pieces = {p: (4 + i, s) for i, (p, s) in enumerate({"▁new": -3.0, "▁york": -3.5, "▁new▁york": -4.0, "▁": -5.0, "k▁t": -0.5, "▁the": -2.0, "he": -3.0, "▁▁": -1.0, "▁yor": -3.0}.items())}
+    model = unigram.Unigram(pieces)
+    assert model.text_ids("▁new▁york") == [pieces["▁new▁york"][0]]
+    assert model.text_ids("▁new▁york▁the") == _plain_lattice(pieces, "▁new▁york▁the")
+    assert model.segments("▁new▁york▁the▁new") == ["▁new▁york▁the", "▁new"]
+    assert model.segments("x▁the▁york") == ["x", "▁the", "▁york"]
+
+
+def test_segments_give_the_whole_lattice():
+    import random
+
+    r = random.Random(9)
+    for _ in range(300):
+        pieces = {"".join(r.choices("ab▁", k=r.randrange(1, 6))): None for _ in range(r.randrange(12))}
+        pieces = {p: (4 + i, -r.randrange(4, 48) / 8) for i, p in enumerate(pieces)}
+        model = unigram.Unigram(pieces)
+        for _ in range(5):
+            text = "".join(r.choices("abx▁", k=r.randrange(25)))
+            want = _plain_lattice(pieces, text)
+            assert model.ids(text) == want and model.text_ids(text) == want == model.text_ids(text), (pieces, text)
+
+
+def test_spanning_pieces_agree_with_an_independent_implementation():
+    from tokenizers import Tokenizer
+    from tokenizers.models import Unigram
+
+    pieces = {p: (4 + i, s) for i, (p, s) in enumerate({"▁": -3.01, "▁of": -2.03, "▁the": -2.57, "▁of▁the": -3.11, "e▁s": -4.39, "▁sea": -3.77, "a": -5.13, "th": -4.91, "e": -4.07, "s": -5.23}.items())}
+    order = [("<s>", 0.0), ("<pad>", 0.0), ("</s>", 0.0), ("<unk>", 0.0), *[(p, s) for p, (_, s) in pieces.items()]]
+    other = Tokenizer(Unigram(order, unk_id=3))
+    for text in ("▁of▁the▁sea", "▁the▁sea▁of▁the▁sea", "▁of▁these▁q", "▁se▁s", ""):
+        assert unigram.Unigram(pieces).text_ids(text) == other.encode(text).ids
+
+
+def test_a_vocabulary_of_real_size_is_made_once_a_worker(spark):
+    """250,000 pieces, many of them over several words; the model outlives a task."""
+    import os
+    import random
+    import time
+
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghijklmnopqrst", k=r.randrange(4, 9))) for _ in range(127_000)]
+    pieces = {T.METASPACE + w: 0 for w in words} | {T.METASPACE + a + T.METASPACE + b: 0 for a, b in zip(words, words[1:], strict=False)} | dict.fromkeys("abcdefghijklmnopqrst", 0)
+    pieces = {p: (4 + i, -8.0 - i % 97 / 50) for i, p in enumerate(pieces)}
+    assert len(pieces) > 245_000
+    began = time.perf_counter()
+    model = unigram.Unigram(pieces)
+    print("made in", round(time.perf_counter() - began, 1), "s")
+    text = T.METASPACE + T.METASPACE.join(r.choices(words, k=300) + words[:40])
+    assert model.text_ids(text) == model.ids(text)
+    assert any(T.METASPACE in p[1:] for i in model.ids(text) for p in [next(k for k, v in pieces.items() if v[0] == i)])
+    blob = charsmap.build({"…": "..."})
+    tokenizer = unigram.XlmrTokenizer(spark, pieces, blob)
+    rows = spark.range(64).repartition(16).select(F.lit(text.replace(T.METASPACE, " ")).alias("t"))
+    assert {tuple(x["v"]) for x in rows.select(tokenizer.content_ids(F.col("t")).alias("v")).collect()} == {tuple(model.ids(text))}
+
+    def loads(batches):
+        import pyarrow as pa
+
+        made = unigram.Unigram
+        for b in batches:
+            calls = []
+            unigram.Unigram = lambda *a: calls.append(1) or made(*a)
+            try:
+                unigram._model(shared)
+                unigram._model(shared)
+            finally:
+                unigram.Unigram = made
+            yield pa.RecordBatch.from_arrays([pa.array([f"{os.getpid()}"] * b.num_rows), pa.array([len(calls)] + [0] * (b.num_rows - 1))], names=["worker", "loads"])
+
+    shared = spark.sparkContext.broadcast((pieces, blob, "one"))
+    seen = spark.range(64).repartition(16).mapInArrow(loads, "worker string, loads long").groupBy("worker").agg(F.sum("loads").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    assert sum(x["rows"] for x in seen) == 64 and all(x["n"] <= 1 for x in seen)
+
+
+def test_registered_spanning_pieces_equal_the_plain_lattice(spark, sf_dir):
+    from textloom.plans import queries as core
+
+    pieces = core.derived_spans(core._documents(spark, sf_dir))
+    assert sum(T.METASPACE in p[1:] for p in pieces) > 100
+    normal = Charsmap(charsmap.build(core.derived_map()))
+    texts = {r["doc_id"]: r["text"] for r in core._documents(spark, sf_dir).where("length(text) < 1500").collect()}
+    got = {r["doc_id"]: r["ids"] for r in core.queries()["unigram_spanning"](spark, sf_dir).collect()}
+    assert len(texts) > 50
+    spans = {i for p, (i, _) in pieces.items() if T.METASPACE in p[1:]}
+    used = 0
+    for doc_id, text in texts.items():
+        ids = _plain_lattice(pieces, T.escaped(normal.normalize(text)))
+        assert got[doc_id] == " ".join(map(str, ids))
+        used += bool(spans & set(ids))
+    assert used > 10
+
+
+def test_derived_vocabularies_follow_their_table(spark, tmp_path):
+    from textloom.plans import queries as core
+
+    for texts in (["aa bb"], ["aa bb cc dd"]):
+        spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        assert set(core._vocabulary(spark, str(tmp_path))) >= set(texts[0].split())

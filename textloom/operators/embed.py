@@ -97,28 +97,43 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v if total == 0 else (v.astype(np.float64) / np.sqrt(total)).astype(np.float32)
 
 
+def batches_by_length(lengths: np.ndarray, batch: int) -> list[np.ndarray]:
+    """Places of texts in batches of texts about as long, so that little padding is run. Of equal lengths the order stays."""
+    order = np.argsort(lengths, kind="stable")
+    return [order[at : at + batch] for at in range(0, len(order), batch)]
+
+
+def padding(lengths: np.ndarray, batches: list[np.ndarray]) -> int:
+    """Tokens that batches run beyond those of their texts."""
+    return int(sum(len(b) * max(1, lengths[b].max()) - lengths[b].sum() for b in batches if len(b)))
+
+
 def infer(rows: DataFrame, backend: Backend, *, batch: int = 32) -> DataFrame:
     """rows(row struct, tokens struct) with embedding array<float>. Texts are run ``batch`` at a time, cut to the longest of
-    them: padding beyond it has no weight."""
+    them: padding beyond it has no weight. A task's Arrow batch of rows is a window in which texts are ordered by their tokens before
+    they are run, so that those of a batch are about as long; rows come out in the order they came in."""
     kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         backend.open()
         try:
             for b in batches:
-                tokens = b["tokens"].to_pylist()
-                out: list[np.ndarray | None] = [None] * len(tokens)
-                there = [i for i, t in enumerate(tokens) if t is not None]
-                for at in range(0, len(there), batch):
-                    part = there[at : at + batch]
-                    ids, mask, types = (np.array([tokens[i][k] for i in part], np.int64) for k in ("input_ids", "attention_mask", "token_type_ids"))
-                    n = max(1, int(mask.sum(axis=1).max()))
-                    hidden = backend.run(ids[:, :n], mask[:, :n], types[:, :n])
+                tokens = b["tokens"]
+                there = np.nonzero(np.asarray(tokens.is_valid()))[0]
+                vectors = np.zeros((b.num_rows, backend.dimensions), np.float32)
+                given = tokens.drop_null()
+                ids, mask, types = (np.asarray(given.field(k).flatten(), np.int64).reshape(len(given), -1) if len(given) else None for k in ("input_ids", "attention_mask", "token_type_ids"))
+                lengths = mask.sum(axis=1) if len(given) else np.zeros(0, np.int64)
+                for part in batches_by_length(lengths, batch):
+                    n = max(1, int(lengths[part].max()))
+                    hidden = backend.run(ids[part, :n], mask[part, :n], types[part, :n])
                     if hidden.shape[2] != backend.dimensions:
                         raise ValueError(f"the model gives {hidden.shape[2]} dimensions, not {backend.dimensions}")
                     for j, i in enumerate(part):
-                        out[i] = unit(pool(hidden[j], mask[j, :n]))
-                yield pa.RecordBatch.from_arrays([b["row"], pa.array([None if v is None else v.tolist() for v in out], pa.list_(pa.float32()))], names=["row", "embedding"])
+                        vectors[there[i]] = unit(pool(hidden[j], mask[i, :n]))
+                offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * backend.dimensions)
+                made = pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()), mask=tokens.is_null())
+                yield pa.RecordBatch.from_arrays([b["row"], made], names=["row", "embedding"])
         finally:
             backend.close()
 

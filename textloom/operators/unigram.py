@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,41 +19,109 @@ from textloom.operators import charsmap
 
 #: An unknown character scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Pieces don't cross the start of a word, so words are solved one by one, and each once.
-_WORD = re.compile(f"[^{T.METASPACE}]+|{T.METASPACE}[^{T.METASPACE}]*")
+#: Segments that a worker remembers, and characters of the longest one that it does.
+MEMO, MEMO_CHARS = 200_000, 64
 
 
 class Unigram:
-    """pieces: piece to (id, score). Unknown characters that touch become one unknown id. Of equal sums the one whose last piece is longest."""
+    """pieces: piece to (id, score). Unknown characters that touch become one unknown id. Of equal sums the one whose last piece is longest.
+
+    An automaton over all pieces finds every arc of a text's lattice in one pass: at each character the pieces that end there, the longest first.
+    The best path is then read from left to right. The lattice is that of the whole text, so pieces may reach over the starts of words."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], unknown: int = XLMR.unknown):
-        self.pieces, self.unknown = pieces, unknown
-        by_last: dict[str, set[int]] = {}
-        for p in pieces:
-            by_last.setdefault(p[-1:], set()).add(len(p))
-        self._lengths = {c: sorted(n, reverse=True) for c, n in by_last.items()}  # of pieces that end in a character
+        self.unknown = unknown
         self.unknown_score = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
+        self._arcs = _automaton((p, (len(p), i, s)) for p, (i, s) in pieces.items() if p)
+        # pieces with a word's start inside: only these reach from one word into another
+        self._across = _automaton((p, len(p)) for p in pieces if T.METASPACE in p[1:])
+        self._memo: dict[str, list[int]] = {}
 
     def ids(self, text: str) -> list[int]:
-        best = [0.0] + [float("-inf")] * len(text)
-        back: list[tuple[int, int]] = [(0, 0)] * (len(text) + 1)
-        for end in range(1, len(text) + 1):
-            for n in self._lengths.get(text[end - 1], ()):
-                start = end - n
-                if start < 0:
-                    continue
-                piece = self.pieces.get(text[start:end])
-                if piece is not None and best[start] + piece[1] > best[end]:
-                    best[end], back[end] = best[start] + piece[1], (start, piece[0])
-            if best[end - 1] + self.unknown_score > best[end]:
-                best[end], back[end] = best[end - 1] + self.unknown_score, (end - 1, self.unknown)
-        out, at = [], len(text)
+        """By the lattice of the text, in one piece."""
+        n = len(text)
+        best, back = [0.0] * (n + 1), [(0, 0)] * (n + 1)
+        arcs = iter(self._arcs.iter(text)) if self._arcs else iter(())
+        at, arc = next(arcs, (n, None))
+        for end in range(n):
+            top, way = float("-inf"), None
+            while at == end:
+                length, piece, score = arc
+                start = end + 1 - length
+                if best[start] + score > top:
+                    top, way = best[start] + score, (start, piece)
+                at, arc = next(arcs, (n, None))
+            if best[end] + self.unknown_score > top:
+                top, way = best[end] + self.unknown_score, (end, self.unknown)
+            best[end + 1], back[end + 1] = top, way
+        out, at = [], n
         while at:
             at, piece = back[at]
             if not (piece == self.unknown and out and out[-1] == self.unknown):
                 out.append(piece)
         return out[::-1]
 
+    def segments(self, text: str) -> list[str]:
+        """The text, cut where a word starts that no piece found in it reaches into: the best path has a node at such a place, so each segment can be
+        solved by itself."""
+        starts = [m.start() for m in _START.finditer(text)]
+        if self._across and starts:
+            inside = [0] * (len(text) + 1)
+            for end, length in self._across.iter(text):
+                inside[end + 2 - length] += 1
+                inside[end + 1] -= 1
+            depth, free = 0, []
+            for i, change in enumerate(inside):
+                depth += change
+                free.append(not depth)
+            starts = [i for i in starts if free[i]]
+        cuts = [0, *[i for i in starts if i], len(text)]
+        return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+    def text_ids(self, text: str) -> list[int]:
+        """As `ids`, with segments that recur solved once. A segment's sums start at nothing, so what stands before it doesn't tell equal sums apart
+        by the rounding of theirs."""
+        out: list[int] = []
+        for part in self.segments(text):
+            more = self._memo.get(part)
+            if more is None:
+                more = self.ids(part)
+                if len(part) <= MEMO_CHARS:
+                    if len(self._memo) >= MEMO:
+                        self._memo.clear()
+                    self._memo[part] = more
+            # unknown ids that touch over a cut are one
+            out += more[1:] if out and more and out[-1] == more[0] == self.unknown else more
+        return out
+
+
+_START = re.compile(T.METASPACE)
+
+
+def _automaton(entries: Iterable[tuple[str, object]]):
+    """Over keys with their values; None for no keys."""
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for key, value in entries:
+        made.add_word(key, value)
+    if not len(made):
+        return None
+    made.make_automaton()
+    return made
+
+
+#: Models of a worker, by the broadcast they came with: loaded once a worker, not once a task.
+_loaded: dict[str, tuple[Unigram, charsmap.Charsmap]] = {}
+
+
+def _model(shared: Broadcast) -> tuple[Unigram, charsmap.Charsmap]:
+    key = shared.value[2]
+    if key not in _loaded:
+        _loaded.clear()  # a worker works with one at a time
+        _loaded[key] = Unigram(shared.value[0]), charsmap.Charsmap(shared.value[1])
+    return _loaded[key]
+
 
 def pieces_of_json(text: str) -> tuple[dict[str, tuple[int, float]], bytes]:
     """Pieces and character map of a tokenizer file's text: an id is a piece's place."""
@@ -65,27 +135,18 @@ def load_pieces(path: str) -> tuple[dict[str, tuple[int, float]], bytes]:
 
 class XlmrTokenizer:
     """Columns of token ids and model input. A text too long keeps its head and loses the end sentinel. A text goes to Python once:
-    map, spaces, metaspace and pieces are one function there, whose words are solved once a task."""
+    map, spaces, metaspace and pieces are one function there, whose model is made once a worker."""
 
     def __init__(self, spark: SparkSession, pieces: dict[str, tuple[int, float]], blob: bytes, *, max_length: int = 512):
         self.max_length = check_length(max_length)
         self._normalize = charsmap.normalizer(spark, blob)
-        shared = spark.sparkContext.broadcast((pieces, blob))
+        shared = spark.sparkContext.broadcast((pieces, blob, uuid.uuid4().hex))
 
         def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            model, normal, memo = Unigram(shared.value[0]), charsmap.Charsmap(shared.value[1]), {}
+            model, normal = _model(shared)
 
             def ids(text: str) -> list[int]:
-                out: list[int] = []
-                for word in _WORD.findall(T.escaped(normal.normalize(text))):
-                    more = memo.get(word)
-                    if more is None:
-                        if len(memo) > 200_000:
-                            memo.clear()
-                        more = memo[word] = model.ids(word)
-                    # unknown ids that touch over a word's start are one
-                    out += more[1:] if out and more and out[-1] == more[0] == model.unknown else more
-                return out
+                return model.text_ids(T.escaped(normal.normalize(text)))
 
             for texts in batches:
                 found = [None if t is None else ids(t) for t in texts.to_pylist()]

@@ -30,7 +30,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 MAX_LENGTH, EMBED_DIMENSIONS, TOP_K = 512, 8, 10
-WHOLE_WORDS, FIRST_CHARS, PIECES = 2000, 500, 4000
+WHOLE_WORDS, FIRST_CHARS, PIECES, PAIRS = 2000, 500, 4000, 500
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -157,15 +157,18 @@ def derived_vocabulary(docs: DataFrame) -> dict[str, int]:
     return {r[0]: 103 + i for i, r in enumerate(every)}
 
 
-_made: dict[tuple, object] = {}
+_made: dict[tuple, tuple] = {}
 
 
 def _once(spark: SparkSession, sf_dir: str, derive: Callable[[DataFrame], object]):
-    """What is derived from the documents, which stands for a model's file: made once an application, as a file is loaded once."""
+    """What is derived from the documents, which stands for a model's file: made once an application, as a file is loaded once, and again if the
+    table's files have changed."""
+    files = table(spark, sf_dir, "documents").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_size").alias("size"))
+    version = files.distinct().agg(F.count(F.lit(1)), F.max("at"), F.sum("size"), F.sum(F.xxhash64("path", "at", "size").cast("decimal(38,0)"))).first()
     key = spark.sparkContext.applicationId, sf_dir, derive.__name__
-    if key not in _made:
-        _made[key] = derive(_dealt(spark, sf_dir))
-    return _made[key]
+    if key not in _made or _made[key][0] != version:
+        _made[key] = version, derive(_dealt(spark, sf_dir))
+    return _made[key][1]
 
 
 def _vocabulary(spark: SparkSession, sf_dir: str) -> dict[str, int]:
@@ -303,6 +306,26 @@ def unigram_tokenize(spark, sf_dir):
     return _dealt(spark, sf_dir).select("doc_id", F.array_join(_xlmr(spark, sf_dir).content_ids(F.col("text")), " ").alias("ids"))
 
 
+def derived_spans(docs: DataFrame) -> dict[str, tuple[int, float]]:
+    """The derived pieces and, besides them, the most frequent pairs of words as one piece each, which scores as its better word does."""
+    pieces = derived_pieces(docs)
+    words = F.regexp_extract_all(T.metaspace(T.collapse_spaces(F.col("text"))), F.lit("▁[^▁]*"), 0)
+    pairs = docs.select(words.alias("w")).select(F.explode(F.zip_with(F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
+    top = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p").limit(PAIRS).collect()
+    for r in top:
+        a, b = r["p"]
+        if a in pieces and b in pieces and a + b not in pieces:
+            pieces[a + b] = len(pieces) + 4, max(pieces[a][1], pieces[b][1])
+    return pieces
+
+
+@query()
+def unigram_spanning(spark, sf_dir):
+    """Pieces that reach over the start of a word: the lattice is that of the whole text. SQL would need a step for each character of the longest text."""
+    tokenizer = unigram.XlmrTokenizer(spark, _once(spark, sf_dir, derived_spans), charsmap.build(derived_map()), max_length=MAX_LENGTH)
+    return _dealt(spark, sf_dir).select("doc_id", F.array_join(tokenizer.content_ids(F.col("text")), " ").alias("ids"))
+
+
 _XLMR_FRAME = f"list_concat([0], ids, [2])[1:{MAX_LENGTH}]"
 
 
