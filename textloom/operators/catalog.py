@@ -8,12 +8,15 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from urllib.parse import urlparse
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.tokens import FAMILIES
+from textloom.sources.files import CHUNK_BYTES, digest
 
 
 @dataclass(frozen=True)
@@ -144,9 +147,9 @@ def stale(vectors: DataFrame, model_id: str) -> DataFrame:
     return vectors.where(~F.col("model_id").eqNullSafe(F.lit(model_id)))
 
 
-def file_digests(spark: SparkSession, root: str, *, chunked: bool = False) -> DataFrame:
-    """(path, name, size, sha256) of the files below a folder; the reader passes over empty ones. chunked: streams them in workers, for files beyond 2 GB; their
-    paths must then be readable there."""
+def file_digests(spark: SparkSession, root: str, *, chunked: bool = False, filesystem: FileSystem | None = None) -> DataFrame:
+    """(path, name, size, sha256) of the files below a folder; the reader passes over empty ones. chunked: streams them in workers, a chunk at a time, for files
+    beyond 2 GB; their file system must then be one that Arrow opens, or be given (its paths are then the ones that Spark lists, without their scheme and host)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     name = F.element_at(F.split("path", "/"), -1)
     if not chunked:
@@ -156,7 +159,7 @@ def file_digests(spark: SparkSession, root: str, *, chunked: bool = False) -> Da
         for batch in batches:
             digests = []
             for path in batch["path"].to_pylist():
-                digests.append(_file_digest(path.removeprefix("file:")))
+                digests.append(digest(urlparse(path).path if filesystem else path, filesystem))
             yield pa.RecordBatch.from_arrays([batch["path"], batch["size"], pa.array(digests)], names=["path", "size", "sha256"])
 
     out = files.select("path", F.col("length").alias("size")).mapInArrow(run, "path string, size long, sha256 string")
@@ -171,25 +174,13 @@ def verified(manifest: DataFrame, found: DataFrame, key: str = "name") -> DataFr
     return a.join(b, key, "full_outer").withColumn("status", status)
 
 
-#: Bytes that are read and hashed at a time.
-CHUNK_BYTES = 1 << 20
-
-
-def _file_digest(path: str) -> str:
-    h = hashlib.sha256()
-    with open(path, "rb") as f:
-        while part := f.read(CHUNK_BYTES):
-            h.update(part)
-    return h.hexdigest()
-
-
 class FetchError(OSError):
     """A file's address gives no content."""
 
 
 def fetch(file: ModelFile, path: str, progress: Callable[[int, int | None], None] | None = None) -> str:
     """Streams a file to ``path`` and hashes it on the way: into path.part first, which gets its name only if the digest is right and
-    is deleted otherwise. progress is told the bytes received and, if known, their total. Addresses: http, https and file."""
+    is deleted otherwise (any will do if none is expected). progress is told the bytes received and, if known, their total. Addresses: http, https and file."""
     part, h, received = f"{path}.part", hashlib.sha256(), 0
     os.makedirs(os.path.dirname(path), exist_ok=True)
     try:
@@ -206,7 +197,7 @@ def fetch(file: ModelFile, path: str, progress: Callable[[int, int | None], None
             raise FetchError(f"{file.url}: HTTP status {e.code}") from e
         except urllib.error.URLError as e:
             raise FetchError(f"{file.url}: {e.reason}") from e
-        if h.hexdigest() != file.sha256.lower():
+        if file.sha256 and h.hexdigest() != file.sha256.lower():
             raise ValueError(f"checksum mismatch: {path} has SHA-256 {h.hexdigest()}, expected {file.sha256}")
         os.replace(part, path)
     finally:
@@ -223,7 +214,7 @@ def ensure(spec: ModelSpec, root: str, *, catalog: Catalog | None = None, progre
     out = {}
     for key, f in spec.files.items():
         path = os.path.join(root, spec.id, f.name)
-        if not os.path.exists(path) or _file_digest(path) != f.sha256.lower():
+        if not os.path.exists(path) or digest(path) != f.sha256.lower():
             fetch(f, path, progress and (lambda n, total, key=key: progress(key, n, total)))
         out[key] = path
     return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -15,6 +14,7 @@ from textloom.functions import text as T
 from textloom.operators.catalog import DEFAULT_MODEL, Catalog, ModelSpec, UnvalidatedModelError, dimensions_of, family_of, resolve
 from textloom.operators.unigram import XlmrTokenizer, load_pieces
 from textloom.operators.wordpiece import BertTokenizer, load_vocabulary
+from textloom.sources.files import exists, read_verified
 
 KINDS = ("document", "query")
 
@@ -58,23 +58,33 @@ class HashBackend:
 
 
 class OnnxBackend:
-    """An ONNX model file, by onnxruntime. The path must be readable in the workers (SparkFiles, a shared folder)."""
+    """An ONNX model file, by onnxruntime. Only its address goes to the workers (a path or address as in `files`, that all of them reach): a worker reads it
+    when the first text comes, compares its SHA-256 if one is expected, and keeps the session for later tasks. Nothing is stored on its host."""
 
-    def __init__(self, path: str, dimensions: int, threads: int = 1):
-        self.path, self.dimensions, self.threads = path, dimensions, threads
+    def __init__(self, path: str, dimensions: int, threads: int = 1, sha256: str | None = None):
+        self.path, self.dimensions, self.threads, self.sha256 = path, dimensions, threads, sha256
         self._session = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_session": None}
 
-    def open(self) -> None:
-        import onnxruntime
+    def open(self) -> None: ...
+
+    def _opened(self):
+        """The worker's session for this file. A file that is replaced under its address must come with its digest to be seen."""
+        key = self.path, self.sha256, self.threads
+        if key not in _sessions:
+            import onnxruntime
 
-        options = onnxruntime.SessionOptions()
-        options.intra_op_num_threads = self.threads
-        self._session = onnxruntime.InferenceSession(self.path, options, providers=["CPUExecutionProvider"])
+            content = read_verified(self.path, self.sha256)
+            options = onnxruntime.SessionOptions()
+            options.intra_op_num_threads = self.threads
+            _sessions.clear()  # a worker has one model at a time
+            _sessions[key] = onnxruntime.InferenceSession(content, options, providers=["CPUExecutionProvider"])
+        return _sessions[key]
 
     def run(self, input_ids: np.ndarray, attention_mask: np.ndarray, token_type_ids: np.ndarray) -> np.ndarray:
+        self._session = self._session or self._opened()
         (hidden,) = self._session.run(["last_hidden_state"], {"input_ids": input_ids, "attention_mask": attention_mask, "token_type_ids": token_type_ids})
         if hidden.dtype != np.float32:
             raise TypeError(f"the model gives {hidden.dtype}, not float32")
@@ -84,6 +94,10 @@ class OnnxBackend:
         self._session = None
 
 
+#: Sessions of a worker.
+_sessions: dict[tuple, object] = {}
+
+
 def pool(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Masked mean of [tokens, dimensions] in single precision and token order; zeros if no token counts."""
     on = hidden[mask == 1]
@@ -175,21 +189,22 @@ class Embedder:
             raise UnvalidatedModelError(f"model {spec.id!r} is not validated for production use")
         family, dimensions = family_of(spec), dimensions_of(spec)
         if model_path is not None:
-            paths = {"onnx": model_path, "vocab": os.path.join(os.path.dirname(model_path), "vocab.txt")}
+            paths = {"onnx": model_path, "vocab": f"{model_path.rpartition('/')[0] or '.'}/vocab.txt"}
         else:
             if not catalog.is_allowed(spec):
                 raise ValueError(f"model {spec.id!r} is not registered")
-            paths = {k: p.removeprefix("file:") for k, p in resolve(spark, spec, cache_dir).items()}
+            paths = resolve(spark, spec, cache_dir)
         for p in paths.values():
             require_asset(p)
         if family == "bert":
             tokenizer: ModelTokenizer = BertTokenizer(spark, load_vocabulary(paths["vocab"]), max_length=max_length)
         else:
             tokenizer = XlmrTokenizer(spark, *load_pieces(paths["vocab"]), max_length=max_length)
-        return cls(tokenizer, OnnxBackend(paths["onnx"], dimensions), model_id=spec.id, document_prefix=spec.document_prefix, query_prefix=spec.query_prefix)
+        digest = None if model_path is not None else spec.files["onnx"].sha256
+        return cls(tokenizer, OnnxBackend(paths["onnx"], dimensions, sha256=digest), model_id=spec.id, document_prefix=spec.document_prefix, query_prefix=spec.query_prefix)
 
 
 def require_asset(path: str) -> str:
-    if not os.path.exists(path):
+    if not exists(path):
         raise FileNotFoundError(f"no such model asset: {path}")
     return path

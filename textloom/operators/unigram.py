@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.tokens import XLMR, assembled, check_length
 from textloom.operators import charsmap
+from textloom.sources.files import read_verified
 
 #: An unknown character scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -129,8 +130,7 @@ def pieces_of_json(text: str) -> tuple[dict[str, tuple[int, float]], bytes]:
 
 
 def load_pieces(path: str) -> tuple[dict[str, tuple[int, float]], bytes]:
-    with open(path, encoding="utf-8") as f:
-        return pieces_of_json(f.read())
+    return pieces_of_json(read_verified(path).decode("utf-8"))
 
 
 class XlmrTokenizer:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions.tokens import BERT, assembled, check_length
+from textloom.sources.files import read_verified
 
 UNKNOWN = "[UNK]"
 
@@ -78,8 +79,7 @@ def vocabulary_table(lines: DataFrame, position: str, line: str) -> DataFrame:
 
 def load_vocabulary(path: str) -> dict[str, int]:
     """A vocabulary file: one token a line, its number the id. Read on the driver, where the order of lines is known."""
-    with open(path, encoding="utf-8") as f:
-        return vocabulary_of_lines(f.read().splitlines())
+    return vocabulary_of_lines(read_verified(path).decode("utf-8").splitlines())
 
 
 class BertTokenizer:

@@ -21,7 +21,7 @@ from textloom.operators import charsmap, corpus, embed, ranking, unigram
 from textloom.operators import wordpiece as sub_words
 from textloom.operators.embed import HashBackend
 from textloom.operators.vector_store import VectorStore
-from textloom.sources import tables
+from textloom.sources import archive, tables
 from textloom.sources.shared import scratch
 from textloom.sources.tables import dealt, table
 
@@ -565,6 +565,23 @@ def manifest_verify(spark, sf_dir):
     return C.verified(digests(("damaged", "whole"), ("missing", "m")), digests(("damaged", "part"), ("extra", "e")))
 
 
+@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS size, sha256(text) AS sha256 FROM documents")
+def archive_members(spark, sf_dir):
+    """All documents as members of zip archives, read back."""
+    rows = _dealt(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), F.encode("text", "UTF-8").alias("content"))
+    members = archive.unpacked(archive.packed(rows), "archive").where("error is null")
+    return members.select(F.col("member").cast("long").alias("doc_id"), "size", F.sha2("content", 256).alias("sha256"))
+
+
+@query("""SELECT line FROM (SELECT '  ' || to_json(doc_id::VARCHAR) || ': ' || to_json(text) || CASE WHEN row_number() OVER (ORDER BY doc_id::VARCHAR DESC) = 1 THEN '' ELSE ',' END AS line FROM documents)
+UNION ALL VALUES ('{'), ('}')""")
+def json_object(spark, sf_dir):
+    """The lines of the documents' object, whose fragments were written in order."""
+    path = scratch(spark, "object")
+    tables.write_json_object(_documents(spark, sf_dir), path, "doc_id")
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 @query("SELECT vec_id, CASE WHEN label % 3 = 0 THEN NULL WHEN label % 3 = 1 THEN 'bge-small-en-v1.5' ELSE 'old-model' END AS model_id FROM embeddings WHERE label % 3 <> 1")
 def stale_vectors(spark, sf_dir):
     made_by = F.when(F.col("label") % 3 == 0, F.lit(None).cast("string")).when(F.col("label") % 3 == 1, C.DEFAULT_MODEL).otherwise("old-model")
