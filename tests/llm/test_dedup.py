@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import dart_minhash as D
 from textloom.llm import common, exact_dedup, near_dedup
+from textloom.sources import shared
 
 SCHEMA = "doc_id long, text string"
 
@@ -110,7 +111,7 @@ def test_index_merges_runs(spark):
 @pytest.mark.parametrize("filter_bytes", [0, 64_000_000])
 def test_a_digest_of_a_third_of_all_rows_is_dealt_over_tasks(spark, monkeypatch, filter_bytes):
     """Hits that may not be broadcast: the texts of the hot digest don't meet in one task."""
-    monkeypatch.setattr(common, "HOT_ROWS", 100)
+    monkeypatch.setattr(shared, "HOT_ROWS", 100)
     keyed = spark.range(3000).select(F.col("id").alias("__id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.floor(F.col("id") / 6))).alias("__text"))
     keyed = keyed.withColumn("__digest", F.sha2("__text", 256))
     hits = keyed.groupBy("__digest").agg(F.max("__id").alias("__keep_id"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
@@ -341,9 +342,9 @@ def test_spanning_links_join_only_what_is_apart():
 
 @pytest.mark.parametrize(("seed", "rows"), [(0, 10**6), (1, 0), (2, 0)])
 def test_components(spark, monkeypatch, seed, rows):
-    monkeypatch.setattr(common, "TASK_ROWS", rows)
+    monkeypatch.setattr(shared, "TASK_ROWS", rows)
     monkeypatch.setattr(near_dedup, "TASK_ROWS", rows)
-    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
     r = random.Random(seed)
     edges = [(bytes([r.randrange(60)]), bytes([r.randrange(60)])) for _ in range(45)] + [(bytes([100 + i]), bytes([101 + i])) for i in range(40)]
     edges = [e for e in edges if e[0] != e[1]]

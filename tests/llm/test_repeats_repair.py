@@ -292,7 +292,7 @@ def test_registered_repair_equals_brute_force(spark, sf_dir):
 
 
 def test_odd_conversations_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr("textloom.llm.common.HOT_ROWS", 5)  # repeated turns are dealt over tasks
+    monkeypatch.setattr("textloom.sources.shared.HOT_ROWS", 5)  # repeated turns are dealt over tasks
     rng = random.Random(8)
     convs = {None: [(None, None, None), (1, "user", "Hi."), (1, "user", "Hi.")], 7: [(3, "user", "Same.")] * 30, 8: [(None, "tool", "x"), (5, "", "y."), (-5, "User", "z")], 9: [(i, "user" if i % 2 else "assistant", f"t{i}. ") for i in range(300)]}
     for i in range(100, 220):
