@@ -376,6 +376,64 @@ def test_layouts_of_a_host_are_merged_in_rounds(spark, merge):
     assert article_node.pages == 60
 
 
+def test_a_page_depends_on_its_own_host_only(spark, monkeypatch):
+    """Neutral labels, many layouts: the same texts for any size of a merge, any number of tasks, and beside a host of many more layouts."""
+    monkeypatch.setattr(html_extract, "LEAF", 4)
+    r = random.Random(12)
+
+    def rows_of(host, n, first, boxes):
+        out = []
+        for i in range(n):
+            a = article(i, r.randrange(2, 5))
+            around = [f'<div class="{r.choice(boxes)}"><p>{"Some words that stand on every page. " * r.randrange(1, 4)}</p>{"<ul><li>x</ul>" * r.randrange(2)}</div>' for _ in range(r.randrange(5))]
+            cut = r.randrange(len(around) + 1)
+            out.append((first + i, f"http://{host}/{i}", page("".join(around[:cut]) + f'<div class="q"><h2>{a[0]}</h2>{"".join(f"<p>{p}</p>" for p in a[1:])}</div>' + "".join(around[cut:]))))
+        return out
+
+    own = rows_of("h.org", 120, 0, ["xa", "xb", "xc", "xd"])
+    big = rows_of("big.net", 900, 1000, [f"y{c}{d}" for c in "abcdef" for d in "ghij"])
+
+    def texts(rows, merge, parts):
+        monkeypatch.setattr(html_extract, "MERGE", merge)
+        table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        return {x["page_id"]: x["text"] for x in html_extract.main_text(table).collect() if x["page_id"] < 1000}
+
+    want = texts(own, 512, 1)
+    assert len(want) == 120 and sum(bool(t) for t in want.values()) == 120
+    for rows, merge, parts in ((own, 8, 8), (own, 20, 3), (own + big, 512, 8), (own + big, 8, 5)):
+        assert texts(rows, merge, parts) == want
+
+
+FRAGMENTS = {
+    "references": '<ul><li><a href="/a">First source of the matter</a><li><a href="/b">Second source</a></ul>',
+    "table of links": '<table><tr><td><a href="/c">Linked cell of the table</a><td><a href="/d">Another linked cell</a><tr><td>Plain cell<td><a href="/e">And a linked one</a></table>',
+    "heading with an anchor": '<h2 id="related-work">Work that is related</h2>',
+    "another anchor": '<h2 id="search-algorithms">Algorithms for search</h2>',
+    "anchor of a paragraph": '<p id="login">How to log in, in many words.</p>',
+    "compound name": '<p class="share-price">The price of a share rose.</p>',
+    "list item": '<ul class="plain"><li id="comments">Remarks on the text</ul>',
+    "cell": '<table><tr><th id="menu">Dish<td class="ad-hoc">Soup</table>',
+}
+
+
+@pytest.mark.parametrize("name", FRAGMENTS)
+def test_parts_of_an_article_stay_whole(spark, name):
+    """Within an article neither anchors nor compound names nor links make a text a menu: on hosts of many pages as on single pages."""
+    rows = []
+    for i in range(20):
+        own = re.sub(r">([^<]+)", rf">\1 {i}", FRAGMENTS[name])
+        rows.append((i, "http://many/" if i else "http://one/", page(f"<nav><a href=/>Home</a></nav><article><p>Opening of page {i} with words.</p>{own}<p>Closing of page {i}.</p></article><footer>Foot</footer>")))
+    for x in pages(spark, rows).collect():
+        plain = " ".join(re.sub(r"<[^>]*>", " ", rows[x["page_id"]][2].partition("<article>")[2].partition("</article>")[0]).split())
+        assert x["text"] == plain
+
+
+@pytest.mark.parametrize("box", ['<div class="share-buttons">Tell others</div>', '<p class="advert">Buy it</p>', '<div id="comments"><p>First!</p></div>', '<ul class="menu"><li>Home</ul>', '<p class="x sponsored">Paid for</p>', "<aside><h2>Beside</h2></aside>"])
+def test_boxes_in_an_article_still_go(spark, box):
+    (x,) = pages(spark, [(1, "http://h/", page(f"<article><p>Opening with some words.</p>{box}<p>Closing.</p></article>"))]).collect()
+    assert x["text"] == "Opening with some words. Closing."
+
+
 def pages(spark, rows):
     return html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
 

@@ -12,8 +12,8 @@ template lacks is what its parent is. A page that has none of the regions, as ma
 by its own tree.
 
 Layouts are counted for each task before anything is shuffled, so a host with a third of all pages costs a row a layout and
-task. Layouts of a host are merged in rounds of at most ``MERGE`` a task, and nodes that less than one in ``RARE`` pages has leave
-the template, so that neither time nor size grows with the number of layouts. Pages don't move while the templates are small
+task. Layouts of a host are merged in rounds of about ``MERGE`` a task, in a tree that depends on its layouts alone, and nodes that less than one in
+``RARE`` pages has leave the template, so that neither time nor size grows with the number of layouts. A page's text depends on its own host's pages only. Pages don't move while the templates are small
 enough to broadcast (checked); else the hosts of most pages are broadcast and only the others' pages are shuffled.
 
 Everything is linear in the depth of a page and done without recursion. Defined results: null and empty html give an empty
@@ -31,12 +31,13 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import small_batches, written
+from textloom.llm.common import hot_join, small_batches, written
 from textloom.llm.url_filter import host_of
 
 #: Elements (fixed values of the HTML standard) that start and end a block of text.
@@ -47,6 +48,8 @@ CODE = frozenset("script style".split())
 RAW = CODE | frozenset("noscript template iframe textarea title svg".split())
 #: Elements within a block whose text isn't its own.
 INLINE_BAD = frozenset("button label select datalist".split())
+#: Elements of the text itself, whose names are not those of a page's parts unless they are just that.
+PROSE = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 blockquote pre td th".split())
 FOLD = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 blockquote pre tr td th article".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Elements and words of class or id that mark what isn't the article.
@@ -60,8 +63,8 @@ GOOD_WORDS = frozenset("article articlebody post entry content story main text".
 SHARE, MIN_PAGES = 0.5, 5
 #: What a page must keep of its content without recurring texts, or of what its host's pages keep on average; and what a host must.
 LEFT, LEFT_HOST = 0.5, 0.1
-#: Layouts that one task merges in a round; pages of a host of which one must have a node.
-MERGE, RARE = 512, 500
+#: Layouts that one task merges in a round; of a leaf, and templates that a fold makes one; pages of a host of which one must have a node.
+MERGE, LEAF, ARITY, RARE = 512, 64, 8, 500
 #: Counts of texts, and nodes of layouts, that a task holds before it gives them out.
 HELD_COUNTS, HELD_NODES = 500_000, 200_000
 #: Characters of templates that may be broadcast.
@@ -76,20 +79,23 @@ _NONE = re.compile(r"display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
-def words_of(attributes: str) -> set[str]:
-    """The words of class, id and role, of which digits don't count, and "hidden" for what isn't shown."""
+def words_of(attributes: str, whole: bool = False) -> set[str]:
+    """The words of class, id and role, of which digits don't count, and "hidden" for what isn't shown. whole: names of several words are one word
+    each (share-price says nothing of sharing), and an id is a place to link to."""
     words = set()
     for name, value in _ATTR.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _NONE.search(value):
             words.add("hidden")
-        elif name in ("class", "id", "role", "itemprop"):
+        elif whole and name in ("class", "role", "itemprop"):
+            words.update(w for x in value.split() if (w := "".join(_WORDS.findall(x))))
+        elif not whole and name in ("class", "id", "role", "itemprop"):
             words.update(_WORDS.findall(value))
     return words
 
 
 def label_of(tag: str, attributes: str) -> str:
-    return tag + "".join(f".{w}" for w in sorted(words_of(attributes))) if attributes else tag
+    return tag + "".join(f".{w}" for w in sorted(words_of(attributes, tag in PROSE))) if attributes else tag
 
 
 class Node:
@@ -457,7 +463,8 @@ def decide(template: Node) -> None:
         node = todo.pop()
         if not _bad(node.label, labelled):
             tag = node.label.split(".")[0]
-            node.content = not (tag in ("li", "ul", "ol", "td", "div") and node.link_chars * 10 > node.chars * 7)
+            # where no label says what the article is, lists of links are menus; in an article they are references
+            node.content = labelled or not (tag in ("li", "ul", "ol", "td", "div") and node.link_chars * 10 > node.chars * 7)
             todo.extend(node.children)
 
 
@@ -502,7 +509,7 @@ def extract(template: Node, html: str | None, cache: dict[str, list] | None = No
     return kept
 
 
-_LAYOUT, _TEMPLATE = "host string, shape string, layout string", "host string, shape string, layout string, pages long"
+_LAYOUT = "host string, shape string, layout string"
 
 
 def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -530,45 +537,100 @@ def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield given()
 
 
-def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a host and part, one after another, become one."""
+def folded(layouts: list[tuple[int, Node]], level: int, depth: int) -> Node:
+    """One template of layouts(group, tree) that agree in the last ``level`` digits of their groups, of which there are ``depth``: digit by digit, from the
+    first on. So what comes out depends on the layouts alone, however many digits one call folds."""
+    if level == depth:
+        trees = [x for _, x in layouts]
+    else:
+        by: dict[int, list[tuple[int, Node]]] = {}
+        for g, x in layouts:
+            by.setdefault(g // ARITY**level % ARITY, []).append((g, x))
+        trees = [folded(by[g], level + 1, depth) for g in sorted(by)]
+    # larger layouts first: later ones then find their mates
+    template, *rest = [x for _, x in sorted(((x.shape(), x) for x in trees), key=lambda t: (-len(t[0]), t[0]))]
+    for x in rest:
+        absorb(template, x)
+    if len(trees) > 1:
+        prune(template, RARE * ARITY)
+    return template
+
+
+def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a host and shape, one after another, become one: their figures add up."""
+    now, tree = None, None
 
-    def given(rows: list[tuple[str, Node]]) -> pa.RecordBatch:
-        for _, x in rows:
-            prune(x)
-        cols = [pa.array([h for h, _ in rows], pa.string()), pa.array([x.shape() for _, x in rows], pa.string()), pa.array([to_json(x) for _, x in rows], pa.string()), pa.array([x.pages for _, x in rows], pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, names=["host", "shape", "layout", "pages"])
+    def given(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[i] for k, _ in done], pa.string()) for i in (0, 1)] + [pa.array([to_json(x) for _, x in done], pa.string())], names=["host", "shape", "layout"])
 
-    now, template = None, None
     for batch in batches:
         done = []
-        for host, part, layout in zip(*(batch[c].to_pylist() for c in ("host", "part", "layout")), strict=True):
-            tree = from_json(layout)
-            if (host, part) == now:
-                absorb(template, tree)
+        for host, shape, layout in zip(*(batch[c].to_pylist() for c in ("host", "shape", "layout")), strict=True):
+            if (host, shape) == now:
+                absorb(tree, from_json(layout))
                 continue
-            if template is not None:
-                done.append((now[0], template))
-            now, template = (host, part), tree
+            if now:
+                done.append((now, tree))
+            now, tree = (host, shape), from_json(layout)
+        if done:
+            yield given(done)
+    if now:
+        yield given([(now, tree)])
+
+
+def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a host and part, one after another, become one of a lower level."""
+    now, rows = None, []
+
+    def given(done: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*done, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["host", "level", "part", "layout", "pages"])
+
+    def one() -> tuple:
+        host, part, level, depth = now
+        template = folded(rows, level, depth)
+        if not level:
+            prune(template)
+        return host, level, part, to_json(template), template.pages
+
+    for batch in batches:
+        done = []
+        for host, part, to, level, group, layout in zip(*(batch[c].to_pylist() for c in ("host", "to_part", "to_level", "level", "part", "layout")), strict=True):
+            if (host, part, to, level) != now:
+                if now:
+                    done.append(one())
+                now, rows = (host, part, to, level), []
+            rows.append((group, from_json(layout)))
         if done:
             yield given(done)
-    if template is not None:
-        yield given([(now[0], template)])
+    if now:
+        yield given([one()])
 
 
 def induce(pages: DataFrame, *, merge: int | None = None) -> DataFrame:
-    """(host, layout, pages): the template of every host of pages(host, html). Equal layouts are merged in one task, and no task
-    merges many more than ``merge`` of a host in a round."""
-    layouts = written(pages.select("host", "html").mapInArrow(_layouts, _LAYOUT), "layouts")
+    """(host, layout, pages): the template of every host of pages(host, html). Equal layouts become one, wherever their pages lay. A host's layouts are dealt to
+    leaves of about ``LEAF`` by a hash of their shapes, as many as its own number asks for, and leaves are folded by ``ARITY`` up to the root. A round folds
+    as many levels as bring about ``merge`` layouts into a task: the tree, and so the template, is the same for any ``merge``, for any number of tasks, and
+    whatever other hosts there are."""
+    found = pages.select("host", "html").mapInArrow(_layouts, _LAYOUT).repartition("host", "shape").sortWithinPartitions("host", "shape")
+    layouts = written(found.mapInArrow(_equal, _LAYOUT), "layouts")
+    # a host's own number of layouts says how deep its tree is
+    depth = F.greatest(F.ceil(F.log(F.col("n") / F.lit(float(LEAF))) / F.lit(log(ARITY)) - 1e-9), F.lit(0)).cast("int")
+    sizes = layouts.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(sizes.select("host", "n", depth.alias("level")), "hosts")
+    power = lambda c: F.pow(F.lit(float(ARITY)), F.col(c)).cast("long")
+    rows = hot_join(layouts, sizes, "host", "n", F.xxhash64("shape")).withColumn("part", F.pmod(F.xxhash64("shape"), power("level"))).select("host", "level", "part", "layout")
+    step = max(1, int(log(max(1.0, (merge or MERGE) / LEAF), ARITY) + 1e-9))
     while True:
-        most = layouts.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        parts = max(1, -(-most // (merge or MERGE)))
-        dealt = layouts.withColumn("part", F.pmod(F.xxhash64("shape"), F.lit(parts))).repartition("host", "part")
-        # larger layouts first: later ones then find their mates
-        ordered = dealt.sortWithinPartitions("host", "part", F.length("shape").desc(), "shape").select("host", "part", "layout")
-        layouts = written(ordered.mapInArrow(_templates, _TEMPLATE), "templates")
-        if parts == 1:
-            return layouts.select("host", "layout", "pages")
+        deep = sizes.agg(F.max("level")).first()[0]
+        lower = rows.withColumn("to_level", F.greatest(F.col("level") - step, F.lit(0))).withColumn("to_part", F.pmod("part", power("to_level")))
+        dealt = lower.repartition("host", "to_part").sortWithinPartitions("host", "to_part", "part", "layout")
+        rows = written(dealt.select("host", "to_part", "to_level", "level", "part", "layout").mapInArrow(_templates, "host string, level int, part long, layout string, pages long"), "templates")
+        if not deep or deep <= step:
+            return rows.select("host", "layout", "pages")
+        # what is at the root stays as it is: folding one template changes nothing
+        sizes = sizes.withColumn("level", F.greatest(F.col("level") - step, F.lit(0)))
+        rows = rows.drop("pages")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
