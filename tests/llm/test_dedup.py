@@ -342,8 +342,7 @@ def test_spanning_links_join_only_what_is_apart():
 
 @pytest.mark.parametrize(("seed", "rows"), [(0, 10**6), (1, 0), (2, 0)])
 def test_components(spark, monkeypatch, seed, rows):
-    monkeypatch.setattr(shared, "TASK_ROWS", rows)
-    monkeypatch.setattr(near_dedup, "TASK_ROWS", rows)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", rows)
     monkeypatch.setattr(shared, "HOT_ROWS", 3)
     r = random.Random(seed)
     edges = [(bytes([r.randrange(60)]), bytes([r.randrange(60)])) for _ in range(45)] + [(bytes([100 + i]), bytes([101 + i])) for i in range(40)]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import dart_minhash, exact_dedup
-from textloom.llm.common import BROADCAST_ROWS, TASK_ROWS, hot_join, small, small_batches, written
+from textloom.llm.common import BROADCAST_ROWS, hot_join, small, small_batches, written
 from textloom.sources.tables import dealt
 
 THRESHOLD, K, BAND_ROWS = 0.8, 128, 4
@@ -114,20 +114,22 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, lead: DataFrame) -> DataFr
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(key, label): of every node of the edges, the smallest key of its connected component. In a round a node takes the smallest of
-    its neighbours' labels and of its label's label; the rounds are about the logarithm of the largest distance. Nodes of many
-    neighbours and labels of many nodes are dealt over tasks."""
+    its neighbours' labels and of its label's label; the rounds are about the logarithm of the largest distance. While the nodes are few (counted)
+    their labels are broadcast, and edges stay where they lie; else nodes of many neighbours and labels of many nodes are dealt over tasks."""
     two = edges.select(F.col(a).alias("key"), F.col(b).alias("other"))
     both = written(two.unionByName(two.select(F.col("other").alias("key"), F.col("key").alias("other"))).distinct(), "edges")
-    total = both.count()
     labels = written(both.groupBy("key").agg(F.least(F.min("other"), F.first("key")).alias("label"), F.count(F.lit(1)).alias("degree")), "labels")
+    few = labels.count() <= BROADCAST_ROWS
     while True:
-        near = hot_join(both, labels.select(F.col("key").alias("other"), "label", "degree"), "other", "degree", F.xxhash64("key"), total=total).groupBy("key").agg(F.min("label").alias("near"))
+        beside = labels.select(F.col("key").alias("other"), "label", "degree")
         next_ = labels.select(F.col("key").alias("label"), F.col("label").alias("next"))
-        if total > TASK_ROWS:
+        if few:
+            met, jumped = both.join(F.broadcast(beside), "other"), labels.join(F.broadcast(next_), "label")
+        else:
+            met = hot_join(both, beside, "other", "degree", F.xxhash64("key"))
             own = labels.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
             jumped = hot_join(labels, written(own.join(next_, "label"), "next"), "label", "members", F.xxhash64("key"))
-        else:
-            jumped = labels.join(next_, "label")
+        near = met.groupBy("key").agg(F.min("label").alias("near"))
         new = written(jumped.join(near, "key").select("key", F.least("label", "near", "next").alias("label"), "degree", F.col("label").alias("old")), "labels")
         labels = new.select("key", "label", "degree")
         if new.where("label <> old").isEmpty():
