@@ -17,6 +17,7 @@ repeated rows are judged alike; an empty table gives an empty result; other colu
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,9 @@ from textloom.llm.common import BROADCAST_ROWS, HOT_ROWS, hot_join, small, writt
 
 #: (rule, verdict); production rules of op8
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-DAMPING, ITERATIONS, TOLERANCE, THRESHOLD = 0.85, 60, 1e-3, 0.05
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-3, 0.05
+#: Links of the longest paths that the SQL adds up.
+SQL_ROUNDS = 60
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What holds no links: comments, scripts and styles, to the end of the page if they aren't closed.
 _UNREAD = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
@@ -63,14 +66,14 @@ def host_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
     return rows.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, per: str = "src") -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, iterations: int | None = None, tolerance: float = TOLERANCE, per: str = "src") -> DataFrame:
     """(host, score) with score = seed + damping * sum over links of the linking host's score, in proportion to its links
     (``per`` src: a host divides what it has) or to those of the host that they lead to (dst: a host takes the mean).
 
     edges(src, dst, n) and seeds(host, seed). Each round joins scores with edges and adds up per host; its table is
     written to the shared folder. Ends when what changes is less than ``tolerance``: in all hosts together if they divide,
-    in any of them if they take means. Either shrinks by ``damping`` a round at least, so no host is further than
-    tolerance * damping / (1 - damping) from its score, whatever else the tables hold."""
+    in any of them if they take means. Either shrinks by ``damping`` a round at least, so the rounds are about the logarithm of the seeds' sum, and then
+    what all hosts lack together (any of them, if they take means) is at most tolerance * damping / (1 - damping). ``iterations``, if given, ends it sooner."""
     sums = [F.sum("n").alias("all"), F.count(F.lit(1)).alias("links")]
     with_all = hot_join(edges, written(edges.groupBy(per).agg(*sums), "sums"), per, "links", F.xxhash64("src", "dst"))
     # the links of a hub lie in several tasks, to each of which its score is copied
@@ -81,7 +84,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, i
     scores, most = seeds.select("host", F.col("seed").alias("score")), F.sum if per == "src" else F.max
     if seeds.isEmpty() or share.isEmpty():
         return scores
-    for _ in range(iterations):
+    for i in count(1):
         dealt = scores.withColumnRenamed("host", "src").join(hubs, "src", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
         sent = dealt.join(share, ["src", "salt"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share") * damping).alias("got"))
         new = seeds.join(sent, seeds["host"] == sent["dst"], "full_outer").select(F.coalesce("host", "dst").alias("host"), (F.coalesce("seed", F.lit(0.0)) + F.coalesce("got", F.lit(0.0))).alias("score"))
@@ -89,9 +92,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, i
         old = scores.select("host", F.col("score").alias("old"))
         change = new.join(old, "host", "full_outer").agg(most(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
         scores = new
-        if change < tolerance:
-            break
-    return scores
+        if change < tolerance or i == iterations:
+            return scores
 
 
 def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, **options) -> DataFrame:
@@ -120,7 +122,7 @@ def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, id_col:
     return out.select("page_id", "host", "path", F.col("fits.rule").alias("rule"), F.coalesce("fits.verdict", by_method).alias("verdict"), "trust", "distrust")
 
 
-def oracle_sql(rules: Sequence[tuple[str, str]] = RULES, damping: float = DAMPING, threshold: float = THRESHOLD, rounds: int = ITERATIONS) -> str:
+def oracle_sql(rules: Sequence[tuple[str, str]] = RULES, damping: float = DAMPING, threshold: float = THRESHOLD, rounds: int = SQL_ROUNDS) -> str:
     """The verdicts in DuckDB's SQL: what a host receives is the sum, over paths of 1 to ``rounds`` links, of damped shares."""
     host = "translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
