@@ -98,16 +98,16 @@ def test_stages_on_nothing(spark):
 def test_every_operator_is_registered():
     names = set(entry.queries())
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert any(x.startswith(f"op{n}_") for x in names)
 
 
-@pytest.mark.parametrize("name", ["op2_quality_rules", "op3_license_scan", "op4_chat_format", "op6_exact_dedup", "op8_url_filter", "op10_mixing"])
+@pytest.mark.parametrize("name", ["op2_quality_rules", "op3_license_scan", "op4_chat_format", "op6_exact_dedup", "op8_url_filter", "op10_mixing", "op11_embedding_dedup", "op13_conversation_repair"])
 def test_operators_equal_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations", "pages"):
+    for t in ("documents", "conversations", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     rel = con.sql(entry.oracle_sql()[name])
     got = entry.queries()[name](spark, sf_dir)

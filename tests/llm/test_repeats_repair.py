@@ -302,6 +302,12 @@ def test_odd_conversations_equal_brute_force(spark, monkeypatch):
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, audit string").repartition(3)
     assert repaired(repair.op13(table)) == sorted((brute_repair(*c) for c in convs.items()), key=str)
     assert repair.op13(table.limit(0)).count() == 0
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [r[:4] for r in rows])
+    assert sorted(con.sql(repair.oracle_sql()).fetchall(), key=str) == sorted((brute_repair(*c) for c in convs.items()), key=str)
 
 
 def test_repaired_turns_are_well_formed(spark, sf_dir):

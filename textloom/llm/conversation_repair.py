@@ -284,3 +284,65 @@ def op13(rows: DataFrame) -> DataFrame:
 
     # no shuffle between: turns come as they were replayed
     return _all(damaged(rows)).select("conv_id", *_STATS, "place", "role", "text").mapInArrow(run, f"{_STATS_SCHEMA}, repaired_sha256 string")
+
+
+def oracle_sql() -> str:
+    """`op13` in DuckDB's SQL, for conversations of some turns. From each row on and for each state the cheapest edits are a text: their cost in six digits and
+    their letters, so that the least text is the cheapest one of the least letters."""
+    checksum = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda x: unicode(x)::BIGINT)), lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0::BIGINT FOR i IN range(8)]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295)"
+    more = lambda key, cost, letter: f"(lpad((substr({key}, 1, 6)::INT + {cost})::VARCHAR, 6, '0') || '{letter}' || substr({key}, 7))"
+    never = "'900000'"
+
+    def inserted(keys: list[str]) -> list[str]:
+        """Each state's text or one that inserts first: from nothing, a system turn or an assistant a user, from a user an assistant."""
+        return [f"least({keys[p]}, {more(keys[q], INSERT, 'I')})" for p, q in ((0, 2), (1, 2), (2, 3), (3, 2))]
+
+    def step(p: int) -> str:
+        ways = [more(f"k{p}", DELETE, "D")]
+        for c, q in enumerate(NEXT[p]):
+            if q >= 0:
+                ways.append(f"CASE WHEN must OR initial <> '{INITIALS[c]}' THEN {never} ELSE {more(f'k{q}', 'short', 'K')} END")
+                if c:
+                    ways.append(f"CASE WHEN must THEN {never} ELSE {more(f'k{q}', f'{REROLE} + short', 'R')} END")
+        return f"least({', '.join(ways)})"
+
+    def closed(source: str, row: str) -> str:
+        """Two rounds of inserts are all that a cheapest path has in one place."""
+        once = ", ".join(f"{x} AS k{i}" for i, x in enumerate(inserted([f"k{i}" for i in range(4)])))
+        return f"SELECT conv, {row}, {once} FROM (SELECT conv, {row}, {once} FROM ({source}))"
+
+    last = ", ".join(f"{repr('000000') if q in ACCEPTED else never} AS k{q}" for q in STATES)
+    steps = ", ".join(f"{step(p)} AS k{p}" for p in STATES)
+    space = "[^\\x20\\x09-\\x0D]"
+    return f"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, coalesce(conv_id::VARCHAR, ' ') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {checksum.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h FROM conversations
+), after AS (
+  SELECT conv, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM named, range(2) c(copy) WHERE h <> 0 AND (copy = 0 OR h = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(role || chr(10) || text), copy) AS i FROM after
+), faults AS (
+  SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '{space}') AS blank, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again, right(regexp_replace(text, '[\\x20\\x09-\\x0D]+$', ''), 1) NOT IN ('.', '!', '?') AS unended,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv ORDER BY i) || substr(role, 1, 1) AS pair FROM placed
+), rows AS (
+  SELECT *, blank OR again AS must, (NOT blank AND NOT again AND unended)::INT AS short FROM faults
+), figures AS (
+  SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank, sum((again AND NOT blank)::INT) AS duplicate, sum(short) AS truncated, sum((pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au'))::INT) AS illegal FROM rows GROUP BY conv
+), paths(conv, upto, k0, k1, k2, k3) AS (
+  {closed(f"SELECT conv, n AS upto, {last} FROM figures", "upto")}
+  UNION ALL
+  {closed(f"SELECT p.conv, upto - 1 AS upto, {steps} FROM paths p JOIN rows r ON r.conv = p.conv AND r.i = p.upto WHERE upto > 0", "upto")}
+), audits AS (
+  SELECT conv, substr(k0, 1, 6)::BIGINT AS cost, substr(k0, 7) AS audit FROM paths WHERE upto = 0
+), letters AS (
+  SELECT conv, pos, letter, length(replace(audit, 'D', '')) AS kept, sum((letter <> 'I')::INT) OVER w AS i, sum((letter <> 'D')::INT) OVER w AS place
+  FROM (SELECT conv, audit, unnest(string_split(audit, '')) AS letter, generate_subscripts(string_split(audit, ''), 1) AS pos FROM audits WHERE audit <> '') WINDOW w AS (PARTITION BY conv ORDER BY pos)
+), repaired AS (
+  SELECT l.conv, string_agg(CASE WHEN letter = 'K' THEN r.role WHEN (place - kept % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE r.text END, chr(10) ORDER BY pos) AS turns
+  FROM letters l LEFT JOIN rows r ON r.conv = l.conv AND r.i = l.i WHERE letter <> 'D' GROUP BY l.conv
+)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(turns, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM named) d LEFT JOIN figures USING (conv) LEFT JOIN audits USING (conv) LEFT JOIN repaired USING (conv)
+"""

@@ -352,8 +352,8 @@ def kept_vectors(rows: DataFrame, *, id_col: str = "vec_id", **options) -> DataF
 #: All pairs: for tables of some thousand vectors.
 ORACLE_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS e, embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0 AS fine
+  SELECT vec_id, embedding::DOUBLE[] AS e, embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fine
   FROM embeddings),
 u AS (SELECT vec_id, e FROM v WHERE fine),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),

@@ -70,4 +70,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.oracle_sql(), "op8_url_filter": url_filter.oracle_sql(), "op3_license_scan": license_scan.oracle_sql(), "op4_chat_format": chat.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL, "op11_embedding_dedup": embedding_dedup.ORACLE_SQL}
+    return {"op2_quality_rules": quality_rules.oracle_sql(), "op8_url_filter": url_filter.oracle_sql(), "op3_license_scan": license_scan.oracle_sql(), "op4_chat_format": chat.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL, "op11_embedding_dedup": embedding_dedup.ORACLE_SQL, "op13_conversation_repair": conversation_repair.oracle_sql()}
