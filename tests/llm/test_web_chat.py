@@ -36,6 +36,14 @@ BSD = "Copyright (c) someone\nAll rights reserved.\n\n" + "\n".join(license_scan
         (BSD, "BSD-2-Clause", "bsd-redistribute>bsd-source>bsd-binary"),
         ("This program is free software;\n" + "other words " * 40 + "\n" + license_scan.SENTENCES["gpl2-only-terms"], "", ""),
         ("This is released under the MIT License.", "", ""),
+        ("x\nSPDX-License-Identifier: MIT\ny", "MIT", "spdx:mit"),
+        ("/* SPDX-License-Identifier:\tGPL-2.0-or-later */", "GPL-2.0-or-later", "spdx:gpl-2.0-or-later"),
+        ("Distributed under the MIT license", "MIT", "mit:0:4"),
+        ("This project is released under the terms of the MIT license.", "MIT", "mit:0:8"),
+        (license_scan.SENTENCES["mit-grant"], "MIT", "mit-grant"),
+        (BSD + "\n3. " + license_scan.SENTENCES["bsd-endorse"].format("the University of X, Y and Z"), "BSD-3-Clause", "bsd-redistribute>bsd-source>bsd-binary>bsd-endorse"),
+        (BSD + "\n3. " + license_scan.SENTENCES["bsd-endorse"].format("a " * 13), "BSD-2-Clause", "bsd-redistribute>bsd-source>bsd-binary"),
+        (BSD + "\n3. " + license_scan.SENTENCES["bsd-advertise"], "BSD-4-Clause", "bsd-redistribute>bsd-source>bsd-binary>bsd-advertise"),
         ("This program is free software: nothing else", "", ""),
         ("", "", ""),
         (None, "", ""),
@@ -48,7 +56,7 @@ def test_scan(spark, text, licenses, rules):
 
 def test_scan_equals_sql(spark):
     r = random.Random(1)
-    known = [*license_scan.SENTENCES.values(), *list(license_scan.WORDINGS.values()) * 3, "Other words here.", "more; and: more!", "x\ny", "", "a", "\u212a \u0130\u00c9 MIT License"]
+    known = [*license_scan.SENTENCES.values(), *[license_scan.SENTENCES[k].format(n) for k in ("bsd-endorse", "bsd-endorse-author") for n in ("the X Inc.", "one", "w " * 12, "w " * 13)] * 5, *list(license_scan.WORDINGS.values()) * 3, "Other words here.", "more; and: more!", "x\ny", "", "a", "\u212a \u0130\u00c9 MIT License"]
     rows = [(i, r.choice([" ", "\n", "\n\n"]).join(r.choices(known, k=r.randrange(1, 6)))) for i in range(200)] + [(900, None), (901, "")]
     rows += [(1000 + i, "".join(r.choices(["a", "\n", "MIT License", "\n", " ", "All rights\nreserved.", ". ", "." * r.choice([3, 1500, 100_000])], k=12))) for i in range(60)]
     for _, ids in license_scan.WORDING_RULES:  # each rule, wrapped and with words between
@@ -73,6 +81,24 @@ def test_tables_cover_the_common_licenses():
         assert name in got[1].split(","), (name, ids, got)
 
 
+#: Licence files of common systems (fixed values), by the licence that they are or grant.
+FILES = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2-only", "GFDL-1.3": "GFDL-1.3-only", "GPL-1": "GPL-1.0-only,GPL-1.0-or-later", "GPL-2": "GPL-2.0-only,GPL-2.0-or-later", "GPL-3": "GPL-3.0-only,GPL-3.0-or-later", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only,LGPL-2.1-or-later", "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_whole_licences_are_recognised(name):
+    """Notices that a licence's own text recommends count as well."""
+    import os
+
+    at = f"/usr/share/common-licenses/{name}"
+    if not os.path.exists(at):
+        pytest.skip("no licence files here")
+    with open(at, encoding="utf-8", errors="replace") as f:
+        got = license_scan.Scanner(license_scan.SENTENCES, license_scan.RULES).row(f.read())
+    assert set(FILES[name].split(",")) <= set(got[1].split(",")), got[1:]
+    assert len(set(got[1].split(",")) - set(FILES[name].split(","))) == 0, got[1:]
+
+
 def test_rules_and_sentences_are_checked(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     with pytest.raises(ValueError, match="unknown sentences"):

@@ -1,8 +1,8 @@
 """License scans by sentence rules.
 
 Texts are cut into sentences behind . ! ? ; : before white space, and at line ends. Wrapped lines are read a second time with
-single line ends taken as spaces. Every sentence of either reading is normalised to its words in lower case, and those
-that a table knows become identifiers, in order of the words before them; what both readings find counts once. The
+single line ends taken as spaces. A tag (SPDX-License-Identifier) and what it names are one sentence. Every sentence of either reading is normalised to its words in lower case, and those
+that a table knows, word for word or with a name of up to ``SLOT_WORDS`` words in its slot, become identifiers, in order of the words before them; what both readings find counts once. The
 identifiers of a text are matched against ordered rules: a rule fires where its identifiers follow one another with at most
 ``GAP`` other words between two of them. A rule that another one contains gives way where both fire, and a
 fallback rule where any other fires. Both tables are looked up by hash (sentences) and in a trie (rules), so they may
@@ -59,9 +59,21 @@ COMMONS: dict[str, tuple[str, ...]] = {
     f"CC-{kind}-{version}": (f"CC {kind} {version}",) for version in ("3.0", "4.0") for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")
 }
 #: Notices that a name is put into.
-NOTICES = ("Released under the {}.", "Licensed under the {}.", "This work is licensed under the {}.", "This software is released under the {}.")
+NOTICES = (
+    "Released under the {}.",
+    "Licensed under the {}.",
+    "This work is licensed under the {}.",
+    "This software is released under the {}.",
+    "Distributed under the {}.",
+    *[f"{start} under the terms of the {{}}." for start in ("Released", "Licensed", "Distributed", "This project is released", "This project is licensed", "This software is licensed", "This work is licensed")],
+    *[f"{start} under the {{}}." for start in ("This project is released", "This project is licensed", "This software is licensed", "This program is licensed", "This library is licensed")],
+)
 NOTICES_PLAIN = ("Released under {}.", "Licensed under {}.", "This work is licensed under {}.")
-#: Known sentences and their identifiers (fixed values: the wording of public licences and notices).
+#: Further identifiers that files are tagged with (fixed values: SPDX identifiers).
+TAGGED = tuple(f"{name}-{end}" for name in ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "GFDL-1.2", "GFDL-1.3") for end in ("only", "or-later")) + ("CC0-1.0", "MPL-1.1", "Artistic-1.0", "BSD-4-Clause")
+#: Words that a slot, {}, of a known sentence may hold.
+SLOT_WORDS = 12
+#: Known sentences and their identifiers (fixed values: the wording of public licences and notices); {} stands for a name.
 WORDINGS: dict[str, str] = {
     "mit-title": "MIT License",
     "mit-title-the": "The MIT License (MIT)",
@@ -101,7 +113,20 @@ WORDINGS: dict[str, str] = {
     "bsd-redistribute": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-endorse": "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-endorse-author": "The name of {} may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-advertise": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "mpl-title": "Mozilla Public License",
+    "version-1.1": "Version 1.1",
+    "mpl2-title": "Mozilla Public License Version 2.0",
+    "mpl1.1-subject": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\");",
+    "gfdl-title": "GNU Free Documentation License",
+    "version-1.2-gfdl": "Version 1.2, November 2002",
+    "version-1.3-gfdl": "Version 1.3, 3 November 2008",
+    "library-title": "GNU LIBRARY GENERAL PUBLIC LICENSE",
+    "version-1": "Version 1, February 1989",
+    "artistic-title": "The \"Artistic License\"",
+    "artistic-intent": "The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package, while giving the users of the package the right to use and distribute the Package in a more-or-less customary fashion, plus the right to make reasonable modifications.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
     "mpl2-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
@@ -147,6 +172,19 @@ WORDING_RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC0-1.0", ("cc0-title",)),
     ("BSD-2-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary")),
     ("BSD-3-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-3-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse-author")),
+    ("BSD-4-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary", "bsd-advertise")),
+    ("MIT", ("mit-grant",)),
+    ("MPL-1.1", ("mpl-title", "version-1.1")),
+    ("MPL-1.1", ("mpl1.1-subject",)),
+    ("MPL-2.0", ("mpl2-title",)),
+    ("GFDL-1.2-only", ("gfdl-title", "version-1.2-gfdl")),
+    ("GFDL-1.3-only", ("gfdl-title", "version-1.3-gfdl")),
+    ("LGPL-2.0-only", ("library-title", "version-2")),
+    ("GPL-1.0-only", ("gpl-title", "version-1")),
+    ("Artistic-1.0", ("artistic-title",)),
+    ("Artistic-1.0", ("artistic-title", "artistic-intent")),
+    ("Artistic-1.0", ("artistic-intent",)),
     ("ISC", ("isc-grant",)),
     ("0BSD", ("0bsd-grant",)),
     ("MPL-2.0", ("mpl2-subject",)),
@@ -174,10 +212,17 @@ def notices() -> dict[str, tuple[str, str]]:
     return out
 
 
-SENTENCES: dict[str, str] = {k: s for k, (s, _) in notices().items()} | WORDINGS
-RULES: tuple[tuple[str, tuple[str, ...]], ...] = tuple((name, (k,)) for k, (_, name) in notices().items()) + WORDING_RULES
+def tags() -> dict[str, tuple[str, str]]:
+    """Identifier to (sentence, license) of the line that names each license by its SPDX identifier."""
+    return {f"spdx:{x.lower()}": (f"SPDX-License-Identifier:{x}", x) for x in (*NAMES, *COMMONS, *TAGGED)}
+
+
+SENTENCES: dict[str, str] = {k: s for k, (s, _) in (notices() | tags()).items()} | WORDINGS
+RULES: tuple[tuple[str, tuple[str, ...]], ...] = tuple((name, (k,)) for k, (_, name) in (notices() | tags()).items()) + WORDING_RULES
 
 _BREAK = re.compile(r"([.!?;:])[ \t\r]+")
+#: A tag and its identifier are one sentence.
+_TAG = re.compile(r"(SPDX-License-Identifier:)[ \t]+")
 _WRAP = re.compile(r"(?<=[^\n])\n(?=[^\n])")
 _WORD = re.compile(r"[a-z0-9]+")
 #: Letters whose lower case holds ASCII letters though they are none themselves.
@@ -193,22 +238,42 @@ def normalised(sentence: str) -> str:
     return " ".join(words_of(sentence))
 
 
+def _parts(text: str) -> list[str]:
+    return _BREAK.sub("\\1\n", _TAG.sub("\\1", text)).split("\n")
+
+
 def known_sentences(sentences: dict[str, str]) -> dict[str, str]:
-    """Normalised sentence to identifier. A known text of several sentences would never match, which is an error."""
+    """Normalised sentence, without its slot if it has one, to identifier. A known text of several sentences would never match, which is an error."""
     out = {}
     for name, text in sentences.items():
-        if len(_BREAK.sub("\\1\n", text).split("\n")) != 1 or not words_of(text):
-            raise ValueError(f"{name} holds more than one sentence, or none")
+        if len(_parts(text)) != 1 or not words_of(text) or text.count("{}") > 1:
+            raise ValueError(f"{name} holds more than one sentence, or none, or more than one slot")
         out.setdefault(normalised(text), name)
     return out
 
 
+def slotted(sentences: dict[str, str]) -> list[tuple[str, str, str]]:
+    """(words before the slot, words behind it, identifier) of the known sentences with a slot; there must be some of either."""
+    same, out = known_sentences(sentences), {}
+    for text in sentences.values():
+        if "{}" in text:
+            head, tail = map(normalised, text.split("{}"))
+            if not head or not tail:
+                raise ValueError(f"a slot at the end of a sentence: {text}")
+            out.setdefault((head, tail), same[normalised(text)])
+    return [(head, tail, name) for (head, tail), name in out.items()]
+
+
 class Scanner:
     """Sentences by hash, rules in a trie of identifiers."""
 
     def __init__(self, sentences: dict[str, str], rules: tuple[tuple[str, tuple[str, ...]], ...], fallback: frozenset[str] = FALLBACK, gap: int = GAP):
         self.known, self.rules, self.fallback, self.gap = known_sentences(sentences), rules, fallback, gap
         self.same = {k: self.known[normalised(s)] for k, s in sentences.items()}
+        #: by first word, sentences with a slot
+        self.slots: dict[str, list[tuple[list[str], list[str], str]]] = {}
+        for head, tail, name in slotted(sentences):
+            self.slots.setdefault(head.split()[0], []).append((head.split(), tail.split(), name))
         self.trie: dict = {}
         for i, (_, ids) in enumerate(rules):
             at = self.trie
@@ -220,13 +285,22 @@ class Scanner:
         #: the longest word of each: a text without any of them holds no known sentence and isn't cut
         self.needed = frozenset(max(s.split(), key=len) for s in self.known)
 
+    def _named(self, words: list[str]) -> list[str]:
+        """Identifiers of a sentence: its own, or those of the slotted ones that it fits."""
+        exact = self.known.get(" ".join(words))
+        if exact is not None:
+            return [exact]
+        fits = lambda h, t: len(h) + len(t) <= len(words) <= len(h) + len(t) + SLOT_WORDS and words[: len(h)] == h and words[-len(t) :] == t
+        return [name for h, t, name in self.slots.get(words[0], ()) if fits(h, t)]
+
     def _read(self, text: str) -> Iterator[tuple[int, str, int]]:
         """(words before, identifier, words) of the known sentences."""
         before = 0
-        for part in _BREAK.sub("\\1\n", text).split("\n"):
+        for part in _parts(text):
             words = words_of(part)
-            if words and words[0] in self.first and (name := self.known.get(" ".join(words))) is not None:
-                yield before, name, len(words)
+            if words and words[0] in self.first:
+                for name in self._named(words):
+                    yield before, name, len(words)
             before += len(words)
 
     def sentences(self, text: str) -> list[tuple[int, str, int]]:
@@ -288,24 +362,31 @@ def oracle_sql(sentences: dict[str, str] = SENTENCES, rules: tuple[tuple[str, tu
     table = known_sentences(sentences)
     same = {k: table[normalised(s)] for k, s in sentences.items()}
     known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in table.items())
+    slots = ", ".join(f"({_quoted(h + ' ')}, {_quoted(' ' + t)}, {len((h + ' ' + t).split())}, {_quoted(v)})" for h, t, v in slotted(sentences)) or "('', '', 0, '')"
     rule = ", ".join(f"({i}, {_quoted(n)}, {_quoted('>' + '>'.join(same[x] for x in ids) + '>')}, {_quoted('>'.join(ids))}, {str(n in fallback).lower()})" for i, (n, ids) in enumerate(rules))
     folded = "lower(translate({}, chr(304) || chr(8490), '  '))"
     once = "regexp_replace({}, '([^\\n])\\n([^\\n])', '\\1 \\2', 'g')"
     return f"""
 WITH known(sentence, name) AS (VALUES {known}),
+slots(head, tail, fewest, name) AS (SELECT * FROM (VALUES {slots}) s(head, tail, fewest, name) WHERE fewest > 0),
 rule(i, license, line, ids, weak) AS (VALUES {rule}),
 modes AS (
   SELECT doc_id, 0 AS mode, coalesce(text, '') AS text FROM documents
   UNION ALL SELECT doc_id, 1, {once.format(once.format("coalesce(text, '')"))} FROM documents
 ), parts AS (
   SELECT doc_id, mode, {folded.format('unnest(p)')} AS part, generate_subscripts(p, 1) AS pos
-  FROM (SELECT doc_id, mode, string_split(regexp_replace(text, '([.!?;:])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)) AS p FROM modes)
+  FROM (SELECT doc_id, mode, string_split(regexp_replace(regexp_replace(text, '(SPDX-License-Identifier:)[ \\t]+', '\\1', 'g'), '([.!?;:])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)) AS p FROM modes)
 ), counted AS (
   SELECT doc_id, mode, part, pos, len(regexp_extract_all(part, '[a-z0-9]+')) AS n FROM parts
 ), placed AS (
   SELECT *, sum(n) OVER (PARTITION BY doc_id, mode ORDER BY pos) - n AS before FROM counted
+), plain AS (
+  SELECT doc_id, before, n, trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) AS words FROM placed
+), exact AS (
+  SELECT doc_id, before, name, n, sentence FROM plain JOIN known ON words = sentence
 ), named AS (
-  SELECT DISTINCT doc_id, before, name, n FROM placed JOIN known ON trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) = sentence
+  SELECT doc_id, before, name, n FROM exact
+  UNION SELECT doc_id, before, name, n FROM plain JOIN slots ON starts_with(words || ' ', head) AND ends_with(' ' || words, tail) AND n BETWEEN fewest AND fewest + {SLOT_WORDS} WHERE words NOT IN (SELECT sentence FROM known)
 ), apart AS (
   SELECT *, coalesce(before - lag(before + n) OVER o > {gap}, false) AS far FROM named WINDOW o AS (PARTITION BY doc_id ORDER BY before, name, n)
 ), lines AS (
