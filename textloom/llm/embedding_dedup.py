@@ -58,8 +58,9 @@ def _id(key: str) -> Column:
     return F.when(F.hex(F.substring(key, 1, 1)) == "00", _number(F.hex(F.substring(key, 2, 8))))
 
 
-def _matrix(batch: pa.RecordBatch, name: str = "vec") -> np.ndarray:
+def _matrix(batch: pa.RecordBatch | pa.Table, name: str = "vec") -> np.ndarray:
     lists = batch[name]
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     return np.asarray(lists.flatten()).reshape(batch.num_rows, -1)
 
 
@@ -118,8 +119,8 @@ def _hot(celled: DataFrame, counts: np.ndarray, total: int, threshold: float) ->
 def _indexed(vectors: DataFrame, total: int, threshold: float, target: float, block: int) -> tuple[DataFrame, DataFrame]:
     """Of vectors(key, w, vec) of one length: (key, links), sums of weights, and edges (a, b) that join what is linked."""
     spark = vectors.sparkSession
-    rows = vectors.orderBy(F.xxhash64("key"), "key").limit(max(1_000, multi_index.FIT_ROWS_A_CENTRE * multi_index.size_for(total))).select("vec").collect()
-    grid = multi_index.fit(multi_index.unit(np.array([r["vec"] for r in rows])), total, threshold, target)
+    rows = vectors.orderBy(F.xxhash64("key"), "key").limit(max(1_000, multi_index.FIT_ROWS_A_CENTRE * multi_index.size_for(total))).select("vec").toArrow()
+    grid = multi_index.fit(multi_index.unit(_matrix(rows)), total, threshold, target)
     del rows
     block = min(block, max(128, total // 64))
     angle = float(np.arccos(threshold))
@@ -136,8 +137,8 @@ def _indexed(vectors: DataFrame, total: int, threshold: float, target: float, bl
 
     def counted(table: DataFrame) -> np.ndarray:
         out = np.zeros(cells, np.int64)  # CENTRES^2 at most
-        for r in table.groupBy("cell").count().collect():
-            out[r["cell"]] = r["count"]
+        found = table.groupBy("cell").count().toArrow()
+        out[found["cell"].to_numpy()] = found["count"].to_numpy()
         return out
 
     centres = _hot(celled, counted(celled), total, threshold)
