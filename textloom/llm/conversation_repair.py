@@ -8,8 +8,8 @@ all cheapest edits the least string is found, without listing paths. A string sa
 tells each one's role.
 
 Two passes, each sorted by conversation and turn and read as a stream. The first has a byte a row (its role's initial and fault) and gives the
-edits; the second brings the texts to them. A conversation's edits are one value, a letter a row, and its bytes are gathered in a task;
-its texts are never. Which rows repeat is told before by grouped counts, joined back with groups of many rows dealt over tasks.
+edits; the second brings the texts to them. A conversation's edits are one value, a letter a row, and its bytes are gathered in a task, which
+has 32 more a row while it solves it; its texts are never. Which rows repeat is told before by grouped counts, joined back with groups of many rows dealt over tasks.
 
 Results: nulls in any column count as one space, though a null turn comes first and takes no part in gaps. Rows of one turn go by
 role, then by a digest of the text; equal ones are alike. A null conv_id is a conversation too. A conversation of no rows has no edits. An empty table gives an
@@ -19,6 +19,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +35,7 @@ INITIALS, NEXT = "sua", ((1, 2, -1, -1), (-1, 2, -1, -1), (-1, -1, 3, -1), (-1,
 STATES, ACCEPTED, ROLES = range(4), (0, 3), {"u": "user", "a": "assistant"}
 #: What is added to a row's place in INITIALS if it must be deleted or is cut short; a row that is dropped beforehand has ABSENT.
 MUST, SHORT, ABSENT = 4, 8, 255
-_NEVER = 1 << 60
+_NEVER = 1 << 30
 _SPACE = r"\x20\x09-\x0D"
 
 _inserts = [(p, NEXT[p][c]) for p in STATES for c in (1, 2) if NEXT[p][c] >= 0]
@@ -55,39 +56,38 @@ def _arcs(code: int) -> list[tuple[int, int, int, str]]:
 
 def _solve(codes: bytes) -> tuple[int, str]:
     n = len(codes)
-    before, behind = [[0, _NEVER, _NEVER, _NEVER]], [[0 if q in ACCEPTED else _NEVER for q in STATES]]
+    # costs of all states, layer after layer: four numbers of four bytes a row, before it and behind it
+    before, behind = array("i", [0, _NEVER, _NEVER, _NEVER] * (n + 1)), array("i", [_NEVER] * 4 * (n + 1))
 
-    def inserted(costs: list[int], arcs: list[tuple[int, int]]) -> None:
+    def layer(costs: array, i: int, own: list[int], arcs: list[tuple[int, int]]) -> None:
         for _ in range(2):  # a state is at most two inserts from any other on a cheapest path
             for p, q in arcs:
-                costs[q] = min(costs[q], costs[p] + INSERT)
+                own[q] = min(own[q], own[p] + INSERT)
+        costs[4 * i : 4 * i + 4] = array("i", own)
 
-    inserted(before[0], _inserts)
-    inserted(behind[0], back := [(q, p) for p, q in _inserts])
-    for code in codes:
-        own = [_NEVER] * 4
+    layer(before, 0, [0, _NEVER, _NEVER, _NEVER], _inserts)
+    layer(behind, n, [0 if q in ACCEPTED else _NEVER for q in STATES], back := [(q, p) for p, q in _inserts])
+    for i, code in enumerate(codes):
+        own, last = [_NEVER] * 4, before[4 * i : 4 * i + 4]
         for p, q, cost, _ in _arcs(code):
-            own[q] = min(own[q], before[-1][p] + cost)
-        inserted(own, _inserts)
-        before.append(own)
-    for code in reversed(codes):
-        own = [_NEVER] * 4
-        for p, q, cost, _ in _arcs(code):
-            own[p] = min(own[p], behind[-1][q] + cost)
-        inserted(own, back)
-        behind.append(own)
-    behind.reverse()
-    best = behind[0][0]
-    letters, i, front = [], 0, {0}
-    while not (i == n and any(q in ACCEPTED and before[n][q] == best for q in front)):
-        tight = [("I", q) for p, q in _inserts if p in front and before[i][p] + INSERT + behind[i][q] == best]
+            own[q] = min(own[q], last[p] + cost)
+        layer(before, i + 1, own, _inserts)
+    for i in range(n - 1, -1, -1):
+        own, next_ = [_NEVER] * 4, behind[4 * i + 4 : 4 * i + 8]
+        for p, q, cost, _ in _arcs(codes[i]):
+            own[p] = min(own[p], next_[q] + cost)
+        layer(behind, i, own, back)
+    best = behind[0]
+    letters, i, front = bytearray(), 0, {0}
+    while not (i == n and any(q in ACCEPTED and before[4 * n + q] == best for q in front)):
+        tight = [("I", q) for p, q in _inserts if p in front and before[4 * i + p] + INSERT + behind[4 * i + q] == best]
         if i < n:
-            tight += [(letter, q) for p, q, cost, letter in _arcs(codes[i]) if p in front and before[i][p] + cost + behind[i + 1][q] == best]
+            tight += [(letter, q) for p, q, cost, letter in _arcs(codes[i]) if p in front and before[4 * i + p] + cost + behind[4 * i + 4 + q] == best]
         least = min(letter for letter, _ in tight)
         front = {q for letter, q in tight if letter == least}
-        letters.append(least)
+        letters += least.encode()
         i += least != "I"
-    return best, "".join(letters)
+    return best, letters.decode()
 
 
 _solve_short = lru_cache(maxsize=50_000)(_solve)
