@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.operators import embed
 from textloom.operators.vector_store import VectorStore
 from textloom.operators.wordpiece import BertTokenizer
+from textloom.streaming import stream
 
 
 @pytest.fixture
@@ -112,3 +113,12 @@ def test_a_text_of_many_keys_is_one_vector(spark, store, embedder, monkeypatch):
 
 def test_an_empty_store(spark, store):
     assert store.snapshot().version == 0 and state(store) == {} and store.vacuum() == 0
+
+
+def test_streams_feed_the_store(spark, store, embedder, tmp_path):
+    for i, rows in enumerate(([(1, "a"), (2, "b")], [(1, "c"), (2, None, True), (3, "a")])):
+        batch(spark, rows).select("doc_id", "text", "deleted").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live = stream.files(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+        live.writeStream.foreachBatch(stream.into_store(store, embedder.embed, "m")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        assert store.snapshot().version == i + 1
+    assert {k: (v[0], v[2]) for k, v in state(store).items()} == {1: (digest("c"), 2), 3: (digest("a"), 1)}

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from textloom.functions import sq8
 from textloom.operators import ranking
+from textloom.operators.vector_store import Embed, VectorStore
 
 
 def files(spark: SparkSession, path: str, schema: StructType, glob: str = "*.parquet") -> DataFrame:
@@ -29,3 +30,13 @@ def drain(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append"
     """Writes all that is there and stops."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     (writer.partitionBy(*partition_by) if partition_by else writer).format("parquet").start(path).awaitTermination()
+
+
+def into_store(store: VectorStore, embed: Embed, model_id: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each batch of (key, text) or (key, text, deleted) becomes a snapshot of the store. A batch that comes again after a failure changes
+    nothing, as its texts have been embedded."""
+
+    def apply(batch: DataFrame, _: int = 0) -> None:
+        store.apply(batch, embed, model_id)
+
+    return apply
