@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,3 +315,61 @@ def test_derived_vocabularies_follow_their_table(spark, tmp_path):
     for texts in (["aa bb"], ["aa bb cc dd"]):
         spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
         assert set(core._vocabulary(spark, str(tmp_path))) >= set(texts[0].split())
+
+
+def test_texts_are_solved_together_as_each_by_itself():
+    import random
+
+    r = random.Random(2)
+    for spans in (False, True):
+        for _ in range(150):
+            pieces = {"".join(r.choices("ab▁" if spans else "abc", k=r.randrange(1, 6))): None for _ in range(r.randrange(12))}
+            pieces = {p: (3 + i, -r.randrange(4, 48) / 8) for i, p in enumerate(pieces)}  # the first has the unknown id
+            model = unigram.Unigram(pieces)
+            texts = ["".join(r.choices("abx▁", k=r.choice((0, 3, 25, 90)))) for _ in range(12)]
+            for _ in range(2):
+                ids, size = model.texts_ids(texts)
+                assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [_plain_lattice(pieces, t) for t in texts], (pieces, texts)
+
+
+def test_what_a_worker_remembers_has_a_bound(monkeypatch):
+    monkeypatch.setattr(unigram, "MEMO", 50)
+    monkeypatch.setattr(unigram, "MEMO_CHARS", 400)
+    model = unigram.Unigram(PIECES)
+    for i in range(40):
+        texts = [f"▁hello▁w{i}o{j}" for j in range(9)] + ["▁" + "l" * (i * 20)]
+        ids, size = model.texts_ids(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [model.ids(t) for t in texts]
+        assert len(model._memo) <= 50 and len(model._pool) < 2000
+
+
+def test_texts_without_an_entry_are_not_looked_up():
+    done = []
+    for entries, odd in (({"…": "...", "é": "é", "ab": "c"}, " x…y é abc ؀ b"), ({" ": "_", "x": "y"}, " x…y é abc"), ({"؀ a": "!"}, "a؀ ab b")):
+        m = Charsmap(charsmap.build(entries))
+        assert sorted(m._keys()) == sorted(entries)
+        want = m._clusters(odd)
+        m._clusters = lambda piece, own=m._clusters: done.append(piece) or own(piece)
+        assert m.normalize(odd) == want
+        done.clear()
+        assert m.normalize("nowt\nor" * 9) == "nowt\nor" * 9 and not done
+    # no two nodes of a map have one base
+    many = {chr(a) + chr(b): "x" for a in range(0x100, 0x180) for b in (0x301, 0x4E00 + a)} | {chr(a): "y" for a in range(0x80, 0x180)}
+    assert sorted(Charsmap(charsmap.build(many))._keys()) == sorted(many)
+
+
+def test_frequent_pairs_are_those_of_all_words(spark, sf_dir, monkeypatch):
+    from textloom.plans import queries as core
+
+    docs = core._documents(spark, sf_dir)
+    words = core._metaspace_counts(docs).persist()
+    every = core._top_pairs
+    for pairs, known in ((20, 400), (60, 40), (500, 3)):
+        monkeypatch.setattr(core, "PAIRS", pairs)
+        best = [r["piece"] for r in words.orderBy(F.desc("n"), "piece").limit(known).collect()]
+        want, whole = every(docs, None), []
+        monkeypatch.setattr(core, "_top_pairs", lambda d, w: whole.append(w is None) or every(d, w))
+        assert core.frequent_pairs(docs, words, best) == want
+        assert any(whole) == (known == 3)  # rare words are paired only where too few pairs are known
+        monkeypatch.setattr(core, "_top_pairs", every)
+    words.unpersist()

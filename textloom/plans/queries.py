@@ -22,7 +22,7 @@ from textloom.operators import wordpiece as sub_words
 from textloom.operators.embed import HashBackend
 from textloom.operators.vector_store import VectorStore
 from textloom.sources import archive, tables
-from textloom.sources.shared import scratch
+from textloom.sources.shared import BROADCAST_ROWS, scratch, small_batches
 from textloom.sources.tables import dealt, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
@@ -249,16 +250,28 @@ def bert_decode(spark, sf_dir):
     return _dealt(spark, sf_dir).select("doc_id", ids.alias("ids")).select("doc_id", F.array_join(tokenizer.decode(F.col("ids")), " ").alias("tokens"))
 
 
+def _metaspace_words(text: str) -> Column:
+    return F.regexp_extract_all(T.metaspace(T.collapse_spaces(F.col(text))), F.lit("▁[^▁]*"), 0)
+
+
+def _metaspace_counts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.explode(_metaspace_words("text")).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _best_pieces(words: DataFrame) -> dict[str, tuple[int, float]]:
+    """Of counted metaspace words and their single characters, the most frequent of each, scored by the logarithm of their share, to six places."""
+    chars = words.select(F.explode(F.split("piece", "")).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n")).where("piece <> ''")
+    top = words.where("length(piece) > 1").orderBy(F.desc("n"), "piece").limit(WHOLE_WORDS).collect() + chars.orderBy(F.desc("n"), "piece").limit(FIRST_CHARS).collect()
+    total = sum(r["n"] for r in top)
+    return {r["piece"]: (4 + i, round(log(r["n"] / total), 6)) for i, r in enumerate(sorted(top, key=lambda r: r["piece"]))}
+
+
 def derived_pieces(docs: DataFrame) -> dict[str, tuple[int, float]]:
-    """Metaspace words and single characters, the most frequent of each, scored by the logarithm of their share, to six places."""
-    words = docs.select(F.explode(F.regexp_extract_all(T.metaspace(T.collapse_spaces(F.col("text"))), F.lit("▁[^▁]*"), 0)).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n")).persist()
+    words = _metaspace_counts(docs).persist()
     try:
-        chars = words.select(F.explode(F.split("piece", "")).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n")).where("piece <> ''")
-        top = words.where("length(piece) > 1").orderBy(F.desc("n"), "piece").limit(WHOLE_WORDS).collect() + chars.orderBy(F.desc("n"), "piece").limit(FIRST_CHARS).collect()
+        return _best_pieces(words)
     finally:
         words.unpersist()
-    total = sum(r["n"] for r in top)
-    return {r["piece"]: (4 + i, round(log(r["n"] / total), 6)) for i, r in enumerate(sorted(top, key=lambda r: r["piece"]))}
 
 
 def _xlmr(spark: SparkSession, sf_dir: str) -> unigram.XlmrTokenizer:
@@ -306,12 +319,36 @@ def unigram_tokenize(spark, sf_dir):
     return _dealt(spark, sf_dir).select("doc_id", F.array_join(_xlmr(spark, sf_dir).content_ids(F.col("text")), " ").alias("ids"))
 
 
+def _top_pairs(docs: DataFrame, words: DataFrame | None) -> list:
+    """The PAIRS most frequent pairs p(a, b) of words that follow one another, and their number n; with words(piece), of pairs of these only."""
+    pairs = docs.select(_metaspace_words("text").alias("w")).select(F.explode(F.zip_with(F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
+    if words is not None:
+        for side in ("a", "b"):
+            pairs = pairs.join(F.broadcast(words.select(F.col("piece").alias("own"))), F.col(f"p.{side}") == F.col("own"), "left_semi")
+    return pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p").limit(PAIRS).collect()
+
+
+def frequent_pairs(docs: DataFrame, words: DataFrame, known: list[str]) -> list:
+    """The PAIRS most frequent pairs of docs(text), whose words(piece, n) are counted. No word is rarer than a pair that it is in, so the last of the
+    best pairs of known words says which other words can be in a better one: rare words, most of a corpus, aren't paired."""
+    top = _top_pairs(docs, docs.sparkSession.createDataFrame([(w,) for w in known], "piece string")) if known else []
+    if len(top) < PAIRS:
+        return _top_pairs(docs, None)
+    often = words.where(F.col("n") >= top[-1]["n"])
+    number = often.count()
+    if not often.join(docs.sparkSession.createDataFrame([(w,) for w in known], "piece string"), "piece", "left_anti").count():
+        return top
+    return _top_pairs(docs, often if number <= BROADCAST_ROWS else None)
+
+
 def derived_spans(docs: DataFrame) -> dict[str, tuple[int, float]]:
     """The derived pieces and, besides them, the most frequent pairs of words as one piece each, which scores as its better word does."""
-    pieces = derived_pieces(docs)
-    words = F.regexp_extract_all(T.metaspace(T.collapse_spaces(F.col("text"))), F.lit("▁[^▁]*"), 0)
-    pairs = docs.select(words.alias("w")).select(F.explode(F.zip_with(F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
-    top = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p").limit(PAIRS).collect()
+    words = _metaspace_counts(docs).persist()
+    try:
+        pieces = _best_pieces(words)
+        top = frequent_pairs(docs, words, [p for p in pieces if len(p) > 1])
+    finally:
+        words.unpersist()
     for r in top:
         a, b = r["p"]
         if a in pieces and b in pieces and a + b not in pieces:
