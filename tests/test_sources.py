@@ -178,3 +178,22 @@ def test_specs_are_loaded_by_address(spark, tmp_path):
     v = np.array(loaded.embed(spark.createDataFrame([("hello",)], "text string")).first()["embedding"])
     mean = table[[101, 103, 102]].mean(axis=0)
     assert v == pytest.approx(mean / np.linalg.norm(mean), abs=1e-6)
+
+
+def test_whole_texts_reach_workers_in_small_batches(spark, tmp_path):
+    from textloom.operators import charsmap, unigram
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("hello").alias("text"))
+    tokens = F.struct(*[F.array(F.lit(1).cast("long")).alias(k) for k in ("input_ids", "attention_mask", "token_type_ids")])
+    blob = charsmap.build({"…": "..."})
+    for use in (
+        lambda: tables.write_json_object(rows, str(tmp_path / "object"), "doc_id"),
+        lambda: embed.infer(rows.select(F.struct("doc_id").alias("row"), tokens.alias("tokens")), embed.HashBackend(2)),
+        lambda: BertTokenizer(spark, {"hello": 103}),
+        lambda: unigram.XlmrTokenizer(spark, {"h": (4, -1.0)}, blob),
+        lambda: charsmap.normalizer(spark, blob),
+    ):
+        spark.conf.set(key, "10000")
+        use()
+        assert spark.conf.get(key) == "500"
