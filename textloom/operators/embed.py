@@ -15,6 +15,7 @@ from textloom.operators.catalog import DEFAULT_MODEL, Catalog, ModelSpec, Unvali
 from textloom.operators.unigram import XlmrTokenizer, load_pieces
 from textloom.operators.wordpiece import BertTokenizer, load_vocabulary
 from textloom.sources.files import exists, read_verified
+from textloom.sources.shared import small_batches
 
 KINDS = ("document", "query")
 
@@ -126,6 +127,7 @@ def infer(rows: DataFrame, backend: Backend, *, batch: int = 32) -> DataFrame:
     """rows(row struct, tokens struct) with embedding array<float>. Texts are run ``batch`` at a time, cut to the longest of
     them: padding beyond it has no weight. A task's Arrow batch of rows is a window in which texts are ordered by their tokens before
     they are run, so that those of a batch are about as long; rows come out in the order they came in."""
+    small_batches(rows.sparkSession)  # a row holds three numbers for each of max_length tokens
     kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
