@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.tokens import BERT, assembled, check_length
 from textloom.sources.files import read_verified
+from textloom.sources.shared import small_batches
 
 UNKNOWN = "[UNK]"
+#: Words that a task remembers.
+MEMO = 50_000
 
 
 class WordPiece:
@@ -29,7 +32,7 @@ class WordPiece:
         found = self._memo.get(word)
         if found is None:
             found = self._split(word)
-            if len(self._memo) < 200_000:
+            if len(self._memo) < MEMO:
                 self._memo[word] = found
         return found
 
@@ -87,6 +90,7 @@ class BertTokenizer:
 
     def __init__(self, spark: SparkSession, vocabulary: dict[str, int], *, max_length: int = 512, segment: T.Segmenter = T.segment):
         self.max_length, self.segment, self.vocabulary = check_length(max_length), segment, vocabulary
+        small_batches(spark)  # a row holds the words of a whole text
         shared = spark.sparkContext.broadcast(vocabulary)
 
         def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
